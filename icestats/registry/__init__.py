@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("teams",)
+AREAS = ("teams", "functions", "market")
 
 
 def load_all() -> None:

@@ -27,7 +27,7 @@ class Inputs:
             elif name in VIEWS:
                 deps, text = VIEWS[name]
                 self._made[name] = self.spark.sql(
-                    re.sub(r"<(\w+)>", r"{\1}", spark_text(text)), **{d: getattr(self, d) for d in deps}
+                    re.sub(r"<(\w+)>", r"{\1}", spark_text(text).replace("{", "{{").replace("}", "}}")), **{d: getattr(self, d) for d in deps}
                 )
             else:
                 raise AttributeError(name)
