@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("teams", "functions", "market")
+AREAS = ("teams", "functions", "market", "evaluation", "sequence")
 
 
 def load_all() -> None:

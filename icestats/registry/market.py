@@ -60,9 +60,9 @@ pr AS (SELECT gameid, team, side, CAST(n AS BIGINT) AS p_games, CASE WHEN gf + g
  CASE WHEN sf + sa = 0 THEN 0.5 ELSE CAST(sf AS DOUBLE) / CAST(sf + sa AS DOUBLE) END AS ff_pct, CASE WHEN cf + ca = 0 THEN 0.5 ELSE CAST(cf AS DOUBLE) / CAST(cf + ca AS DOUBLE) END AS cf_pct FROM p)"""
 
 
-@query("team_panel_j3", "WITH " + PRIOR + " SELECT gameid, team, p_games, round(cf_pct, 6) AS cf_pct, round(ff_pct, 6) AS ff_pct, round(pythagorean, 6) AS pythagorean FROM pr")
+@query("team_panel_j3", "WITH " + PRIOR + " SELECT gameid, team, p_games, round(cf_pct, 10) AS cf_pct, round(ff_pct, 10) AS ff_pct, round(pythagorean, 10) AS pythagorean FROM pr")
 def _(t):
-    return T.prior_metrics(T.to_team_rows(t.games), F.month("game_date")).select("gameid", "team", "p_games", *r6("cf_pct", "ff_pct", "pythagorean"))
+    return T.prior_metrics(T.to_team_rows(t.games), F.month("game_date")).select("gameid", "team", "p_games", *[F.round(c, 10).alias(c) for c in ("cf_pct", "ff_pct", "pythagorean")])
 
 
 @query("analytical_matrix_j4", "WITH " + PRIOR + """ SELECT g.gameid, h.p_games AS n_home, a.p_games AS n_away, round(h.cf_pct - a.cf_pct, 6) AS delta_cf_pct,
@@ -90,13 +90,15 @@ def _(t):
 
 
 @query("implied_probabilities_j7", f"""WITH {RAW}, z AS (SELECT *, a + b AS s, ((a + b - 1) * ((a - b) * (a - b) - (a + b))) / ((a + b) * ((a - b) * (a - b) - 1)) AS z FROM raw)
-SELECT gameid, description, partner, updated, round(a / (a + b), 6) AS basic_home, round((sqrt(z * z + 4 * (1 - z) * a * a / s) - z) / (2 * (1 - z)), 6) AS shin_home, round((a + b) / a, 6) AS fair_home FROM z""")
+SELECT gameid, description, partner, updated, round(a / (a + b), 6) AS basic_home, round((sqrt(z * z + 4 * (1 - z) * a * a / s) - z) / (2 * (1 - z)), 6) AS shin_home, round((a + b) / a, 6) AS fair_home, 1.0::DOUBLE AS three_sum FROM z""")
 def _(t):
     lines = F.array(col("home_line"), col("away_line"))
     basic = O.implied_probabilities(lines, "american", "proportional")
-    o = t.odds.withColumns({"_b": basic, "_s": O.implied_probabilities(lines, "american", "shin")})
+    o = t.odds.withColumns({"_b": basic, "_s": O.implied_probabilities(lines, "american", "shin"),
+                            "_t": O.implied_probabilities(F.array(col("home_line"), col("away_line"), F.lit(900)), "american", "shin")})
     return o.select("gameid", "description", "partner", "updated", F.round(col("_b")[0], 6).alias("basic_home"),
-                    F.round(col("_s")[0], 6).alias("shin_home"), F.round(O.odds_from_probabilities(col("_b"))[0], 6).alias("fair_home"))
+                    F.round(col("_s")[0], 6).alias("shin_home"), F.round(O.odds_from_probabilities(col("_b"))[0], 6).alias("fair_home"),
+                    F.round(F.aggregate("_t", F.lit(0.0), lambda a, x: a + x), 6).alias("three_sum"))
 
 
 ELO_GAMES = "SELECT gameid, season, game_date, home, away, CAST(CASE WHEN home_goals > away_goals THEN 1 WHEN home_goals = away_goals THEN 0.5 ELSE 0 END AS DOUBLE) AS outcome, p_market"
