@@ -63,65 +63,58 @@ def _budget(a: Column, b: Column, slack: float, method: str) -> Column:
     return F.floor(total * slack + 1e-9).cast("int")
 
 
-def _longest(length: Column, slack: float, method: str) -> Column:
-    """Longest partner of a text of this length."""
+def _partner_lengths(length: Column, slack: float, method: str) -> tuple[Column, Column]:
+    """Shortest and longest partner of a text of this length."""
     factor = 1 / (1 - slack) if method == "edit" else (1 + slack) / (1 - slack)
-    return F.floor(length * factor + 1e-9).cast("int")
-
-
-def _pieces(length: Column, slack: float, method: str) -> Column:
-    return _budget(_longest(length, slack, method), length, slack, method) + 1
+    return F.greatest(F.lit(1), F.ceil(length / factor - 1e-9).cast("int")), F.floor(length * factor + 1e-9).cast("int")
 
 
 def _piece_start(i: Column, length: Column, n: Column) -> Column:
     """Start (1-based) of piece i of n; the last pieces take the remainder."""
-    base = F.floor(length / n).cast("int")
-    return i * base + F.greatest(F.lit(0), i - (n - length % n)) + 1
+    return i * F.floor(length / n).cast("int") + F.greatest(F.lit(0), i - (n - length % n)) + 1
 
 
 def _piece_length(i: Column, length: Column, n: Column) -> Column:
     return F.floor(length / n).cast("int") + F.when(i >= n - length % n, 1).otherwise(0)
 
 
+def _each(df: DataFrame, out: str, low: Column, high: Column) -> DataFrame:
+    """One row per whole number between low and high; none if the range is empty."""
+    return df.withColumn("_lo", low).withColumn("_hi", high).filter(F.col("_lo") <= F.col("_hi")).withColumn(
+        out, F.explode(F.sequence("_lo", "_hi"))
+    ).drop("_lo", "_hi")
+
+
 def similar_names(
     left: DataFrame, right: DataFrame, block: Sequence[str], *, threshold: int = LINK_THRESHOLD, method: str = "edit"
 ) -> DataFrame:
     """All pairs (block, name_l, name_r, score) of distinct names scoring above the threshold.
 
-    Inputs hold the block columns and `name` (already in token order).
+    Inputs hold the block columns and `name` (already in token order). With k the edits a
+    pair of lengths may have, the right name is cut into k+1 pieces. Some piece i is then
+    unchanged with i edits before it and at most k-i after, which bounds where the left
+    name can hold it.
     """
-    # scores are rounded to whole, so a pair may fall short of the threshold by half a point
+    # scores are rounded to whole, so a pair may fall short of the next whole by half a point
     slack = 1 - (threshold + 0.5) / 100.0
     cols = list(block)
     names = lambda df: df.select(*cols, "name").filter(F.length("name") > 0).distinct().withColumn("_n", F.length("name"))
-    n_pieces = _pieces(F.col("_n"), slack, method)
-    index = names(right).withColumn("_k", n_pieces).select(
-        *cols, F.col("name").alias("name_r"), F.col("_n").alias("_len"), F.posexplode(
-            F.transform(
-                F.sequence(F.lit(0), F.col("_k") - 1),
-                lambda i: F.substring(F.col("name"), _piece_start(i, F.col("_n"), F.col("_k")), _piece_length(i, F.col("_n"), F.col("_k"))),
-            )
-        ).alias("_piece", "_text"),
-    )
-    a = F.col("_n")
-    shortest = F.greatest(F.lit(1), F.ceil(a * ((1 - slack) if method == "edit" else (1 - slack) / (1 + slack)) - 1e-9).cast("int"))
+    n, k, i, m = F.col("_n"), F.col("_k"), F.col("_i"), F.col("_m")
 
-    def probes(length: Column) -> Column:
-        n, k = _pieces(length, slack, method), _budget(a, length, slack, method)
-
-        def at(i: Column) -> Column:
-            start, size = _piece_start(i, length, n), _piece_length(i, length, n)
-            low, high = F.greatest(F.lit(1), start - k), F.least(a - size + 1, start + k)
-            spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-            return F.transform(spots, lambda p: F.struct(length.alias("_len"), i.alias("_piece"), F.substring(F.col("name"), p, size).alias("_text")))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))
-
-    lengths = F.sequence(shortest, _longest(a, slack, method))
-    probe = names(left).select(*cols, F.col("name").alias("name_l"), F.explode(F.array_distinct(F.flatten(F.transform(lengths, probes)))).alias("_p")).select(
-        *cols, "name_l", "_p.*"
+    short, long = _partner_lengths(n, slack, method)
+    index = _each(names(right), "_k", _budget(short, n, slack, method), _budget(long, n, slack, method))
+    index = _each(index, "_i", F.lit(0), k).select(
+        *cols, F.col("name").alias("name_r"), n.alias("_m"), "_k", "_i",
+        F.substring(F.col("name"), _piece_start(i, n, k + 1), _piece_length(i, n, k + 1)).alias("_text"),
+    )
+    probe = _each(names(left), "_m", short, long).withColumn("_k", _budget(n, m, slack, method))
+    probe = _each(probe, "_i", F.lit(0), k)
+    start, size = _piece_start(i, m, k + 1), _piece_length(i, m, k + 1)
+    shift_low, shift_high = F.greatest(-i, n - m - (k - i)), F.least(i, n - m + (k - i))
+    probe = _each(probe, "_p", F.greatest(F.lit(1), start + shift_low), F.least(n - size + 1, start + shift_high)).select(
+        *cols, F.col("name").alias("name_l"), "_m", "_k", "_i", F.substring(F.col("name"), F.col("_p"), size).alias("_text")
     )
-    pairs = probe.join(index, [*cols, "_len", "_piece", "_text"]).select(*cols, "name_l", "name_r").distinct()
+    pairs = probe.join(index, [*cols, "_m", "_k", "_i", "_text"]).select(*cols, "name_l", "name_r").distinct()
     score = edit_score if method == "edit" else indel_score
     return pairs.withColumn("score", score(F.col("name_l"), F.col("name_r"))).filter(F.col("score") > threshold)
 
