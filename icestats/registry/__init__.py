@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("teams", "functions", "market", "evaluation", "sequence", "people", "model")
+AREAS = ("teams", "functions", "market", "evaluation", "sequence", "people", "model", "files")
 
 
 def load_all() -> None:
