@@ -118,7 +118,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_search(vectors: DataFrame, query: Column, top_k: int = 5, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact nearest vectors by cosine: one scan, every task keeps its best k."""
-    return vectors.withColumn("similarity", cosine(F.col(vector), query)).orderBy(F.desc("similarity"), key).limit(top_k)
+    found = vectors.withColumn("_q", query).withColumn("similarity", cosine(F.col(vector), F.col("_q")))
+    return found.drop("_q").orderBy(F.desc("similarity"), key).limit(top_k)
 
 
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, *, keyword: str | None, query: Column | None, top_k: int = 5) -> DataFrame:

@@ -114,9 +114,9 @@ def _(t):
     return X.vector_search(t.embeddings, q, 10).select("vec_id", *r6("similarity"))
 
 
-@query("hybrid_search_m6", f"WITH {CHUNKS} SELECT doc_id AS document, CAST(k AS INT) AS chunk_index FROM ch WHERE regexp_matches(lower(chunk_text), 'copyright') ORDER BY {' + '.join(f'''CAST(contains(lower(chunk_text), '{w}') AS INT)''' for w in X.EXPLANATORY)} DESC, doc_id, k LIMIT 7")
+@query("hybrid_search_m6", f"WITH {CHUNKS} SELECT doc_id AS document, CAST(k AS INT) AS chunk_index FROM ch WHERE regexp_matches(lower(chunk_text), 'licen') ORDER BY {' + '.join(f'''CAST(contains(lower(chunk_text), '{w}') AS INT)''' for w in X.EXPLANATORY)} DESC, doc_id, k LIMIT 7")
 def _(t):
-    return X.hybrid_search(chunks(t), t.embeddings, keyword="copyright", query=None, top_k=7).select("document", "chunk_index")
+    return X.hybrid_search(chunks(t), t.embeddings, keyword="LICEN", query=None, top_k=7).select("document", "chunk_index")
 
 
 @query("nearest_by_score_f4", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 12")
