@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from icestats.functions.scalars import at_most, bucket, recode
+from icestats.operators.rows import dense_rank_of
 from icestats.plans.slicing import exact_quantiles
 
 # Buckets of years since the draft and of the pick, games needed to count as
@@ -30,7 +31,7 @@ def career_attributes(career: DataFrame, draft: DataFrame, league: str = "NHL",
     """Regular-season career lines with years since the draft, year in the league and buckets."""
     rows = career.filter((F.col("league") == league) & (F.col("game_type") == game_type) & F.col("season").isNotNull())
     rows = rows.join(draft, "id").withColumn("years_since_draft", F.col("season") - F.col("draft_year"))
-    rows = rows.withColumn("league_year", F.dense_rank().over(W.partitionBy("id").orderBy("season")))
+    rows = dense_rank_of(rows, ["id"], "season", "league_year")
     return rows.filter(F.col("years_since_draft") >= 0).withColumns(
         {
             "since_bucket": at_most(F.col("years_since_draft"), YEAR_CUTS, YEAR_REST),

@@ -117,7 +117,8 @@ def gmm_efficiency(df: DataFrame, y: str, p: str, instruments: Sequence[str]) ->
 
 
 def rolling_gmm(
-    df: DataFrame, y: str, p: str, instruments: Sequence[str], *, date: str, order: Sequence[str], window: int = 50, chunk: int = 5000
+    df: DataFrame, y: str, p: str, instruments: Sequence[str], *, date: str, order: Sequence[str], window: int = 50, chunk: int = 5000,
+    fine: Column | None = None,
 ) -> DataFrame:
     """Two-step GMM over every run of `window` consecutive games.
 
@@ -126,7 +127,7 @@ def rolling_gmm(
     Singular windows are left out. `date` is the last date inside the window.
     """
     rows = df.dropna(subset=[y, p, *instruments])
-    ix = global_index(rows, date, order, "_i")
+    ix = global_index(rows, date, order, "_i", fine)
     w = F.lit(window)
     # window ending before row i covers i-window .. i-1; the chunk of i needs them all
     last = ix.agg(F.max("_i")).scalar()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icestats.functions import odds as O
+from icestats.plans.slicing import running_total
 
 
 def load_odds(odds: DataFrame, exclude_country: str = "CA") -> DataFrame:
@@ -171,7 +172,7 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
     )
 
 
-def line_game_numbers(rows: DataFrame) -> DataFrame:
+def line_game_numbers(rows: DataFrame, slice_by: Column | None = None) -> DataFrame:
     """Per-team game number within the season."""
-    w = W.partitionBy("season", "team").orderBy("start_time", "gameid")
-    return rows.withColumn("game_no", F.row_number().over(w))
+    out = running_total(rows, ("season", "team"), ("start_time", "gameid"), {"game_no": F.lit(1)}, slice_by=slice_by)
+    return out.withColumn("game_no", F.col("game_no").cast("int"))

@@ -276,7 +276,7 @@ def bootstrap_weights(df: DataFrame, replicates: int, *, game: str = "gameid", s
     """
     from icestats.plans.slicing import global_index
 
-    games = df.select(game).distinct().withColumn("_g", F.floor(F.col(game) / 100000))
+    games = df.select(game).distinct().withColumn("_g", F.pmod(F.xxhash64(game), F.lit(1024)))
     numbered = global_index(games, "_g", [game], "_i").select(game, "_i")
     n = numbered.count()
     draws = df.sparkSession.range(n * replicates).select(

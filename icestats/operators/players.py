@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from icestats.functions.clock import clock_seconds, seconds_text
 from icestats.functions.scalars import ratio, split_saves
-from icestats.plans.slicing import exact_quantiles
+from icestats.plans.slicing import exact_quantiles, ranked
 
 # Skater positions and the measures of the two indices
 SKATERS = ("C", "L", "R", "D")
@@ -186,4 +186,4 @@ def goalies_by_gaa(df: DataFrame, min_games: int = 10) -> DataFrame:
     """Goalies with enough games, ranked by goals against per game within the season."""
     g = df.filter((F.col("position") == "G")).groupBy("player_id", "season").agg(F.sum("games_played").alias("games"), F.sum("goals_against").alias("ga"))
     g = g.filter(F.col("games") >= min_games).withColumn("gaa", ratio(F.col("ga"), F.col("games")))
-    return g.withColumn("rank", F.row_number().over(W.partitionBy("season").orderBy("gaa", "player_id")))
+    return ranked(g, ["season"], "gaa", "player_id", "rank", descending=False)

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from icestats.plans.slicing import running_total
+
 
 def with_series(rows: DataFrame) -> DataFrame:
     """Series label of a game row: both teams in alphabetical order."""
     return rows.withColumn("series", F.concat_ws("-", F.least("team", "opponent"), F.greatest("team", "opponent")))
 
 
-def series_games(rows: DataFrame) -> DataFrame:
+def series_games(rows: DataFrame, slice_by: Column | None = None) -> DataFrame:
     """Game number within the series and the length of the series (two rows per game)."""
-    w = W.partitionBy("season", "series", "team").orderBy("game_date", "gameid")
     length = rows.groupBy("season", "series").agg((F.count(F.lit(1)) / 2).alias("series_length"))
-    return rows.withColumn("series_game", F.row_number().over(w)).join(length, ["season", "series"])
+    out = running_total(rows, ("season", "series", "team"), ("game_date", "gameid"), {"series_game": F.lit(1)}, slice_by=slice_by)
+    return out.withColumn("series_game", F.col("series_game").cast("int")).join(length, ["season", "series"])
 
 
 def rounds_reached(rows: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def elo_grid(games: DataFrame, *, league: Sequence[str], order: Sequence[str] =
 
 def market_elo_grid(games: DataFrame, *, burn_in: float = BURN_IN, slice_by: Column | None = None, **kw: str) -> DataFrame:
     """Brier score of every cell for the market variant: 72 averages in one aggregation."""
-    s = global_index(market_elo_sums(games, slice_by=slice_by, **kw), "game_date", ["gameid"], "_i")
+    s = global_index(market_elo_sums(games, slice_by=slice_by, **kw), "game_date", ["gameid"], "_i", F.floor(F.col("gameid") / 100_000))
     skip = games.agg(F.floor(F.count(F.lit(1)) * burn_in)).scalar()
     diff = F.col("s_home") - F.col("s_away")
     cells = [(k, h) for k in GRID_K for h in GRID_HFA]

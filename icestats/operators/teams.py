@@ -106,13 +106,13 @@ def running_metrics(paired: DataFrame, slice_by: Column | None = None, gamma: fl
 
 
 def trailing_expectation(metrics: DataFrame, games: int = 10) -> DataFrame:
-    """Expectation over the last `games` games; null until that many are complete."""
-    w = W.partitionBy(*TEAM_KEYS).orderBy(*TEAM_ORDER)
-    past = F.lag(F.struct("rgf", "rga"), games).over(w)
-    out = metrics.withColumn("_p", past)
-    return out.withColumn(
-        f"rpe_{games}", pythagorean(F.col("rgf") - F.col("_p.rgf"), F.col("rga") - F.col("_p.rga"))
-    ).drop("_p")
+    """Expectation over the last `games` games; null until that many are complete.
+
+    The totals `games` earlier are found by game number, so the join spreads evenly.
+    """
+    past = metrics.select("season", "team", (F.col("rgame") + games).alias("rgame"), F.col("rgf").alias("_f"), F.col("rga").alias("_a"))
+    out = metrics.join(past, ["season", "team", "rgame"], "left")
+    return out.withColumn(f"rpe_{games}", pythagorean(F.col("rgf") - F.col("_f"), F.col("rga") - F.col("_a"))).drop("_f", "_a")
 
 
 def attach_opponent_running(metrics: DataFrame) -> DataFrame:
@@ -246,27 +246,39 @@ def rpi_schedule(edges: DataFrame) -> DataFrame:
     )
 
 
-def streak_flags(paired: DataFrame, table: DataFrame) -> DataFrame:
+def streak_flags(paired: DataFrame, table: DataFrame, slice_by: Column | None = None) -> DataFrame:
     """Three wins in a row; of these, expected (two or more against teams of lower RPI)
-    and hot (one or more against the top quarter of opponents met)."""
+    and hot (one or more against the top quarter of opponents met).
+
+    The quarter is taken over game rows, so each team's RPI weighs by its meetings; the
+    weights are counted per opponent before the quantile.
+    """
     rpi = table.select("season", "team", "rpi")
-    rows = paired.select("season", "team", "opponent", "game_date", "gameid", "win").join(rpi, ["season", "team"]).join(
-        rpi.select("season", F.col("team").alias("opponent"), F.col("rpi").alias("rpi_against")), ["season", "opponent"]
+    against = rpi.select("season", F.col("team").alias("opponent"), F.col("rpi").alias("rpi_against"))
+    met = paired.groupBy("season", "opponent").agg(F.count(F.lit(1)).alias("n")).join(against, ["season", "opponent"])
+    cut = exact_quantiles(met, ["season"], "rpi_against", {"q75": 0.75}, weight="n")
+    rows = (
+        paired.select("season", "team", "opponent", "game_date", "gameid", "win")
+        .join(rpi.join(cut, "season"), ["season", "team"]).join(against, ["season", "opponent"])
     )
-    cut = exact_quantiles(rows, ["season"], "rpi_against", {"q75": 0.75})
-    w3 = W.partitionBy(*TEAM_KEYS).orderBy(*TEAM_ORDER).rowsBetween(-2, 0)
-    flags = rows.join(cut, "season").withColumns(
-        {
-            "win_hot": F.col("win") * (F.col("rpi_against") > F.col("q75")).cast("bigint"),
-            "win_expected": F.col("win") * (F.col("rpi_against") < F.col("rpi")).cast("bigint"),
-        }
-    ).withColumns({f"_{c}": F.sum(c).over(w3) for c in ("win", "win_hot", "win_expected")})
-    run = F.col("_win") == 3
-    return flags.select(
+    marks = rows.select(
+        "season", "team", "gameid", "game_date", "win",
+        (F.col("win") * (F.col("rpi_against") > F.col("q75")).cast("bigint")).alias("hot"),
+        (F.col("win") * (F.col("rpi_against") < F.col("rpi")).cast("bigint")).alias("expected"),
+    )
+    # the last three games as differences of running sums
+    run = running_total(
+        marks, TEAM_KEYS, TEAM_ORDER, {"_g": F.lit(1), **{f"_{c}": c for c in ("win", "hot", "expected")}}, slice_by=slice_by
+    )
+    past = run.select("season", "team", (F.col("_g") + 3).alias("_g"), *[F.col(f"_{c}").alias(f"_p_{c}") for c in ("win", "hot", "expected")])
+    out = run.join(past, ["season", "team", "_g"], "left")
+    last3 = lambda c: F.col(f"_{c}") - F.coalesce(F.col(f"_p_{c}"), F.lit(0))
+    streak = last3("win") == 3
+    return out.select(
         "season", "team", "gameid", "game_date",
-        run.cast("bigint").alias("win_streak"),
-        (run & (F.col("_win_expected") >= 2)).cast("bigint").alias("win_streak_expected"),
-        (run & (F.col("_win_hot") >= 1)).cast("bigint").alias("hot_streak"),
+        streak.cast("bigint").alias("win_streak"),
+        (streak & (last3("expected") >= 2)).cast("bigint").alias("win_streak_expected"),
+        (streak & (last3("hot") >= 1)).cast("bigint").alias("hot_streak"),
     )
 
 
@@ -294,7 +306,7 @@ def team_season(games: DataFrame, slice_by: Column | None = None) -> DataFrame:
     table = materialise(
         totals.join(rpi, ["season", "team"]).join(pairwise_wins(common, edges), ["season", "team"]), "teams"
     )
-    streaks = streak_summary(streak_flags(metrics, table)).drop("hot_share", "hot_label")
+    streaks = streak_summary(streak_flags(metrics, table, slice_by)).drop("hot_share", "hot_label")
     table = table.withColumn("fitted_wins", fitted_wins(F.col("rpe"))).withColumn(
         "final_position", F.try_divide((F.row_number().over(w) - 1).cast("double"), (n - 1).cast("double"))
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icestats.functions.geo import ellipsoidal, great_circle, point_lon_lat, travel_hours
-from icestats.plans.slicing import exact_quantiles, running_total
+from icestats.plans.slicing import carry_last, exact_quantiles, running_total
 
 
 def arena_points(arenas: DataFrame) -> DataFrame:
@@ -40,14 +40,18 @@ def mean_distance(distances: DataFrame) -> DataFrame:
 def road_trips(rows: DataFrame, distance: str = "distance", slice_by=None) -> DataFrame:
     """Position within the current run of away games and the distance so far in it.
 
-    A home game starts a new island; it has position 0 and no distance.
+    Both are running totals less their value at the last home game, so neither a long
+    trip nor a team with very many games ends in one task. A home game has 0 of both.
     """
     keys, order = ("season", "team"), ("game_date", "gameid")
-    home = F.when(F.col("side") == "home", 1).otherwise(0)
-    away_d = F.when(F.col("side") == "away", F.coalesce(F.col(distance), F.lit(0.0))).otherwise(0.0)
-    out = running_total(rows, keys, order, {"_island": home}, slice_by=slice_by)
-    w = W.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumns({"trip_game": F.sum(F.when(F.col("side") == "away", 1).otherwise(0)).over(w), "trip_distance": F.sum(away_d).over(w)}).drop("_island")
+    away = F.col("side") == "away"
+    sums = {"_n": F.when(away, 1).otherwise(0), "_d": F.when(away, F.coalesce(F.col(distance), F.lit(0.0))).otherwise(0.0)}
+    out = running_total(rows, keys, order, sums, slice_by=slice_by)
+    at_home = {f"{c}_home": F.when(~away, F.col(c)) for c in sums}
+    out = carry_last(out, keys, order, at_home, slice_by=slice_by)
+    return out.withColumns(
+        {"trip_game": F.col("_n") - F.coalesce("_n_home", F.lit(0)), "trip_distance": F.col("_d") - F.coalesce("_d_home", F.lit(0.0))}
+    ).drop("_n", "_d", "_n_home", "_d_home")
 
 
 def equal_count_bucket(df: DataFrame, value: str, n: int, out: str, keys: Sequence[str] = ()) -> DataFrame:

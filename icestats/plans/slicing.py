@@ -156,24 +156,46 @@ def range_frame(
     return out.filter(F.col("_own") == F.col("_slice")).drop("_own", "_slice")
 
 
-def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str) -> DataFrame:
+def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fine: Column | None = None) -> DataFrame:
     """Consecutive row numbers (from 0) over the whole table without one global sort.
 
-    `coarse` is a column of few distinct values that leads the order (a date).
-    Rows are counted per coarse value; only these counts meet in one window, and
-    a calendar bounds their number.
+    `coarse` is a column of few distinct values that leads the order (a date); `fine`
+    cuts a coarse value further, increasing with the order, where one date may hold very
+    many rows. Rows are counted per piece; only the counts per coarse value meet in one
+    window, and a calendar bounds their number.
     """
-    counts = df.groupBy(coarse).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.withColumn("_fine", fine if fine is not None else F.lit(0))
+    counts = rows.groupBy(coarse, "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    inside = W.partitionBy(coarse).orderBy("_fine").rowsBetween(BEFORE, -1)
+    days = counts.groupBy(coarse).agg(F.sum("_n").alias("_t"))
     w = W.orderBy(coarse).rowsBetween(BEFORE, -1)
-    offsets = counts.select(F.col(coarse).alias("_c"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    inner = W.partitionBy(coarse).orderBy(*_order(order))
+    days = days.select(F.col(coarse).alias("_d"), F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
+    pieces = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(days, F.col(coarse).eqNullSafe(F.col("_d")))
+    pieces = pieces.select(F.col(coarse).alias("_c"), F.col("_fine").alias("_f"), (F.col("_in") + F.col("_off")).alias("_start"))
+    inner = W.partitionBy(coarse, "_fine").orderBy(*_order(order))
     return (
-        df.join(offsets, F.col(coarse).eqNullSafe(F.col("_c")))
-        .withColumn(out, F.col("_off") + F.row_number().over(inner) - 1)
-        .drop("_c", "_off")
+        rows.join(pieces, F.col(coarse).eqNullSafe(F.col("_c")) & F.col("_fine").eqNullSafe(F.col("_f")))
+        .withColumn(out, F.col("_start") + F.row_number().over(inner) - 1)
+        .drop("_c", "_f", "_start", "_fine")
     )
 
 
+def value_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int) -> DataFrame:
+    """Add `_share_slice`: the block of the key's value range a row falls into."""
+    spans = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    share = F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    wide = df.alias("h").join(spans.alias("s"), on).select("h.*", "_lo", "_hi")
+    return wide.withColumn("_share_slice", F.floor(F.coalesce(share, F.lit(0.0)) * slices)).drop("_lo", "_hi")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, *, descending: bool = True, slices: int = 256) -> DataFrame:
+    """Row number within the key by value (then `tie`), a key's rows spread over value blocks."""
+    rows = value_slices(df.withColumn("_by", -F.col(value) if descending else F.col(value)), keys, "_by", slices)
+    run = running_total(rows, keys, ["_by", tie], {out: F.lit(1)}, slice_by=F.col("_share_slice"))
+    return run.withColumn(out, F.col(out).cast("int")).drop("_by", "_share_slice")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -181,24 +203,23 @@ def exact_quantiles(
     probs: Mapping[str, float],
     *,
     slices: int = 512,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles `{out: p}` per key, exact and without big groups.
 
     Values are counted first; the cumulative counts run over value blocks, so no
-    task sees all values of a key and nothing is held in an aggregation buffer.
+    task sees all values of a key and nothing is held in an aggregation buffer. `weight`
+    names a column of repeat counts.
     """
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
     hist = keyed.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
     )
-    spans = hist.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    total = hist.groupBy(*by).agg(F.sum("_n").alias("_total"))
     on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by])
-    wide = hist.alias("h").join(spans.alias("s"), on).select("h.*", "_lo", "_hi", "_total")
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    cum = running_total(
-        wide, by, ["_v"], {"_cum": "_n"}, slice_by=F.floor(F.coalesce(share, F.lit(0.0)) * slices)
-    )
+    wide = value_slices(hist, by, "_v", slices).alias("h").join(total.alias("s"), on).select("h.*", "_total")
+    cum = running_total(wide, by, ["_v"], {"_cum": "_n"}, slice_by=F.col("_share_slice"))
     aggs = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

@@ -46,13 +46,13 @@ def _(t):
 
 @query("rolling_gmm_j18")
 def _(t):
-    g = E.rolling_gmm(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"], date="game_date", order=["gameid"])
+    g = E.rolling_gmm(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"], date="game_date", order=["gameid"], fine=F.floor(col("gameid") / 100_000))
     return g.select("i", "last_date", *r6("alpha", "beta", "beta_se"))
 
 
 @query("efficiency_score_j19")
 def _(t):
-    g = E.rolling_gmm(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"], date="game_date", order=["gameid"])
+    g = E.rolling_gmm(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"], date="game_date", order=["gameid"], fine=F.floor(col("gameid") / 100_000))
     return g.select("i", F.round(E.efficiency_score(col("alpha"), col("beta")), 6).alias("score"))
 
 

@@ -193,3 +193,32 @@ def _(t):
 @query("hashed_key_b34", "SELECT doc_id, md5(concat(lang, '_', source, '_', CAST(doc_id AS VARCHAR))) AS key, md5(text) AS text_key FROM documents")
 def _(t):
     return t.documents.select("doc_id", S.hashed_key(col("lang"), col("source"), col("doc_id")).alias("key"), F.md5("text").alias("text_key"))
+
+
+@query("clock_continuous_b2", """SELECT player_id, gameid, game_date, round((l - 1) * 20 + CAST(split_part(toi, ':', 1) AS DOUBLE) + CAST(split_part(toi, ':', 2) AS DOUBLE) / 60, 6) AS m
+FROM (SELECT *, 1 + gameid % 3 AS l FROM player_game)""")
+def _(t):
+    p = t.player_game.withColumn("period", 1 + col("gameid") % 3)
+    return p.select("player_id", "gameid", "game_date", r(K.elapsed_minutes(col("period"), col("toi"))).alias("m"))
+
+
+@query("game_keys_b11", "SELECT gameid, concat(away, '_', home, '_', CAST(game_date AS VARCHAR)) AS game_key FROM games")
+def _(t):
+    return t.games.select("gameid", S.game_key(col("away"), col("home"), col("game_date")).alias("game_key"))
+
+
+@query("ratio_with_fallback_b18", "SELECT season, team, round(CASE WHEN sum(goals) FILTER (WHERE side = 'away') = 0 THEN 0.5 ELSE CAST(sum(goals) FILTER (WHERE side = 'home') AS DOUBLE) / CAST(sum(goals) FILTER (WHERE side = 'away') AS DOUBLE) END, 6) AS ratio FROM box GROUP BY season, team")
+def _(t):
+    g = t.box.groupBy("season", "team").agg(*[F.sum(F.when(col("side") == s, col("goals"))).alias(s) for s in ("home", "away")])
+    return g.select("season", "team", r(S.ratio(col("home"), col("away"), 0.5)).alias("ratio"))
+
+
+@query("american_probability_b20", "SELECT gameid, partner, updated, round(CASE WHEN away_line > 0 THEN 100.0 / (away_line + 100) ELSE -away_line / (100.0 - away_line) END, 6) AS p FROM odds")
+def _(t):
+    return t.odds.select("gameid", "partner", "updated", r(O.american_to_probability(col("away_line"))).alias("p"))
+
+
+@query("focal_alignment_b33", "SELECT gameid, CASE WHEN home = 'T07' THEN home_shots - away_shots ELSE away_shots - home_shots END AS delta FROM games WHERE home = 'T07' OR away = 'T07'")
+def _(t):
+    g = t.games.filter((col("home") == "T07") | (col("away") == "T07"))
+    return g.select("gameid", S.focal_value(col("home_shots") - col("away_shots"), col("home"), F.lit("T07")).alias("delta"))

@@ -215,7 +215,7 @@ def _(t):
 @query("line_game_numbers_e29", "SELECT gameid, venue, team, CAST(row_number() OVER (PARTITION BY season, team ORDER BY start_time, gameid) AS INT) AS game_no FROM (SELECT gameid, season, start_time, home AS team, 'home' AS venue FROM games UNION ALL SELECT gameid, season, start_time, away, 'away' FROM games)")
 def _(t):
     s = M.sides_long(t.games, {"team": ("home", "away")}, ["gameid", "season", "start_time"])
-    return M.line_game_numbers(s).select("gameid", "venue", "team", "game_no")
+    return M.line_game_numbers(s, F.month("start_time")).select("gameid", "venue", "team", "game_no")
 
 
 @query("row_pairs_a22", "SELECT season, gameid AS key, CAST(away AS VARCHAR) AS team_away, home AS team_home, away_goals AS goals_away, home_goals AS goals_home FROM games")
@@ -230,3 +230,11 @@ def _(t):
 def _(t):
     g = t.games.select("gameid", "game_date", "home", "away", "home_goals", "away_goals")
     return g.join(g.withColumnRenamed("gameid", "other"), ["game_date", "home", "away", "home_goals", "away_goals"]).select("gameid", "other")
+
+
+@query("panel_join_c7", "WITH " + PRIOR + """ SELECT g.gameid, h.p_games AS n_home, round(h.pythagorean, 10) AS home_pythagorean, round(a.pythagorean, 10) AS away_pythagorean
+FROM games g LEFT JOIN pr h ON h.gameid = g.gameid AND h.team = g.home LEFT JOIN pr a ON a.gameid = g.gameid AND a.team = g.away""")
+def _(t):
+    p = T.prior_metrics(T.to_team_rows(t.games), F.month("game_date"))
+    m = M.analytical_matrix(M.load_outcomes(t.games), p)
+    return m.select("gameid", "n_home", *[F.round(c, 10).alias(c) for c in ("home_pythagorean", "away_pythagorean")])

@@ -278,7 +278,9 @@ def _(t):
 
 @query("first_rank_e19", f"WITH {TOP} SELECT player_id, season, rank FROM tp")
 def _(t):
-    return tops(t, 10**9).select("player_id", "season", "rank")
+    from icestats.plans.slicing import ranked
+    s = P.season_rollup(t.player_season).select("player_id", "season", "points")
+    return ranked(s, ["season"], "points", "player_id", "rank").select("player_id", "season", "rank")
 
 
 @query("one_season_tops_f7", f"WITH {TOP} SELECT player_id FROM tp WHERE rank <= 10 GROUP BY player_id HAVING count(DISTINCT season) = 1")
@@ -414,7 +416,7 @@ def series(t):
 
 @query("series_games_e20", f"WITH {SER} SELECT gameid, team, series, CAST(row_number() OVER (PARTITION BY season, series, team ORDER BY game_date, gameid) AS INT) AS series_game, count(*) OVER (PARTITION BY season, series) / 2.0::DOUBLE AS series_length FROM se")
 def _(t):
-    return Y.series_games(series(t)).select("gameid", "team", "series", "series_game", "series_length")
+    return Y.series_games(series(t), F.month("game_date")).select("gameid", "team", "series", "series_game", "series_length")
 
 
 @query("rounds_reached_e21", f"WITH {SER} SELECT season, team, count(DISTINCT series) AS rounds FROM se GROUP BY season, team")
@@ -535,3 +537,21 @@ def _(t):
     m = T.season_totals(T.running_metrics(T.shot_levels(p), F.month("game_date"))).select("season", "team", "wp")
     j = p.join(m.withColumnRenamed("wp", "wp_own"), ["season", "team"]).join(m.select("season", col("team").alias("opponent"), col("wp").alias("wp_opp")), ["season", "opponent"])
     return j.select("gameid", "team", *r6("wp_own", "wp_opp"))
+
+
+@query("travel_hours_b31", f"WITH {DIST} SELECT home, away, round(hv / 1000 / 800, 6) AS hours FROM di")
+def _(t):
+    return V.distance_table(t.games, t.arena).select("home", "away", *r6("hours"))
+
+
+@query("name_join_c18", """SELECT d.id, c.points AS points_stats FROM draft d JOIN (SELECT y.first_name, y.last_name, x.points FROM career x JOIN draft y ON y.id = x.id WHERE season = 1999 AND x.league = 'AHL') c
+ON c.first_name = d.first_name AND c.last_name = d.last_name""")
+def _(t):
+    pts = t.career.filter((col("season") == 1999) & (col("league") == "AHL")).join(t.draft.select("id", "first_name", "last_name"), "id")
+    return D.draft_with_points(t.draft, pts.select("first_name", "last_name", "points")).select("id", "points_stats")
+
+
+@query("union_of_sides_g1", "SELECT gameid, home AS team FROM games UNION ALL SELECT gameid, away FROM games")
+def _(t):
+    side = lambda c: t.games.select("gameid", col(c).alias("team"))
+    return side("home").unionByName(side("away"))

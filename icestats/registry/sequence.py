@@ -232,3 +232,15 @@ WINDOW v AS (PARTITION BY gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING
 def _(t):
     m = Q.master_table(t.plays, None, "HOM", slice_by=BLOCK, slice_width=WIDTH, window=DAY)
     return m.select("event_id", "score_state", *r6("zone_share"), "dt", "hit_for_O")
+
+
+@query("posture_counts_b27", f"WITH {POST} SELECT posture, zone, count(*) AS n FROM po GROUP BY posture, zone")
+def _(t):
+    return after_block(t).groupBy("posture", "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bootstrap_goal_shares_i14")
+def _(t):
+    from icestats.operators.stats import bootstrap_shares
+    s = Q.sessions(t.plays, "HOM", slice_by=BLOCK)
+    return bootstrap_shares(s.withColumn("goal_sign", F.signum("goal")), ["won_home"], "goal_sign", replicates=2000)
