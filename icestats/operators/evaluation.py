@@ -142,22 +142,50 @@ def rolling_gmm(
         c, end = int(pdf["_c"].iloc[0]), int(pdf["_last"].iloc[0])
         z = np.column_stack([np.ones(len(pdf)), pdf["_p"], pdf["_p"] ** 2, *[pdf[k] for k in zs]]).astype(float)
         yv, x = pdf["_y"].to_numpy(float), z[:, :2]
-        out = []
-        view = np.lib.stride_tricks.sliding_window_view
         starts = np.arange(max(0, len(pdf) - window + 1))
         target = i[starts + window - 1] + 1 if len(starts) else np.array([], int)
         starts = starts[(target // chunk == c) & (target <= end)]
-        for s in starts:
-            zw, xw, yw = z[s : s + window], x[s : s + window], yv[s : s + window]
+        names = ["i", "last_date", "alpha", "beta", "beta_se"]
+        if not len(starts):
+            return pd.DataFrame({n: [] for n in names})
+        view = np.lib.stride_tricks.sliding_window_view
+
+        def fit(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """All windows starting at `at` together, as stacked small matrices."""
+            zw = view(z, window, axis=0)[at]  # windows × instruments × rows
+            yw = view(yv, window)[at][..., None]
+            zz, zy = zw @ zw.transpose(0, 2, 1), zw @ yw
+            zx = zz[:, :, :2]
+
+            def gmm(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                cov = np.linalg.inv(zx.transpose(0, 2, 1) @ w @ zx)
+                return cov @ (zx.transpose(0, 2, 1) @ w @ zy), cov
+
+            first, _ = gmm(np.linalg.inv(zz))
+            e = yw[..., 0] - first[:, :1, 0] - first[:, 1:, 0] * zw[:, 1, :]
+            return gmm(np.linalg.inv((zw * (e * e)[:, None, :]) @ zw.transpose(0, 2, 1)))
+
+        theta, cov, kept = [], [], []
+        for lo in range(0, len(starts), 512):
+            part = starts[lo : lo + 512]
             try:
-                zx, zy = zw.T @ xw, zw.T @ yw
-                t1, _ = _two_step(zx, zy, np.linalg.inv(zw.T @ zw))
-                e = yw - xw @ t1
-                t2, cov = _two_step(zx, zy, np.linalg.inv((zw * (e**2)[:, None]).T @ zw))
+                groups = [(part, fit(part))]
             except np.linalg.LinAlgError:
-                continue
-            out.append((int(i[s + window - 1] + 1), pdf["last_date"].iloc[s + window - 1], t2[0], t2[1], np.sqrt(cov[1, 1]) if cov[1, 1] > 0 else np.nan))
-        return pd.DataFrame(out, columns=["i", "last_date", "alpha", "beta", "beta_se"])
+                groups = []
+                for one in part:
+                    try:
+                        groups.append((np.array([one]), fit(np.array([one]))))
+                    except np.linalg.LinAlgError:
+                        continue
+            for at, (t, v) in groups:
+                kept.append(at), theta.append(t[..., 0]), cov.append(v[:, 1, 1])
+        if not kept:
+            return pd.DataFrame({n: [] for n in names})
+        at, t, v = np.concatenate(kept) + window - 1, np.concatenate(theta), np.concatenate(cov)
+        return pd.DataFrame({
+            "i": i[at] + 1, "last_date": pdf["last_date"].to_numpy()[at], "alpha": t[:, 0], "beta": t[:, 1],
+            "beta_se": np.sqrt(np.where(v > 0, v, np.nan)),
+        })
 
     return span.groupBy("_c").applyInPandas(solve, f"i long, last_date {date_type}, alpha double, beta double, beta_se double")
 

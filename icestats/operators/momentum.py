@@ -202,53 +202,73 @@ def rts_smoother(filtered: DataFrame, params: MomentumParams, *, game: str = "ga
     return src.mapInPandas(run, schema)
 
 
-def likelihood(prepared: DataFrame, thetas: np.ndarray, *, game: str = "gameid", weights: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def likelihood(prepared: DataFrame, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Σ NLL and Σ gradient for several parameter vectors in one job.
 
-    `prepared` comes from `prepare`. `weights` names an array column with one weight per
-    vector (bootstrap counts of the game). Tasks return one row per vector.
+    `prepared` comes from `prepare`. A task adds up its packed batches and returns one
+    short row per vector; the driver only sums these rows.
     """
-    forward, segments = _forward, _segments
+    forward = _forward
     n_rep, n_par = thetas.shape
+    nu, nz = len(INPUTS), len(COVARIATES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n_rep, 1 + n_par))
         last, held = None, None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            games, starts, lens = segments(pdf, game)
-            n = len(games)
-            u, y, z = pdf[list(INPUTS)].to_numpy(float), pdf["y"].to_numpy(float), pdf[list(COVARIATES)].to_numpy(float)
-            dt = pdf["dt"].to_numpy(float)
-            w = np.stack(pdf[weights].to_numpy()[starts]) if weights else np.ones((n, n_rep))
-            keep = []
-            for k in range(n_rep):
-                x, p, seen = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-                dx, dp = np.zeros((n, n_par)), np.zeros((n, n_par))
-                if last is not None and games[0] == last:
-                    x[0], p[0], dx[0], dp[0] = held[k]
-                    seen[0] = True
-                _, nll, g, end = forward(thetas[k], u, y, z, dt, starts, lens, (x, p, dx, dp, seen), True)
-                total[k, 0] += w[:, k] @ nll
-                total[k, 1:] += w[:, k] @ g
-                keep.append((end[0][-1], end[1][-1], end[2][-1].copy(), end[3][-1].copy()))
-            last, held = games[-1], keep
+            for row in pdf.itertuples(index=False):
+                data = np.frombuffer(row.data).reshape(row.n, -1)
+                games, starts, lens = row.games, np.frombuffer(row.starts, "i8"), np.frombuffer(row.lens, "i8")
+                y, dt, u, z = data[:, 0], data[:, 1], data[:, 2 : 2 + nu], data[:, 2 + nu : 2 + nu + nz]
+                w = data[starts, 2 + nu + nz :] if data.shape[1] > 2 + nu + nz else np.ones((len(starts), n_rep))
+                n, keep = len(starts), []
+                for k in range(n_rep):
+                    x, p, seen = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+                    dx, dp = np.zeros((n, n_par)), np.zeros((n, n_par))
+                    if last is not None and games[0] == last:
+                        x[0], p[0], dx[0], dp[0] = held[k]
+                        seen[0] = True
+                    _, nll, g, end = forward(thetas[k], u, y, z, dt, starts, lens, (x, p, dx, dp, seen), True)
+                    total[k, 0] += w[:, k] @ nll
+                    total[k, 1:] += w[:, k] @ g
+                    keep.append((end[0][-1], end[1][-1], end[2][-1].copy(), end[3][-1].copy()))
+                last, held = games[-1], keep
         yield pd.DataFrame({"k": np.arange(n_rep, dtype="int32"), "v": list(total)})
 
-    parts = prepared.mapInPandas(run, "k int, v array<double>")
-    got = parts.groupBy("k").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(1 + n_par)]).toPandas()
-    arr = got.set_index("k").reindex(range(n_rep)).fillna(0.0).to_numpy()
+    got = prepared.mapInPandas(run, "k int, v array<double>").toPandas()
+    arr = np.zeros((n_rep, 1 + n_par))
+    np.add.at(arr, got["k"].to_numpy(), np.stack(got["v"].to_numpy()))
     return arr[:, 0], arr[:, 1:]
 
 
 def prepare(df: DataFrame, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), weights: str | None = None) -> DataFrame:
-    """Shuffle and sort once; every likelihood evaluation then reads the kept partitions."""
+    """Shuffle and sort once and keep every Arrow batch as packed numbers.
+
+    A batch has a bounded number of rows; a long game runs over several. Each epoch then
+    reads plain buffers instead of converting columns. `weights` names an array column
+    with one weight per parameter vector (bootstrap counts of the game).
+    """
     extra = [game, *order] + ([weights] if weights else [])
-    return _by_game(_columns(df, extra), game, [F.col(c) for c in order]).persist()
+    src = _by_game(_columns(df, extra), game, [F.col(c) for c in order])
+    segments, columns = _segments, ["y", "dt", *INPUTS, *COVARIATES]
+    game_type = src.schema[game].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                games, starts, lens = segments(pdf, game)
+                data = pdf[columns].to_numpy(float)
+                if weights:
+                    data = np.column_stack([data, np.stack(pdf[weights].to_numpy())])
+                yield pd.DataFrame({
+                    "n": [len(pdf)], "games": [list(games)], "starts": [starts.astype("i8").tobytes()],
+                    "lens": [lens.astype("i8").tobytes()], "data": [np.ascontiguousarray(data).tobytes()],
+                })
+
+    return src.mapInPandas(run, f"n int, games array<{game_type}>, starts binary, lens binary, data binary").persist()
 
 
-def fit(prepared: DataFrame, start: np.ndarray, *, epochs: int = 100, rate: float = 0.05, weights: str | None = None, game: str = "gameid") -> tuple[np.ndarray, np.ndarray]:
+def fit(prepared: DataFrame, start: np.ndarray, *, epochs: int = 100, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Minimise the summed NLL of each starting vector (Adam); one Spark job per epoch.
 
     Returns the best vectors and the NLL path (epochs × vectors).
@@ -257,7 +277,7 @@ def fit(prepared: DataFrame, start: np.ndarray, *, epochs: int = 100, rate: floa
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     best, low, path = theta.copy(), np.full(len(theta), np.inf), []
     for t in range(1, epochs + 1):
-        nll, g = likelihood(prepared, theta, game=game, weights=weights)
+        nll, g = likelihood(prepared, theta)
         path.append(nll)
         better = nll < low
         best[better], low[better] = theta[better], nll[better]
@@ -290,7 +310,7 @@ def bootstrap_weights(df: DataFrame, replicates: int, *, game: str = "gameid", s
 def bootstrap_effects(df: DataFrame, start: np.ndarray, *, replicates: int = 20, epochs: int = 40, rate: float = 0.05) -> np.ndarray:
     """Input effects of every bootstrap replicate; all replicates share each Spark job."""
     ready = prepare(bootstrap_weights(df, replicates), weights="weights")
-    best, _ = fit(ready, np.repeat(np.atleast_2d(start), replicates, axis=0), epochs=epochs, rate=rate, weights="weights")
+    best, _ = fit(ready, np.repeat(np.atleast_2d(start), replicates, axis=0), epochs=epochs, rate=rate)
     ready.unpersist()
     return best[:, 1 : 1 + len(INPUTS)]
 
@@ -318,5 +338,7 @@ def team_summary(smoothed: DataFrame, plays: DataFrame, team: str) -> DataFrame:
 def goal_model(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Probability of a goal soon from momentum and game state."""
     data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows.withColumn("label", F.col(label).cast("double")))
-    model = LogisticRegression(regParam=0.0, maxIter=50).fit(data)
+    kept = data.select("features", "label").persist()
+    model = LogisticRegression(regParam=0.0, maxIter=50).fit(kept)
+    kept.unpersist()
     return model.transform(data).withColumn("p_goal", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "label")

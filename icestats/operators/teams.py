@@ -246,39 +246,39 @@ def rpi_schedule(edges: DataFrame) -> DataFrame:
     )
 
 
-def streak_flags(paired: DataFrame, table: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def streak_flags(paired: DataFrame, table: DataFrame) -> DataFrame:
     """Three wins in a row; of these, expected (two or more against teams of lower RPI)
     and hot (one or more against the top quarter of opponents met).
 
     The quarter is taken over game rows, so each team's RPI weighs by its meetings; the
-    weights are counted per opponent before the quantile.
+    weights are counted per opponent before the quantile. Rows carry the game number `rgame`.
     """
     rpi = table.select("season", "team", "rpi")
     against = rpi.select("season", F.col("team").alias("opponent"), F.col("rpi").alias("rpi_against"))
     met = paired.groupBy("season", "opponent").agg(F.count(F.lit(1)).alias("n")).join(against, ["season", "opponent"])
     cut = exact_quantiles(met, ["season"], "rpi_against", {"q75": 0.75}, weight="n")
     rows = (
-        paired.select("season", "team", "opponent", "game_date", "gameid", "win")
+        paired.select("season", "team", "opponent", "game_date", "gameid", "rgame", "win")
         .join(rpi.join(cut, "season"), ["season", "team"]).join(against, ["season", "opponent"])
     )
     marks = rows.select(
-        "season", "team", "gameid", "game_date", "win",
+        "season", "team", "gameid", "game_date", "rgame", "win",
         (F.col("win") * (F.col("rpi_against") > F.col("q75")).cast("bigint")).alias("hot"),
         (F.col("win") * (F.col("rpi_against") < F.col("rpi")).cast("bigint")).alias("expected"),
     )
-    # the last three games as differences of running sums
-    run = running_total(
-        marks, TEAM_KEYS, TEAM_ORDER, {"_g": F.lit(1), **{f"_{c}": c for c in ("win", "hot", "expected")}}, slice_by=slice_by
+    # each game counts for itself and the next two: one aggregation by game number, no window
+    spread = marks.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    own = F.col("_to") == 0
+    g = spread.groupBy("season", "team", (F.col("rgame") + F.col("_to")).alias("_g")).agg(
+        F.max(F.when(own, F.col("gameid"))).alias("gameid"), F.max(F.when(own, F.col("game_date"))).alias("game_date"),
+        *[F.sum(c).alias(c) for c in ("win", "hot", "expected")],
     )
-    past = run.select("season", "team", (F.col("_g") + 3).alias("_g"), *[F.col(f"_{c}").alias(f"_p_{c}") for c in ("win", "hot", "expected")])
-    out = run.join(past, ["season", "team", "_g"], "left")
-    last3 = lambda c: F.col(f"_{c}") - F.coalesce(F.col(f"_p_{c}"), F.lit(0))
-    streak = last3("win") == 3
-    return out.select(
+    streak = F.col("win") == 3
+    return g.filter(F.col("gameid").isNotNull()).select(
         "season", "team", "gameid", "game_date",
         streak.cast("bigint").alias("win_streak"),
-        (streak & (last3("expected") >= 2)).cast("bigint").alias("win_streak_expected"),
-        (streak & (last3("hot") >= 1)).cast("bigint").alias("hot_streak"),
+        (streak & (F.col("expected") >= 2)).cast("bigint").alias("win_streak_expected"),
+        (streak & (F.col("hot") >= 1)).cast("bigint").alias("hot_streak"),
     )
 
 
@@ -296,7 +296,8 @@ def team_season(games: DataFrame, slice_by: Column | None = None) -> DataFrame:
     The game-level metrics feed six branches, so they are written once to the shared
     folder and read back; so is the small per-team table that three branches use.
     """
-    metrics = materialise(attach_opponent_running(running_metrics(shot_levels(to_team_rows(games)), slice_by)), "metrics")
+    rows = materialise(shot_levels(to_team_rows(games)), "rows")
+    metrics = materialise(attach_opponent_running(running_metrics(rows, slice_by)), "metrics")
     totals = season_totals(metrics)
     edges = materialise(head_to_head(metrics), "edges")
     common = common_opponents(edges)
@@ -306,7 +307,7 @@ def team_season(games: DataFrame, slice_by: Column | None = None) -> DataFrame:
     table = materialise(
         totals.join(rpi, ["season", "team"]).join(pairwise_wins(common, edges), ["season", "team"]), "teams"
     )
-    streaks = streak_summary(streak_flags(metrics, table, slice_by)).drop("hot_share", "hot_label")
+    streaks = streak_summary(streak_flags(metrics, table)).drop("hot_share", "hot_label")
     table = table.withColumn("fitted_wins", fitted_wins(F.col("rpe"))).withColumn(
         "final_position", F.try_divide((F.row_number().over(w) - 1).cast("double"), (n - 1).cast("double"))
     )

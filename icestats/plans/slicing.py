@@ -3,9 +3,10 @@
 A plain window sends every row of a partition key to one task. When a single
 key can hold a large part of the data, pass `slice_by`: a column that cuts the
 key's rows into consecutive pieces, increasing with the order (a date bucket, a
-block of seconds). Each piece is then a window partition of its own; what a row
-needs from earlier pieces comes from one small row per piece. The results are the
-same as those of the plain window.
+block of seconds). Each piece is then a window partition of its own. What a piece
+needs from earlier ones is computed from one small row per piece and enters the
+window as a header row in front of the piece, so the data is shuffled once and not
+joined. The results are those of the plain window.
 """
 
 from __future__ import annotations
@@ -19,19 +20,17 @@ from pyspark.sql import functions as F
 BEFORE = W.unboundedPreceding
 
 
-def _order(order: Sequence[str], reverse: bool = False) -> list[Column]:
-    return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+def _order(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc() for c in order]
 
 
-def _join_slices(rows: DataFrame, slices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe equi-join of rows with their one-row-per-slice state."""
-    names = [*keys, "_slice"]
-    right = slices.select(
-        *[F.col(n).alias(f"_r_{i}") for i, n in enumerate(names)],
-        *[c for c in slices.columns if c not in names],
-    )
-    on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r_{i}")) for i, n in enumerate(names)])
-    return rows.join(right, on, "left").drop(*[f"_r_{i}" for i in range(len(names))])
+def _as_columns(columns: Mapping[str, Column | str]) -> dict[str, Column]:
+    return {out: F.col(m) if isinstance(m, str) else m for out, m in columns.items()}
+
+
+def _with_headers(rows: DataFrame, headers: DataFrame, last: bool = False) -> DataFrame:
+    """Rows and header rows in one table; `_h` puts headers first (or last) in a piece."""
+    return rows.withColumn("_h", F.lit(1)).unionByName(headers.withColumn("_h", F.lit(2 if last else 0)), allowMissingColumns=True)
 
 
 def running_total(
@@ -44,23 +43,20 @@ def running_total(
     slice_by: Column | None = None,
 ) -> DataFrame:
     """Add running sums `{out: measure}` per key; nothing summed yet gives 0."""
-    end = 0 if include_current else -1
-    cols = {out: F.col(m) if isinstance(m, str) else m for out, m in measures.items()}
+    end, cols = 0 if include_current else -1, _as_columns(measures)
     if slice_by is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
         return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in cols.items()})
     rows = df.withColumn("_slice", slice_by).withColumns({f"_m_{o}": c for o, c in cols.items()})
-    w_slice = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
-    slices = (
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
+    headers = (
         rows.groupBy(*keys, "_slice")
-        .agg(*[F.sum(f"_m_{o}").alias(f"_s_{o}") for o in cols])
-        .select(*keys, "_slice", *[F.coalesce(F.sum(f"_s_{o}").over(w_slice), F.lit(0)).alias(f"_b_{o}") for o in cols])
+        .agg(*[F.sum(f"_m_{o}").alias(f"_m_{o}") for o in cols])
+        .select(*keys, "_slice", *[F.sum(f"_m_{o}").over(earlier).alias(f"_m_{o}") for o in cols])
     )
-    w = W.partitionBy(*keys, "_slice").orderBy(*_order(order)).rowsBetween(BEFORE, end)
-    out = _join_slices(rows, slices, keys)
-    return out.withColumns(
-        {o: F.col(f"_b_{o}") + F.coalesce(F.sum(f"_m_{o}").over(w), F.lit(0)) for o in cols}
-    ).drop("_slice", *[f"_{p}_{o}" for p in "mb" for o in cols])
+    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order)).rowsBetween(BEFORE, end)
+    out = _with_headers(rows, headers).withColumns({o: F.coalesce(F.sum(f"_m_{o}").over(w), F.lit(0)) for o in cols})
+    return out.filter(F.col("_h") == 1).drop("_h", "_slice", *[f"_m_{o}" for o in cols])
 
 
 def carry_last(
@@ -73,24 +69,21 @@ def carry_last(
     slice_by: Column | None = None,
 ) -> DataFrame:
     """Add `{out: last non-null value so far}` per key."""
-    end = 0 if include_current else -1
-    cols = {out: F.col(m) if isinstance(m, str) else m for out, m in columns.items()}
+    end, cols = 0 if include_current else -1, _as_columns(columns)
     if slice_by is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
         return df.withColumns({o: F.last(c, ignorenulls=True).over(w) for o, c in cols.items()})
     rows = df.withColumn("_slice", slice_by).withColumns({f"_m_{o}": c for o, c in cols.items()})
     rank = F.struct(*[F.col(c) for c in order])
-    w_slice = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
-    slices = (
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
+    headers = (
         rows.groupBy(*keys, "_slice")
-        .agg(*[F.max_by(f"_m_{o}", F.when(F.col(f"_m_{o}").isNotNull(), rank)).alias(f"_s_{o}") for o in cols])
-        .select(*keys, "_slice", *[F.last(f"_s_{o}", ignorenulls=True).over(w_slice).alias(f"_b_{o}") for o in cols])
+        .agg(*[F.max_by(f"_m_{o}", F.when(F.col(f"_m_{o}").isNotNull(), rank)).alias(f"_m_{o}") for o in cols])
+        .select(*keys, "_slice", *[F.last(f"_m_{o}", ignorenulls=True).over(earlier).alias(f"_m_{o}") for o in cols])
     )
-    w = W.partitionBy(*keys, "_slice").orderBy(*_order(order)).rowsBetween(BEFORE, end)
-    out = _join_slices(rows, slices, keys)
-    return out.withColumns(
-        {o: F.coalesce(F.last(f"_m_{o}", ignorenulls=True).over(w), F.col(f"_b_{o}")) for o in cols}
-    ).drop("_slice", *[f"_{p}_{o}" for p in "mb" for o in cols])
+    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order)).rowsBetween(BEFORE, end)
+    out = _with_headers(rows, headers).withColumns({o: F.last(f"_m_{o}", ignorenulls=True).over(w) for o in cols})
+    return out.filter(F.col("_h") == 1).drop("_h", "_slice", *[f"_m_{o}" for o in cols])
 
 
 def neighbour_row(
@@ -106,7 +99,7 @@ def neighbour_row(
 
     All columns come from one struct, so the window is evaluated once.
     """
-    cols = {out: F.col(m) if isinstance(m, str) else m for out, m in columns.items()}
+    cols = _as_columns(columns)
     packed = F.struct(*[c.alias(o) for o, c in cols.items()])
     step = F.lead if ahead else F.lag
     if slice_by is None:
@@ -116,14 +109,14 @@ def neighbour_row(
     rows = df.withColumn("_slice", slice_by).withColumn("_m", packed)
     rank = F.struct(*[F.col(c) for c in order])
     edge = F.min_by("_m", rank) if ahead else F.max_by("_m", rank)
-    slices = (
+    headers = (
         rows.groupBy(*keys, "_slice")
         .agg(edge.alias("_e"))
-        .select(*keys, "_slice", step("_e").over(W.partitionBy(*keys).orderBy("_slice")).alias("_b"))
+        .select(*keys, "_slice", step("_e").over(W.partitionBy(*keys).orderBy("_slice")).alias("_m"))
     )
-    w = W.partitionBy(*keys, "_slice").orderBy(*_order(order))
-    out = _join_slices(rows, slices, keys).withColumn("_n", F.coalesce(step("_m").over(w), F.col("_b")))
-    return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_slice", "_m", "_b", "_n")
+    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order))
+    out = _with_headers(rows, headers, last=ahead).withColumn("_n", step("_m").over(w)).filter(F.col("_h") == 1)
+    return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_h", "_slice", "_m", "_n")
 
 
 def range_frame(

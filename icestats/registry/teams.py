@@ -225,7 +225,8 @@ def _(t):
 
 def _rated(t):
     """Game-level metrics and the per-team index, both from written tables."""
-    m = materialise(T.attach_opponent_running(T.running_metrics(T.shot_levels(T.to_team_rows(t.games)), MONTH)), "metrics")
+    rows = materialise(T.shot_levels(T.to_team_rows(t.games)), "rows")
+    m = materialise(T.attach_opponent_running(T.running_metrics(rows, MONTH)), "metrics")
     e = T.head_to_head(m)
     r = T.rating_percentage_index(T.season_totals(m), T.opponent_record(m), T.common_opponents(e))
     return m, materialise(r, "rpi")
@@ -236,7 +237,7 @@ SELECT season, team, gameid, CAST(w3 = 3 AS BIGINT) AS win_streak, CAST(w3 = 3 A
 CAST(w3 = 3 AND h3 >= 1 AS BIGINT) AS hot_streak FROM s3""")
 def _(t):
     p, r = _rated(t)
-    return T.streak_flags(p, r, MONTH).drop("game_date")
+    return T.streak_flags(p, r).drop("game_date")
 
 
 @query("streak_summary_h8", "WITH " + STREAK + """
@@ -244,7 +245,7 @@ SELECT *, round(CASE WHEN win_streak > 0 THEN CAST(hot_streak AS DOUBLE) / win_s
 CASE WHEN win_streak > 0 THEN concat(CAST(CAST(floor(CAST(hot_streak AS DOUBLE) / win_streak * 100) AS BIGINT) AS VARCHAR), '%') END AS hot_label FROM streaks""")
 def _(t):
     p, r = _rated(t)
-    return T.streak_summary(T.streak_flags(p, r, MONTH)).withColumn("hot_share", F.round("hot_share", 6))
+    return T.streak_summary(T.streak_flags(p, r)).withColumn("hot_share", F.round("hot_share", 6))
 
 
 @query("team_season_table_h9", "WITH " + STREAK + """
