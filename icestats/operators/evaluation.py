@@ -118,7 +118,7 @@ def gmm_efficiency(df: DataFrame, y: str, p: str, instruments: Sequence[str]) ->
 
 def rolling_gmm(
     df: DataFrame, y: str, p: str, instruments: Sequence[str], *, date: str, order: Sequence[str], window: int = 50, chunk: int = 5000,
-    fine: Column | None = None,
+    fine: Column | str | None = None,
 ) -> DataFrame:
     """Two-step GMM over every run of `window` consecutive games.
 

@@ -172,7 +172,7 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
     )
 
 
-def line_game_numbers(rows: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def line_game_numbers(rows: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Per-team game number within the season."""
     out = running_total(rows, ("season", "team"), ("start_time", "gameid"), {"game_no": F.lit(1)}, slice_by=slice_by)
     return out.withColumn("game_no", F.col("game_no").cast("int"))

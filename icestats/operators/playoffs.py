@@ -15,7 +15,7 @@ def with_series(rows: DataFrame) -> DataFrame:
     return rows.withColumn("series", F.concat_ws("-", F.least("team", "opponent"), F.greatest("team", "opponent")))
 
 
-def series_games(rows: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def series_games(rows: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Game number within the series and the length of the series (two rows per game)."""
     length = rows.groupBy("season", "series").agg((F.count(F.lit(1)) / 2).alias("series_length"))
     out = running_total(rows, ("season", "series", "team"), ("game_date", "gameid"), {"series_game": F.lit(1)}, slice_by=slice_by)

@@ -86,7 +86,7 @@ def elo(
 
 
 def market_elo_sums(
-    games: DataFrame, *, outcome: str = "outcome", market: str = "p_market", slice_by: Column | None = None
+    games: DataFrame, *, outcome: str = "outcome", market: str = "p_market", slice_by: Column | str | None = None
 ) -> DataFrame:
     """Sums of earlier (outcome − market probability) of both teams of each game.
 
@@ -103,7 +103,7 @@ def market_elo_sums(
     )
 
 
-def market_elo(games: DataFrame, *, k: float = 10.0, hfa: float = 25.0, slice_by: Column | None = None, **kw: str) -> DataFrame:
+def market_elo(games: DataFrame, *, k: float = 10.0, hfa: float = 25.0, slice_by: Column | str | None = None, **kw: str) -> DataFrame:
     """Ratings updated against the market probability, as prefix sums."""
     s = market_elo_sums(games, slice_by=slice_by, **kw)
     return s.withColumns({"r_home": START + F.col("s_home") * k, "r_away": START + F.col("s_away") * k}).withColumn(
@@ -157,7 +157,7 @@ def elo_grid(games: DataFrame, *, league: Sequence[str], order: Sequence[str] =
     return out.select(*league, "k", "hfa", (F.col("sq") / F.col("n")).alias("brier"))
 
 
-def market_elo_grid(games: DataFrame, *, burn_in: float = BURN_IN, slice_by: Column | None = None, **kw: str) -> DataFrame:
+def market_elo_grid(games: DataFrame, *, burn_in: float = BURN_IN, slice_by: Column | str | None = None, **kw: str) -> DataFrame:
     """Brier score of every cell for the market variant: 72 averages in one aggregation."""
     s = global_index(market_elo_sums(games, slice_by=slice_by, **kw), "game_date", ["gameid"], "_i", F.floor(F.col("gameid") / 100_000))
     skip = games.agg(F.floor(F.count(F.lit(1)) * burn_in)).scalar()

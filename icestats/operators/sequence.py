@@ -41,13 +41,13 @@ def attach_role(plays: DataFrame, roster: DataFrame, column: str, out: str) -> D
     return plays.join(r, ["gameid", column], "left")
 
 
-def last_scorer(plays: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def last_scorer(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Team of the latest goal strictly before the event."""
     goal = F.when(F.col("type") == "goal", F.col("owner"))
     return carry_last(plays, GAME, ORDER, {"last_scorer": goal}, include_current=False, slice_by=slice_by)
 
 
-def penalty_state(plays: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def penalty_state(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """End and drawing team of the latest penalty; null once the end has passed."""
     end = F.col("elapsed") + F.col("duration") * 60
     out = carry_last(plays, GAME, ORDER, {"_end": end, "_team": "drawn_team"}, slice_by=slice_by)
@@ -57,7 +57,7 @@ def penalty_state(plays: DataFrame, slice_by: Column | None = None) -> DataFrame
     ).drop("_end", "_team")
 
 
-def previous_event(plays: DataFrame, columns: Sequence[str], slice_by: Column | None = None) -> DataFrame:
+def previous_event(plays: DataFrame, columns: Sequence[str], slice_by: Column | str | None = None) -> DataFrame:
     """Columns of the previous event of the same period (`*_lag1`)."""
     out = neighbour_row(plays, GAME, ORDER, {"_p": "period", **{f"{c}_lag1": c for c in columns}}, slice_by=slice_by)
     same = F.col("_p") == F.col("period")
@@ -86,7 +86,7 @@ def posture(kind: Column, owner: Column, zone: Column, blocker: Column, previous
     return F.when(defend, "Defense").when(attack, "Offense").otherwise(by_zone)
 
 
-def enrich(plays: DataFrame, roster: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def enrich(plays: DataFrame, roster: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """The enriched event table: roles, scorer, penalty state, previous event, attribution, tags."""
     roles = {"shooter_team": "shooter_id", "blocker_team": "blocker_id", "committed_team": "committed_id", "drawn_team": "drawn_id"}
     out = attach_roles(plays, roster, roles).withColumn("minutes", F.col("elapsed") / F.lit(60.0))
@@ -126,14 +126,14 @@ def event_flags(plays: DataFrame, focal: str, by_zone: bool = True) -> DataFrame
     )
 
 
-def zone_entries(plays: DataFrame, focal: str, max_gap: int = 10, slice_by: Column | None = None) -> DataFrame:
+def zone_entries(plays: DataFrame, focal: str, max_gap: int = 10, slice_by: Column | str | None = None) -> DataFrame:
     """Entry by the focal team: now in O, before in N or D, gap at most `max_gap` seconds."""
     out = neighbour_row(plays, GAME, ORDER, {"_z": "zone", "_t": "elapsed"}, slice_by=slice_by)
     hit = (F.col("zone") == "O") & F.col("_z").isin("N", "D") & (F.col("elapsed") - F.col("_t") <= max_gap) & (F.col("owner") == focal)
     return out.withColumn("zone_entry", F.when(hit, 1.0).otherwise(0.0)).drop("_z", "_t")
 
 
-def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: bool = False, slice_by: Column | None = None, slice_width: int | None = None) -> DataFrame:
+def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: bool = False, slice_by: Column | str | None = None, slice_width: int | None = None) -> DataFrame:
     """Possession gains and the focal share of events over the trailing window.
 
     The frame is closed at both ends; `left_open` leaves out its first second.
@@ -149,7 +149,7 @@ def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: boo
     return out.withColumn("zone_share", F.col("_f") / F.col("_n")).drop("_n", "_f")
 
 
-def score_before(plays: DataFrame, focal: str, slice_by: Column | None = None) -> DataFrame:
+def score_before(plays: DataFrame, focal: str, slice_by: Column | str | None = None) -> DataFrame:
     """Goals for and against before each event, within the game, and the clipped difference."""
     goal = F.col("type") == "goal"
     m = {"goals_for": F.when(goal & (F.col("owner") == focal), 1).otherwise(0), "goals_against": F.when(goal & (F.col("owner") != focal), 1).otherwise(0)}
@@ -159,13 +159,13 @@ def score_before(plays: DataFrame, focal: str, slice_by: Column | None = None) -
     )
 
 
-def time_gap(plays: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def time_gap(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Seconds since the previous event; the first gap is the event's own second."""
     out = neighbour_row(plays, GAME, ORDER, {"_t": "elapsed"}, slice_by=slice_by)
     return out.withColumn("dt", F.col("elapsed") - F.coalesce(F.col("_t"), F.lit(0))).drop("_t")
 
 
-def running_hits(plays: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def running_hits(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Cumulative hits of the game and of each period."""
     hit = F.when(F.col("type") == "hit", 1).otherwise(0)
     out = running_total(plays, GAME, ORDER, {"hits_so_far": hit}, slice_by=slice_by)
@@ -173,7 +173,7 @@ def running_hits(plays: DataFrame, slice_by: Column | None = None) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("hits_so_far", "hits_in_period")})
 
 
-def sessions(plays: DataFrame, home: str, marker: str = "faceoff", slice_by: Column | None = None) -> DataFrame:
+def sessions(plays: DataFrame, home: str, marker: str = "faceoff", slice_by: Column | str | None = None) -> DataFrame:
     """One row per stretch from a marker event up to the next."""
     start = F.when(F.col("type") == marker, 1).otherwise(0)
     rows = running_total(plays, GAME, ORDER, {"session": start}, slice_by=slice_by).filter(F.col("session") > 0)
@@ -255,7 +255,7 @@ def flow_links(df: DataFrame, layers: Sequence[str], weight: str | None = None)
     return out.withColumn("percent", F.col("n") / total * 100)
 
 
-def master_table(plays: DataFrame, priors: DataFrame | None, focal: str, *, slice_by: Column | None = None, slice_width: int | None = None, window: int = 90) -> DataFrame:
+def master_table(plays: DataFrame, priors: DataFrame | None, focal: str, *, slice_by: Column | str | None = None, slice_width: int | None = None, window: int = 90) -> DataFrame:
     """Event flags, zone share, score state, gaps and focal priors: the input of the momentum model."""
     out = event_flags(plays, focal)
     out = possession(out, focal, window, slice_by=slice_by, slice_width=slice_width)

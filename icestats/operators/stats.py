@@ -23,7 +23,7 @@ def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
-def ecdf(df: DataFrame, group: str, value: str, slice_by: Column | None = None) -> DataFrame:
+def ecdf(df: DataFrame, group: str, value: str, slice_by: Column | str | None = None) -> DataFrame:
     """Share of values at or below each distinct value."""
     counts = value_counts(df, group, value)
     total = counts.groupBy("g").agg(F.sum("c").alias("n"))
@@ -31,7 +31,7 @@ def ecdf(df: DataFrame, group: str, value: str, slice_by: Column | None = None)
     return run.join(total, "g").select(F.col("g").alias(group), F.col("v").alias(value), (F.col("cum") / F.col("n")).alias("share"))
 
 
-def ks_pairs(df: DataFrame, group: str, value: str, slice_by: Column | None = None) -> DataFrame:
+def ks_pairs(df: DataFrame, group: str, value: str, slice_by: Column | str | None = None) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov statistic for every unordered pair of groups.
 
     `group` holds a few labels (categories); each count row is sent to the pairs its
@@ -55,7 +55,7 @@ def ks_pairs(df: DataFrame, group: str, value: str, slice_by: Column | None = No
     return out.withColumn("p", kolmogorov_tail(en * F.col("ks")))
 
 
-def mann_whitney(df: DataFrame, flag: str, value: str, slice_by: Column | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, flag: str, value: str, slice_by: Column | str | None = None) -> DataFrame:
     """U statistic of two groups (`flag` true / false) with tie-corrected normal p-value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.lit(1).alias("k"), F.col(value).cast("double").alias("v")).agg(
         F.sum(F.col(flag).cast("bigint")).alias("c1"), F.count(F.lit(1)).alias("c")

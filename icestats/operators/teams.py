@@ -65,7 +65,7 @@ def opponent_join(box: DataFrame) -> DataFrame:
     return box.join(b, (F.col("gameid") == F.col("_g")) & (F.col("team") != F.col("opponent")), "left").drop("_g")
 
 
-def rest_days(paired: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def rest_days(paired: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Previous and next game of the team and the days between."""
     out = neighbour_row(paired, TEAM_KEYS, TEAM_ORDER, {"prev_gameid": "gameid", "prev_date": "game_date"}, slice_by=slice_by)
     out = neighbour_row(out, TEAM_KEYS, TEAM_ORDER, {"next_gameid": "gameid"}, ahead=True, slice_by=slice_by)
@@ -93,7 +93,7 @@ def pythagorean(gf: Column, ga: Column, gamma: float = 2.0) -> Column:
     return F.try_divide(a, a + b)
 
 
-def running_metrics(paired: DataFrame, slice_by: Column | None = None, gamma: float = 2.0) -> DataFrame:
+def running_metrics(paired: DataFrame, slice_by: Column | str | None = None, gamma: float = 2.0) -> DataFrame:
     """Running totals per team and season incl. the current game, with the expectation."""
     measures = {
         "rgame": F.lit(1), "rwin": "win", "rgf": "goals", "rga": "goals_against",
@@ -290,7 +290,7 @@ def streak_summary(flags: DataFrame) -> DataFrame:
     )
 
 
-def team_season(games: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def team_season(games: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """The whole team-season table: levels, expectation, RPI, pairwise, normalised, streaks.
 
     The game-level metrics feed six branches, so they are written once to the shared
@@ -335,7 +335,7 @@ def standings(games: DataFrame) -> DataFrame:
     )
 
 
-def prior_metrics(paired: DataFrame, slice_by: Column | None = None) -> DataFrame:
+def prior_metrics(paired: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Share of goals, Corsi and Fenwick over earlier games only; 0.5 where nothing came before."""
     m = {
         "p_games": F.lit(1), "p_gf": "goals", "p_ga": "goals_against",

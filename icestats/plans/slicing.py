@@ -3,7 +3,7 @@
 A plain window sends every row of a partition key to one task. When a single
 key can hold a large part of the data, pass `slice_by`: a column that cuts the
 key's rows into consecutive pieces, increasing with the order (a date bucket, a
-block of seconds). Each piece is then a window partition of its own. What a piece
+block of seconds), as a column or as SQL text. Each piece is then a window partition of its own. What a piece
 needs from earlier ones is computed from one small row per piece and enters the
 window as a header row in front of the piece, so the data is shuffled once and not
 joined. The results are those of the plain window.
@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 BEFORE = W.unboundedPreceding
 
 
+def as_column(piece: Column | str) -> Column:
+    """A column, or SQL text of one."""
+    return F.expr(piece) if isinstance(piece, str) else piece
+
+
 def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in order]
 
@@ -40,14 +45,14 @@ def running_total(
     measures: Mapping[str, Column | str],
     *,
     include_current: bool = True,
-    slice_by: Column | None = None,
+    slice_by: Column | str | None = None,
 ) -> DataFrame:
     """Add running sums `{out: measure}` per key; nothing summed yet gives 0."""
     end, cols = 0 if include_current else -1, _as_columns(measures)
     if slice_by is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
         return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in cols.items()})
-    rows = df.withColumn("_slice", slice_by).withColumns({f"_m_{o}": c for o, c in cols.items()})
+    rows = df.withColumn("_slice", as_column(slice_by)).withColumns({f"_m_{o}": c for o, c in cols.items()})
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
     headers = (
         rows.groupBy(*keys, "_slice")
@@ -66,14 +71,14 @@ def carry_last(
     columns: Mapping[str, Column | str],
     *,
     include_current: bool = True,
-    slice_by: Column | None = None,
+    slice_by: Column | str | None = None,
 ) -> DataFrame:
     """Add `{out: last non-null value so far}` per key."""
     end, cols = 0 if include_current else -1, _as_columns(columns)
     if slice_by is None:
         w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
         return df.withColumns({o: F.last(c, ignorenulls=True).over(w) for o, c in cols.items()})
-    rows = df.withColumn("_slice", slice_by).withColumns({f"_m_{o}": c for o, c in cols.items()})
+    rows = df.withColumn("_slice", as_column(slice_by)).withColumns({f"_m_{o}": c for o, c in cols.items()})
     rank = F.struct(*[F.col(c) for c in order])
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
     headers = (
@@ -93,7 +98,7 @@ def neighbour_row(
     columns: Mapping[str, Column | str],
     *,
     ahead: bool = False,
-    slice_by: Column | None = None,
+    slice_by: Column | str | None = None,
 ) -> DataFrame:
     """Add `{out: value on the previous row}` (or the next row, with `ahead`).
 
@@ -106,7 +111,7 @@ def neighbour_row(
         w = W.partitionBy(*keys).orderBy(*_order(order))
         out = df.withColumn("_n", packed).withColumn("_n", step("_n").over(w))
         return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_n")
-    rows = df.withColumn("_slice", slice_by).withColumn("_m", packed)
+    rows = df.withColumn("_slice", as_column(slice_by)).withColumn("_m", packed)
     rank = F.struct(*[F.col(c) for c in order])
     edge = F.min_by("_m", rank) if ahead else F.max_by("_m", rank)
     headers = (
@@ -149,7 +154,7 @@ def range_frame(
     return out.filter(F.col("_own") == F.col("_slice")).drop("_own", "_slice")
 
 
-def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fine: Column | None = None) -> DataFrame:
+def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fine: Column | str | None = None) -> DataFrame:
     """Consecutive row numbers (from 0) over the whole table without one global sort.
 
     `coarse` is a column of few distinct values that leads the order (a date); `fine`
@@ -157,7 +162,7 @@ def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fin
     many rows. Rows are counted per piece; only the counts per coarse value meet in one
     window, and a calendar bounds their number.
     """
-    rows = df.withColumn("_fine", fine if fine is not None else F.lit(0))
+    rows = df.withColumn("_fine", F.lit(0) if fine is None else as_column(fine))
     counts = rows.groupBy(coarse, "_fine").agg(F.count(F.lit(1)).alias("_n"))
     inside = W.partitionBy(coarse).orderBy("_fine").rowsBetween(BEFORE, -1)
     days = counts.groupBy(coarse).agg(F.sum("_n").alias("_t"))

@@ -10,7 +10,7 @@ from icestats.registry.base import query
 from icestats.registry.teams import PAIRED, r6
 
 col = F.col
-MONTHS = F.year("game_date") * 12 + F.month("game_date")
+MONTHS = "year(game_date) * 12 + month(game_date)"
 DEC = "CASE WHEN {0} > 0 THEN {0} / 100.0 + 1 ELSE 100.0 / -{0} + 1 END"
 
 

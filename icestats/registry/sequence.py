@@ -8,7 +8,7 @@ from icestats.registry.teams import r6
 
 col = F.col
 DAY = 86400
-BLOCK = F.floor(col("elapsed") / (5 * DAY))
+BLOCK = f"floor(elapsed / {5 * DAY})"
 WIDTH = 5 * DAY
 W = "WINDOW w AS (PARTITION BY gameid ORDER BY elapsed, event_id)"
 

@@ -6,7 +6,7 @@ from icestats.operators import teams as T
 from icestats.plans.lineage import materialise
 from icestats.registry.base import query
 
-MONTH = F.month("game_date")
+MONTH = "month(game_date)"
 
 PAIRED = """paired AS (
   SELECT a.*, b.team AS opponent, b.goals AS goals_against, b.shots AS shots_against,
