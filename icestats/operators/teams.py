@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from icestats.plans.lineage import materialise
-from icestats.plans.slicing import exact_quantiles, neighbour_row, running_total
+from icestats.plans.slicing import neighbour_row, running_total
 
 TEAM_KEYS = ("season", "team")
 TEAM_ORDER = ("game_date", "gameid")
@@ -256,7 +256,8 @@ def streak_flags(paired: DataFrame, table: DataFrame) -> DataFrame:
     rpi = table.select("season", "team", "rpi")
     against = rpi.select("season", F.col("team").alias("opponent"), F.col("rpi").alias("rpi_against"))
     met = paired.groupBy("season", "opponent").agg(F.count(F.lit(1)).alias("n")).join(against, ["season", "opponent"])
-    cut = exact_quantiles(met, ["season"], "rpi_against", {"q75": 0.75}, weight="n")
+    # one row per team by now, so the built-in percentile with counts holds a league at most
+    cut = met.groupBy("season").agg(F.percentile("rpi_against", 0.75, F.col("n")).alias("q75"))
     rows = (
         paired.select("season", "team", "opponent", "game_date", "gameid", "rgame", "win")
         .join(rpi.join(cut, "season"), ["season", "team"]).join(against, ["season", "opponent"])

@@ -7,7 +7,7 @@ from icestats.operators import documents as X
 from icestats.operators import momentum as Z
 from icestats.operators import sequence as Q
 from icestats.registry.base import query
-from icestats.registry.sequence import BLOCK, DAY, WIDTH
+from icestats.registry.sequence import BLOCK, DAY, SCORE, WIDTH, flag
 from icestats.registry.teams import r6
 
 col = F.col
@@ -27,12 +27,36 @@ def master(t):
     })
 
 
-@query("momentum_filter_i7")
+def _sum_of(names, weights, sql):
+    return " + ".join(f"({w}) * {sql[n]}" for n, w in zip(names, weights))
+
+
+FLAGS = {
+    **{f"hit_{n}_{z}": flag("hit", w, z) for n, w in (("for", "="), ("against", "<>")) for z in "ODN"},
+    "shot_for": flag("shot-on-goal", "="), "shot_against": flag("shot-on-goal", "<>"), "takeaway": flag("takeaway", "="),
+    "giveaway": flag("giveaway", "="), "block_for": flag("blocked-shot", "="), "block_against": flag("blocked-shot", "<>"), "faceoff_win": flag("faceoff", "="),
+}
+P = demo_params()
+# the model as a recursion over the event number, all games side by side
+FILTER = f"""{SCORE}, mm AS (SELECT p.gameid, p.event_id, owner, type, row_number() OVER w AS rn, {_sum_of(Z.INPUTS, P.b, FLAGS)} AS bu,
+ sum(CASE WHEN owner = 'HOM' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER v / count(*) OVER v AS y, CAST(elapsed - lag(elapsed, 1, 0) OVER w AS DOUBLE) / {DAY} AS dt,
+ 0.1::DOUBLE + 0.05::DOUBLE * (p.gameid % 7) / 10.0 - 0.02::DOUBLE * (p.gameid % 5) / 10.0 + 0.03::DOUBLE * greatest(-2, least(2, gf - ga)) AS dz, 0.1::DOUBLE + 0.2::DOUBLE * (p.gameid % 7) / 10.0 AS mu
+ FROM plays p JOIN sc ON sc.event_id = p.event_id WINDOW w AS (PARTITION BY p.gameid ORDER BY elapsed, p.event_id), v AS (PARTITION BY p.gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)),
+kf AS (SELECT gameid, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0.0::DOUBLE AS dt, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, mu AS x, 1.0::DOUBLE AS p FROM mm WHERE rn = 1
+ UNION ALL SELECT gameid, rn, event_id, dt, xp, pp, xp + pp * c / s * (y - c * xp - dz), (1 - pp * c * c / s) * pp
+ FROM (SELECT *, c * c * pp + exp(-1) AS s FROM (SELECT m.gameid, m.rn, m.event_id, m.dt, m.y, m.dz, exp(-0.5) AS c, pow({P.decay!r}, m.dt) * k.x + m.bu AS xp, pow({P.decay!r}, 2 * m.dt) * k.p + exp(-2) AS pp FROM kf k JOIN mm m ON m.gameid = k.gameid AND m.rn = k.rn + 1)))"""
+SMOOTH = FILTER + f""", fl AS (SELECT *, max(rn) OVER (PARTITION BY gameid) AS n FROM kf WHERE rn > 0),
+sm AS (SELECT gameid, rn, event_id, x, x AS xs, p AS ps, xp, pp, dt FROM fl WHERE rn = n
+ UNION ALL SELECT f.gameid, f.rn, f.event_id, f.x, f.x + f.p * pow({P.decay!r}, s.dt) / s.pp * (s.xs - s.xp), f.p + pow(f.p * pow({P.decay!r}, s.dt) / s.pp, 2) * (s.ps - s.pp), f.xp, f.pp, f.dt
+ FROM sm s JOIN fl f ON f.gameid = s.gameid AND f.rn = s.rn - 1)"""
+
+
+@query("momentum_filter_i7", f"WITH RECURSIVE {FILTER} SELECT event_id, round(xp, 6) AS x_pred, round(pp, 6) AS p_pred, round(x, 6) AS x_filt, round(p, 6) AS p_filt FROM kf WHERE rn > 0")
 def _(t):
     return Z.kalman_filter(master(t), demo_params()).select("event_id", *r6("x_pred", "p_pred", "x_filt", "p_filt"))
 
 
-@query("momentum_smoother_i8")
+@query("momentum_smoother_i8", f"WITH RECURSIVE {SMOOTH} SELECT event_id, round(x, 6) AS x_filt, round(xs, 6) AS x_smooth, round(ps, 6) AS p_smooth FROM sm")
 def _(t):
     p = demo_params()
     return Z.rts_smoother(Z.kalman_filter(master(t), p), p).select("event_id", *r6("x_filt", "x_smooth", "p_smooth"))
@@ -61,7 +85,9 @@ def _(t):
     return out.select("event_type", "t", *r6("response"), F.round(Z.half_life(col("a")), 6).alias("half_life"), F.round(Z.response_area(col("a"), col("b")), 4).alias("area"))
 
 
-@query("momentum_by_owner_i12")
+@query("momentum_by_owner_i12", f"""WITH RECURSIVE {SMOOTH} SELECT h.owner, round(h.hp, 6) AS hits_per_game, round(m.mo, 6) AS momentum
+FROM (SELECT owner, CAST(sum(CASE WHEN type = 'hit' THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT gameid) AS hp FROM plays GROUP BY owner) h
+JOIN (SELECT owner, avg(xs) AS mo FROM sm JOIN plays p ON p.event_id = sm.event_id GROUP BY owner) m ON m.owner = h.owner""")
 def _(t):
     p = demo_params()
     s = Z.rts_smoother(Z.kalman_filter(master(t), p), p).join(t.plays.select("event_id", "owner"), "event_id")
