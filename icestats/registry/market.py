@@ -110,16 +110,6 @@ def elo_games(t):
     return g.join(t.forecasts.select("gameid", "p_market"), "gameid")
 
 
-@query("elo_j8")
-def _(t):
-    return R.elo(elo_games(t), league=["league"], k=12, hfa=30).select("gameid", *r6("r_home", "r_away", "p_elo"))
-
-
-@query("elo_season_carry_j31")
-def _(t):
-    return R.elo(elo_games(t), league=["league"], k=12, hfa=30, carry=0.75).select("gameid", "season", *r6("r_home", "r_away", "p_elo"))
-
-
 ELO_SUMS = """g AS (SELECT gameid, game_date, home, away, CAST(CASE WHEN home_goals > away_goals THEN 1 WHEN home_goals = away_goals THEN 0.5 ELSE 0 END AS DOUBLE) AS outcome FROM games),
 gm AS (SELECT g.*, f.p_market FROM g JOIN forecasts f ON f.gameid = g.gameid),
 lg AS (SELECT gameid, game_date, home AS team, 'home' AS side, outcome - p_market AS d FROM gm UNION ALL SELECT gameid, game_date, away, 'away', p_market - outcome FROM gm),
@@ -132,11 +122,6 @@ def _(t):
     return R.market_elo(elo_games(t), slice_by=MONTHS).select("gameid", *r6("r_home", "r_away", "p_bors"))
 
 
-@query("elo_grid_j10")
-def _(t):
-    return R.elo_grid(elo_games(t), league=["league"]).withColumn("brier", F.round("brier", 6))
-
-
 @query("market_elo_grid_j10", f"""WITH {ELO_SUMS}, ix AS (SELECT *, row_number() OVER (ORDER BY game_date, gameid) - 1 AS i, count(*) OVER () AS n FROM sm),
 cells AS (SELECT k, h FROM range(4, 34, 4) a(k), range(10, 55, 5) b(h))
 SELECT CAST(k AS INT) AS k, CAST(h AS INT) AS hfa, round(avg(pow(outcome - 1 / (1 + pow(10.0, -(k * (sh - sa) + h) / 400.0)), 2)), 6) AS brier
@@ -145,11 +130,6 @@ def _(t):
     return R.market_elo_grid(elo_games(t), slice_by=MONTHS).withColumn("brier", F.round("brier", 6))
 
 
-@query("best_elo_cell_j10")
-def _(t):
-    return R.best_cell(R.elo_grid(elo_games(t), league=["league"]), ["league"]).withColumn("brier", F.round("brier", 6))
-
-
 @query("advantage_bump_j11", "SELECT DISTINCT n_g_home AS hfa, round(1 / (1 + pow(10.0, -n_g_home / 400.0)) - 0.5, 6) AS bump FROM forecasts")
 def _(t):
     return t.forecasts.select(col("n_g_home").alias("hfa"), F.round(R.advantage_bump(col("n_g_home")), 6).alias("bump")).distinct()
@@ -238,3 +218,61 @@ def _(t):
     p = T.prior_metrics(T.to_team_rows(t.games), F.month("game_date"))
     m = M.analytical_matrix(M.load_outcomes(t.games), p)
     return m.select("gameid", "n_home", *[F.round(c, 10).alias(c) for c in ("home_pythagorean", "away_pythagorean")])
+
+
+ELO_SEASON = """g AS (SELECT gameid, season, home, away, CAST(CASE WHEN home_goals > away_goals THEN 1 WHEN home_goals = away_goals THEN 0.5 ELSE 0 END AS DOUBLE) AS o,
+ row_number() OVER (PARTITION BY season ORDER BY game_date, gameid) AS i FROM games),
+r AS (SELECT season, 0::BIGINT AS i, NULL::BIGINT AS gameid, NULL::DOUBLE AS h, NULL::DOUBLE AS a, NULL::DOUBLE AS p, MAP([]::VARCHAR[], []::DOUBLE[]) AS m FROM (SELECT DISTINCT season FROM g)
+ UNION ALL SELECT season, i, gameid, h, a, p, map_concat(m, MAP([home, away], [h + 12 * (o - p), a - 12 * (o - p)]))
+ FROM (SELECT *, 1 / (1 + pow(10.0::DOUBLE, -(h - a + 30) / 400)) AS p FROM (SELECT g.season, g.i, g.gameid, g.home, g.away, g.o, coalesce(r.m[g.home], 1500)::DOUBLE AS h, coalesce(r.m[g.away], 1500)::DOUBLE AS a, r.m FROM r JOIN g ON g.season = r.season AND g.i = r.i + 1)))"""
+
+
+@query("elo_by_season_j31", f"WITH RECURSIVE {ELO_SEASON} SELECT gameid, round(h, 6) AS r_home, round(a, 6) AS r_away, round(p, 6) AS p_elo FROM r WHERE i > 0")
+def _(t):
+    # ratings start anew each season, so seasons run in parallel
+    return R.elo(elo_games(t), league=["league"], k=12, hfa=30, carry=0.0).select("gameid", *r6("r_home", "r_away", "p_elo"))
+
+
+def elo_league(carry: str) -> str:
+    """The whole league as a recursion over the game number; the state is a map of ratings."""
+    return f"""g AS (SELECT gameid, season, home, away, CAST(CASE WHEN home_goals > away_goals THEN 1 WHEN home_goals = away_goals THEN 0.5 ELSE 0 END AS DOUBLE) AS o,
+ row_number() OVER (ORDER BY game_date, gameid) AS i FROM games),
+r AS (SELECT 0::BIGINT AS i, NULL::INT AS season, NULL::BIGINT AS gameid, NULL::DOUBLE AS h, NULL::DOUBLE AS a, NULL::DOUBLE AS p, MAP([]::VARCHAR[], []::DOUBLE[]) AS m
+ UNION ALL SELECT i, season, gameid, h, a, p, map_concat(m, MAP([home, away], [h + 12 * (o - p), a - 12 * (o - p)]))
+ FROM (SELECT *, 1 / (1 + pow(10.0::DOUBLE, -(h - a + 30) / 400)) AS p FROM (SELECT g.i, g.season, g.gameid, g.home, g.away, g.o, q.m, coalesce(q.m[g.home], 1500)::DOUBLE AS h, coalesce(q.m[g.away], 1500)::DOUBLE AS a
+ FROM (SELECT r.i, n.season, CASE WHEN r.season IS NULL OR r.season = n.season THEN r.m ELSE {carry} END AS m FROM r JOIN g n ON n.i = r.i + 1) q JOIN g ON g.i = q.i + 1)))"""
+
+
+KEEP = "MAP(map_keys(r.m), list_transform(map_values(r.m), lambda v: 1500 + 0.75::DOUBLE * (v - 1500)))"
+
+
+@query("elo_j8", f"WITH RECURSIVE {elo_league('r.m')} SELECT gameid, round(h, 6) AS r_home, round(a, 6) AS r_away, round(p, 6) AS p_elo FROM r WHERE i > 0")
+def _(t):
+    return R.elo(elo_games(t), league=["league"], k=12, hfa=30).select("gameid", *r6("r_home", "r_away", "p_elo"))
+
+
+@query("elo_season_carry_j31", f"WITH RECURSIVE {elo_league(KEEP)} SELECT gameid, season, round(h, 6) AS r_home, round(a, 6) AS r_away, round(p, 6) AS p_elo FROM r WHERE i > 0")
+def _(t):
+    return R.elo(elo_games(t), league=["league"], k=12, hfa=30, carry=0.75).select("gameid", "season", *r6("r_home", "r_away", "p_elo"))
+
+
+# all 72 cells as lists: ratings per team, squared errors so far
+GRID = """c AS (SELECT list(CAST(k AS DOUBLE) ORDER BY k, h) AS ks, list(CAST(h AS DOUBLE) ORDER BY k, h) AS hs, list(1500.0::DOUBLE) AS base FROM range(4, 34, 4) x(k), range(10, 55, 5) y(h)),
+g AS (SELECT home, away, CAST(CASE WHEN home_goals > away_goals THEN 1 WHEN home_goals = away_goals THEN 0.5 ELSE 0 END AS DOUBLE) AS o,
+ row_number() OVER (ORDER BY game_date, gameid) AS i, count(*) OVER () AS n, ks, hs, base FROM games, c),
+r AS (SELECT 0::BIGINT AS i, list_transform(ks, lambda x: 0.0::DOUBLE) AS sq, MAP([]::VARCHAR[], []::DOUBLE[][]) AS m FROM c
+ UNION ALL SELECT i, CASE WHEN i > floor(n * 0.25) THEN list_transform(sq, lambda x, j: x + pow(o - p[j], 2)) ELSE sq END,
+ map_concat(m, MAP([home, away], [list_transform(p, lambda x, j: h[j] + ks[j] * (o - x)), list_transform(p, lambda x, j: a[j] - ks[j] * (o - x))]))
+ FROM (SELECT *, list_transform(hs, lambda x, j: 1 / (1 + pow(10.0::DOUBLE, -(h[j] - a[j] + x) / 400))) AS p FROM (SELECT g.*, r.sq, r.m, coalesce(r.m[g.home], g.base) AS h, coalesce(r.m[g.away], g.base) AS a FROM r JOIN g ON g.i = r.i + 1))),
+e AS (SELECT unnest(ks) AS k, unnest(hs) AS h, unnest(sq) AS s, n FROM (SELECT sq FROM r ORDER BY i DESC LIMIT 1), (SELECT ks, hs FROM c), (SELECT count(*) AS n FROM g)),
+gr AS (SELECT 'L' AS league, CAST(k AS INT) AS k, CAST(h AS INT) AS hfa, s / (n - floor(n * 0.25)) AS brier FROM e)"""
+
+
+@query("elo_grid_j10", f"WITH RECURSIVE {GRID} SELECT league, k, hfa, round(brier, 6) AS brier FROM gr")
+def _(t):
+    return R.elo_grid(elo_games(t), league=["league"]).withColumn("brier", F.round("brier", 6))
+
+
+@query("best_elo_cell_j10", f"WITH RECURSIVE {GRID} SELECT league, k, hfa, round(brier, 6) AS brier FROM gr ORDER BY gr.brier, k, hfa LIMIT 1")
+def _(t):
+    return R.best_cell(R.elo_grid(elo_games(t), league=["league"]), ["league"]).withColumn("brier", F.round("brier", 6))

@@ -15,7 +15,7 @@ TABLES = (
 
 _MACROS = {
     # macro: (Spark text, DuckDB text)
-    r"EPOCH\((\w+)\)": (r"CAST(unix_timestamp(\1) AS BIGINT)", r"CAST(floor(epoch(\1)) AS BIGINT)"),
+    r"EPOCH\((\w+)\)": (r"(CAST(datediff(CAST(\1 AS DATE), DATE'1970-01-01') AS BIGINT) * 86400 + hour(\1) * 3600 + minute(\1) * 60 + second(\1))", r"CAST(floor(epoch(\1)) AS BIGINT)"),
     r"JSON_K\((\w+)\)": (
         r"CAST(get_json_object(\1, '$.k') AS BIGINT)",
         r"CAST(json_extract_string(\1, '$.k') AS BIGINT)",
