@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from icestats.plans.slicing import carry_last, neighbour_row, range_frame, running_total
+from icestats.functions.scalars import clip
+from icestats.plans.slicing import context, neighbour_row, range_frame, running_total
 
 GAME = ("gameid",)
 ORDER = ("elapsed", "event_id")
@@ -41,27 +42,41 @@ def attach_role(plays: DataFrame, roster: DataFrame, column: str, out: str) -> D
     return plays.join(r, ["gameid", column], "left")
 
 
+def _scorer() -> dict[str, Column]:
+    return {"last_scorer": F.when(F.col("type") == "goal", F.col("owner"))}
+
+
+def _penalty() -> dict[str, Column]:
+    return {"_end": F.col("elapsed") + F.col("duration") * 60, "_team": F.col("drawn_team")}
+
+
+def _lagged(columns: Sequence[str]) -> dict[str, str]:
+    return {"_period": "period", **{f"{c}_lag1": c for c in columns}}
+
+
+def _close_penalty(df: DataFrame) -> DataFrame:
+    over = F.coalesce(F.col("elapsed") > F.col("_end"), F.lit(False))
+    return df.withColumns({"penalty_end": F.when(~over, F.col("_end")), "penalty_team": F.when(~over, F.col("_team"))}).drop("_end", "_team")
+
+
+def _same_period(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    same = F.col("_period") == F.col("period")
+    return df.withColumns({f"{c}_lag1": F.when(same, F.col(f"{c}_lag1")) for c in columns}).drop("_period")
+
+
 def last_scorer(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Team of the latest goal strictly before the event."""
-    goal = F.when(F.col("type") == "goal", F.col("owner"))
-    return carry_last(plays, GAME, ORDER, {"last_scorer": goal}, include_current=False, slice_by=slice_by)
+    return context(plays, GAME, ORDER, carry_before=_scorer(), slice_by=slice_by)
 
 
 def penalty_state(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """End and drawing team of the latest penalty; null once the end has passed."""
-    end = F.col("elapsed") + F.col("duration") * 60
-    out = carry_last(plays, GAME, ORDER, {"_end": end, "_team": "drawn_team"}, slice_by=slice_by)
-    over = F.col("elapsed") > F.col("_end")
-    return out.withColumns(
-        {"penalty_end": F.when(~over | over.isNull(), F.col("_end")), "penalty_team": F.when(~over | over.isNull(), F.col("_team"))}
-    ).drop("_end", "_team")
+    return _close_penalty(context(plays, GAME, ORDER, carry=_penalty(), slice_by=slice_by))
 
 
 def previous_event(plays: DataFrame, columns: Sequence[str], slice_by: Column | str | None = None) -> DataFrame:
     """Columns of the previous event of the same period (`*_lag1`)."""
-    out = neighbour_row(plays, GAME, ORDER, {"_p": "period", **{f"{c}_lag1": c for c in columns}}, slice_by=slice_by)
-    same = F.col("_p") == F.col("period")
-    return out.withColumns({f"{c}_lag1": F.when(same, F.col(f"{c}_lag1")) for c in columns}).drop("_p")
+    return _same_period(context(plays, GAME, ORDER, previous=_lagged(columns), slice_by=slice_by), columns)
 
 
 def attribution(owner: Column, previous_owner: Column, previous_blocker: Column) -> Column:
@@ -90,9 +105,9 @@ def enrich(plays: DataFrame, roster: DataFrame, slice_by: Column | str | None =
     """The enriched event table: roles, scorer, penalty state, previous event, attribution, tags."""
     roles = {"shooter_team": "shooter_id", "blocker_team": "blocker_id", "committed_team": "committed_id", "drawn_team": "drawn_id"}
     out = attach_roles(plays, roster, roles).withColumn("minutes", F.col("elapsed") / F.lit(60.0))
-    out = last_scorer(out, slice_by)
-    out = penalty_state(out, slice_by)
-    out = previous_event(out, ["owner", "zone", "type", "blocker_team", "blocker_id", "shooter_team", "shooter_id"], slice_by)
+    lagged = ["owner", "zone", "type", "blocker_team", "blocker_id", "shooter_team", "shooter_id"]
+    out = context(out, GAME, ORDER, carry_before=_scorer(), carry=_penalty(), previous=_lagged(lagged), slice_by=slice_by)
+    out = _same_period(_close_penalty(out), lagged)
     return out.withColumn("action", attribution(F.col("owner"), F.col("owner_lag1"), F.col("blocker_team_lag1")))
 
 
@@ -138,7 +153,12 @@ def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: boo
 
     The frame is closed at both ends; `left_open` leaves out its first second.
     """
-    out = neighbour_row(plays, GAME, ORDER, {"_o": "owner"}, slice_by=slice_by)
+    out = context(plays, GAME, ORDER, previous={"_o": "owner"}, slice_by=slice_by)
+    return _trailing_share(out, focal, window, left_open, slice_width)
+
+
+def _trailing_share(out: DataFrame, focal: str, window: int, left_open: bool, slice_width: int | None) -> DataFrame:
+    """Gains from the previous owner `_o`, then the trailing frame."""
     gain = (F.col("owner") != F.col("_o")) & (F.col("owner") == focal)
     out = out.withColumn("possession_gain", F.when(gain, 1.0).otherwise(0.0)).drop("_o")
     mine = F.when(F.col("owner") == focal, 1.0).otherwise(0.0)
@@ -149,20 +169,29 @@ def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: boo
     return out.withColumn("zone_share", F.col("_f") / F.col("_n")).drop("_n", "_f")
 
 
+def _goals(focal: str) -> dict[str, Column]:
+    goal = F.col("type") == "goal"
+    count = lambda who: F.when(goal & who, 1).otherwise(0)
+    return {"goals_for": count(F.col("owner") == focal), "goals_against": count(F.col("owner") != focal)}
+
+
+def _score(df: DataFrame) -> DataFrame:
+    goals = {c: F.col(c).cast("bigint") for c in ("goals_for", "goals_against")}
+    return df.withColumns(goals).withColumn("score_state", clip(F.col("goals_for") - F.col("goals_against"), -2, 2))
+
+
 def score_before(plays: DataFrame, focal: str, slice_by: Column | str | None = None) -> DataFrame:
     """Goals for and against before each event, within the game, and the clipped difference."""
-    goal = F.col("type") == "goal"
-    m = {"goals_for": F.when(goal & (F.col("owner") == focal), 1).otherwise(0), "goals_against": F.when(goal & (F.col("owner") != focal), 1).otherwise(0)}
-    out = running_total(plays, GAME, ORDER, m, include_current=False, slice_by=slice_by)
-    return out.withColumns({c: F.col(c).cast("bigint") for c in m}).withColumn(
-        "score_state", F.greatest(F.lit(-2), F.least(F.lit(2), F.col("goals_for") - F.col("goals_against")))
-    )
+    return _score(context(plays, GAME, ORDER, totals_before=_goals(focal), slice_by=slice_by))
+
+
+def _gap(df: DataFrame) -> DataFrame:
+    return df.withColumn("dt", F.col("elapsed") - F.coalesce(F.col("_t"), F.lit(0))).drop("_t")
 
 
 def time_gap(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Seconds since the previous event; the first gap is the event's own second."""
-    out = neighbour_row(plays, GAME, ORDER, {"_t": "elapsed"}, slice_by=slice_by)
-    return out.withColumn("dt", F.col("elapsed") - F.coalesce(F.col("_t"), F.lit(0))).drop("_t")
+    return _gap(context(plays, GAME, ORDER, previous={"_t": "elapsed"}, slice_by=slice_by))
 
 
 def running_hits(plays: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
@@ -257,10 +286,10 @@ def flow_links(df: DataFrame, layers: Sequence[str], weight: str | None = None)
 
 def master_table(plays: DataFrame, priors: DataFrame | None, focal: str, *, slice_by: Column | str | None = None, slice_width: int | None = None, window: int = 90) -> DataFrame:
     """Event flags, zone share, score state, gaps and focal priors: the input of the momentum model."""
-    out = event_flags(plays, focal)
-    out = possession(out, focal, window, slice_by=slice_by, slice_width=slice_width)
-    out = score_before(out, focal, slice_by)
-    out = time_gap(out, slice_by)
+    out = context(
+        event_flags(plays, focal), GAME, ORDER, totals_before=_goals(focal), previous={"_o": "owner", "_t": "elapsed"}, slice_by=slice_by
+    )
+    out = _trailing_share(_gap(_score(out)), focal, window, False, slice_width)
     if priors is not None:
         out = out.join(priors, "gameid", "left")
     return out.withColumn("is_home", F.lit(1.0))

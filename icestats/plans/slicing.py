@@ -38,6 +38,60 @@ def _with_headers(rows: DataFrame, headers: DataFrame, last: bool = False) -> Da
     return rows.withColumn("_h", F.lit(1)).unionByName(headers.withColumn("_h", F.lit(2 if last else 0)), allowMissingColumns=True)
 
 
+def context(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    *,
+    totals: Mapping[str, Column | str] | None = None,
+    totals_before: Mapping[str, Column | str] | None = None,
+    carry: Mapping[str, Column | str] | None = None,
+    carry_before: Mapping[str, Column | str] | None = None,
+    previous: Mapping[str, Column | str] | None = None,
+    slice_by: Column | str | None = None,
+) -> DataFrame:
+    """All backward-looking values of a row in one pass: one shuffle and one sort.
+
+    `totals` are running sums (0 where nothing came yet), `carry` the last non-null
+    values, `previous` the columns of the row before; `*_before` leave the current row
+    out. Ask for everything at once: each call reads its input once for the rows and,
+    when sliced, once for the per-piece aggregates.
+    """
+    groups = [(_as_columns(totals or {}), "t", 0), (_as_columns(totals_before or {}), "t", -1),
+              (_as_columns(carry or {}), "c", 0), (_as_columns(carry_before or {}), "c", -1)]
+    prev = _as_columns(previous or {})
+    inputs = {f"_ctx_{kind}_{o}": c for cols, kind, _ in groups for o, c in cols.items()}
+    if prev:
+        inputs["_ctx_p"] = F.struct(*[c.alias(o) for o, c in prev.items()])
+    rows = df.withColumns(inputs)
+    part, by = list(keys), _order(order)
+    if slice_by is not None:
+        rows = rows.withColumn("_slice", as_column(slice_by))
+        rank = F.struct(*[F.col(c) for c in order])
+        reduce_one = lambda n: F.sum(n) if n.startswith("_ctx_t_") else F.max_by(n, rank if n == "_ctx_p" else F.when(F.col(n).isNotNull(), rank))
+        pieces = W.partitionBy(*keys).orderBy("_slice")
+        earlier = pieces.rowsBetween(BEFORE, -1)
+        pass_on = lambda n: F.sum(n).over(earlier) if n.startswith("_ctx_t_") else F.lag(n).over(pieces) if n == "_ctx_p" else F.last(n, ignorenulls=True).over(earlier)
+        headers = (
+            rows.groupBy(*keys, "_slice").agg(*[reduce_one(n).alias(n) for n in inputs])
+            .select(*keys, "_slice", *[pass_on(n).alias(n) for n in inputs])
+        )
+        rows, part, by = _with_headers(rows, headers), [*keys, "_slice"], [F.col("_h"), *by]
+    w = W.partitionBy(*part).orderBy(*by)
+    made = {}
+    for cols, kind, end in groups:
+        frame = w.rowsBetween(BEFORE, end)
+        for o in cols:
+            n = f"_ctx_{kind}_{o}"
+            made[o] = F.coalesce(F.sum(n).over(frame), F.lit(0)) if kind == "t" else F.last(n, ignorenulls=True).over(frame)
+    if prev:
+        made["_ctx_n"] = F.lag("_ctx_p").over(w)
+    out = rows.withColumns(made)
+    if slice_by is not None:
+        out = out.filter(F.col("_h") == 1).drop("_h", "_slice")
+    return out.withColumns({o: F.col(f"_ctx_n.{o}") for o in prev}).drop("_ctx_n", *inputs)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -48,20 +102,7 @@ def running_total(
     slice_by: Column | str | None = None,
 ) -> DataFrame:
     """Add running sums `{out: measure}` per key; nothing summed yet gives 0."""
-    end, cols = 0 if include_current else -1, _as_columns(measures)
-    if slice_by is None:
-        w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
-        return df.withColumns({o: F.coalesce(F.sum(c).over(w), F.lit(0)) for o, c in cols.items()})
-    rows = df.withColumn("_slice", as_column(slice_by)).withColumns({f"_m_{o}": c for o, c in cols.items()})
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
-    headers = (
-        rows.groupBy(*keys, "_slice")
-        .agg(*[F.sum(f"_m_{o}").alias(f"_m_{o}") for o in cols])
-        .select(*keys, "_slice", *[F.sum(f"_m_{o}").over(earlier).alias(f"_m_{o}") for o in cols])
-    )
-    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order)).rowsBetween(BEFORE, end)
-    out = _with_headers(rows, headers).withColumns({o: F.coalesce(F.sum(f"_m_{o}").over(w), F.lit(0)) for o in cols})
-    return out.filter(F.col("_h") == 1).drop("_h", "_slice", *[f"_m_{o}" for o in cols])
+    return context(df, keys, order, slice_by=slice_by, **{"totals" if include_current else "totals_before": measures})
 
 
 def carry_last(
@@ -74,21 +115,7 @@ def carry_last(
     slice_by: Column | str | None = None,
 ) -> DataFrame:
     """Add `{out: last non-null value so far}` per key."""
-    end, cols = 0 if include_current else -1, _as_columns(columns)
-    if slice_by is None:
-        w = W.partitionBy(*keys).orderBy(*_order(order)).rowsBetween(BEFORE, end)
-        return df.withColumns({o: F.last(c, ignorenulls=True).over(w) for o, c in cols.items()})
-    rows = df.withColumn("_slice", as_column(slice_by)).withColumns({f"_m_{o}": c for o, c in cols.items()})
-    rank = F.struct(*[F.col(c) for c in order])
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
-    headers = (
-        rows.groupBy(*keys, "_slice")
-        .agg(*[F.max_by(f"_m_{o}", F.when(F.col(f"_m_{o}").isNotNull(), rank)).alias(f"_m_{o}") for o in cols])
-        .select(*keys, "_slice", *[F.last(f"_m_{o}", ignorenulls=True).over(earlier).alias(f"_m_{o}") for o in cols])
-    )
-    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order)).rowsBetween(BEFORE, end)
-    out = _with_headers(rows, headers).withColumns({o: F.last(f"_m_{o}", ignorenulls=True).over(w) for o in cols})
-    return out.filter(F.col("_h") == 1).drop("_h", "_slice", *[f"_m_{o}" for o in cols])
+    return context(df, keys, order, slice_by=slice_by, **{"carry" if include_current else "carry_before": columns})
 
 
 def neighbour_row(
@@ -104,23 +131,23 @@ def neighbour_row(
 
     All columns come from one struct, so the window is evaluated once.
     """
+    if not ahead:
+        return context(df, keys, order, previous=columns, slice_by=slice_by)
     cols = _as_columns(columns)
     packed = F.struct(*[c.alias(o) for o, c in cols.items()])
-    step = F.lead if ahead else F.lag
     if slice_by is None:
         w = W.partitionBy(*keys).orderBy(*_order(order))
-        out = df.withColumn("_n", packed).withColumn("_n", step("_n").over(w))
-        return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_n")
+        out = df.withColumn("_m", packed).withColumn("_n", F.lead("_m").over(w))
+        return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_m", "_n")
     rows = df.withColumn("_slice", as_column(slice_by)).withColumn("_m", packed)
     rank = F.struct(*[F.col(c) for c in order])
-    edge = F.min_by("_m", rank) if ahead else F.max_by("_m", rank)
     headers = (
         rows.groupBy(*keys, "_slice")
-        .agg(edge.alias("_e"))
-        .select(*keys, "_slice", step("_e").over(W.partitionBy(*keys).orderBy("_slice")).alias("_m"))
+        .agg(F.min_by("_m", rank).alias("_e"))
+        .select(*keys, "_slice", F.lead("_e").over(W.partitionBy(*keys).orderBy("_slice")).alias("_m"))
     )
     w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order))
-    out = _with_headers(rows, headers, last=ahead).withColumn("_n", step("_m").over(w)).filter(F.col("_h") == 1)
+    out = _with_headers(rows, headers, last=True).withColumn("_n", F.lead("_m").over(w)).filter(F.col("_h") == 1)
     return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_h", "_slice", "_m", "_n")
 
 
