@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-OPERATORS = ("quality", "language")
+OPERATORS = ("quality", "language", "urls", "shards", "mixing", "fingerprints", "pieces")
 
 
 def registered():
