@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,3 +81,106 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
+
+
+SHINGLE = 5
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def shingles(lists: list[list[bytes]], width: int = SHINGLE) -> list[np.ndarray]:
+    """Per text, a 64-bit hash of the `width` words from each position on.
+
+    A shorter text has one shingle of all its words, a text without words none.
+    """
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = [w for x in lists for w in x]
+    if not flat:
+        return [np.zeros(0, np.uint64) for _ in lists]
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    word = pd.util.hash_array(np.array([w.decode("latin-1") for w in distinct], dtype=object), categorize=False)[codes]
+    n, ends = len(word), np.cumsum(sizes)
+    out = []
+    with np.errstate(over="ignore"):
+        rolled = np.zeros(max(n - width + 1, 0), dtype=np.uint64)
+        for k in range(width):
+            rolled = rolled * _STEP + word[k : n - width + 1 + k] if n >= width else rolled
+        rolled = mix64(rolled, 1)
+        for size, end in zip(sizes.tolist(), ends.tolist()):
+            if size >= width:
+                out.append(rolled[end - size : end - width + 1])
+            elif size:
+                short = np.uint64(size)
+                for w in word[end - size : end]:
+                    short = short * _STEP + w
+                out.append(mix64(np.array([short], dtype=np.uint64), 2))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Call `fn` with the rows of each key, streaming over sorted partitions (keys are not null)."""
+    ready = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        mark: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = [batch.schema.get_field_index(k) for k in keys]
+            change = np.zeros(batch.num_rows - 1, dtype=bool)
+            for k in at:
+                c = batch.column(k)
+                change |= pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                key = tuple(part.column(k)[0].as_py() for k in at)
+                if held and key != mark:
+                    yield from fn(pa.Table.from_batches(held))
+                    held = []
+                mark = key
+                held.append(part)
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return ready.mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b): the least node that each node is joined with.
+
+    Neighbours move to the least neighbour in turns of large and small stars; every turn is
+    written, so its plan stays short. Ends when the edges no longer change.
+    """
+    now = store(_both_ways(edges).where("a > b").distinct(), "edges")
+    mark = _sum_of(now)
+    while True:
+        for larger in (True, False):
+            around = _both_ways(now) if larger else now
+            least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("m", "a").alias("m"))
+            hung = around.join(least, F.col("a") == F.col("c"))
+            if larger:
+                moved = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            else:
+                moved = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
+            now = moved.where("a <> b").distinct()
+            if larger:
+                continue
+            now = store(now, "edges")
+        new = _sum_of(now)
+        if new == mark:
+            break
+        mark = new
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _sum_of(edges: DataFrame) -> tuple:
+    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    return r[0], r[1]
