@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-OPERATORS = ("quality", "language", "urls", "shards", "mixing", "fingerprints", "pieces", "wrappers", "jaccard")
+OPERATORS = ("quality", "language", "urls", "shards", "mixing", "fingerprints", "pieces", "wrappers", "jaccard", "passages")
 
 
 def registered():

@@ -33,9 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What the write has shuffled is not needed once it is stored, so Spark may drop it.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, "false")
+    conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,31 +46,32 @@ def fingerprint(keys: Column, cells: int = CELLS) -> Column:
     return F.lower(F.concat_ws("-", F.hex(F.size(keys)), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), one), "-")))
 
 
-def differences(pairs: DataFrame, rounds: int = ROUNDS, grow: int = GROW) -> tuple[DataFrame, DataFrame]:
-    """Peel the differences of pairs (rid, t, a, b) of digest arrays; (rid, t) names a pair.
+def differences(pairs: DataFrame, rounds: int = ROUNDS, grow: int = GROW) -> DataFrame:
+    """(rid, t, n_a, n_b, n_diff) of pairs (rid, t, a, b) of digest arrays; (rid, t) names a pair.
 
-    Returns (rid, t, n_a, n_b, n_diff) and the recovered (rid, t, digest, side: 1 only in a,
-    -1 only in b). Pairs that do not peel go on with sketches `grow` times as large.
+    Pairs that do not peel go on with sketches `grow` times as large.
     """
-    left = pairs.withColumn("m", F.greatest(F.lit(CELLS), F.size("a") + F.size("b")).cast("long"))
-    found, digests_, attempt = [], [], 0
+    left, found = pairs.withColumn("m", F.greatest(F.lit(CELLS), F.size("a") + F.size("b")).cast("long")), []
     while True:
-        rows = store(_peel(left, rounds), "peeled")
-        failed = rows.where("cell >= 0").select("rid", "t").distinct()
-        good = rows.where("cell < 0").join(failed, ["rid", "t"], "left_anti") if attempt or not failed.isEmpty() else rows
-        found.append(good.groupBy("rid", "t").agg(
+        rows = store(_peel(left, rounds).groupBy("rid", "t").agg(
             F.max(F.when(F.col("cell") == -2, F.col("cnt"))).alias("n_a"), F.max(F.when(F.col("cell") == -2, F.col("key"))).alias("n_b"),
-            F.count(F.when(F.col("cell") == -1, 1)).alias("n_diff"),
-        ))
-        digests_.append(good.where("cell = -1").select("rid", "t", F.col("tag").alias("digest"), F.col("cnt").cast("int").alias("side")))
+            F.count(F.when(F.col("cell") == -1, 1)).alias("n_diff"), F.count(F.when(F.col("cell") >= 0, 1)).alias("stuck"),
+        ), "peeled")
+        found.append(rows.where("stuck = 0").drop("stuck"))
+        failed = rows.where("stuck > 0").select("rid", "t")
         if failed.isEmpty():
             break
-        attempt += 1
         left = left.join(failed, ["rid", "t"], "left_semi").withColumn("m", F.col("m") * grow)
-    out, keys = found[0], digests_[0]
-    for a, b in zip(found[1:], digests_[1:]):
-        out, keys = out.unionByName(a), keys.unionByName(b)
-    return out, keys
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def recovered(pairs: DataFrame, rounds: int = 4 * ROUNDS) -> DataFrame:
+    """(rid, t, digest, side) that one sketch of each pair gives away; side 1: only in a, -1: only in b."""
+    sized = pairs.withColumn("m", F.greatest(F.lit(CELLS), F.size("a") + F.size("b")).cast("long"))
+    return _peel(sized, rounds).where("cell = -1").select("rid", "t", F.col("tag").alias("digest"), F.col("cnt").cast("int").alias("side"))
 
 
 def _peel(pairs: DataFrame, rounds: int) -> DataFrame:
@@ -143,7 +144,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ), "versions")
     cut = known.withColumn("a", F.expr("slice(all, 1, na)")).withColumn("e", F.expr("slice(all, na + nn + 1, size(all))")).withColumn("b", F.expr("slice(all, na + 1, nn)"))
     pairs = cut.select("rid", "a", F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("e").alias("b")), F.struct(F.lit(1).alias("t"), F.col("b").alias("b")))).alias("p")).select("rid", "p.t", "a", "p.b")
-    got, _ = differences(pairs)
+    got = differences(pairs)
     total = F.col("n_a") + F.col("n_b")
     likeness = F.when(total == 0, 1.0).otherwise((total - F.col("n_diff")) / (total + F.col("n_diff")))
     near = got.withColumn("near", likeness).groupBy("rid").agg(F.max(F.when(F.col("t") == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("t") == 1, F.col("near"))).alias("near_next"))
