@@ -79,7 +79,7 @@ def ring_shards(docs: DataFrame, shards: int = 8, key: Column | None = None, id_
     key = text if key is None else key
     rows = store(docs.select(
         F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
-        F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(owner))).cast("int").alias("_cell"),
+        F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 65 - len(owner).bit_length()).cast("int").alias("_cell"),
         F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(subs)).cast("int").alias("_sub"),
     ), "ring")
     counts = {(r["_cell"], r["_sub"]): r["n"] for r in rows.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("n")).collect()}
