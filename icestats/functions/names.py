@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿčćďěłńňřśšťůźžż"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyccdelnnrsstuzzz"
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with a mark or stroke and the letter in their Unicode name."""
+    named = re.compile(r"LATIN SMALL LETTER (?:DOTLESS )?([A-Z])(?: WITH .*)?$")
+    found = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        m = named.match(unicodedata.name(chr(code), ""))
+        if m:
+            found[chr(code)] = m[1].lower()
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def name_contains(name: Column, term: str) -> Column:
@@ -57,6 +69,4 @@ def repair_names(
 
 def drop_columns_like(df: DataFrame, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
     """Drop columns whose name matches the pattern."""
-    import re
-
     return df.drop(*[c for c in df.columns if re.search(pattern, c) and c not in keep])

@@ -31,14 +31,45 @@ def chi2_tail(x: float, df: int) -> float:
     return min(q, 1.0)
 
 
-def t_tail(t: float, df: float, n: int = 4000) -> float:
-    """Two-sided p-value of Student's t by Simpson's rule over the angle atan(t/sqrt(df))."""
-    top = math.atan(abs(t) / math.sqrt(df))
-    step = (math.pi / 2 - top) / n
-    f = lambda a: max(math.cos(a), 0.0) ** (df - 1)
-    total = f(top) + f(math.pi / 2) + sum((4 if i % 2 else 2) * f(top + i * step) for i in range(1, n))
-    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return min(1.0, 2 * scale * total * step / 3)
+#: Degrees of freedom above which the normal tail with its first correction is exact to 1e-12.
+LARGE_DF = 1e6
+
+
+def t_tail(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t.
+
+    The incomplete beta integral I(df / (df + t^2); df / 2, 1 / 2) as a continued fraction,
+    beyond LARGE_DF the normal tail plus its term in 1 / df.
+    """
+    t = abs(t)
+    if math.isinf(t):
+        return 0.0
+    if df > LARGE_DF:
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return min(1.0, normal_tail(t) + 2 * density * (t**3 + t) / (4 * df))
+    x, y = df / (df + t * t), t * t / (df + t * t)
+    if t == 0:
+        return 1.0
+    if x < (df / 2 + 1) / (df / 2 + 2.5):
+        return _beta_part(x, y, df / 2, 0.5)
+    return 1.0 - _beta_part(y, x, 0.5, df / 2)
+
+
+def _beta_part(x: float, y: float, a: float, b: float) -> float:
+    """Regularised incomplete beta for x left of the bulk, y = 1 - x."""
+    front = math.exp(a * math.log(x) + b * math.log(y) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    # convergents p/q of 1 / (1 + d1 / (1 + d2 / ...)), rescaled as they grow
+    p0, q0, p1, q1, value, m = 1.0, 0.0, 1.0, 1.0, 1.0, 0
+    while True:
+        m += 1
+        k = m // 2
+        d = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)) if m % 2 == 0 else -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        p0, p1, q0, q1 = p1, p1 + d * p0, q1, q1 + d * q0
+        scale = 1.0 / q1
+        p0, p1, q0, q1 = p0 * scale, p1 * scale, q0 * scale, 1.0
+        if abs(p1 - value) <= 1e-15 * abs(p1) or m > 100_000:
+            return front / p1
+        value = p1
 
 
 def normal_tail_column(z: Column) -> Column:
