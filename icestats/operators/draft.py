@@ -16,15 +16,18 @@ from icestats.plans.slicing import exact_quantiles
 YEAR_CUTS, YEAR_REST = ((3, "0-3"), (6, "4-6"), (9, "7-9")), "10+"
 PICK_CUTS, PICK_REST = ((5, "1-5"), (10, "6-10")), "11+"
 ACTIVE_GAMES, LAST_YEAR = 40, 10
-GAME_EDGES, GAME_LABELS = (-1, 0, 99, 399, 799, 9999), ("0", "1-99", "100-399", "400-799", "800+")
+GAME_EDGES, GAME_LABELS = (-1, 0, 99, 399, 799, float("inf")), ("0", "1-99", "100-399", "400-799", "800+")
 POSITION_GROUPS = {"Center": ("C", "C/RW", "C/LW"), "Winger": ("LW", "RW", "LW/RW", "F"), "Defenseman": ("D",)}
 MERGED_FORWARDS = {"F": "F (multiple)", "C/RW": "F (multiple)", "C/LW": "F (multiple)", "LW/RW": "F (multiple)"}
 
 
-def draft_with_points(draft: DataFrame, points: DataFrame) -> DataFrame:
-    """Draft rows with season points by first and last name; unmatched rows leave."""
-    p = points.select("first_name", "last_name", *[F.col(c).alias(f"{c}_stats") for c in points.columns if c not in ("first_name", "last_name")])
-    return draft.join(p, ["first_name", "last_name"])
+def draft_with_points(draft: DataFrame, points: DataFrame, keys: Sequence[str] = ("first_name", "last_name")) -> DataFrame:
+    """Draft rows with season points by name; unmatched rows leave.
+
+    Names alone are not unique: add the draft year to `keys` where the points have it.
+    """
+    p = points.select(*keys, *[F.col(c).alias(f"{c}_stats") for c in points.columns if c not in keys])
+    return draft.join(p, list(keys))
 
 
 def career_attributes(career: DataFrame, draft: DataFrame, league: str = "NHL", game_type: int = 2) -> DataFrame:

@@ -228,8 +228,9 @@ SEGMENT_EDGES, SEGMENT_NAMES = (0, 25, 55, 82), ("early", "middle", "late")
 
 
 def segment_calibration(df: DataFrame, y: str, p: str, game_no: str, bins: int = 10) -> DataFrame:
-    seg = df.withColumn("segment", bucket(F.col(game_no), SEGMENT_EDGES, SEGMENT_NAMES))
-    return calibration_curve(seg.filter(F.col("segment").isNotNull()), y, p, keys=["segment"], bins=bins)
+    """Calibration per season segment; game numbers outside of them form the segment `other`."""
+    seg = df.withColumn("segment", F.coalesce(bucket(F.col(game_no), SEGMENT_EDGES, SEGMENT_NAMES), F.lit("other")))
+    return calibration_curve(seg, y, p, keys=["segment"], bins=bins)
 
 
 def range_histogram(df: DataFrame, p: str, edges: Sequence[float]) -> DataFrame:

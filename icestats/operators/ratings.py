@@ -180,13 +180,14 @@ MIN_HISTORY, PENALTY_C = 50, 1e5
 
 
 def expanding_logit(
-    rows: DataFrame, features: Sequence[str], target: str, *, block: str, steps: int = 12, tolerance: float = 1e-8
+    rows: DataFrame, features: Sequence[str], target: str, *, block: str, steps: int = 60, tolerance: float = 1e-8
 ) -> DataFrame:
     """Logistic forecast `p_process`, trained strictly on earlier blocks (dates).
 
     All cutoffs are fitted together. Each Newton step is one Spark job: every task
     turns its rows into gradient and Hessian sums per cutoff, and only these sums are
     shuffled. The driver holds a few numbers per cutoff; a calendar bounds their count.
+    A cutoff whose last step is larger than `tolerance` has `converged` false and no forecast.
     """
     d = len(features) + 1
     data = rows.filter(F.expr(" AND ".join(f"{f} IS NOT NULL" for f in features)) & F.col(target).isNotNull())
@@ -209,6 +210,7 @@ def expanding_logit(
     theta = np.zeros((nb, d))
     penalty = np.diag([0.0] + [1.0 / PENALTY_C] * (d - 1))
     ready = n >= MIN_HISTORY
+    done = ~ready
     spark = rows.sparkSession
     index = spark.createDataFrame(pd.DataFrame({block: sums[block], "_b": np.arange(nb)}))
     work = data.join(index.withColumn(block, F.col(block).cast(rows.schema[block].dataType)), block).select(
@@ -251,11 +253,12 @@ def expanding_logit(
         delta = np.linalg.solve(hess, (grad + theta @ penalty)[..., None])[..., 0]
         delta[~ready] = 0.0
         theta = theta - np.clip(delta, -5, 5)
-        if np.abs(delta).max(initial=0.0) < tolerance:
+        done = np.abs(delta).max(axis=1, initial=0.0) < tolerance
+        if done.all():
             break
     work.unpersist()
     v = np.einsum("bi,bij->bj", theta, m)
-    fitted = pd.DataFrame({block: sums[block], **{f"_v{i}": np.where(ready, v[:, i], np.nan) for i in range(d)}})
+    fitted = pd.DataFrame({block: sums[block], **{f"_v{i}": np.where(ready & done, v[:, i], np.nan) for i in range(d)}, "converged": done})
     params = spark.createDataFrame(fitted).withColumn(block, F.col(block).cast(rows.schema[block].dataType))
     logit = F.col("_v0")
     for i, f in enumerate(features):

@@ -152,7 +152,7 @@ def _(t):
 
 @query("bootstrap_shares_l4")
 def _(t):
-    return S.bootstrap_shares(t.plays, ["zone"], "type", replicates=2000)
+    return S.bootstrap_shares(t.plays, ["zone"], "type")
 
 
 @query("tenure_regression_k17")

@@ -138,9 +138,8 @@ def _(t):
 @query("expanding_logit_j12")
 def _(t):
     f = M.analytical_matrix(M.load_outcomes(t.games), T.prior_metrics(T.to_team_rows(t.games), F.month("game_date")))
-    f = f.withColumn("block", F.trunc("game_date", "month"))
-    out = R.expanding_logit(f, ["delta_cf_pct", "delta_ff_pct", "delta_pythagorean"], "home_win", block="block")
-    return out.select("gameid", "game_date", *r6("p_process"))
+    out = R.expanding_logit(f, ["delta_cf_pct", "delta_ff_pct", "delta_pythagorean"], "home_win", block="game_date")
+    return out.select("gameid", "game_date", "converged", *r6("p_process"))
 
 
 @query("team_venue_cube_j22", """SELECT gameid, season, home AS team, 'home' AS venue, home_goals AS goals FROM games UNION ALL SELECT gameid, season, away, 'away', away_goals FROM games""")

@@ -156,10 +156,19 @@ def attrs(t):
     return D.career_attributes(t.career, t.draft)
 
 
-@query("draft_points_k6", """SELECT d.id, c.id AS id_stats, c.points AS points_stats FROM draft d JOIN (SELECT first_name, last_name, x.id, points FROM career x JOIN draft y ON y.id = x.id WHERE season = 1997) c ON c.first_name = d.first_name AND c.last_name = d.last_name""")
+# one player per name and draft year, so that a draft row meets the seasons of one player
+NAMED = """nm AS (SELECT first_name, last_name, draft_year, min(id) AS id FROM draft GROUP BY 1, 2, 3),
+pt AS (SELECT nm.*, season, league, points FROM career c JOIN nm ON nm.id = c.id)"""
+NAME_KEYS = ("first_name", "last_name", "draft_year")
+
+
+def named_points(t):
+    return t.career.select("id", "season", "league", "points").join(D.map_of_names(t.draft), "id").select(*NAME_KEYS, "id", "season", "league", "points")
+
+
+@query("draft_points_k6", f"WITH {NAMED} SELECT d.id, pt.id AS id_stats, pt.season AS season_stats, pt.points AS points_stats FROM draft d JOIN pt USING (first_name, last_name, draft_year)")
 def _(t):
-    pts = t.career.filter(col("season") == 1997).join(t.draft.select("id", "first_name", "last_name"), "id").select("first_name", "last_name", "id", "points")
-    return D.draft_with_points(t.draft, pts).select("id", "id_stats", "points_stats")
+    return D.draft_with_points(t.draft, named_points(t), keys=NAME_KEYS).select("id", "id_stats", "season_stats", "points_stats")
 
 
 @query("career_attributes_k7", f"""WITH {ATTR} SELECT id, season, CAST(ysd0 AS INT) AS years_since_draft, league_year, CASE WHEN ysd0 <= 3 THEN '0-3' WHEN ysd0 <= 6 THEN '4-6' WHEN ysd0 <= 9 THEN '7-9' ELSE '10+' END AS since_bucket,
@@ -243,9 +252,9 @@ def _(t):
 
 
 @query("career_distribution_k14", """WITH g AS (SELECT d.id, coalesce(sum(games_played), 0) AS g FROM draft d LEFT JOIN career c ON c.id = d.id AND league = 'NHL' WHERE draft_year = 1995 GROUP BY d.id)
-SELECT '100-399' AS games_group, count(CASE WHEN g BETWEEN 100 AND 399 THEN 1 END) AS players FROM g""")
+SELECT l AS games_group, count(CASE WHEN g BETWEEN a AND b THEN 1 END) AS players FROM g, (VALUES ('0', -1, 0), ('1-99', 1, 99), ('100-399', 100, 399), ('400-799', 400, 799), ('800+', 800, 1000000000)) v(l, a, b) GROUP BY l""")
 def _(t):
-    return D.career_distribution(t.draft.filter(col("draft_year") == 1995), t.career).filter(col("games_group") == "100-399").select("games_group", "players")
+    return D.career_distribution(t.draft.filter(col("draft_year") == 1995), t.career).select("games_group", "players")
 
 
 @query("id_map_c20", "SELECT first_name, last_name, draft_year, min(id) AS id FROM draft GROUP BY 1, 2, 3")
@@ -544,11 +553,10 @@ def _(t):
     return V.distance_table(t.games, t.arena).select("home", "away", *r6("hours"))
 
 
-@query("name_join_c18", """SELECT d.id, c.points AS points_stats FROM draft d JOIN (SELECT y.first_name, y.last_name, x.points FROM career x JOIN draft y ON y.id = x.id WHERE season = 1999 AND x.league = 'AHL') c
-ON c.first_name = d.first_name AND c.last_name = d.last_name""")
+@query("name_join_c18", f"WITH {NAMED} SELECT d.id, league AS league_stats, CAST(sum(pt.points) AS BIGINT) AS points_stats FROM draft d JOIN pt USING (first_name, last_name, draft_year) GROUP BY d.id, league")
 def _(t):
-    pts = t.career.filter((col("season") == 1999) & (col("league") == "AHL")).join(t.draft.select("id", "first_name", "last_name"), "id")
-    return D.draft_with_points(t.draft, pts.select("first_name", "last_name", "points")).select("id", "points_stats")
+    per = named_points(t).groupBy(*NAME_KEYS, "league").agg(F.sum("points").alias("points"))
+    return D.draft_with_points(t.draft, per, keys=NAME_KEYS).select("id", "league_stats", "points_stats")
 
 
 @query("union_of_sides_g1", "SELECT gameid, home AS team FROM games UNION ALL SELECT gameid, away FROM games")

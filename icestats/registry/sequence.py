@@ -20,11 +20,12 @@ ENR = ROLES + """, e1 AS (SELECT *, last_value(CASE WHEN type = 'goal' THEN owne
  lag(owner) OVER v AS owner_lag1, lag(zone) OVER v AS zone_lag1, lag(type) OVER v AS type_lag1, lag(blocker_team) OVER v AS blocker_team_lag1, lag(shooter_id) OVER v AS shooter_id_lag1
  FROM ro WINDOW w AS (PARTITION BY gameid ORDER BY elapsed, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY gameid, period ORDER BY elapsed, event_id)),
 en AS (SELECT *, CASE WHEN elapsed > pend THEN NULL ELSE pend END AS penalty_end, CASE WHEN elapsed > pend THEN NULL ELSE pteam END AS penalty_team,
- CASE WHEN owner <> owner_lag1 AND blocker_team_lag1 IS NOT NULL THEN 'Own action' WHEN owner = owner_lag1 AND blocker_team_lag1 IS NOT NULL THEN 'Opponent action'
- WHEN owner_lag1 IS NULL THEN 'Neutral' WHEN owner = owner_lag1 THEN 'Own action' WHEN owner IS NULL THEN 'Neutral' ELSE 'Opponent action' END AS action FROM e1)"""
-POST = ENR + """, po AS (SELECT *, CASE WHEN blocker_team = blocker_team_lag1 AND type = 'blocked-shot' THEN 'Defense' WHEN blocker_team <> blocker_team_lag1 AND type = 'blocked-shot' THEN 'Offense'
- WHEN owner = blocker_team_lag1 AND zone = 'D' THEN 'Defense' WHEN owner = blocker_team_lag1 AND zone = 'O' THEN 'Offense' WHEN owner <> blocker_team_lag1 AND zone = 'D' THEN 'Offense'
- WHEN owner <> blocker_team_lag1 AND zone = 'O' THEN 'Defense' ELSE 'Neutral' END AS posture FROM en WHERE type_lag1 = 'blocked-shot')"""
+ -- the same owner acts on, and after a block the owner counts the other way round
+ CASE (owner = owner_lag1) = (blocker_team_lag1 IS NULL) WHEN TRUE THEN 'Own action' WHEN FALSE THEN 'Opponent action' ELSE 'Neutral' END AS action FROM e1)"""
+# whose end the play is in, seen from the team that blocked before: a block happens in the blocker's own end
+POST = ENR + """, en2 AS (SELECT *, type = 'blocked-shot' AND blocker_team IS NOT NULL AS is_block FROM en WHERE type_lag1 = 'blocked-shot'),
+po AS (SELECT *, CASE ((CASE WHEN is_block THEN blocker_team ELSE owner END) = blocker_team_lag1) = (CASE WHEN is_block THEN TRUE WHEN zone IN ('D', 'O') THEN zone = 'D' END)
+ WHEN TRUE THEN 'Defense' WHEN FALSE THEN 'Offense' ELSE 'Neutral' END AS posture FROM en2)"""
 
 
 def enriched(t):
@@ -243,4 +244,4 @@ def _(t):
 def _(t):
     from icestats.operators.stats import bootstrap_shares
     s = Q.sessions(t.plays, "HOM", slice_by=BLOCK)
-    return bootstrap_shares(s.withColumn("goal_sign", F.signum("goal")), ["won_home"], "goal_sign", replicates=2000)
+    return bootstrap_shares(s.withColumn("goal_sign", F.signum("goal")), ["won_home"], "goal_sign")

@@ -69,6 +69,20 @@ def gap_sessions(stream: DataFrame, time: str, *, gap: str = "2 minutes", delay:
     )
 
 
+def with_end(stream: DataFrame, time: str, at, folder: str) -> DataFrame:
+    """The stream and one empty row at the time `at`, which closes all windows and sessions before it.
+
+    Use it for a stream that ends: its last results wait for a later row otherwise. The row
+    itself stays in an open window and never comes out; `at` must lie beyond the last row
+    by more than the lateness bound and the window or gap.
+    """
+    spark = stream.sparkSession
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name != time]
+    row = spark.range(1).select(*empty, F.lit(at).cast(stream.schema[time].dataType).alias(time)).select(*stream.columns)
+    row.write.mode("overwrite").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(row.schema).parquet(folder))
+
+
 def append_results(result: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write finished windows or sessions to a parquet folder."""
     return _run(result.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint, trigger).start()
