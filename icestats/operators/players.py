@@ -16,6 +16,11 @@ SKATERS = ("C", "L", "R", "D")
 SKATER_INDEX = ("points_per_game", "goals_per_game", "assists_per_game", "plus_minus", "shots_per_game", "shooting_pct", "toi_per_game")
 GOALIE_INDEX = ("save_pct", "gaa_inv", "wins", "shutouts", "saves_per_game")
 MIN_INDEX_ROWS = 5
+# Games needed for an index, and the summed measures of skater tables
+SKATER_GAMES, GOALIE_GAMES = 20, 15
+SKATER_SUMS = (
+    "goals", "assists", "points", "plus_minus", "pim", "hits", "power_play_goals", "shots", "blocked_shots", "shifts", "giveaways", "takeaways",
+)
 
 
 def regular_seasons(df: DataFrame, kind: str = "season_type") -> DataFrame:
@@ -98,21 +103,22 @@ def weekly_skater(df: DataFrame) -> DataFrame:
     """Player weeks (from Monday): sums, games, ice time, mean faceoff share, opponents, first team."""
     first = F.struct("game_date", "gameid", "team")
     return _weekly_frame(df).groupBy("player_id", "week_start").agg(
-        *[F.sum(m).alias(m) for m in ("goals", "assists", "shots")], F.count(F.lit(1)).alias("games"),
+        *[F.sum(m).alias(m) for m in SKATER_SUMS], F.count(F.lit(1)).alias("games"),
         seconds_text(F.sum(F.coalesce(clock_seconds(F.col("toi")), F.lit(0)))).alias("toi"), F.avg("faceoff_pct").alias("faceoff_pct"),
         _opponents(), F.min_by("team", first).alias("team"),
     )
 
 
 def weekly_goalie(df: DataFrame) -> DataFrame:
-    """Goalie weeks: saves, shots, goals against, decisions, save share and goals per game."""
+    """Goalie weeks: saves, shots, goals against, decisions, save share, goals per game, opponents, first team."""
     s, f = split_saves(F.col("save_text"))
     rows = _weekly_frame(df).withColumns({"_s": s, "_f": f})
     out = rows.groupBy("player_id", "week_start").agg(
-        F.count(F.lit(1)).alias("games"), F.sum("_s").alias("saves"), F.sum("_f").alias("faced"), F.sum(F.col("_f") - F.col("_s")).alias("goals_against"),
+        F.count(F.lit(1)).alias("games"), F.sum("_s").alias("saves"), F.sum("_f").alias("faced"), F.sum("goals_against").alias("ga_week"),
         F.count_if(F.col("decision") == "W").alias("wins"), F.count_if(F.col("decision") == "L").alias("losses"), _opponents(),
+        F.min_by("team", F.struct("game_date", "gameid", "team")).alias("team"),
     )
-    return out.withColumns({"save_pct": F.round(ratio(F.col("saves"), F.col("faced")), 3), "gaa": F.round(ratio(F.col("goals_against"), F.col("games")), 2)})
+    return out.withColumns({"save_pct": F.round(ratio(F.col("saves"), F.col("faced")), 3), "gaa": F.round(ratio(F.col("ga_week"), F.col("games")), 2)})
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -130,14 +136,16 @@ def season_rollup(df: DataFrame) -> DataFrame:
 
 
 def summary_with_mode(df: DataFrame) -> DataFrame:
-    """Player-season summary with the modal opponent label and the last team in date order."""
+    """Player season: sums and means of all skater measures, ice time, modal name, last team in date order."""
     keys = ["player_id", "season"]
     rows = df.withColumn("season", F.year("game_date"))
     last = F.struct("game_date", "gameid", "team")
     s = rows.groupBy(*keys).agg(
-        F.max_by("team", last).alias("team"), F.count(F.lit(1)).alias("games"), *[F.sum(m).alias(m) for m in ("goals", "assists", "shots")]
+        F.max_by("team", last).alias("team"), F.count(F.lit(1)).alias("games"), *[F.sum(m).alias(m) for m in SKATER_SUMS],
+        *[F.avg(m).alias(f"mean_{m}") for m in SKATER_SUMS], F.sum(F.coalesce(clock_seconds(F.col("toi")), F.lit(0))).alias("toi_seconds"),
+        F.avg("faceoff_pct").alias("faceoff_pct"),
     )
-    return s.join(mode_by(rows, keys, "opponent", "usual_opponent"), keys)
+    return s.join(mode_by(rows, keys, "name", "name"), keys)
 
 
 def within_team(df: DataFrame, measures: Sequence[str]) -> DataFrame:

@@ -363,14 +363,16 @@ def local_priors(prior: DataFrame) -> DataFrame:
     )
 
 
-def champion_label(totals: DataFrame) -> DataFrame:
-    """Season expectation with champion (most wins), lost or missed label by rank of wins."""
-    best = totals.groupBy("season").agg(F.max("rwin").alias("best"))
-    half = F.lit(0.5)
-    return totals.join(best, "season", "left").withColumn(
-        "label",
-        F.when(F.col("rwin") == F.col("best"), "champion").when(F.col("wp") >= half, "lost").otherwise("missed"),
-    ).drop("best")
+def champion_label(totals: DataFrame, playoffs: DataFrame) -> DataFrame:
+    """Label of a team's season from its playoff rows (season, team, win).
+
+    The champion has most playoff wins (the first name at a tie), the others with a playoff
+    row lost, a team without one missed the playoffs.
+    """
+    wins = playoffs.groupBy("season", "team").agg(F.sum("win").alias("_wins"))
+    best = wins.groupBy("season").agg(F.min_by("team", F.struct(-F.col("_wins"), F.col("team"))).alias("_best"))
+    label = F.when(F.col("_wins").isNull(), "missed").when(F.col("team") == F.col("_best"), "champion").otherwise("lost")
+    return totals.join(wins, ["season", "team"], "left").join(best, "season", "left").withColumn("label", label).drop("_wins", "_best")
 
 
 def measures_long(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from icestats.operators import teams as T
 from icestats.operators import travel as V
 from icestats.plans.slicing import exact_quantiles
 from icestats.registry.base import query
-from icestats.registry.teams import PAIRED, RUN, r6
+from icestats.registry.teams import PAIRED, PLACES, RUN, r6
 
 col = F.col
 SEC = "(CAST(split_part(toi, ':', 1) AS BIGINT) * 60 + CAST(split_part(toi, ':', 2) AS BIGINT))"
@@ -31,20 +31,34 @@ def _(t):
     return P.goalie_rates(t.player_season).select("player_id", "season", "team", *r6("saves_per_game", "win_pct"))
 
 
-@query("skater_index_e23", """WITH s AS (SELECT *, CAST(points AS DOUBLE) / games_played AS pg, CAST(goals AS DOUBLE) / games_played AS gg, CAST(plus_minus AS DOUBLE) AS pm FROM player_season WHERE position <> 'G' AND games_played >= 5),
-z AS (SELECT player_id, season, team, ((pg - avg(pg) OVER w) / stddev_samp(pg) OVER w + (gg - avg(gg) OVER w) / stddev_samp(gg) OVER w + (pm - avg(pm) OVER w) / stddev_samp(pm) OVER w) / 3 AS z, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY season))
-SELECT player_id, season, team, round(z, 3) AS ppi FROM z WHERE n >= 5""")
+def index_sql(measures: dict[str, str], who: str, least: int) -> str:
+    """Mean of the z-scores of the measures that a row has, in seasons of five rows or more."""
+    m = list(measures)
+    z = lambda c: f"CASE WHEN stddev_samp({c}) OVER w = 0 THEN 0 * {c} ELSE ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END AS z_{c}"
+    return f"""WITH s AS (SELECT player_id, season, team, {", ".join(f"{v} AS {k}" for k, v in measures.items())} FROM player_season WHERE {who} AND games_played >= {least}),
+z AS (SELECT player_id, season, team, count(*) OVER w AS n, {", ".join(map(z, m))} FROM s WINDOW w AS (PARTITION BY season))
+SELECT player_id, season, team, round(({" + ".join(f"coalesce(z_{c}, 0)" for c in m)}) / nullif({" + ".join(f"(z_{c} IS NOT NULL)::INT" for c in m)}, 0), 3) AS ppi FROM z WHERE n >= 5"""
+
+
+PER_GAME = "CAST({} AS DOUBLE) / games_played"
+SKATER_SQL = {
+    **{f"{m}_per_game": PER_GAME.format(m) for m in ("points", "goals", "assists", "shots")}, "plus_minus": "CAST(plus_minus AS DOUBLE)",
+    "shooting_pct": "CAST(goals AS DOUBLE) / nullif(shots, 0)", "toi_per_game": PER_GAME.format("time_on_ice"),
+}
+GOALIE_SQL = {
+    "save_pct": "CAST(saves AS DOUBLE) / nullif(saves + goals_against, 0)", "gaa_inv": "-" + PER_GAME.format("goals_against"), "wins": "CAST(wins AS DOUBLE)",
+    "shutouts": "CAST(shutouts AS DOUBLE)", "saves_per_game": PER_GAME.format("saves"),
+}
+
+
+@query("skater_index_e23", index_sql(SKATER_SQL, "position <> 'G'", P.SKATER_GAMES))
 def _(t):
-    s = P.skater_rates(t.player_season)
-    return P.performance_index(s, ["points_per_game", "goals_per_game", "plus_minus"], min_games=5).select("player_id", "season", "team", "ppi")
+    return P.performance_index(P.skater_rates(t.player_season), P.SKATER_INDEX, min_games=P.SKATER_GAMES).select("player_id", "season", "team", "ppi")
 
 
-@query("goalie_index_k3", """WITH s AS (SELECT *, CAST(saves AS DOUBLE) / (saves + goals_against) AS sp, -CAST(goals_against AS DOUBLE) / games_played AS gi, CAST(wins AS DOUBLE) AS w FROM player_season WHERE position = 'G' AND games_played >= 5 AND saves + goals_against > 0),
-z AS (SELECT player_id, season, team, ((sp - avg(sp) OVER v) / stddev_samp(sp) OVER v + (gi - avg(gi) OVER v) / stddev_samp(gi) OVER v + (w - avg(w) OVER v) / stddev_samp(w) OVER v) / 3 AS z, count(*) OVER v AS n FROM s WINDOW v AS (PARTITION BY season))
-SELECT player_id, season, team, round(z, 3) AS ppi FROM z WHERE n >= 5""")
+@query("goalie_index_k3", index_sql(GOALIE_SQL, "position = 'G'", P.GOALIE_GAMES))
 def _(t):
-    g = P.goalie_rates(t.player_season)
-    return P.performance_index(g, ["save_pct", "gaa_inv", "wins"], min_games=5).select("player_id", "season", "team", "ppi")
+    return P.performance_index(P.goalie_rates(t.player_season), P.GOALIE_INDEX, min_games=P.GOALIE_GAMES).select("player_id", "season", "team", "ppi")
 
 
 @query("team_codes_k2", "SELECT gameid, n, home AS own_team, away AS opp_team, 'home' AS side FROM games, range(1, 4) r(n) UNION ALL SELECT gameid, n, away, home, 'away' FROM games, range(1, 4) r(n)")
@@ -70,7 +84,10 @@ def _(t):
     return P.game_log(t.player_game, 17).select("gameid", "game_date", "team", "opponent", "goals", "toi")
 
 
-@query("weekly_skater_d12", f"""SELECT player_id, CAST(date_trunc('week', game_date) AS DATE) AS week_start, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(assists) AS BIGINT) AS assists, CAST(sum(shots) AS BIGINT) AS shots, count(*) AS games,
+SUMS = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in P.SKATER_SUMS)
+
+
+@query("weekly_skater_d12", f"""SELECT player_id, CAST(date_trunc('week', game_date) AS DATE) AS week_start, {SUMS}, count(*) AS games,
 concat(CAST(sum({SEC}) // 60 AS VARCHAR), ':', lpad(CAST(sum({SEC}) % 60 AS VARCHAR), 2, '0')) AS toi, round(avg(faceoff_pct), 6) AS faceoff_pct, array_to_string(list_sort(list_distinct(list(opponent))), ', ') AS opponents,
 min(struct_pack(d := game_date, g := gameid, t := team)).t AS team FROM player_game GROUP BY 1, 2""")
 def _(t):
@@ -78,11 +95,12 @@ def _(t):
 
 
 @query("weekly_goalie_d13", """SELECT player_id, CAST(date_trunc('week', game_date) AS DATE) AS week_start, count(*) AS games, CAST(sum(CAST(split_part(save_text, '/', 1) AS BIGINT)) AS BIGINT) AS saves, CAST(sum(CAST(split_part(save_text, '/', 2) AS BIGINT)) AS BIGINT) AS faced,
-count(CASE WHEN decision = 'W' THEN 1 END) AS wins, count(CASE WHEN decision = 'L' THEN 1 END) AS losses, round(sum(CAST(split_part(save_text, '/', 1) AS DOUBLE)) / sum(CAST(split_part(save_text, '/', 2) AS BIGINT)), 3) AS save_pct, round(3.0::DOUBLE, 2) AS gaa
+count(CASE WHEN decision = 'W' THEN 1 END) AS wins, count(CASE WHEN decision = 'L' THEN 1 END) AS losses, round(sum(CAST(split_part(save_text, '/', 1) AS DOUBLE)) / sum(CAST(split_part(save_text, '/', 2) AS BIGINT)), 3) AS save_pct, CAST(sum(goals_against) AS BIGINT) AS ga_week, round(CAST(sum(goals_against) AS DOUBLE) / count(*), 2) AS gaa,
+array_to_string(list_sort(list_distinct(list(opponent))), ', ') AS opponents, min(struct_pack(d := game_date, g := gameid, t := team)).t AS team
 FROM player_game WHERE position = 'G' GROUP BY 1, 2""")
 def _(t):
     w = P.weekly_goalie(t.player_game.filter(col("position") == "G"))
-    return w.select("player_id", "week_start", "games", "saves", "faced", "wins", "losses", "save_pct", "gaa")
+    return w.select("player_id", "week_start", "games", "saves", "faced", "wins", "losses", "save_pct", "ga_week", "gaa", "opponents", "team")
 
 
 @query("season_rollup_d14", """SELECT player_id, season, CAST(sum(games_played) AS BIGINT) AS games_played, CAST(sum(goals) AS BIGINT) AS goals, CAST(sum(points) AS BIGINT) AS points, round(avg(time_on_ice), 6) AS mean_toi,
@@ -91,12 +109,17 @@ def _(t):
     return P.season_rollup(t.player_season).select("player_id", "season", "games_played", "goals", "points", *r6("mean_toi"), "team")
 
 
-@query("summary_with_mode_d15", """WITH c AS (SELECT player_id, CAST(year(game_date) AS INT) AS season, opponent, count(*) AS n FROM player_game GROUP BY 1, 2, 3),
-m AS (SELECT player_id, season, min(struct_pack(n := -n, o := opponent)).o AS usual_opponent FROM c GROUP BY 1, 2)
-SELECT g.player_id, CAST(year(game_date) AS INT) AS season, count(*) AS games, CAST(sum(goals) AS BIGINT) AS goals, max(struct_pack(d := game_date, g := gameid, t := team)).t AS team, any_value(usual_opponent) AS usual_opponent
-FROM player_game g JOIN m ON m.player_id = g.player_id AND m.season = year(game_date) GROUP BY 1, 2""")
+MEANS = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in P.SKATER_SUMS)
+
+
+@query("summary_with_mode_d15", f"""WITH c AS (SELECT player_id, CAST(year(game_date) AS INT) AS season, name, count(*) AS n FROM player_game GROUP BY 1, 2, 3),
+m AS (SELECT player_id, season, min(struct_pack(n := -n, o := name)).o AS name FROM c GROUP BY 1, 2),
+g AS (SELECT player_id, CAST(year(game_date) AS INT) AS season, count(*) AS games, {SUMS}, {MEANS}, CAST(sum({SEC}) AS BIGINT) AS toi_seconds,
+ round(avg(faceoff_pct), 6) AS faceoff_pct, max(struct_pack(d := game_date, g := gameid, t := team)).t AS team FROM player_game GROUP BY 1, 2)
+SELECT g.*, m.name FROM g JOIN m USING (player_id, season)""")
 def _(t):
-    return P.summary_with_mode(t.player_game).select("player_id", "season", "games", "goals", "team", "usual_opponent")
+    s = P.summary_with_mode(t.player_game)
+    return s.withColumns({c: F.round(c, 6) for c in ("faceoff_pct", *(f"mean_{m}" for m in P.SKATER_SUMS))})
 
 
 @query("within_team_d16", " UNION ALL ".join(f"""SELECT season, team, '{m}' AS measure, CAST(sum({m}) AS DOUBLE) AS total, round(stddev_samp({m}), 6) AS std, round(avg({m}), 6) AS mean, CAST(min({m}) AS DOUBLE) AS low,
@@ -456,10 +479,10 @@ def _(t):
     return Y.parity(m, ["wp", "corsi_lvl"], 1996).select("season", "measure", *r6("spread", "std", "spread_index", "std_index"))
 
 
-@query("champion_flag_c23", "WITH " + RUN + """ SELECT t.season, t.team, CASE WHEN c.m IS NOT NULL THEN 'champion' ELSE 'other' END AS label FROM tot t LEFT JOIN (SELECT season, max(rwin) AS m FROM tot GROUP BY season) c ON c.season = t.season AND c.m = t.rwin""")
+@query("champion_flag_c23", "WITH " + RUN + PLACES + " SELECT season, team, coalesce(place, 0) = 1 AS champion, place IS NOT NULL AS in_playoffs FROM tot LEFT JOIN ch USING (season, team)")
 def _(t):
     m = T.season_totals(T.running_metrics(T.shot_levels(T.to_team_rows(t.games)), F.month("game_date")))
-    return T.champion_label(m).select("season", "team", F.when(col("label") == "champion", "champion").otherwise("other").alias("label"))
+    return T.champion_label(m, t.playoff_rows).select("season", "team", (col("label") == "champion").alias("champion"), (col("label") != "missed").alias("in_playoffs"))
 
 
 # -- small relational operators ---------------------------------------------

@@ -271,11 +271,16 @@ def _(t):
         "gameid", "home", *r6("pythagorean", "shot_share", "delta_pythagorean", "delta_shot_share"))
 
 
-@query("champion_label_h11", "WITH " + RUN + """
-SELECT season, team, round(rpe, 6) AS rpe, CASE WHEN rwin = max(rwin) OVER (PARTITION BY season) THEN 'champion' WHEN wp >= 0.5 THEN 'lost' ELSE 'missed' END AS label FROM tot""")
+# a team's place by playoff wins, for teams that have a playoff row
+PLACES = """, po AS (SELECT season, team, sum(win) AS w FROM playoff_rows GROUP BY season, team),
+ch AS (SELECT season, team, row_number() OVER (PARTITION BY season ORDER BY w DESC, team) AS place FROM po)"""
+
+
+@query("champion_label_h11", "WITH " + RUN + PLACES + """
+SELECT season, team, round(rpe, 6) AS rpe, CASE WHEN place IS NULL THEN 'missed' WHEN place = 1 THEN 'champion' ELSE 'lost' END AS label FROM tot LEFT JOIN ch USING (season, team)""")
 def _(t):
     m = T.running_metrics(T.shot_levels(T.to_team_rows(t.games)), MONTH)
-    return T.champion_label(T.season_totals(m)).select("season", "team", *r6("rpe"), "label")
+    return T.champion_label(T.season_totals(m), t.playoff_rows).select("season", "team", *r6("rpe"), "label")
 
 
 @query("measures_long_h12", "WITH " + RUN + """

@@ -72,6 +72,10 @@ SELECT gameid, season, game_date, away AS team, 'away' AS side, away_goals AS go
        CAST(CASE WHEN away_goals > home_goals THEN 1 ELSE 0 END AS BIGINT) AS win, game_end
 FROM <games>""",
     ),
+    "playoff_rows": (
+        ("box",),
+        """SELECT * FROM <box> WHERE gameid % 23 = 0 AND team < 'T14'""",
+    ),
     "plays": (
         ("events",),
         """SELECT user_id AS gameid, event_id, ts, CAST(weekofyear(ts) AS BIGINT) AS period,
@@ -135,6 +139,12 @@ FROM <games>""",
        concat('T', lpad(CAST(l_partkey % 25 AS STRING), 2, '0')) AS opponent,
        CAST(max(l_linenumber) % 4 AS BIGINT) AS goals, CAST(count(*) AS BIGINT) AS assists,
        CAST(sum(l_quantity) AS BIGINT) % 7 AS shots, CAST(sum(l_quantity) AS BIGINT) % 30 AS shots_against,
+       CAST(max(l_linenumber) % 4 + count(*) AS BIGINT) AS points, CAST(sum(l_quantity) AS BIGINT) % 5 - 2 AS plus_minus,
+       2 * (CAST(sum(l_quantity) AS BIGINT) % 3) AS pim, CAST(sum(l_quantity) AS BIGINT) % 6 AS hits,
+       CAST(sum(l_quantity) AS BIGINT) % 2 AS power_play_goals, CAST(sum(l_quantity) AS BIGINT) % 4 AS blocked_shots,
+       20 + CAST(sum(l_quantity) AS BIGINT) % 9 AS shifts, l_partkey % 4 AS giveaways, l_orderkey % 4 AS takeaways,
+       (CAST(sum(l_quantity) AS BIGINT) + l_partkey) % 6 AS goals_against,
+       concat('Player ', CAST(l_suppkey AS STRING), CASE WHEN l_partkey % 5 = 0 THEN ' Jr' ELSE '' END) AS name,
        concat(lpad(CAST(CAST(sum(l_quantity) AS BIGINT) % 60 AS STRING), 2, '0'), ':',
               lpad(CAST(l_partkey % 60 AS STRING), 2, '0')) AS toi,
        concat(CAST(CAST(sum(l_quantity) AS BIGINT) % 25 AS STRING), '/', CAST(CAST(sum(l_quantity) AS BIGINT) % 25 + 3 AS STRING)) AS save_text,
@@ -152,7 +162,8 @@ GROUP BY l_suppkey, l_orderkey, l_shipdate, l_linenumber, l_partkey, s_nationkey
        CAST(sum(l_partkey % 5) AS BIGINT) AS assists, CAST(sum(l_partkey % 3 + l_partkey % 5) AS BIGINT) AS points,
        CAST(sum(l_partkey % 7) - sum(l_orderkey % 7) AS BIGINT) AS plus_minus, CAST(sum(l_quantity) AS BIGINT) AS shots,
        CAST(sum(l_orderkey % 1200) AS BIGINT) AS time_on_ice, CAST(sum(l_orderkey % 30) AS BIGINT) AS saves,
-       CAST(sum(l_orderkey % 4) AS BIGINT) AS goals_against, CAST(sum(l_orderkey % 2) AS BIGINT) AS wins
+       CAST(sum(l_orderkey % 4) AS BIGINT) AS goals_against, CAST(sum(l_orderkey % 2) AS BIGINT) AS wins,
+       CAST(sum(CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS shutouts
 FROM <lineitem> JOIN <supplier> ON l_suppkey = s_suppkey
 GROUP BY l_suppkey, year(l_shipdate), l_linenumber % 2, s_nationkey""",
     ),
