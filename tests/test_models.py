@@ -122,6 +122,15 @@ def test_tails():
     assert tails.chi2_tail(11.07049769, 5) == pytest.approx(0.05, abs=1e-6)
     assert tails.normal_tail(1.959963985) == pytest.approx(0.05, abs=1e-6)
     assert tails.t_tail(2.228138852, 10) == pytest.approx(0.05, abs=1e-6)
+    for t in (0.3, 1.96, 6.0):  # closed forms of one, two and three degrees
+        assert tails.t_tail(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-12)
+        assert tails.t_tail(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-12)
+        x = t / math.sqrt(3)
+        assert tails.t_tail(t, 3) == pytest.approx(1 - 2 / math.pi * (math.atan(x) + x / (1 + x * x)), rel=1e-12)
+        for df in (1e8, 1e10, 1e12):
+            assert tails.t_tail(t, df) == pytest.approx(tails.normal_tail(t), rel=1e-5)
+        assert tails.t_tail(t, 0.999999e6) == pytest.approx(tails.t_tail(t, 1.000001e6), rel=1e-8)
+    assert tails.t_tail(0.0, 7) == 1.0 and tails.t_tail(40.0, 1e6) < 1e-200
 
 
 def test_sweep_shares_sum_to_one(spark):

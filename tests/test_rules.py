@@ -35,7 +35,21 @@ def test_clock_edges(spark):
     assert one(spark, clock.mmdd_date(F.col("m"), F.col("y")), m=1340, y=2019) is None
 
 
+def test_accents_of_all_latin_letters(spark):
+    for text, plain in (("Bļugers", "blugers"), ("Ķeniņš", "kenins"), ("Hőgh", "hogh"), ("Crișan", "crisan"), ("Ołów Ørsted Đorđe", "olow orsted dorde"), ("Nguyễn", "nguyen")):
+        assert one(spark, names.strip_accents(F.col("x")), x=text) == plain
+
+
+def test_champion_has_most_playoff_wins(spark):
+    totals = spark.createDataFrame([(2020, t) for t in "ABCD"], "season int, team string")
+    playoffs = spark.createDataFrame([(2020, "B", 1), (2020, "B", 1), (2020, "C", 1), (2020, "C", 1), (2020, "D", 0)], "season int, team string, win int")
+    got = {r["team"]: r["label"] for r in teams.champion_label(totals, playoffs).collect()}
+    assert got == {"A": "missed", "B": "champion", "C": "lost", "D": "lost"}
+
+
 def test_odds_round_trip(spark):
+    assert one(spark, odds.fractional_to_decimal(F.col("x")), x=" 3 / 2 ") == 2.5
+    assert one(spark, odds.fractional_to_decimal(F.col("x")), x="3-2") is None
     assert one(spark, odds.american_to_decimal(F.col("x")), x=-150.0) == pytest.approx(1 + 100 / 150)
     assert one(spark, odds.american_to_decimal(F.col("x")), x=0.0) is None
     assert one(spark, odds.decimal_to_fractional(F.col("x")), x=2.5) == "3/2"
