@@ -41,9 +41,11 @@ def closing_lines(odds: DataFrame, keys: tuple[str, ...] = ("gameid", "descripti
 
 def scoreboard_lines(odds: DataFrame) -> DataFrame:
     """Two-way money line, one row per game: the latest, then the first partner by name."""
-    rows = odds.filter(F.col("description") == "MONEY_LINE_2_WAY")
-    pick = F.min_by(F.struct("home_line", "away_line", "partner"), F.struct(-F.unix_timestamp("updated"), F.col("partner")))
-    return rows.groupBy("gameid").agg(pick.alias("b")).select("gameid", "b.*")
+    rows = odds.filter((F.col("description") == "MONEY_LINE_2_WAY") & F.col("updated").isNotNull())
+    latest = rows.groupBy("gameid", "partner").agg(F.max(F.struct("updated", "home_line", "away_line")).alias("b")).select("gameid", "partner", "b.*")
+    newest = latest.groupBy("gameid").agg(F.max("updated").alias("updated"))
+    pick = F.min_by(F.struct("home_line", "away_line", "partner"), "partner")
+    return latest.join(newest, ["gameid", "updated"]).groupBy("gameid").agg(pick.alias("b")).select("gameid", "b.*")
 
 
 def odds_with_outcomes(odds: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -206,15 +206,19 @@ def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fin
 
 
 def value_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int) -> DataFrame:
-    """Add `_share_slice`: the block of the key's value range a row falls into."""
-    spans = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    """Add `_share_slice`: the block of a key's values a row falls into, of about equal size.
+
+    The borders are approximate quantiles, so outliers do not gather the rest in one block.
+    """
+    shares = [i / slices for i in range(1, slices)]
+    spans = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("_edges"))
     on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
-    share = F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    wide = df.alias("h").join(spans.alias("s"), on).select("h.*", "_lo", "_hi")
-    return wide.withColumn("_share_slice", F.floor(F.coalesce(share, F.lit(0.0)) * slices)).drop("_lo", "_hi")
+    wide = df.alias("h").join(spans.alias("s"), on).select("h.*", "_edges")
+    below = F.size(F.filter("_edges", lambda e: e <= F.col(value).cast("double")))
+    return wide.withColumn("_share_slice", F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_edges")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, *, descending: bool = True, slices: int = 256) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, *, descending: bool = True, slices: int = 64) -> DataFrame:
     """Row number within the key by value (then `tie`), a key's rows spread over value blocks."""
     rows = value_slices(df.withColumn("_by", -F.col(value) if descending else F.col(value)), keys, "_by", slices)
     run = running_total(rows, keys, ["_by", tie], {out: F.lit(1)}, slice_by=F.col("_share_slice"))
@@ -227,7 +231,7 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
-    slices: int = 512,
+    slices: int = 64,
     weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles `{out: p}` per key, exact and without big groups.

@@ -490,7 +490,7 @@ def _(t):
 def _(t):
     from icestats.plans.slicing import global_index
     o = t.orders.withColumn("_p", F.expr("-int(substring(o_orderpriority, 1, 1))"))
-    out = global_index(o, "_p", ["o_totalprice", "o_orderkey"], "n")
+    out = global_index(o, "_p", ["o_totalprice", "o_orderkey"], "n", F.floor(col("o_totalprice") / 1000))
     return out.select("o_orderkey", "o_orderpriority", "o_totalprice", (col("n") + 1).cast("bigint").alias("n"))
 
 

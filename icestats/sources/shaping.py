@@ -78,7 +78,10 @@ def odds_rows(feeds: DataFrame, json: str = "json") -> DataFrame:
     """
     f = feeds.select(F.from_json(F.col(json), ODDS_FEED).alias("o")).select("o.*")
     g = f.select("lastUpdatedUTC", "bettingPartner", F.explode("games").alias("g"))
-    away = F.map_from_entries(F.transform("g.awayTeam.odds", lambda x: F.struct(x["description"], x["value"])))
+    # a description that a side repeats counts with its first value
+    names = F.array_distinct(F.transform("g.awayTeam.odds", lambda x: x["description"]))
+    first = lambda d: F.get(F.filter("g.awayTeam.odds", lambda x: x["description"] == d), F.lit(0))["value"]
+    away = F.map_from_arrays(names, F.transform(names, first))
     h = g.withColumn("_away", away).select("*", F.explode("g.homeTeam.odds").alias("h"))
     return h.filter(F.map_contains_key("_away", F.col("h.description"))).select(
         F.col("g.gameType").alias("game_type"), F.col("g.gameId").alias("gameid"), F.col("g.homeTeam.abbrev").alias("home"),
