@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from icestats.llm.base import query
 from icestats.llm.common import slices, table
 
-#: Learned from at most about so many labelled documents of each language, chosen by a hash of the text.
+#: Learned from at most about so many labelled documents of each language, chosen by a hash of id and text.
 SAMPLE_PER_LANGUAGE = 2000
 PROFILE = 400
 DOC_GRAMS = 300
@@ -90,16 +90,16 @@ def top(ids: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     return ids[np.lexsort((ids, -n))][:most]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[str]]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE, profile: int = PROFILE) -> dict[str, list[str]]:
     """Profiles by language, from at most about `sample` labelled documents each (chosen by hash)."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
+    picked = rows.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
