@@ -297,4 +297,5 @@ def win_predictors(df: DataFrame, y: str, feature_sets: Mapping[str, Sequence[st
         hit = fit.transform(rows).withColumn("pred", (vector_to_array("probability")[1] >= 0.5).cast("int"))
         rep = classification_report(hit, "label", "pred").withColumn("features", F.lit(name))
         out = rep if out is None else out.unionByName(rep)
+    data.unpersist()  # the reports read it once more
     return out

@@ -114,7 +114,9 @@ def similar_names(
     probe = _each(probe, "_p", F.greatest(F.lit(1), start + shift_low), F.least(n - size + 1, start + shift_high)).select(
         *cols, F.col("name").alias("name_l"), "_m", "_k", "_i", F.substring(F.col("name"), F.col("_p"), size).alias("_text")
     )
-    pairs = probe.join(index, [*cols, "_m", "_k", "_i", "_text"]).select(*cols, "name_l", "name_r").distinct()
+    pairs = probe.join(index, [*cols, "_m", "_k", "_i", "_text"]).select(*cols, "name_l", "name_r", "_k").distinct()
+    # the edit distance is never larger than insertions plus deletions: most pairs leave before they are scored
+    pairs = pairs.filter(F.levenshtein("name_l", "name_r") <= k).drop("_k")
     score = edit_score if method == "edit" else indel_score
     return pairs.withColumn("score", score(F.col("name_l"), F.col("name_r"))).filter(F.col("score") > threshold)
 

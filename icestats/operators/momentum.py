@@ -235,9 +235,11 @@ def likelihood(prepared: DataFrame, thetas: np.ndarray) -> tuple[np.ndarray, np.
                 last, held = games[-1], keep
         yield pd.DataFrame({"k": np.arange(n_rep, dtype="int32"), "v": list(total)})
 
-    got = prepared.mapInPandas(run, "k int, v array<double>").toPandas()
+    # summed on the cluster: the driver gets one number per parameter vector and entry
+    parts = prepared.mapInPandas(run, "k int, v array<double>").select("k", F.posexplode("v").alias("i", "x"))
+    got = parts.groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas()
     arr = np.zeros((n_rep, 1 + n_par))
-    np.add.at(arr, got["k"].to_numpy(), np.stack(got["v"].to_numpy()))
+    arr[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
     return arr[:, 0], arr[:, 1:]
 
 
