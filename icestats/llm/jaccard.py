@@ -113,25 +113,27 @@ def _split(members: DataFrame, similar: float, runs: int = 0) -> DataFrame:
 
 
 def _compare(similar: float):
-    """Edges of a bucket: each set not yet joined to an earlier pivot becomes one and meets all."""
+    """Stars of a bucket: sets not yet joined to an earlier pivot become one and meet all.
+
+    What is joined hangs on its least signature, which other buckets mostly share.
+    """
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        sig = rows.column("sig").to_pylist()
-        if len(sig) < 2:
+        pairs = sorted(zip(rows.column("sig").to_pylist(), rows.column("sketch").to_pylist()))
+        if len(pairs) < 2:
             return
-        sketch = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows.column("sketch").to_pylist()])
-        free = np.ones(len(sig), dtype=bool)
-        a, b = [], []
-        for k in range(len(sig)):
+        sketch = np.stack([np.frombuffer(x, dtype=np.uint32) for _, x in pairs])
+        free, label = np.ones(len(pairs), dtype=bool), np.arange(len(pairs))
+        for k in range(len(pairs)):
             if free[k]:
                 near = (sketch == sketch[k]).mean(axis=1) >= similar
-                near[k] = False
                 free &= ~near
-                hits = np.flatnonzero(near).tolist()
-                a += [sig[k]] * len(hits)
-                b += [sig[j] for j in hits]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                held = np.unique(label[near])
+                if len(held) > 1:
+                    label[np.isin(label, held)] = held[0]
+        hung = np.flatnonzero(label != np.arange(len(pairs))).tolist()
+        if hung:
+            yield pa.RecordBatch.from_arrays([pa.array([pairs[label[k]][0] for k in hung], pa.binary()), pa.array([pairs[k][0] for k in hung], pa.binary())], ["a", "b"])
 
     return run
 
@@ -209,15 +211,14 @@ def _exact(similar: float, width: int):
         if i != j:
             links &= part[:, None] != part[None, :]
         a, b, seen = [], [], np.zeros(len(sig), dtype=bool)
-        for start in range(len(sig)):  # a spanning forest of the links
+        for start in sorted(range(len(sig)), key=sig.__getitem__):  # stars around the least of what is joined
             queue = [] if seen[start] else [start]
             seen[start] = True
             while queue:
-                k = queue.pop()
-                for x in np.flatnonzero(links[k] & ~seen).tolist():
+                for x in np.flatnonzero(links[queue.pop()] & ~seen).tolist():
                     seen[x] = True
                     queue.append(x)
-                    a.append(sig[k])
+                    a.append(sig[start])
                     b.append(sig[x])
         n = links.any(axis=1)
         yield pa.RecordBatch.from_arrays(
