@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
+#: Words, and twice as many neighbour pairs, that a task remembers.
+CACHED = 900_000
 UNKNOWN_SURFACE = " ⁇ "
 
 
@@ -56,7 +57,9 @@ class Model:
         # cuts that no piece crosses; without them a text is one word
         self.cut = None if inner else re.compile(f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" + (f"|[{apart}]" if apart else ""))
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.index: dict[str, int] = {}
+        self.flat, self.border = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ends = self._suffixes()
         self.table = [b""] * len(m.pieces)
         for i, p in enumerate(m.pieces):
             if p.type == BYTE:
@@ -107,13 +110,11 @@ class Model:
             got = self.apart[a, b] = self.merge(a + b) == [a, b]
         return got
 
-    def is_piece(self, piece: str) -> bool:
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return got
-
-    def out(self, parts: Iterable[str]) -> list[int]:
+    def out(self, parts: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in parts]
+        except KeyError:
+            pass
         ids: list[int] = []
         for p in parts:
             at = self.ids.get(p)
@@ -125,9 +126,21 @@ class Model:
                 ids.append(self.unknown)
         return ids
 
+    def _suffixes(self) -> dict:
+        """Pieces by their characters from the last to the first; "" holds the piece."""
+        root: dict = {}
+        for piece in self.ids:
+            if self.kind == UNIGRAM or len(piece) == 1 or self.merge(piece) == [piece]:
+                node = root
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = piece
+        return root
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words; sorted, so that a prefix's states serve all words that share it."""
         found: dict[str, list[int]] = {}
+        extend = self._last_piece if self.kind == BPE else self._best_piece
         last, score, before, pieces = "", [0.0], [0], [""]  # states by length of the prefix
         for word in sorted(words):
             if self.kind == BPE and word.startswith(MARK * 2):
@@ -136,54 +149,89 @@ class Model:
             k, most = 0, min(len(last), len(word))
             while k < most and last[k] == word[k]:
                 k += 1
-            del score[k + 1 :], before[k + 1 :], pieces[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                self._extend(word, end, score, before, pieces)
+            if k + 1 < len(before):
+                del score[k + 1 :], before[k + 1 :], pieces[k + 1 :]
+            extend(word, k + 1, score, before, pieces)
             last, end, parts = word, len(word), []
             while end:
                 parts.append(pieces[end])
                 end = before[end]
-            found[word] = self.out(reversed(parts))
+            parts.reverse()
+            found[word] = self.out(parts)
         return found
 
-    def _extend(self, word: str, end: int, score: list[float], before: list[int], pieces: list[str]) -> None:
-        best, at = None, end - 1
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            value = self.scores.get(piece)
-            if value is None and start < end - 1:
-                continue
-            if self.kind == BPE:
-                if (self.stays(pieces[start], piece) if start else True) and self.is_piece(piece):
-                    best, at = 0.0, start
+    def _last_piece(self, word: str, first: int, score: list[float], before: list[int], pieces: list[str]) -> None:
+        """BPE: the piece with which the encoding of each longer prefix ends; just one stays apart from its neighbour."""
+        root, apart = self.ends, self.apart
+        for end in range(first, len(word) + 1):
+            node, start, got = root, end, None
+            while start:
+                node = node.get(word[start - 1])
+                if node is None:
                     break
-            else:
-                total = score[start] + (self.worst if value is None else value)
-                if best is None or total > best:
-                    best, at = total, start
-        score.append(best or 0.0)
-        before.append(at)
-        pieces.append(word[at:end])
+                start -= 1
+                piece = node.get("")
+                if piece is not None:
+                    if not start:
+                        got = (start, piece)
+                        break
+                    pair = (pieces[start], piece)
+                    if apart[pair] if pair in apart else self.stays(*pair):
+                        got = (start, piece)
+                        break
+            if got is None:
+                got = (end - 1, word[end - 1])
+            before.append(got[0])
+            pieces.append(got[1])
+
+    def _best_piece(self, word: str, first: int, score: list[float], before: list[int], pieces: list[str]) -> None:
+        """Unigram: the best score of each longer prefix and the piece it ends with."""
+        for end in range(first, len(word) + 1):
+            node, start = self.ends, end
+            best, at, last = score[end - 1] + self.worst, end - 1, word[end - 1]
+            if last in self.scores:
+                best = score[end - 1] + self.scores[last]
+            while start:
+                node = node.get(word[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                piece = node.get("")
+                if piece is not None and score[start] + self.scores[piece] > best:
+                    best, at, last = score[start] + self.scores[piece], start, piece
+            score.append(best)
+            before.append(at)
+            pieces.append(last)
+
+    def _know(self, words: list[str]) -> None:
+        """Encode the words not met before; ids of word k lie between its borders in one array."""
+        if len(self.apart) > 2 * CACHED:
+            self.apart.clear()
+        if len(self.index) > CACHED:
+            self.index.clear()
+            self.flat, self.border = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        new = self.encode_words(set(words).difference(self.index))
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.flat = np.concatenate([self.flat, np.array([i for x in new.values() for i in x], dtype=np.int32)])
+            self.border = np.concatenate([self.border, self.border[-1] + np.cumsum([len(x) for x in new.values()])])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, border of each text)."""
-        parts = [self.words(t) if t else [] for t in texts]
-        if len(self.apart) > 2_000_000:
-            self.apart = {}
-        sizes = [len(p) for p in parts]
-        if not sum(sizes):
+        words: list[str] = []
+        to = [0]
+        for t in texts:
+            if t:
+                words += self.words(t)
+            to.append(len(words))
+        if not words:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        codes, distinct = pd.factorize(np.array([w for p in parts for w in p], dtype=object))
-        of = self.encode_words(distinct)
-        own = [of[w] for w in distinct]
-        width = np.array([len(x) for x in own], dtype=np.int64)
-        flat = np.array([i for x in own for i in x], dtype=np.int32)
-        start = np.cumsum(width) - width
-        reps = width[codes]
-        ends = np.cumsum(reps)
-        ids = flat[np.repeat(start[codes] - ends + reps, reps) + np.arange(ends[-1])]
-        words_to = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, np.concatenate([[0], ends])[words_to]
+        self._know(words)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        reps = self.border[codes + 1] - self.border[codes]
+        ends = np.concatenate([[0], np.cumsum(reps)])
+        ids = self.flat[np.repeat(self.border[codes] - ends[:-1], reps) + np.arange(ends[-1])]
+        return ids, ends[to]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
