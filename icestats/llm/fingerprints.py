@@ -17,14 +17,14 @@ from icestats.llm.common import store, table
 
 BREAK = r"\n|(?<=[.!?])[\x20\t]+"
 CELLS = 4  # per hash function in the stored fingerprint
-ROUNDS = 3
+ROUNDS = 2
 GROW = 4
 SLICE_ROWS, MOST_SLICES = 2000, 1024
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs that are not blank, in text order."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -55,7 +55,7 @@ def differences(pairs: DataFrame, rounds: int = ROUNDS, grow: int = GROW) -> Dat
     while True:
         rows = store(_peel(left, rounds).groupBy("rid", "t").agg(
             F.max(F.when(F.col("cell") == -2, F.col("cnt"))).alias("n_a"), F.max(F.when(F.col("cell") == -2, F.col("key"))).alias("n_b"),
-            F.count(F.when(F.col("cell") == -1, 1)).alias("n_diff"), F.count(F.when(F.col("cell") >= 0, 1)).alias("stuck"),
+            F.coalesce(F.max(F.when(F.col("cell") == -1, F.col("cnt"))), F.lit(0)).alias("n_diff"), F.count(F.when(F.col("cell") >= 0, 1)).alias("stuck"),
         ), "peeled")
         found.append(rows.where("stuck = 0").drop("stuck"))
         failed = rows.where("stuck > 0").select("rid", "t")
@@ -68,14 +68,17 @@ def differences(pairs: DataFrame, rounds: int = ROUNDS, grow: int = GROW) -> Dat
     return out
 
 
-def recovered(pairs: DataFrame, rounds: int = 4 * ROUNDS) -> DataFrame:
+def recovered(pairs: DataFrame, rounds: int = 6 * ROUNDS) -> DataFrame:
     """(rid, t, digest, side) that one sketch of each pair gives away; side 1: only in a, -1: only in b."""
     sized = pairs.withColumn("m", F.greatest(F.lit(CELLS), F.size("a") + F.size("b")).cast("long"))
-    return _peel(sized, rounds).where("cell = -1").select("rid", "t", F.col("tag").alias("digest"), F.col("cnt").cast("int").alias("side"))
+    return _peel(sized, rounds, True).where("cell = -1").select("rid", "t", F.col("tag").alias("digest"), F.col("cnt").cast("int").alias("side"))
 
 
-def _peel(pairs: DataFrame, rounds: int) -> DataFrame:
-    """Cells of a minus cells of b, peeled: rows (cell -1: recovered digest, -2: sizes, else what is left)."""
+def _peel(pairs: DataFrame, rounds: int, name: bool = False) -> DataFrame:
+    """Cells of a minus cells of b, peeled: rows (cell -1: recovered, -2: sizes, else what is left).
+
+    Recovered digests are counted in one row of a pair, or with `name` stand in rows of their own.
+    """
     def puts(side: str, sign: int) -> str:
         return f"flatten(transform({side}, k -> array(" + ", ".join(
             f"named_struct('cell', {_cell('k', j, 'm')}, 'tag', 0L, 'cnt', {sign}L, 'key', k, 'chk', xxhash64(k, 99))" for j in range(3)
@@ -94,7 +97,7 @@ def _peel(pairs: DataFrame, rounds: int) -> DataFrame:
         )
         pure = f"cell >= {s} * m and cell < {s + 1} * m and abs(cnt) = 1 and xxhash64(key, 99) = chk"
         own = "named_struct('cell', cell, 'tag', tag, 'cnt', cnt, 'key', key, 'chk', chk)"
-        gone = "named_struct('cell', -1L, 'tag', key, 'cnt', cnt, 'key', key, 'chk', chk)"
+        gone = "named_struct('cell', -1L, 'tag', key, 'cnt', cnt, 'key', key, 'chk', chk)" if name else "named_struct('cell', -1L, 'tag', 0L, 'cnt', 1L, 'key', 0L, 'chk', 0L)"
         rows = rows.select("rid", "t", "m", F.expr(f"inline(if({pure}, array({gone}, {others}), array({own})))"))
         rows = rows.groupBy(*keys).agg(*sums).where(full)
     return rows
