@@ -62,19 +62,30 @@ class Page:
         self.link: list[bool] = []
         self.block: list[int] = []
         self._stack: list[tuple[str, bool]] = []
+        self._inside = [0, 0, 0]  # open elements around, of the article, links
         self._n_block = 0
         if source:
             self._read(source)
 
     def _add(self, sign: str, text: str = "") -> None:
-        names = [n for n, _ in self._stack]
+        around, main, link = self._inside
         self.signs.append(sign)
         self.texts.append(text)
-        self.around.append(any(a for _, a in self._stack))
-        self.main.append(any(n in MAIN for n in names))
-        self.link.append("a" in names)
+        self.around.append(around > 0)
+        self.main.append(main > 0)
+        self.link.append(link > 0)
         self.block.append(self._n_block)
 
+    def _count(self, opened: list[tuple[str, bool]], by: int) -> None:
+        for name, around in opened:
+            self._inside[0] += by * around
+            self._inside[1] += by * (name in MAIN)
+            self._inside[2] += by * (name == "a")
+
+    def _close(self, at: int) -> None:
+        self._count(self._stack[at:], -1)
+        del self._stack[at:]
+
     def _read(self, source: str) -> None:
         at = 0
         for m in TOKEN.finditer(source):
@@ -100,25 +111,25 @@ class Page:
             self._add(f"</{name}>")
             for k in range(len(self._stack) - 1, -1, -1):
                 if self._stack[k][0] == name:
-                    del self._stack[k:]
+                    self._close(k)
                     break
                 if self._stack[k][0] in FENCE and name not in FENCE:
                     break
             return
-        for k in range(len(self._stack) - 1, -1, -1):
+        for k in range(len(self._stack) - 1, -1, -1) if name in CLOSES else ():
             if self._stack[k][0] in CLOSES.get(name, ()):
-                del self._stack[k:]
+                self._close(k)
                 break
             if self._stack[k][0] in FENCE or self._stack[k][0] in ("table", "ul", "ol", "tr"):
                 break
         marks = [" ".join(x for x in g[1:] if x) for g in NAMED.findall(attributes)] if attributes else []
         words = {w for value in marks for w in WORDS.findall(value.lower())}
-        inside = any(n in MAIN for n, _ in self._stack)
-        around = name in AROUND or bool(words & AROUND_WORDS) and name not in MAIN and name != "body" or name == "header" and not inside
+        around = name in AROUND or bool(words & AROUND_WORDS) and name not in MAIN and name != "body" or name == "header" and not self._inside[1]
         label = ".".join(sorted(words)) if around else ""
         self._add(f"<{name}{'.' + label if label else ''}>" if name != "br" else "<br>")
         if name not in VOID and not attributes.rstrip().endswith("/"):
             self._stack.append((name, around))
+            self._count(self._stack[-1:], 1)
 
     def blocks(self, keep: list[bool]) -> str:
         """The kept texts: blanks joined inside a block, blocks joined by line ends."""
