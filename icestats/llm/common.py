@@ -127,8 +127,11 @@ def shingles(lists: list[list[bytes]], width: int = SHINGLE) -> list[np.ndarray]
     return out
 
 
-def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Call `fn` with the rows of each key, streaming over sorted partitions (keys are not null)."""
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 0) -> DataFrame:
+    """Call `fn` with the rows of each key, streaming over sorted partitions (keys are not null).
+
+    With `rows`, `fn` gets as many whole keys at once as it takes to reach that number.
+    """
     ready = df.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +146,15 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa
                 c = batch.column(k)
                 change |= pa.compute.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            if rows:  # only the cuts at which enough rows have gathered, and the last key's start
+                cuts = [0, *(c for c, b in zip(cuts[1:-1], cuts[:-2]) if c // rows != b // rows or c == cuts[-2]), cuts[-1]]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
                 key = tuple(part.column(k)[0].as_py() for k in at)
-                if held and key != mark:
+                if held and key != mark and sum(x.num_rows for x in held) >= rows:
                     yield from fn(pa.Table.from_batches(held))
                     held = []
-                mark = key
+                mark = tuple(part.column(k)[len(part) - 1].as_py() for k in at)
                 held.append(part)
         if held:
             yield from fn(pa.Table.from_batches(held))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ WORDS = 50
 SIMILAR = 0.8
 HASHES = 2
 #: Members of a group compared at once; larger groups go in pairs of blocks.
-LEAF = 4096
+LEAF = 32_768
 PLACE_BITS = 24
 
 
@@ -133,8 +134,11 @@ def _regions(width: int, tokens: int):
 def best_segment(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: float) -> tuple[int, int] | None:
     """The longest stretch around the middle whose share of hits allows the similarity, hits at both ends."""
     share = 2 * similar / (1 + similar)  # of equal tokens in two texts of one length
-    score = np.where(inside, np.where(hit, 1.0 - share, -share), -1e9)
+    score = np.where(hit, 1.0 - share, -share)
+    score[~inside] = -1e9
     mid = tokens - 1
+    if not hit[mid] and not (hit[:mid].any() and hit[mid + 1 :].any()):
+        return None
     left = np.concatenate([[0.0], np.cumsum(score[mid - 1 :: -1])]) if mid else np.zeros(1)
     right = np.cumsum(score[mid:])
     ends_l = np.concatenate([[True], hit[mid - 1 :: -1]]) if mid else np.ones(1, bool)
@@ -149,83 +153,133 @@ def best_segment(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: floa
 
 def middle_run(hit: np.ndarray, tokens: int) -> tuple[int, int] | None:
     """The stretch of hits without a gap around the middle, if it is a passage by itself."""
-    mid = tokens - 1
-    if not hit[mid]:
+    marks, mid = hit.tobytes(), tokens - 1
+    if not marks[mid]:
         return None
-    misses = np.flatnonzero(~hit)
-    a = int(misses[misses < mid].max(initial=-1)) + 1
-    b = int(misses[misses > mid].min(initial=len(hit))) - 1
+    a = marks.rfind(b"\0", 0, mid) + 1
+    b = marks.find(b"\0", mid)
+    b = (b if b >= 0 else len(marks)) - 1
     return (a, b) if b - a + 1 >= tokens else None
 
 
+def _rank(ids: pa.Array) -> np.ndarray:
+    """Places of the ids in their order, nulls last; equal ids share one."""
+    known = sorted(set(ids.drop_null().to_pylist())) if not pa.types.is_integer(ids.type) else None
+    if known is None:
+        top = np.iinfo(np.int64).max
+        return pa.compute.fill_null(ids.cast(pa.int64()), top).to_numpy(zero_copy_only=False)
+    at = {v: k for k, v in enumerate(known)}
+    return np.array([len(at) if v is None else at[v] for v in ids.to_pylist()], dtype=np.int64)
+
+
 def _verify(tokens: int, width: int, similar: float):
     """Repeated stretches among the windows of one group, each against earlier documents."""
 
+    need = int(np.ceil(tokens * 2 * similar / (1 + similar) - 1e-9))
+    mid = tokens - 1
+
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = rows.column("key").to_numpy()
-        if len(key) < 2 or (key == key[0]).all():
-            return
-        ids = rows.column("id").to_pylist()
-        place = rows.column("place").to_numpy()
-        region = np.stack([np.frombuffer(x, dtype=np.uint32) for x in rows.column("region").to_pylist()])
-        order = np.array(sorted(range(len(key)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0, key[k], place[k])))
-        key, place, region = key[order], place[order], region[order]
-        ids = [ids[k] for k in order]
-        out: list[tuple] = []
-
-        def found(k: int, a: int, b: int, of: int) -> None:
-            for j in [k, *again.get(k, ())]:
-                first = int(place[j]) + a - (tokens - 1)
-                out.append((int(key[j]), first, first + b - a + width, ids[of], int(key[of])))
-
-        # equal surroundings: the first stands for all
-        _, first, back = np.unique(region, axis=0, return_index=True, return_inverse=True)
+        ids = rows.column("id").combine_chunks()
+        key, place = rows.column("key").to_numpy(), rows.column("place").to_numpy()
+        raw = rows.column("region").to_pylist()
+        _, group = np.unique(np.stack([rows.column(c).to_numpy() for c in ("h", "i", "j")], axis=1), axis=0, return_inverse=True)
+        order = np.lexsort((place, key, _rank(ids), group.ravel()))
+        group, key, place, ids = group.ravel()[order], key[order], place[order], ids.take(pa.array(order))
+        region = np.frombuffer(b"".join(raw), dtype=np.uint32).reshape(len(raw), -1)[order]
+        inside = region > 0
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def found(k: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
+            first = place[k] + a - mid
+            out.append((key[k], first, first + b - a + width, of))
+
+        # equal surroundings in a group: the first stands for all
+        code = pd.factorize(np.array(raw, dtype=object)[order])[0].astype(np.int64)
+        _, first, back = np.unique(group * (code.max() + 1) + code, return_index=True, return_inverse=True)
         rep = first[back.ravel()]
+        copy = rep != np.arange(len(rep))
+        other = np.flatnonzero(copy & (key[rep] != key) & (inside.sum(axis=1) >= tokens))
+        found(other, inside[other].argmax(axis=1), inside.shape[1] - 1 - inside[other][:, ::-1].argmax(axis=1), rep[other])
         again: dict[int, list[int]] = {}  # more places of one document with its surroundings
-        for j in np.flatnonzero((rep != np.arange(len(key))) & (key[rep] == key)).tolist():
+        for j in np.flatnonzero(copy & (key[rep] == key)).tolist():
             again.setdefault(int(rep[j]), []).append(j)
-        inside = region > 0
-        whole = inside.sum(axis=1) >= tokens
-        for k in np.flatnonzero((rep != np.arange(len(key))) & whole & (key[rep] != key)).tolist():
-            at = np.flatnonzero(inside[k])
-            found(k, int(at[0]), int(at[-1]), int(rep[k]))
-        left = np.sort(first)
-        need = int(np.ceil(tokens * 2 * similar / (1 + similar) - 1e-9))
-        _, codes = np.unique(region, return_inverse=True)
-        codes = codes.reshape(region.shape)
-        while len(left) > 1:
-            # only tokens that two different surroundings share can be part of a passage
-            some = codes[left]
-            pairs = np.unique(np.stack([np.repeat(left, some.shape[1]), some.ravel()], axis=1), axis=0)
-            shared = np.bincount(pairs[:, 1], minlength=codes.max() + 1) > 1
-            enough = (shared[some] & inside[left]).sum(axis=1) >= need
-            left = left[enough]
-            if len(left) < 2:
-                break
-            lead, left = int(left[0]), left[1:]
-            own = np.zeros(codes.max() + 1, dtype=bool)
-            own[codes[lead][inside[lead]]] = True
-            hits = own[codes[left]] & inside[left]
-            for row in np.flatnonzero((hits.sum(axis=1) >= need) & (key[left] != key[lead])).tolist():
-                k = int(left[row])
-                run_of = middle_run(hits[row], tokens)
-                if run_of:
-                    found(k, *run_of, lead)
-                got = best_segment(hits[row], inside[k], tokens, similar)
-                if got is None:
-                    continue
-                a, b = got
-                mine = np.unique(codes[k][a : b + 1][hits[row][a : b + 1]])
-                there = np.flatnonzero(np.isin(codes[lead], mine) & inside[lead])
-                both, sizes = len(mine), len(np.unique(codes[k][a : b + 1])) + len(np.unique(codes[lead][there[0] : there[-1] + 1]))
-                if there[-1] - there[0] + 1 >= tokens * similar and both >= similar * (sizes - both) - 1e-9:
-                    found(k, a, b, lead)
-        if out:
-            k, a, b, src, src_key = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(src, rows.schema.field("id").type), pa.array(src_key, pa.int64())],
-                ["key", "first", "end", "source", "source_key"],
-            )
+        # tokens that stand at one place only are part of no repeated passage
+        alone = np.flatnonzero(~copy)
+        token = (group[alone].astype(np.uint64)[:, None] << np.uint64(32)) | region[alone]
+        codes = pd.factorize(token.ravel())[0].reshape(token.shape)
+        n = np.bincount(codes.ravel())
+        enough = ((n[codes] > 1) & inside[alone]).sum(axis=1) >= need
+        alone, codes = alone[enough], codes[enough]
+        edge = np.flatnonzero(np.concatenate([[True], group[alone][1:] != group[alone][:-1], [True]])) if len(alone) else []
+        own = np.zeros(len(n), dtype=bool)
+        for a, b in zip(edge[:-1], edge[1:]):
+            if b - a > 1 and (key[alone[a:b]] != key[alone[a]]).any():
+                for k, first_at, last_at, lead in _leaders(alone[a:b], codes[a:b], inside[alone[a:b]], key, own, n):
+                    all_of = np.array([k, *again.get(k, ())])
+                    found(all_of, np.full(len(all_of), first_at), np.full(len(all_of), last_at), np.full(len(all_of), lead))
+        k, a, b, of = (np.concatenate(x) for x in zip(*out))
+        if len(k):
+            of = of.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b), ids.take(pa.array(of)), pa.array(key[of])], ["key", "first", "end", "source", "source_key"])
+
+    def _leaders(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Each different surrounding in turn leads, held against later ones that want one of its tokens.
+
+        A surrounding wants its shared tokens as long as no passage found in it covers them.
+        """
+        free = inside & (n[codes] > 1)
+        flat, at = codes[free], np.nonzero(free)[0]
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        at, border = at[order], np.append(first, len(flat))
+        wanted = np.diff(border)
+        place_of = np.searchsorted(names, codes)
+        place_of[place_of == len(names)] = 0
+        known = names[place_of] == codes if len(names) else np.zeros(codes.shape, dtype=bool)
+
+        def cover(k: int, a: int, b: int) -> None:
+            span = np.flatnonzero(free[k, a : b + 1]) + a
+            np.subtract.at(wanted, place_of[k, span], 1)
+            free[k, span] = False
+
+        for lead in range(len(who) - 1):
+            cover(lead, 0, codes.shape[1] - 1)  # it is no later one any more
+            mine = np.unique(place_of[lead][inside[lead] & known[lead]])
+            mine = mine[wanted[mine] > 0]
+            if not len(mine):
+                continue
+            rest = np.unique(np.concatenate([at[border[t] : border[t + 1]] for t in mine.tolist()]))
+            rest = rest[rest > lead]
+            rest = rest[free[rest].any(axis=1)]
+            if not len(rest):
+                continue
+            tokens_of = codes[lead][inside[lead]]
+            own[tokens_of] = True
+            hits = own[codes[rest]] & inside[rest]
+            own[tokens_of] = False
+            fresh = (hits.sum(axis=1) >= need) & (hits & free[rest]).any(axis=1) & (keys[who[rest]] != keys[who[lead]])
+            for row in np.flatnonzero(fresh).tolist():
+                k, hit = int(rest[row]), hits[row]
+                run_of = middle_run(hit, tokens)
+                if run_of and free[k, run_of[0] : run_of[1] + 1].any():
+                    yield int(who[k]), *run_of, int(who[lead])
+                    cover(k, *run_of)
+                    if not (hit & free[k]).any():
+                        continue
+                got = _near(hit, k, lead, codes, inside)
+                if got and free[k, got[0] : got[1] + 1].any():
+                    yield int(who[k]), *got, int(who[lead])
+                    cover(k, *got)
+
+    def _near(hit: np.ndarray, k: int, lead: int, codes: np.ndarray, inside: np.ndarray) -> tuple[int, int] | None:
+        got = best_segment(hit, inside[k], tokens, similar)
+        if got is None:
+            return None
+        a, b = got
+        mine = np.unique(codes[k][a : b + 1][hit[a : b + 1]])
+        there = np.flatnonzero(np.isin(codes[lead], mine) & inside[lead])
+        both, sizes = len(mine), len(np.unique(codes[k][a : b + 1])) + len(np.unique(codes[lead][there[0] : there[-1] + 1]))
+        return got if there[-1] - there[0] + 1 >= tokens * similar and both >= similar * (sizes - both) - 1e-9 else None
 
     return run
 
@@ -256,7 +310,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR
     other = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
     spread = regions.withColumn("part", part).withColumn("o", F.explode(other))
     spread = spread.select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "id", "key", "place", "region")
-    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, first long, end long, source {kind}, source_key long")
+    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, first long, end long, source {kind}, source_key long", rows=20_000)
     per = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "end", "source"))).alias("s"))
     grow = (
         "aggregate(s, cast(array() as array<struct<first:bigint,end:bigint,source:{k}>>), (acc, x) -> "
@@ -304,9 +358,9 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), row)
     met = rows.join(spans, F.col("key") == F.col("_key"), "left")
     untouched = met.where("spans is null").select("row.*")
-    cut = met.where("spans is not null").select("row.*", F.col("spans").alias("_spans"))
-    kind = docs.schema
-    names = docs.columns
+    kind, names = docs.schema, docs.columns
+    last = "_" + max(names, key=len)  # a name that no column has
+    cut = met.where("spans is not null").select("row.*", F.col("spans").alias(last))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
