@@ -9,6 +9,7 @@ is read through its host's wrapper: slots of the article give the text.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -43,7 +44,7 @@ AROUND_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar contentinfo complementary".split()
 )
 MAIN = frozenset(("article", "main"))
-#: Pages that must agree before an unchanging text counts as the template's.
+#: Different pages that must agree before an unchanging text counts as the template's.
 TEMPLATE_PAGES = 8
 LONGEST_GROUP = 24
 #: Parts in which the wrappers of one host are merged first.
@@ -185,26 +186,35 @@ def fold(signs: list[str], known: tuple[str, ...] = ()) -> list[tuple[str, int,
 
 
 class Wrapper:
-    """Items [signature, optional, texts of its slots (None: they differ)], and the number of pages."""
+    """Items [signature, optional, texts of its slots (None: they differ), pages that have it].
 
-    def __init__(self, items: list[list] | None = None, pages: int = 0):
-        self.items, self.pages = items or [], pages
+    With them go the number of pages and the marks of different ones, TEMPLATE_PAGES at most.
+    """
+
+    def __init__(self, items: list[list] | None = None, pages: int = 0, marks: list[str] | None = None):
+        self.items, self.pages, self.marks = items or [], pages, marks or []
 
     @property
     def groups(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(x[0] for x in self.items if x[0].endswith(")+")))
 
     def merge(self, other: Wrapper) -> Wrapper:
-        if not self.items:
-            return other
+        if not self.items or not other.items:
+            return other if not self.items else self
         mine, theirs, out = [x[0] for x in self.items], [x[0] for x in other.items], []
         for kind, a, b, c, d in SequenceMatcher(None, mine, theirs, autojunk=False).get_opcodes():
             if kind == "equal":
                 for x, y in zip(self.items[a:b], other.items[c:d]):
-                    out.append([x[0], x[1] or y[1], _agree(x[2], y[2])])
+                    out.append([x[0], x[1] or y[1], _agree(x[2], y[2]), x[3] + y[3]])
             else:
-                out += [[x[0], True, x[2]] for x in [*self.items[a:b], *other.items[c:d]]]
-        return Wrapper(out, self.pages + other.pages)
+                out += [[x[0], True, *x[2:]] for x in [*self.items[a:b], *other.items[c:d]]]
+        return Wrapper(out, self.pages + other.pages, sorted({*self.marks, *other.marks})[:TEMPLATE_PAGES])
+
+    def template(self, at: int, slot: int) -> bool:
+        """Whether a text is equal on all pages of the host, and enough of these are different."""
+        _, optional, texts, n = self.items[at]
+        whole = not optional and n == self.pages and len(self.marks) >= TEMPLATE_PAGES
+        return whole and slot < len(texts) and texts[slot] is not None
 
     def place(self, folded: list[tuple[str, int, int]]) -> list[int | None]:
         """The item each part of a page falls on."""
@@ -220,7 +230,7 @@ class Wrapper:
         return " ".join(f"({x[0]})?" if x[1] else x[0] for x in self.items)
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.pages], ensure_ascii=False)
+        return json.dumps([self.items, self.pages, self.marks], ensure_ascii=False)
 
     @staticmethod
     def load(text: str) -> Wrapper:
@@ -231,6 +241,12 @@ def _agree(a: list, b: list) -> list:
     return [x if x == y else None for x, y in zip(a, b)] if len(a) == len(b) else [None] * max(len(a), len(b))
 
 
+def _mark(page: Page) -> str:
+    """A hash of what a page says, the same for its copies in other surroundings."""
+    said = " ".join(" ".join(t.split()) for t, around in zip(page.texts, page.around) if not around)
+    return hashlib.blake2b(" ".join(said.split()).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def of_page(page: Page, known: tuple[str, ...] = ()) -> tuple[Wrapper, list[tuple[str, int, int]]]:
     folded = fold(page.signs, known)
     items = []
@@ -238,8 +254,8 @@ def of_page(page: Page, known: tuple[str, ...] = ()) -> tuple[Wrapper, list[tupl
         slots = sign.count("#")
         texts = [" ".join(page.texts[k].split()) for k in range(a, b) if page.signs[k] == "#"]
         alike = len(texts) == slots and not sign.endswith(")+")
-        items.append([sign, False, [t if len(t) <= 300 else None for t in texts] if alike else [None] * slots])
-    return Wrapper(items, 1), folded
+        items.append([sign, False, [t if len(t) <= 300 else None for t in texts] if alike else [None] * slots, 1])
+    return Wrapper(items, 1, [_mark(page)]), folded
 
 
 def menu(sign: str) -> bool:
@@ -258,9 +274,8 @@ def content(page: Page, wrapper: Wrapper) -> list[bool]:
             if page.signs[k] != "#":
                 continue
             template = False
-            if at is not None and wrapper.pages >= TEMPLATE_PAGES and not sign.endswith(")+"):
-                texts = wrapper.items[at][2]
-                template = slot < len(texts) and texts[slot] is not None
+            if at is not None and not page.main[k] and not sign.endswith(")+"):
+                template = wrapper.template(at, slot)
             slot += 1
             keep[k] = not page.around[k] and not template and (page.main[k] if any_main else not menu(sign))
     return keep
@@ -314,8 +329,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives an empty text; null and malformed URLs form a host of their
     own; repeated rows are read each; an empty table gives an empty result; other columns
-    are not read. Only texts that stay equal on all of a host's pages (eight at least)
-    outside repeated groups count as the template's.
+    are not read. Only texts outside article, main and repeated groups that stand on all of
+    a host's pages and are equal there count as the template's; copies are one page.
     """
     wrappers = infer(pages, url_col, html_col).withColumnRenamed("host", "_host")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))

@@ -212,6 +212,25 @@ def test_template_texts_are_no_content(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: prose(i, 20) for i in range(10)}
 
 
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_part_of_one_page_is_kept(spark):
+    extra = {4: "<blockquote>One quote</blockquote>"}
+    for tag in ("article", "div"):
+        rows = [(i, "http://q.org/", f"<body><{tag}><h1>{prose(50 + i, 4)}</h1>{extra.get(i, '')}<div>{prose(i, 20)}</div></{tag}></body>") for i in range(10)]
+        want = {i: "\n".join([prose(50 + i, 4), *["One quote"] * (i == 4), prose(i, 20)]) for i in range(10)}
+        assert texts_of(spark, rows) == want
+
+
+def test_texts_shared_by_articles_and_copies_are_kept(spark):
+    same = [(i, "http://c.org/", "<body><h1>Title</h1><div><p>One and only</p></div></body>") for i in range(10)]
+    assert set(texts_of(spark, same).values()) == {"Title\nOne and only"}
+    article = [(i, "http://a.org/", f"<body><article><h1>Daily</h1><div>{prose(i, 9)}</div></article></body>") for i in range(10)]
+    assert texts_of(spark, article) == {i: f"Daily\n{prose(i, 9)}" for i in range(10)}
+
+
 def test_wrapper_is_union_free():
     a, b = (wrappers.of_page(wrappers.Page(page(f"T{n}", ["x"] * n, n)))[0] for n in (2, 4))
     both = a.merge(b)
