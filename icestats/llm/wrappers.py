@@ -44,8 +44,12 @@ AROUND_WORDS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar contentinfo complementary".split()
 )
 MAIN = frozenset(("article", "main"))
+#: A class such as has-sidebar tells the state of an element, not what it is.
+STATES = re.compile(r"(?:has|have|no|not|with|without|is|hide|hides|show|shows)[-_]|.*[-_](?:by|page)(?:[-_]|$)")
 #: Different pages that must agree before an unchanging text counts as the template's.
-TEMPLATE_PAGES = 8
+TEMPLATE_PAGES = 2
+#: Below so many, a page on which such texts are the larger part keeps them: it may be a near copy.
+SURE_PAGES = 8
 LONGEST_GROUP = 24
 #: Parts in which the wrappers of one host are merged first.
 PARTS = 100
@@ -58,33 +62,41 @@ class Page:
     def __init__(self, source: str | None):
         self.signs: list[str] = []
         self.texts: list[str] = []
-        self.around: list[bool] = []  # inside something that is not the article
+        self.around: list[bool] = []  # inside something that is not the article, by tag or words
+        self.tagged: list[bool] = []  # by tag
         self.main: list[bool] = []
         self.link: list[bool] = []
         self.block: list[int] = []
-        self._stack: list[tuple[str, bool]] = []
-        self._inside = [0, 0, 0]  # open elements around, of the article, links
+        self._stack: list[tuple[str, bool, bool, int]] = []  # name, around by tag, by words, of words set aside
+        self._inside = [0, 0, 0, 0, 0]  # open elements around by tag, by words, of article or main, links, article
         self._n_block = 0
         if source:
             self._read(source)
 
     def _add(self, sign: str, text: str = "") -> None:
-        around, main, link = self._inside
+        tagged, worded, main, link, _ = self._inside
         self.signs.append(sign)
         self.texts.append(text)
-        self.around.append(around > 0)
+        self.around.append(tagged + worded > 0)
+        self.tagged.append(tagged > 0)
         self.main.append(main > 0)
         self.link.append(link > 0)
         self.block.append(self._n_block)
 
-    def _count(self, opened: list[tuple[str, bool]], by: int) -> None:
-        for name, around in opened:
-            self._inside[0] += by * around
-            self._inside[1] += by * (name in MAIN)
-            self._inside[2] += by * (name == "a")
+    def _count(self, element: tuple[str, bool, bool, int], by: int) -> None:
+        name, tagged, worded, aside = element
+        for k, n in enumerate((tagged, worded - aside, name in MAIN, name == "a", name == "article")):
+            self._inside[k] += by * n
+
+    def _open(self, name: str, tagged: bool, worded: bool) -> None:
+        """Words of what encloses an article or main do not count in it, unless they are inside another article."""
+        aside = self._inside[1] if name in MAIN and not self._inside[4] else 0
+        self._stack.append((name, tagged, worded, aside))
+        self._count(self._stack[-1], 1)
 
     def _close(self, at: int) -> None:
-        self._count(self._stack[at:], -1)
+        for element in self._stack[at:]:
+            self._count(element, -1)
         del self._stack[at:]
 
     def _read(self, source: str) -> None:
@@ -124,13 +136,13 @@ class Page:
             if self._stack[k][0] in FENCE or self._stack[k][0] in ("table", "ul", "ol", "tr"):
                 break
         marks = [" ".join(x for x in g[1:] if x) for g in NAMED.findall(attributes)] if attributes else []
-        words = {w for value in marks for w in WORDS.findall(value.lower())}
-        around = name in AROUND or bool(words & AROUND_WORDS) and name not in MAIN and name != "body" or name == "header" and not self._inside[1]
-        label = ".".join(sorted(words)) if around else ""
+        words = {w for value in marks for part in value.lower().split() if not STATES.match(part) for w in WORDS.findall(part)}
+        tagged = name in AROUND or name == "header" and not self._inside[2]
+        worded = bool(words & AROUND_WORDS) and name not in MAIN and name != "body"
+        label = ".".join(sorted(words)) if tagged or worded else ""
         self._add(f"<{name}{'.' + label if label else ''}>" if name != "br" else "<br>")
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            self._stack.append((name, around))
-            self._count(self._stack[-1:], 1)
+            self._open(name, tagged, worded)
 
     def blocks(self, keep: list[bool]) -> str:
         """The kept texts: blanks joined inside a block, blocks joined by line ends."""
@@ -188,7 +200,7 @@ def fold(signs: list[str], known: tuple[str, ...] = ()) -> list[tuple[str, int,
 class Wrapper:
     """Items [signature, optional, texts of its slots (None: they differ), pages that have it].
 
-    With them go the number of pages and the marks of different ones, TEMPLATE_PAGES at most.
+    With them go the number of pages and the marks of different ones, SURE_PAGES at most.
     """
 
     def __init__(self, items: list[list] | None = None, pages: int = 0, marks: list[str] | None = None):
@@ -208,7 +220,7 @@ class Wrapper:
                     out.append([x[0], x[1] or y[1], _agree(x[2], y[2]), x[3] + y[3]])
             else:
                 out += [[x[0], True, *x[2:]] for x in [*self.items[a:b], *other.items[c:d]]]
-        return Wrapper(out, self.pages + other.pages, sorted({*self.marks, *other.marks})[:TEMPLATE_PAGES])
+        return Wrapper(out, self.pages + other.pages, sorted({*self.marks, *other.marks})[:SURE_PAGES])
 
     def template(self, at: int, slot: int) -> bool:
         """Whether a text is equal on all pages of the host, and enough of these are different."""
@@ -241,10 +253,19 @@ def _agree(a: list, b: list) -> list:
     return [x if x == y else None for x, y in zip(a, b)] if len(a) == len(b) else [None] * max(len(a), len(b))
 
 
+def _hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _short(text: str) -> str:
+    """A text, or what stands for a long one."""
+    return text if len(text) <= 300 else "\0" + _hash(text)
+
+
 def _mark(page: Page) -> str:
     """A hash of what a page says, the same for its copies in other surroundings."""
     said = " ".join(" ".join(t.split()) for t, around in zip(page.texts, page.around) if not around)
-    return hashlib.blake2b(" ".join(said.split()).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return _hash(" ".join(said.split()))
 
 
 def of_page(page: Page, known: tuple[str, ...] = ()) -> tuple[Wrapper, list[tuple[str, int, int]]]:
@@ -254,7 +275,7 @@ def of_page(page: Page, known: tuple[str, ...] = ()) -> tuple[Wrapper, list[tupl
         slots = sign.count("#")
         texts = [" ".join(page.texts[k].split()) for k in range(a, b) if page.signs[k] == "#"]
         alike = len(texts) == slots and not sign.endswith(")+")
-        items.append([sign, False, [t if len(t) <= 300 else None for t in texts] if alike else [None] * slots, 1])
+        items.append([sign, False, [_short(t) for t in texts] if alike else [None] * slots, 1])
     return Wrapper(items, 1, [_mark(page)]), folded
 
 
@@ -264,20 +285,31 @@ def menu(sign: str) -> bool:
 
 
 def content(page: Page, wrapper: Wrapper) -> list[bool]:
-    """Which tokens are texts of the article."""
+    """Which tokens are texts of the article.
+
+    Words of class, id and role do not count on a page that has no text but in such elements.
+    """
+    keep = _content(page, wrapper, page.around)
+    return keep if any(keep) or page.around == page.tagged else _content(page, wrapper, page.tagged)
+
+
+def _content(page: Page, wrapper: Wrapper, around: list[bool]) -> list[bool]:
     folded = fold(page.signs, wrapper.groups)
-    any_main = any(m and s == "#" and not a for m, s, a in zip(page.main, page.signs, page.around))
-    keep = [False] * len(page.signs)
+    any_main = any(m and s == "#" and not a for m, s, a in zip(page.main, page.signs, around))
+    keep, fixed = [False] * len(page.signs), []
     for (sign, a, b), at in zip(folded, wrapper.place(folded)):
         slot = 0
         for k in range(a, b):
             if page.signs[k] != "#":
                 continue
-            template = False
-            if at is not None and not page.main[k] and not sign.endswith(")+"):
-                template = wrapper.template(at, slot)
+            template = at is not None and not page.main[k] and not sign.endswith(")+") and wrapper.template(at, slot)
             slot += 1
-            keep[k] = not page.around[k] and not template and (page.main[k] if any_main else not menu(sign))
+            keep[k] = not around[k] and (page.main[k] if any_main else not menu(sign))
+            if keep[k] and template:
+                fixed.append(k)
+    if len(wrapper.marks) >= SURE_PAGES or 2 * len(fixed) <= sum(keep):
+        for k in fixed:
+            keep[k] = False
     return keep
 
 
@@ -330,7 +362,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html gives an empty text; null and malformed URLs form a host of their
     own; repeated rows are read each; an empty table gives an empty result; other columns
     are not read. Only texts outside article, main and repeated groups that stand on all of
-    a host's pages and are equal there count as the template's; copies are one page.
+    a host's pages, two different ones at least, and are equal there count as the template's.
     """
     wrappers = infer(pages, url_col, html_col).withColumnRenamed("host", "_host")
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))

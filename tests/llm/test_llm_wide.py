@@ -231,6 +231,27 @@ def test_texts_shared_by_articles_and_copies_are_kept(spark):
     assert texts_of(spark, article) == {i: f"Daily\n{prose(i, 9)}" for i in range(10)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 7, 8])
+def test_notices_go_on_any_host(spark, n):
+    for notice in ("Read our terms", "We keep small files on your device to see who reads what. " * 12):
+        rows = [(i, "http://n.org/", f"<body><section><p>{notice}</p></section><div><p>{prose(i, 20)}</p></div></body>") for i in range(n)]
+        assert texts_of(spark, rows) == {i: prose(i, 20) for i in range(n)}
+
+
+def test_near_copies_keep_their_text(spark):
+    rows = [(i, f"http://n{i // 2}.org/", f"<body><h1>Title</h1><h2>More</h2><div><p>The one</p></div><section>{prose(i, 5)}</section></body>") for i in range(4)]
+    assert texts_of(spark, rows) == {i: f"Title\nMore\nThe one\n{prose(i, 5)}" for i in range(4)}
+
+
+def test_words_do_not_overrule_an_article(spark):
+    open_ = ["class='content has-sidebar'", "class='no-sidebar'", "class='side-by-side'", "id='menu-page'", "class='menu'", "class='sidebar share'"]
+    rows = [(i, f"http://w{i}.org/", f"<body><main><h1>T</h1><div {x}><article><p>text {i}</p><div class=comments><article>c</article></div></article></div></main></body>") for i, x in enumerate(open_)]
+    rows += [(10 + i, f"http://v{i}.org/", f"<body><div {x}><p>text {i}</p></div></body>") for i, x in enumerate(open_)]
+    rows += [(20, "http://u.org/", "<div class=sidebar>s</div><p>text</p><div class=side-by-side>more</div>")]
+    want = {i: f"T\ntext {i}" for i in range(6)} | {10 + i: f"text {i}" for i in range(6)} | {20: "text\nmore"}
+    assert texts_of(spark, rows) == want
+
+
 def test_wrapper_is_union_free():
     a, b = (wrappers.of_page(wrappers.Page(page(f"T{n}", ["x"] * n, n)))[0] for n in (2, 4))
     both = a.merge(b)
