@@ -113,9 +113,11 @@ def _split(members: DataFrame, similar: float, runs: int = 0) -> DataFrame:
 
 
 def _compare(similar: float):
-    """Stars of a bucket: sets not yet joined to an earlier pivot become one and meet all.
+    """Stars of a bucket: every pair whose sketches agree is joined, itself or through others.
 
-    What is joined hangs on its least signature, which other buckets mostly share.
+    Each set in turn meets all that are not joined yet; pairs of joined sets need no look, as
+    the exact stage compares all of a component. Stars are around the least signature, which
+    other buckets mostly share.
     """
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -123,17 +125,18 @@ def _compare(similar: float):
         if len(pairs) < 2:
             return
         sketch = np.stack([np.frombuffer(x, dtype=np.uint32) for _, x in pairs])
-        free, label = np.ones(len(pairs), dtype=bool), np.arange(len(pairs))
-        for k in range(len(pairs)):
-            if free[k]:
-                near = (sketch == sketch[k]).mean(axis=1) >= similar
-                free &= ~near
-                held = np.unique(label[near])
-                if len(held) > 1:
-                    label[np.isin(label, held)] = held[0]
-        hung = np.flatnonzero(label != np.arange(len(pairs))).tolist()
-        if hung:
-            yield pa.RecordBatch.from_arrays([pa.array([pairs[label[k]][0] for k in hung], pa.binary()), pa.array([pairs[k][0] for k in hung], pa.binary())], ["a", "b"])
+        free, a, b = np.arange(len(pairs)), [], []
+        while len(free) > 1:
+            start, free = int(free[0]), free[1:]
+            queue = [start]
+            while queue and len(free):
+                near = (sketch[free] == sketch[queue.pop()]).mean(axis=1) >= similar
+                joined, free = free[near].tolist(), free[~near]
+                queue += joined
+                a += [pairs[start][0]] * len(joined)
+                b += [pairs[k][0] for k in joined]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import DOCS, clashing, edge_rows, edges, prose, table_dir
@@ -321,6 +322,36 @@ def test_recall_of_paths(spark):
     assert got >= 0.97 * len(links) and len(links) > 150
 
 
+def test_buckets_are_compared_in_full():
+    """Two sets near different pivots, and near each other only."""
+    row = np.arange(64, dtype=np.uint32)
+    own = lambda k, n: np.where(np.arange(64) < n, row, 1000 * k + row).astype(np.uint32)
+    x, y = own(1, 64), own(2, 56)
+    first, second = x.copy(), y.copy()
+    first[:24] += 5000  # agrees with x on 40 places, with y on 32
+    second[:24] += 7000
+    table = pa.table({"sig": pa.array([b"a", b"b", b"x", b"y"], pa.binary()), "sketch": pa.array([v.tobytes() for v in (first, second, x, y)], pa.binary())})
+    found = [e for batch in jaccard._compare(0.6)(table) for e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    assert sorted(found) == [(b"a", b"b"), (b"a", b"x"), (b"a", b"y")]
+
+
+@pytest.mark.parametrize("leaf", [1024, 24])
+def test_recall_of_long_chains(spark, leaf):
+    """Each version a few words from the last: links and classes against brute force."""
+    texts = []
+    for g in range(12):
+        last = prose(4000 + g, 150)
+        for k in range(30):
+            texts.append(last)
+            last = edited(last, 9000 + 30 * g + k, 1 + k % 3)
+    _, links = plain_links(texts)
+    got = {r["doc_id"]: r for r in jaccard.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), leaf=leaf).collect()}
+    pairs = [(i, j) for i in links for j in links[i]]
+    met = sum(got[i]["class_id"] == got[j]["class_id"] for i, j in pairs)
+    assert len(pairs) > 900 and met >= 0.99 * len(pairs)
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * len(pairs)
+
+
 def test_join_edges(spark):
     docs = clashing(edges(spark))
     got = jaccard.jaccard_classes(docs)
