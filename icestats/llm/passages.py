@@ -23,7 +23,7 @@ from icestats.llm.common import SHINGLE, grouped, mix64, shingles, slices, store
 
 WORDS = 50
 SIMILAR = 0.8
-HASHES = 2
+HASHES = 4
 #: Members of a group compared at once; larger groups go in pairs of blocks.
 LEAF = 32_768
 PLACE_BITS = 24

@@ -452,6 +452,23 @@ def test_changed_passage_is_found(spark):
     assert got[1]["n_repeated"] == got[3]["n_repeated"] == 0 and 115 <= got[2]["n_repeated"] <= 125
 
 
+def test_recall_of_changed_passages(spark):
+    """Passages of 50 to 60 words with one changed word, no 50 words of them unchanged."""
+    rows, want = [], []
+    for g in range(600):
+        p = prose(20_000 + g, 50 + g % 11).split()
+        at = 12 + g % (len(p) - 24)
+        q = [*p[:at], f"other{g}", *p[at + 1 :]]
+        a, b = (set(x.tolist()) for x in shingles([[w.encode() for w in x] for x in (p, q)]))
+        if len(a & b) >= 0.8 * len(a | b):
+            want.append((2 * g + 1, len(p)))
+        rows += [(2 * g, f"{prose(30_000 + g, 30)} {' '.join(p)} {prose(40_000 + g, 30)}"), (2 * g + 1, f"{prose(50_000 + g, 30)} {' '.join(q)} {prose(60_000 + g, 30)}")]
+    got = {r["doc_id"]: r["n_repeated"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(n - 2 <= got[i] <= n + 2 for i, n in want)
+    print("found", found, "of", len(want))
+    assert len(want) > 500 and found >= 0.99 * len(want)
+
+
 def test_cut_text(spark):
     assert passages.without("a  b\nc d ", [(1, 3)]) == "a  d "
     assert passages.without("é b c", [(0, 1)]) == "b c"
