@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-OPERATORS = ("quality", "language", "urls", "shards", "mixing", "fingerprints", "pieces", "wrappers", "jaccard", "passages")
+OPERATORS = (
+    "quality", "language", "urls", "shards", "mixing", "fingerprints", "pieces", "wrappers", "jaccard", "passages",
+    "lexical", "alignment", "secrets",
+)
 
 
 def registered():
