@@ -27,11 +27,18 @@ def load_outcomes(games: DataFrame, game_type: Column | None = None) -> DataFram
     )
 
 
-def latest_lines(odds: DataFrame, keys: tuple[str, ...] = ("gameid", "description", "partner")) -> DataFrame:
-    """Latest update per key; a map-side aggregate, so repeated pulls never pile up in one task."""
+LINE_KEYS = ("gameid", "description", "partner")
+
+
+def latest_by_key(odds: DataFrame, keys: tuple[str, ...] = LINE_KEYS) -> DataFrame:
+    """(keys, b): the other columns of each key's latest update; for tables and streams."""
     rest = [c for c in odds.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct("updated", "home_line", "away_line"))
-    return odds.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    return odds.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("updated", "home_line", "away_line")).alias("b"))
+
+
+def latest_lines(odds: DataFrame, keys: tuple[str, ...] = LINE_KEYS) -> DataFrame:
+    """Latest update per key; a map-side aggregate, so repeated pulls never pile up in one task."""
+    return latest_by_key(odds, keys).select(*keys, "b.*")
 
 
 def closing_lines(odds: DataFrame, keys: tuple[str, ...] = ("gameid", "description")) -> DataFrame:

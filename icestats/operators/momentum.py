@@ -1,10 +1,12 @@
 """Latent momentum of a game: filter, smoother, likelihood, fit.
 
 One scalar state per game: x' = a^dt · x + B·u, observed as y = C·x + D·z with noise.
-The recursion is sequential within a game and free between games. Rows are shuffled
-by game and sorted; a task reads them as Arrow batches, steps through all games of a
-batch at once, and carries two numbers over to the next batch for a game that goes on.
-Memory does not depend on the length of a game.
+A task reads sorted rows as Arrow batches, steps through all games of a batch at once, and
+carries two numbers over to the next batch for a game that goes on. With `slice_by` a game
+is cut into consecutive pieces that run in parallel: the events of a piece compose to one
+element (five numbers for the filter, three for the smoother), one row per piece folds into
+the state at its border, and a header row brings that state in. Memory does not depend on
+the length of a game.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icestats.plans.slicing import _with_headers, as_column, global_index
+
 # The thirteen inputs and the four observation covariates, in model order
 INPUTS = (
     "hit_for_O", "hit_for_D", "hit_for_N", "hit_against_O", "hit_against_D", "hit_against_N", "shot_for", "shot_against",
@@ -58,79 +62,77 @@ class MomentumParams:
         return 1.0 / (1.0 + math.exp(-self.a0))
 
 
-def _segments(pdf: pd.DataFrame, game: str):
-    """Start and length of each game's rows in a sorted batch."""
-    g = pdf[game].to_numpy()
-    cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    return g[cut], cut, np.diff(np.append(cut, len(g)))
+def _segments(pdf: pd.DataFrame, keys: Sequence[str]):
+    """First row and length of each run of equal keys in a sorted batch."""
+    if not len(pdf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for k in keys:
+        v = pdf[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    cut = np.flatnonzero(change)
+    return cut, np.diff(np.append(cut, len(pdf)))
 
 
-def _forward(theta: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, starts: np.ndarray, lens: np.ndarray, state, grad: bool):
-    """Step all games of a batch together. `state` = (x, P, dx, dP, seen) per game.
+def _parts(theta: np.ndarray):
+    """(a, b, c, d, q, r, p0, alpha, beta) on their natural scales."""
+    nb, nd = len(INPUTS), len(COVARIATES)
+    tail = theta[2 + nb + nd :]
+    return 1.0 / (1.0 + np.exp(-theta[0])), theta[1 : 1 + nb], np.exp(theta[1 + nb]), theta[2 + nb : 2 + nb + nd], *np.exp(tail[:3]), *tail[3:]
 
-    Returns per-row arrays (x_pred, P_pred, x_filt, P_filt), per-game nll and gradient
-    sums, and the end state.
-    """
-    nb, nd = u.shape[1], z.shape[1]
-    n_par = len(theta)
-    a = 1.0 / (1.0 + np.exp(-theta[0]))
-    b, d = theta[1 : 1 + nb], theta[2 + nb : 2 + nb + nd]
-    c, q, r, p0 = np.exp(theta[1 + nb]), *np.exp(theta[2 + nb + nd : 5 + nb + nd])
-    alpha, beta = theta[5 + nb + nd], theta[6 + nb + nd]
-    ia, ic, iq = 0, 1 + nb, 2 + nb + nd
-    rows = len(y)
-    out = np.empty((4, rows))
-    x, p, dx, dp, seen = state
-    new = ~seen
-    x = np.where(new, alpha * z[starts, 0] + beta * z[starts, 1], x)
-    p = np.where(new, p0, p)
-    if grad:
-        dx, dp = dx.copy(), dp.copy()
-        dx[new], dp[new] = 0.0, 0.0
-        dx[new, iq + 3], dx[new, iq + 4] = z[starts[new], 0], z[starts[new], 1]
-        dp[new, iq + 2] = p0
+
+def _steps(lens: np.ndarray):
+    """(step, pieces that have it), pieces from the longest to the shortest."""
     order = np.argsort(-lens, kind="stable")
-    nll, g_sum = np.zeros(len(starts)), np.zeros((len(starts), n_par))
     top = lens[order]
     for t in range(int(lens.max(initial=0))):
-        act = order[: np.searchsorted(-top, -t, side="left")]
+        yield t, order[: np.searchsorted(-top, -t, side="left")]
+
+
+def _forward(theta: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, starts: np.ndarray, lens: np.ndarray, x: np.ndarray, p: np.ndarray):
+    """Filter all pieces of a batch together from their states (x, p), which are moved to their ends.
+
+    Returns per row x_pred, p_pred, x_filt, p_filt and the negative log-likelihood.
+    """
+    a, b, c, d, q, r, *_ = _parts(theta)
+    out = np.empty((5, len(y)))
+    at, bu, rest = a**dt, u @ b, y - z @ d
+    for t, act in _steps(lens):
         i = starts[act] + t
-        at = a ** dt[i]
-        bu = u[i] @ b
-        xp, pp = at * x[act] + bu, at * at * p[act] + q
-        e = y[i] - c * xp - z[i] @ d
-        s = c * c * pp + r
+        xp, pp = at[i] * x[act] + bu[i], at[i] ** 2 * p[act] + q
+        e, s = rest[i] - c * xp, c * c * pp + r
         k = pp * c / s
-        xf, pf = xp + k * e, (1 - k * c) * pp
-        nll[act] += 0.5 * (np.log(s) + e * e / s)
-        out[0, i], out[1, i], out[2, i], out[3, i] = xp, pp, xf, pf
-        if grad:
-            dat = at * dt[i] * (1 - a)  # derivative of a^dt by the unconstrained decay
-            dxp = at[:, None] * dx[act]
-            dxp[:, ia] += dat * x[act]
-            dxp[:, 1 : 1 + nb] += u[i]
-            dpp = (at * at)[:, None] * dp[act]
-            dpp[:, ia] += 2 * at * dat * p[act]
-            dpp[:, iq] += q
-            de = -c * dxp
-            de[:, ic] -= c * xp
-            de[:, 2 + nb : 2 + nb + nd] -= z[i]
-            ds = c * c * dpp
-            ds[:, ic] += 2 * c * c * pp
-            ds[:, iq + 1] += r
-            dk = (c * dpp) / s[:, None] - (pp * c / (s * s))[:, None] * ds
-            dk[:, ic] += k
-            g_sum[act] += 0.5 * ((1 / s - e * e / (s * s))[:, None] * ds + (2 * e / s)[:, None] * de)
-            dx[act] = dxp + dk * e[:, None] + k[:, None] * de
-            dpf = (1 - k * c)[:, None] * dpp - (c * pp)[:, None] * dk
-            dpf[:, ic] -= k * c * pp
-            dp[act] = dpf
-        x[act], p[act] = xf, pf
-    return out, nll, g_sum, (x, p, dx, dp, np.ones(len(starts), bool))
-
-
-def _by_game(df: DataFrame, game: str, order: Sequence[Column]) -> DataFrame:
-    return df.repartition(game).sortWithinPartitions(game, *order)
+        x[act], p[act] = xp + k * e, (1 - k * c) * pp
+        out[:, i] = xp, pp, x[act], p[act], 0.5 * (np.log(s) + e * e / s)
+    return out
+
+
+def _compose(theta: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, starts: np.ndarray, lens: np.ndarray, held: np.ndarray):
+    """Compose each piece's events onto its element, a column (A, B, C, E, J) of `held`.
+
+    A piece turns the state N(m, P) before it into mean A (m + P E) / (1 + P J) + B and
+    variance A^2 P / (1 + P J) + C.
+    """
+    a, b, c, d, q, r, *_ = _parts(theta)
+    s = c * c * q + r
+    gain = q * c / s
+    at, bu = a**dt, u @ b
+    seen = y - z @ d - c * bu
+    own = np.stack([(1 - gain * c) * at, bu + gain * seen, np.full(len(y), (1 - gain * c) * q), at * c * seen / s, (at * c) ** 2 / s])
+    for t, act in _steps(lens):
+        aj, bj, cj, ej, jj = own[:, starts[act] + t]
+        ai, bi, ci, ei, ji = held[:, act]
+        w = 1 / (1 + ci * jj)
+        held[:, act] = aj * ai * w, aj * w * (bi + ci * ej) + bj, aj * aj * ci * w + cj, ai * w * (ej - jj * bi) + ei, ai * ai * jj * w + ji
+    return held
+
+
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def _by_piece(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def _columns(df: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -138,183 +140,470 @@ def _columns(df: DataFrame, extra: Sequence[str]) -> DataFrame:
     return df.select(*extra, num("y"), num("dt"), *[num(n) for n in INPUTS], *[num(n) for n in COVARIATES])
 
 
-def kalman_filter(df: DataFrame, params: MomentumParams, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id")) -> DataFrame:
-    """Predicted and filtered state of every event."""
-    theta, forward, segments = params.vector(), _forward, _segments
-    keys = [game, *order]
-    src = _by_game(_columns(df, keys), game, [F.col(c) for c in order])
-    names = ("x_pred", "p_pred", "x_filt", "p_filt")
-    schema = T.StructType([src.schema[k] for k in [*keys, "dt"]] + [T.StructField(n, T.DoubleType()) for n in names])
+def _led(rows: DataFrame, headers: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows with a header row per piece; whole numbers stay whole in tasks, as headers have them too."""
+    whole = {c: F.lit(0).cast(rows.schema[c].dataType) for c in order if isinstance(rows.schema[c].dataType, T.IntegralType)}
+    return _with_headers(rows, headers.withColumns(whole))
+
+
+def _arrays(pdf: pd.DataFrame):
+    return pdf[list(INPUTS)].to_numpy(float), pdf["y"].to_numpy(float), pdf[list(COVARIATES)].to_numpy(float), pdf["dt"].to_numpy(float)
+
+
+def _folded(summaries: DataFrame, keys: Sequence[str], game: str, step, names: Sequence[str], backward: bool = False) -> DataFrame:
+    """Fold the pieces of each game, one row each, in order: `step(row, state)` gives
+    (values of the piece, state for the next); the state is None at the first piece."""
+    by = [F.col(k) if k == game or not backward else F.col(k).desc() for k in keys]
+    src = summaries.repartition(game).sortWithinPartitions(*by)
+    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, (0.0, 0.0)
+        last, state = None, None
         for pdf in batches:
-            if not len(pdf):
+            made = []
+            for row in pdf.itertuples(index=False):
+                now = getattr(row, game)
+                values, state = step(row, state if now == last else None)
+                last = now
+                made.append(values)
+            if made:
+                yield pdf[list(keys)].assign(**dict(zip(names, np.array(made, float).T)))
+
+    return src.mapInPandas(run, schema)
+
+
+def kalman_filter(df: DataFrame, params: MomentumParams, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), slice_by: Column | str | None = None) -> DataFrame:
+    """Predicted and filtered state and negative log-likelihood of every event.
+
+    `slice_by` cuts a game into consecutive pieces (a column increasing with the order).
+    """
+    theta, forward, segments, arrays = params.vector(), _forward, _segments, _arrays
+    alpha, beta, p0 = params.alpha, params.beta, math.exp(params.p0)
+    src = _columns(df if slice_by is None else df.withColumn("_slice", as_column(slice_by)), [game, *order] if slice_by is None else [game, "_slice", *order])
+    keys = [game] if slice_by is None else [game, "_slice"]
+    by = [F.col(c) for c in order]
+    if slice_by is not None:
+        src = _led(src, _entries(src, params, keys, game, by), order)
+        by = [F.col("_h"), *by]
+    names = ("x_pred", "p_pred", "x_filt", "p_filt", "nll")
+    schema = T.StructType([src.schema[k] for k in [game, *order, "dt"]] + [T.StructField(n, T.DoubleType()) for n in names])
+    src = _by_piece(src, keys, by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for pdf in batches:
+            brought = {}
+            if "_h" in pdf:
+                head = pdf[pdf["_h"] == 0]
+                brought = dict(zip(zip(*(head[k] for k in keys)), zip(head["x_in"], head["p_in"])))
+                pdf = pdf[pdf["_h"] == 1]
+            starts, lens = segments(pdf, keys)
+            if not len(starts):
+                last, held = next(reversed(brought.items()), (last, held))
                 continue
-            games, starts, lens = segments(pdf, game)
-            n = len(games)
-            x, p, seen = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-            if last is not None and games[0] == last:
-                x[0], p[0], seen[0] = *held, True
-            out, _, _, end = forward(
-                theta, pdf[list(INPUTS)].to_numpy(float), pdf["y"].to_numpy(float), pdf[list(COVARIATES)].to_numpy(float),
-                pdf["dt"].to_numpy(float), starts, lens, (x, p, None, None, seen), False,
-            )
-            last, held = games[-1], (end[0][-1], end[1][-1])
-            yield pdf[[*keys, "dt"]].assign(**dict(zip(names, out)))
+            u, y, z, dt = arrays(pdf)
+            own = list(zip(*(pdf[k].to_numpy()[starts] for k in keys)))
+            states = [brought[k] if k in brought else held if k == last else (alpha * z[i, 0] + beta * z[i, 1], p0) for k, i in zip(own, starts)]
+            x, p = (np.array(v, float) for v in zip(*states))
+            out = forward(theta, u, y, z, dt, starts, lens, x, p)
+            last, held = own[-1], (x[-1], p[-1])
+            if brought and next(reversed(brought)) != last and next(reversed(brought)) not in own:
+                last, held = next(reversed(brought.items()))  # its rows are in the next batch
+            yield pdf[[game, *order, "dt"]].assign(**dict(zip(names, out)))
 
     return src.mapInPandas(run, schema)
 
 
-def rts_smoother(filtered: DataFrame, params: MomentumParams, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id")) -> DataFrame:
-    """Smoothed state: the same streaming in reverse order, carrying the next event's values."""
-    a, segments = params.decay, _segments
-    keys = [game, *order]
-    src = _by_game(filtered, game, [F.col(c).desc() for c in order])
-    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in ("x_filt", "x_smooth", "p_smooth")])
+def _entries(src: DataFrame, params: MomentumParams, keys: Sequence[str], game: str, by: Sequence[Column]) -> DataFrame:
+    """(keys, x_in, p_in): the state with which each piece starts, one row per piece."""
+    theta, segments, arrays, compose = params.vector(), _segments, _arrays, _compose
+    alpha, beta, p0 = params.alpha, params.beta, math.exp(params.p0)
+    names = ("e_a", "e_b", "e_c", "e_e", "e_j", "mu")
+    rows = _by_piece(src, keys, by)
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, mu_held = None, None, 0.0
+        for pdf in batches:
+            starts, lens = segments(pdf, keys)
+            if not len(starts):
+                continue
+            u, y, z, dt = arrays(pdf)
+            own = list(zip(*(pdf[k].to_numpy()[starts] for k in keys)))
+            elements = np.tile(np.array(IDENTITY)[:, None], len(starts))
+            mu = alpha * z[starts, 0] + beta * z[starts, 1]
+            if last == own[0]:
+                elements[:, 0], mu[0] = held, mu_held
+            elif last is not None:
+                yield pd.DataFrame([(*last, *held, mu_held)], columns=[*keys, *names])
+            compose(theta, u, y, z, dt, starts, lens, elements)
+            if len(own) > 1:
+                yield pd.DataFrame(own[:-1], columns=list(keys)).assign(**dict(zip(names, [*elements[:, :-1], mu[:-1]])))
+            last, held, mu_held = own[-1], elements[:, -1], mu[-1]
+        if last is not None:
+            yield pd.DataFrame([(*last, *held, mu_held)], columns=[*keys, *names])
+
+    def step(row, state):
+        m, v = state or (row.mu, p0)
+        w = 1 / (1 + v * row.e_j)
+        return (m, v), (row.e_a * w * (m + v * row.e_e) + row.e_b, row.e_a**2 * v * w + row.e_c)
+
+    return _folded(rows.mapInPandas(run, schema), keys, game, step, ("x_in", "p_in"))
+
+
+def _smooth(a: float, dt: np.ndarray, xp: np.ndarray, pp: np.ndarray, xf: np.ndarray, pf: np.ndarray, starts: np.ndarray, lens: np.ndarray, state: np.ndarray, have: np.ndarray):
+    """Step all pieces of a batch (latest event first) from the following event's values.
+
+    `state` holds smoothed mean and variance, prediction and gap of that event per piece.
+    """
+    xs, ps = np.empty(len(dt)), np.empty(len(dt))
+    for t, act in _steps(lens):
+        i = starts[act] + t
+        sx, sp, npx, npp, ndt = state[:, act]
+        j = np.where(have[act], pf[i] * a**ndt / np.where(have[act], npp, 1.0), 0.0)
+        xs[i], ps[i] = xf[i] + j * (sx - npx), pf[i] + j * j * (sp - npp)
+        state[:, act] = xs[i], ps[i], xp[i], pp[i], dt[i]
+        have[act] = True
+    return xs, ps
+
+
+def rts_smoother(filtered: DataFrame, params: MomentumParams, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), slice_by: Column | str | None = None) -> DataFrame:
+    """Smoothed state: the same streaming in reverse order, carrying the next event's values.
+
+    With `slice_by` pieces run in parallel as in the filter: smoothing is affine in the
+    smoothed state that follows, so a piece composes to three numbers.
+    """
+    a, segments, smooth = params.decay, _segments, _smooth
+    src = filtered if slice_by is None else filtered.withColumn("_slice", as_column(slice_by))
+    keys = [game] if slice_by is None else [game, "_slice"]
+    by = [F.col(c).desc() for c in order]
+    if slice_by is not None:
+        src = _led(src, _exits(src, a, keys, game, by), order)
+        by = [F.col("_h"), *by]
+    schema = T.StructType([src.schema[k] for k in [game, *order]] + [T.StructField(n, T.DoubleType()) for n in ("x_filt", "x_smooth", "p_smooth")])
+    src = _by_piece(src, keys, by)
+    following = ("n_x", "n_p", "n_xp", "n_pp", "n_dt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
         for pdf in batches:
-            if not len(pdf):
+            brought = {}
+            if "_h" in pdf:
+                head = pdf[pdf["_h"] == 0]
+                brought = dict(zip(zip(*(head[k] for k in keys)), head[list(following)].to_numpy(float)))
+                pdf = pdf[pdf["_h"] == 1]
+            starts, lens = segments(pdf, keys)
+            if not len(starts):
+                last, held = next(reversed(brought.items()), (last, held))
                 continue
-            games, starts, lens = segments(pdf, game)
-            dt, xp, pp, xf, pf = (pdf[c].to_numpy(float) for c in ("dt", "x_pred", "p_pred", "x_filt", "p_filt"))
-            xs, ps = np.empty(len(pdf)), np.empty(len(pdf))
-            # values of the following event: smoothed state and variance, prediction, gap
-            nxt = np.zeros((5, len(games)))
-            have = np.zeros(len(games), bool)
-            if last is not None and games[0] == last:
-                nxt[:, 0], have[0] = held, True
-            by = np.argsort(-lens, kind="stable")
-            top = lens[by]
-            for t in range(int(lens.max())):
-                act = by[: np.searchsorted(-top, -t, side="left")]
-                i = starts[act] + t
-                sx, sp, npx, npp, ndt = nxt[:, act]
-                j = np.where(have[act], pf[i] * a**ndt / np.where(have[act], npp, 1.0), 0.0)
-                xs[i], ps[i] = xf[i] + j * (sx - npx), pf[i] + j * j * (sp - npp)
-                nxt[:, act] = xs[i], ps[i], xp[i], pp[i], dt[i]
-                have[act] = True
-            last, held = games[-1], nxt[:, -1].copy()
-            yield pdf[[*keys, "x_filt"]].assign(x_smooth=xs, p_smooth=ps)
+            own = list(zip(*(pdf[k].to_numpy()[starts] for k in keys)))
+            none = np.full(5, np.nan)
+            state = np.stack([brought[k] if k in brought else held if k == last else none for k in own], axis=1)
+            have = ~np.isnan(state[0])
+            xs, ps = smooth(a, *(pdf[c].to_numpy(float) for c in ("dt", "x_pred", "p_pred", "x_filt", "p_filt")), starts, lens, np.nan_to_num(state), have)
+            dt, xp, pp = (pdf[c].to_numpy(float)[-1] for c in ("dt", "x_pred", "p_pred"))
+            last, held = own[-1], np.array([xs[-1], ps[-1], xp, pp, dt])
+            if brought and next(reversed(brought)) not in own:
+                last, held = next(reversed(brought.items()))
+            yield pdf[[game, *order, "x_filt"]].assign(x_smooth=xs, p_smooth=ps)
 
     return src.mapInPandas(run, schema)
 
 
-def likelihood(prepared: DataFrame, thetas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exits(src: DataFrame, a: float, keys: Sequence[str], game: str, by: Sequence[Column]) -> DataFrame:
+    """(keys, n_*): the values of the event that follows each piece (null for a game's last)."""
+    segments, steps = _segments, _steps
+    # x_first = e_e · x_last + e_g and p_first = e_e² · p_last + e_l, with the filtered values of the last event
+    names = ("e_e", "e_g", "e_l", "last_x", "last_p", "first_xp", "first_pp", "first_dt")
+    rows = _by_piece(src, keys, by)
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for pdf in batches:
+            starts, lens = segments(pdf, keys)
+            if not len(starts):
+                continue
+            own = list(zip(*(pdf[k].to_numpy()[starts] for k in keys)))
+            dt, xp, pp, xf, pf = (pdf[c].to_numpy(float) for c in ("dt", "x_pred", "p_pred", "x_filt", "p_filt"))
+            made = np.zeros((8, len(starts)))
+            fresh = np.ones(len(starts), bool)
+            if last == own[0]:
+                made[:, 0], fresh[0] = held, False
+            elif last is not None:
+                yield pd.DataFrame([(*last, *held)], columns=[*keys, *names])
+            for t, act in steps(lens):
+                i = starts[act] + t
+                e, g, v, lx, lp, nx, np_, nd = made[:, act]
+                first = fresh[act]
+                j = np.where(first, 1.0, pf[i] * a**nd / np.where(first, 1.0, np_))
+                # the last event of the piece stands for itself
+                e, g, v = np.where(first, 1.0, j * e), np.where(first, 0.0, xf[i] + j * (g - nx)), np.where(first, 0.0, pf[i] + j * j * (v - np_))
+                made[:, act] = e, g, v, np.where(first, xf[i], lx), np.where(first, pf[i], lp), xp[i], pp[i], dt[i]
+                fresh[act] = False
+            if len(own) > 1:
+                yield pd.DataFrame(own[:-1], columns=list(keys)).assign(**dict(zip(names, made[:, :-1])))
+            last, held = own[-1], made[:, -1]
+        if last is not None:
+            yield pd.DataFrame([(*last, *held)], columns=[*keys, *names])
+
+    def step(row, state):
+        x, p = row.last_x, row.last_p
+        if state is not None:
+            sx, sp, npx, npp, ndt = state
+            j = p * a**ndt / npp
+            x, p = x + j * (sx - npx), p + j * j * (sp - npp)
+        return state or (math.nan,) * 5, (row.e_e * x + row.e_g, row.e_e**2 * p + row.e_l, row.first_xp, row.first_pp, row.first_dt)
+
+    return _folded(rows.mapInPandas(run, schema), keys, game, step, ("n_x", "n_p", "n_xp", "n_pp", "n_dt"), backward=True)
+
+
+def _sums(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, starts: np.ndarray, lens: np.ndarray, w: np.ndarray, held):
+    """Weighted sums of the NLL and its gradient for several parameter vectors at once.
+
+    Arrays run over (vector, game[, parameter]). The variance depends on five parameters
+    only; the mean is linear in the other ones. `held` is the state of the first game where
+    it goes on, else None. Returns (nll, gradient, state of the last game).
+    """
+    nb, nd, n_par = len(INPUTS), len(COVARIATES), thetas.shape[1]
+    ib, ic, jd, iq = slice(1, 1 + nb), 1 + nb, slice(2 + nb, 2 + nb + nd), 2 + nb + nd
+    own = [0, ic, iq, iq + 1, iq + 2]
+    a = 1 / (1 + np.exp(-thetas[:, :1]))
+    c, q, r, p0 = (np.exp(thetas[:, i : i + 1]) for i in (ic, iq, iq + 1, iq + 2))
+    order = np.argsort(-lens, kind="stable")
+    starts, lens, w = starts[order], lens[order], w[:, order]
+    n_vec, n = len(thetas), len(starts)
+    z0, z1 = z[starts, 0], z[starts, 1]
+    x = thetas[:, iq + 3 : iq + 4] * z0 + thetas[:, iq + 4 : iq + 5] * z1
+    p = np.repeat(p0, n, axis=1)
+    dx, dp = np.zeros((n_vec, n, n_par)), np.zeros((n_vec, n, 5))
+    dx[:, :, iq + 3], dx[:, :, iq + 4], dp[:, :, 4] = z0, z1, p
+    if held is not None:
+        at = int(np.flatnonzero(order == 0)[0])
+        x[:, at], p[:, at], dx[:, at], dp[:, at] = held
+    nll, grad = np.zeros(n_vec), np.zeros((n_vec, n_par))
+    for t in range(int(lens.max(initial=0))):
+        m = int(np.searchsorted(-lens, -t, side="left"))
+        i = starts[:m] + t
+        xm, pm, dxm, dpm, wm = x[:, :m], p[:, :m], dx[:, :m], dp[:, :m], w[:, :m]
+        at = a ** dt[i]
+        dat = at * dt[i] * (1 - a)
+        xp = at * xm + thetas[:, ib] @ u[i].T
+        pp = at * at * pm + q
+        s = c * c * pp + r
+        e = y[i] - c * xp - thetas[:, jd] @ z[i].T
+        k, es = pp * c / s, e / s
+        left = r / s  # 1 - k c
+        nll += 0.5 * np.einsum("ra,ra->r", wm, np.log(s) + e * es)
+        dpp = (at * at)[:, :, None] * dpm
+        dpp[:, :, 0] += 2 * at * dat * pm
+        dpp[:, :, 2] += q
+        ds = (c * c)[:, :, None] * dpp
+        ds[:, :, 1] += 2 * c * c * pp
+        ds[:, :, 3] += r
+        dk = (c / s)[:, :, None] * dpp - (k / s)[:, :, None] * ds
+        dk[:, :, 1] += k
+        dxm *= at[:, :, None]
+        dxm[:, :, 0] += dat * xm
+        dxm[:, :, ib] += u[i]
+        grad -= np.einsum("ra,rak->rk", wm * es * c, dxm)
+        grad[:, jd] -= np.einsum("ra,ak->rk", wm * es, z[i])
+        grad[:, ic] -= np.einsum("ra,ra->r", wm * es * c, xp)
+        grad[:, own] += 0.5 * np.einsum("ra,rak->rk", wm * (1 / s - es * es), ds)
+        dxm *= left[:, :, None]
+        dxm[:, :, jd] -= k[:, :, None] * z[i]
+        dxm[:, :, ic] -= k * c * xp
+        for j, at_par in enumerate(own):
+            dxm[:, :, at_par] += dk[:, :, j] * e
+        dpm[:] = left[:, :, None] * dpp - (c * pp)[:, :, None] * dk
+        dpm[:, :, 1] -= k * c * pp
+        x[:, :m], p[:, :m] = xp + k * e, left * pp
+    at = int(np.flatnonzero(order == n - 1)[0])
+    return nll, grad, (x[:, at].copy(), p[:, at].copy(), dx[:, at].copy(), dp[:, at].copy())
+
+
+#: Parameter vectors that a task steps through together.
+VECTORS = 24
+
+
+def likelihood(prepared: DataFrame, thetas: np.ndarray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Σ NLL and Σ gradient for several parameter vectors in one job.
 
-    `prepared` comes from `prepare`. A task adds up its packed batches and returns one
-    short row per vector; the driver only sums these rows.
+    `prepared` comes from `prepare`; `which` names the weight of each vector where games
+    are weighted. A task adds up its packed batches and returns one short row per vector;
+    these are summed on the cluster.
     """
-    forward = _forward
-    n_rep, n_par = thetas.shape
+    sums, n_vec, n_par = _sums, *thetas.shape
     nu, nz = len(INPUTS), len(COVARIATES)
+    blocks = [slice(k, min(k + VECTORS, n_vec)) for k in range(0, n_vec, VECTORS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_rep, 1 + n_par))
-        last, held = None, None
+        total = np.zeros((n_vec, 1 + n_par))
+        held: list = [None] * len(blocks)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 data = np.frombuffer(row.data).reshape(row.n, -1)
-                games, starts, lens = row.games, np.frombuffer(row.starts, "i8"), np.frombuffer(row.lens, "i8")
+                starts, lens = np.frombuffer(row.starts, "i8"), np.frombuffer(row.lens, "i8")
                 y, dt, u, z = data[:, 0], data[:, 1], data[:, 2 : 2 + nu], data[:, 2 + nu : 2 + nu + nz]
-                w = data[starts, 2 + nu + nz :] if data.shape[1] > 2 + nu + nz else np.ones((len(starts), n_rep))
-                n, keep = len(starts), []
-                for k in range(n_rep):
-                    x, p, seen = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-                    dx, dp = np.zeros((n, n_par)), np.zeros((n, n_par))
-                    if last is not None and games[0] == last:
-                        x[0], p[0], dx[0], dp[0] = held[k]
-                        seen[0] = True
-                    _, nll, g, end = forward(thetas[k], u, y, z, dt, starts, lens, (x, p, dx, dp, seen), True)
-                    total[k, 0] += w[:, k] @ nll
-                    total[k, 1:] += w[:, k] @ g
-                    keep.append((end[0][-1], end[1][-1], end[2][-1].copy(), end[3][-1].copy()))
-                last, held = games[-1], keep
-        yield pd.DataFrame({"k": np.arange(n_rep, dtype="int32"), "v": list(total)})
+                w = np.frombuffer(row.weights, "u2").reshape(len(starts), -1).T.astype(float) if row.weights else None
+                for k, block in enumerate(blocks):
+                    own = w[which[block]] if w is not None else np.ones((block.stop - block.start, len(starts)))
+                    nll, g, held[k] = sums(thetas[block], u, y, z, dt, starts, lens, own, held[k] if row.goes_on else None)
+                    total[block, 0] += nll
+                    total[block, 1:] += g
+        yield pd.DataFrame({"k": np.arange(n_vec, dtype="int32"), "v": list(total)})
 
     # summed on the cluster: the driver gets one number per parameter vector and entry
     parts = prepared.mapInPandas(run, "k int, v array<double>").select("k", F.posexplode("v").alias("i", "x"))
     got = parts.groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas()
-    arr = np.zeros((n_rep, 1 + n_par))
+    arr = np.zeros((n_vec, 1 + n_par))
     arr[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
     return arr[:, 0], arr[:, 1:]
 
 
-def prepare(df: DataFrame, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), weights: str | None = None) -> DataFrame:
+def prepare(df: DataFrame, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), weights: DataFrame | None = None) -> DataFrame:
     """Shuffle and sort once and keep every Arrow batch as packed numbers.
 
     A batch has a bounded number of rows; a long game runs over several. Each epoch then
-    reads plain buffers instead of converting columns. `weights` names an array column
-    with one weight per parameter vector (bootstrap counts of the game).
+    reads plain buffers instead of converting columns. `weights` (game, weights) has one
+    count per parameter vector; it travels as one header row per game.
     """
-    extra = [game, *order] + ([weights] if weights else [])
-    src = _by_game(_columns(df, extra), game, [F.col(c) for c in order])
+    src, by = _columns(df, [game, *order]), [F.col(c) for c in order]
+    if weights is not None:
+        src, by = _with_headers(src, weights.select(game, "weights")), [F.col("_h"), *by]
+    src = _by_piece(src, [game], by)
     segments, columns = _segments, ["y", "dt", *INPUTS, *COVARIATES]
-    game_type = src.schema[game].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, {}
         for pdf in batches:
-            if len(pdf):
-                games, starts, lens = segments(pdf, game)
-                data = pdf[columns].to_numpy(float)
-                if weights:
-                    data = np.column_stack([data, np.stack(pdf[weights].to_numpy())])
-                yield pd.DataFrame({
-                    "n": [len(pdf)], "games": [list(games)], "starts": [starts.astype("i8").tobytes()],
-                    "lens": [lens.astype("i8").tobytes()], "data": [np.ascontiguousarray(data).tobytes()],
-                })
+            if "_h" in pdf:
+                head = pdf[pdf["_h"] == 0]
+                known = {**({last: known[last]} if last in known else {}), **{g: np.asarray(v, "u2") for g, v in zip(head[game], head["weights"])}}
+                pdf = pdf[pdf["_h"] == 1]
+            starts, lens = segments(pdf, [game])
+            if not len(starts):
+                last = next(reversed(known), last)
+                continue
+            games = pdf[game].to_numpy()[starts]
+            yield pd.DataFrame({
+                "n": [len(pdf)], "goes_on": [bool(last == games[0])], "starts": [starts.astype("i8").tobytes()], "lens": [lens.astype("i8").tobytes()],
+                "data": [np.ascontiguousarray(pdf[columns].to_numpy(float)).tobytes()],
+                "weights": [np.stack([known[g] for g in games]).tobytes() if known else None],
+            })
+            last = games[-1]
+            if known and next(reversed(known)) not in games:
+                last = next(reversed(known))
+
+    return src.mapInPandas(run, "n int, goes_on boolean, starts binary, lens binary, data binary, weights binary").persist()
+
+
+@dataclass
+class Fit:
+    """Fitted vectors (one row each), their summed NLL, mean gradient norm, steps and whether it ended there."""
 
-    return src.mapInPandas(run, f"n int, games array<{game_type}>, starts binary, lens binary, data binary").persist()
+    theta: np.ndarray
+    nll: np.ndarray
+    slope: np.ndarray
+    steps: np.ndarray
+    converged: np.ndarray
 
 
-def fit(prepared: DataFrame, start: np.ndarray, *, epochs: int = 100, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Minimise the summed NLL of each starting vector (Adam); one Spark job per epoch.
+def curvature(prepared: DataFrame, theta: np.ndarray, step: float = 1e-4) -> np.ndarray:
+    """Hessian of the unweighted NLL by central differences of the gradient, in one job."""
+    shift = step * np.eye(len(theta))
+    _, g = likelihood(prepared, np.concatenate([theta + shift, theta - shift]))
+    h = (g[: len(theta)] - g[len(theta) :]) / (2 * step)
+    return (h + h.T) / 2
 
-    Returns the best vectors and the NLL path (epochs × vectors).
+
+def _inverse(h: np.ndarray) -> np.ndarray:
+    """A positive inverse: eigenvalues by size, small ones (the model's free scale) raised."""
+    values, vectors = np.linalg.eigh(h)
+    values = np.abs(values)
+    return (vectors / np.maximum(values, 1e-6 * values.max())) @ vectors.T
+
+
+def fit(prepared: DataFrame, start: np.ndarray, *, which: np.ndarray | None = None, inverse: np.ndarray | None = None, steps: int = 300, tolerance: float = 1e-5) -> Fit:
+    """Minimise the summed NLL of each starting vector: BFGS with a halving line search.
+
+    All vectors that go on share each Spark job, which evaluates one trial point of each.
+    A vector has converged when no entry of its gradient per event exceeds `tolerance`;
+    after `steps` jobs the rest is returned as it is, `converged` false.
     """
     theta = np.atleast_2d(np.asarray(start, float)).copy()
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    best, low, path = theta.copy(), np.full(len(theta), np.inf), []
-    for t in range(1, epochs + 1):
-        nll, g = likelihood(prepared, theta)
-        path.append(nll)
-        better = nll < low
-        best[better], low[better] = theta[better], nll[better]
-        scale = np.maximum(np.abs(g).max(axis=1, keepdims=True), 1e-12)
-        g = g / scale
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return best, np.array(path)
+    n_vec, n_par = theta.shape
+    which = np.arange(n_vec) if which is None else np.asarray(which)
+    events = prepared.agg(F.sum("n")).first()[0] or 1
+    inv = np.repeat((_inverse(curvature(prepared, theta[0])) if inverse is None else inverse)[None], n_vec, axis=0)
+    low, grad = likelihood(prepared, theta, which)
+    size, taken = np.ones(n_vec), np.zeros(n_vec, int)
+    slope = np.abs(grad).max(axis=1) / events
+    for _ in range(steps):
+        on = np.flatnonzero((slope > tolerance) & (size > 1e-9))
+        if not len(on):
+            break
+        move = -np.einsum("rij,rj->ri", inv[on], grad[on])
+        up = np.einsum("ri,ri->r", move, grad[on]) >= 0
+        move[up] = -grad[on][up] / np.abs(grad[on][up]).max(axis=1, keepdims=True)  # no way down: along the gradient
+        move *= np.minimum(1.0, 2.0 / np.abs(move).max(axis=1, keepdims=True))
+        move *= size[on][:, None]
+        nll, g = likelihood(prepared, theta[on] + move, which[on])
+        good = np.isfinite(nll) & (nll <= low[on] + 1e-4 * np.einsum("ri,ri->r", move, grad[on]) + 1e-12 * np.abs(low[on]))
+        for k, s, better, value, gradient in zip(on, move, good, nll, g):
+            if not better:
+                size[k] *= 0.3
+                continue
+            d = gradient - grad[k]
+            sd = float(s @ d)
+            if sd > 1e-10 * np.linalg.norm(s) * np.linalg.norm(d):
+                left = np.eye(n_par) - np.outer(s, d) / sd
+                inv[k] = left @ inv[k] @ left.T + np.outer(s, s) / sd
+            theta[k], low[k], grad[k], size[k] = theta[k] + s, value, gradient, 1.0
+            taken[k] += 1
+        slope = np.abs(grad).max(axis=1) / events
+    return Fit(theta, low, slope, taken, slope <= tolerance)
 
 
 def bootstrap_weights(df: DataFrame, replicates: int, *, game: str = "gameid", seed: int = 11) -> DataFrame:
-    """Games drawn with replacement per replicate, as an array of counts on each row.
+    """(game, weights): how often each game is drawn, with replacement, in each replicate.
 
     Draw i of replicate r takes the game whose number is a hash of (r, i). Draws are
     made and counted on the cluster.
     """
-    from icestats.plans.slicing import global_index
-
     games = df.select(game).distinct().withColumn("_g", F.pmod(F.xxhash64(game), F.lit(1024)))
     numbered = global_index(games, "_g", [game], "_i").select(game, "_i")
     n = numbered.count()
     draws = df.sparkSession.range(n * replicates).select(
         (F.col("id") % replicates).cast("int").alias("r"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("_i")
     )
-    counts = draws.groupBy("_i").agg(*[F.count_if(F.col("r") == k).cast("double").alias(f"c{k}") for k in range(replicates)])
-    w = numbered.join(counts, "_i", "left").select(game, F.array(*[F.coalesce(F.col(f"c{k}"), F.lit(0.0)) for k in range(replicates)]).alias("weights"))
-    return df.join(w, game)
+    counts = draws.groupBy("_i", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("r", "n"))).alias("c"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("c", r), F.lit(0)).cast("int"))
+    return numbered.join(counts, "_i", "left").select(game, F.coalesce(every, F.array_repeat(F.lit(0), replicates)).alias("weights"))
 
 
-def bootstrap_effects(df: DataFrame, start: np.ndarray, *, replicates: int = 20, epochs: int = 40, rate: float = 0.05) -> np.ndarray:
-    """Input effects of every bootstrap replicate; all replicates share each Spark job."""
-    ready = prepare(bootstrap_weights(df, replicates), weights="weights")
-    best, _ = fit(ready, np.repeat(np.atleast_2d(start), replicates, axis=0), epochs=epochs, rate=rate)
-    ready.unpersist()
-    return best[:, 1 : 1 + len(INPUTS)]
+def bootstrap_effects(df: DataFrame, start: np.ndarray, *, replicates: int = 500, game: str = "gameid", batch: int = 250, **options) -> Fit:
+    """The fit of every bootstrap replicate, warm-started from the fit of all games.
+
+    `batch` replicates share each Spark job; their first step uses the curvature of the
+    whole fit.
+    """
+    plain = prepare(df, game=game)
+    base = fit(plain, start, **options)
+    inverse = _inverse(curvature(plain, base.theta[0]))
+    plain.unpersist()
+    weighted = prepare(df, game=game, weights=bootstrap_weights(df, replicates, game=game))
+    found = []
+    for k in range(0, replicates, batch):
+        n = min(batch, replicates - k)
+        found.append(fit(weighted, np.repeat(base.theta, n, axis=0), which=np.arange(k, k + n), inverse=inverse, **options))
+    weighted.unpersist()
+    return Fit(*(np.concatenate([getattr(f, name) for f in found]) for name in ("theta", "nll", "slope", "steps", "converged")))
+
+
+def effects(theta: np.ndarray) -> np.ndarray:
+    """The thirteen input effects of fitted vectors."""
+    return np.atleast_2d(theta)[:, 1 : 1 + len(INPUTS)]
 
 
 def half_life(a: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from icestats.functions.scalars import clip
+from icestats.functions.scalars import clip, focal_value
 from icestats.plans.slicing import context, neighbour_row, range_frame, running_total
 
 GAME = ("gameid",)
@@ -20,6 +20,7 @@ ORDER = ("elapsed", "event_id")
 # The four shot-attempt events and the nine- and thirteen-flag sets
 SHOT_ATTEMPTS = ("blocked-shot", "missed-shot", "shot-on-goal", "goal")
 ZONES = ("O", "D", "N")
+PRIOR_DELTAS = ("delta_pythagorean", "delta_shot_share")
 
 
 def attach_roles(plays: DataFrame, roster: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -143,9 +144,14 @@ def event_flags(plays: DataFrame, focal: str, by_zone: bool = True) -> DataFrame
 
 def zone_entries(plays: DataFrame, focal: str, max_gap: int = 10, slice_by: Column | str | None = None) -> DataFrame:
     """Entry by the focal team: now in O, before in N or D, gap at most `max_gap` seconds."""
-    out = neighbour_row(plays, GAME, ORDER, {"_z": "zone", "_t": "elapsed"}, slice_by=slice_by)
-    hit = (F.col("zone") == "O") & F.col("_z").isin("N", "D") & (F.col("elapsed") - F.col("_t") <= max_gap) & (F.col("owner") == focal)
-    return out.withColumn("zone_entry", F.when(hit, 1.0).otherwise(0.0)).drop("_z", "_t")
+    return _zone_entry(neighbour_row(plays, GAME, ORDER, {"_z": "zone", "_t": "elapsed"}, slice_by=slice_by), focal, max_gap, "_z", "_t")
+
+
+def _zone_entry(out: DataFrame, focal: str, max_gap: int, zone_before: str, time_before: str) -> DataFrame:
+    """The entry flag from the previous event's zone and time, which are dropped."""
+    near = F.col("elapsed") - F.col(time_before) <= max_gap
+    hit = (F.col("zone") == "O") & F.col(zone_before).isin("N", "D") & near & (F.col("owner") == focal)
+    return out.withColumn("zone_entry", F.when(hit, 1.0).otherwise(0.0)).drop(zone_before, time_before)
 
 
 def possession(plays: DataFrame, focal: str, window: int = 90, *, left_open: bool = False, slice_by: Column | str | None = None, slice_width: int | None = None) -> DataFrame:
@@ -284,12 +290,20 @@ def flow_links(df: DataFrame, layers: Sequence[str], weight: str | None = None)
     return out.withColumn("percent", F.col("n") / total * 100)
 
 
-def master_table(plays: DataFrame, priors: DataFrame | None, focal: str, *, slice_by: Column | str | None = None, slice_width: int | None = None, window: int = 90) -> DataFrame:
-    """Event flags, zone share, score state, gaps and focal priors: the input of the momentum model."""
+def master_table(plays: DataFrame, priors: DataFrame | None, focal: str, *, home: str | None = None, slice_by: Column | str | None = None, slice_width: int | None = None, window: int = 90, max_gap: int = 10) -> DataFrame:
+    """Event flags, zone entries and share, score state, gaps and focal priors: the input of the momentum model.
+
+    `priors` has the home side's differences per game; for another focal side than `home`
+    (by default the focal one) they change their sign. A game without priors has 0.
+    """
     out = context(
-        event_flags(plays, focal), GAME, ORDER, totals_before=_goals(focal), previous={"_o": "owner", "_t": "elapsed"}, slice_by=slice_by
+        event_flags(plays, focal), GAME, ORDER, totals_before=_goals(focal), previous={"_o": "owner", "_t": "elapsed", "_pz": "zone", "_pt": "elapsed"}, slice_by=slice_by
     )
+    out = _zone_entry(out, focal, max_gap, "_pz", "_pt")
     out = _trailing_share(_gap(_score(out)), focal, window, False, slice_width)
+    home = focal if home is None else home
     if priors is not None:
-        out = out.join(priors, "gameid", "left")
-    return out.withColumn("is_home", F.lit(1.0))
+        found = priors.select(F.col("gameid").alias("_game"), *PRIOR_DELTAS)
+        out = out.join(found, F.col("gameid") == F.col("_game"), "left").drop("_game")
+        out = out.withColumns({c: focal_value(F.coalesce(c, F.lit(0.0)), F.lit(home), F.lit(focal)) for c in PRIOR_DELTAS})
+    return out.withColumn("is_home", F.lit(float(focal == home)))

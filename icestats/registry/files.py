@@ -219,9 +219,9 @@ def _(t):
 @query("stream_latest_lines_n2", "SELECT gameid, description, partner, arg_max(home_line, updated) AS home_line, arg_max(away_line, updated) AS away_line FROM odds GROUP BY gameid, description, partner")
 def _(t):
     src = W.write_parquet(t.odds.drop("season"), scratch_path(t.spark, "odds"))
-    log = scratch_path(t.spark, "lines")
-    N.keep_latest_lines(N.file_stream(t.spark, src, t.odds.drop("season").schema, files_per_trigger=4), log, scratch_path(t.spark, "ck")).awaitTermination()
-    return N.read_latest_lines(t.spark, log).select("gameid", "description", "partner", "home_line", "away_line")
+    state = scratch_path(t.spark, "lines")
+    N.keep_latest_lines(N.file_stream(t.spark, src, t.odds.drop("season").schema, files_per_trigger=4), state).awaitTermination()
+    return N.read_latest_lines(t.spark, state).select("gameid", "description", "partner", "home_line", "away_line")
 
 
 @query("stream_window_share_n3", """WITH w AS (SELECT user_id AS gameid, event_id, time_bucket(INTERVAL '6 hours', ts) - i * INTERVAL '6 hours' AS window_start FROM events, range(0, 4) r(i))

@@ -7,7 +7,8 @@ from icestats.operators import documents as X
 from icestats.operators import momentum as Z
 from icestats.operators import sequence as Q
 from icestats.registry.base import query
-from icestats.registry.sequence import BLOCK, DAY, SCORE, WIDTH, flag
+from icestats.registry.sequence import BLOCK, DAY, PRIORS, SCORE, WIDTH, flag
+from icestats.registry.sequence import master as sequence_master
 from icestats.registry.teams import r6
 
 col = F.col
@@ -19,12 +20,8 @@ def demo_params():
 
 
 def master(t):
-    """Model rows: gaps in days of a surrogate clock, zone share as the observation."""
-    m = Q.master_table(t.plays, None, "HOM", slice_by=BLOCK, slice_width=WIDTH, window=DAY)
-    return m.withColumns({
-        "dt": col("dt") / F.lit(float(DAY)), "y": col("zone_share"),
-        "delta_pythagorean": (col("gameid") % 7) / 10.0, "delta_shot_share": (col("gameid") % 5) / 10.0,
-    })
+    """Model rows: gaps in days of a surrogate clock, zone share as the observation, priors of the game."""
+    return sequence_master(t).withColumns({"dt": col("dt") / F.lit(float(DAY)), "y": col("zone_share")})
 
 
 def _sum_of(names, weights, sql):
@@ -38,12 +35,12 @@ FLAGS = {
 }
 P = demo_params()
 # the model as a recursion over the event number, all games side by side
-FILTER = f"""{SCORE}, mm AS (SELECT p.gameid, p.event_id, owner, type, row_number() OVER w AS rn, {_sum_of(Z.INPUTS, P.b, FLAGS)} AS bu,
+FILTER = f"""{SCORE}, {PRIORS}, mm AS (SELECT p.gameid, p.event_id, owner, type, row_number() OVER w AS rn, {_sum_of(Z.INPUTS, P.b, FLAGS)} AS bu,
  sum(CASE WHEN owner = 'HOM' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER v / count(*) OVER v AS y, CAST(elapsed - lag(elapsed, 1, 0) OVER w AS DOUBLE) / {DAY} AS dt,
- 0.1::DOUBLE + 0.05::DOUBLE * (p.gameid % 7) / 10.0 - 0.02::DOUBLE * (p.gameid % 5) / 10.0 + 0.03::DOUBLE * greatest(-2, least(2, gf - ga)) AS dz, 0.1::DOUBLE + 0.2::DOUBLE * (p.gameid % 7) / 10.0 AS mu
- FROM plays p JOIN sc ON sc.event_id = p.event_id WINDOW w AS (PARTITION BY p.gameid ORDER BY elapsed, p.event_id), v AS (PARTITION BY p.gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)),
-kf AS (SELECT gameid, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0.0::DOUBLE AS dt, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, mu AS x, 1.0::DOUBLE AS p FROM mm WHERE rn = 1
- UNION ALL SELECT gameid, rn, event_id, dt, xp, pp, xp + pp * c / s * (y - c * xp - dz), (1 - pp * c * c / s) * pp
+ 0.1::DOUBLE + 0.05::DOUBLE * coalesce(dp, 0) - 0.02::DOUBLE * coalesce(ds, 0) + 0.03::DOUBLE * greatest(-2, least(2, gf - ga)) AS dz, 0.1::DOUBLE + 0.2::DOUBLE * coalesce(dp, 0) AS mu
+ FROM plays p JOIN sc ON sc.event_id = p.event_id LEFT JOIN pri ON pri.gameid = p.gameid WINDOW w AS (PARTITION BY p.gameid ORDER BY elapsed, p.event_id), v AS (PARTITION BY p.gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)),
+kf AS (SELECT gameid, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0.0::DOUBLE AS dt, 0.0::DOUBLE AS xp, 0.0::DOUBLE AS pp, mu AS x, 1.0::DOUBLE AS p, 0.0::DOUBLE AS nll FROM mm WHERE rn = 1
+ UNION ALL SELECT gameid, rn, event_id, dt, xp, pp, xp + pp * c / s * (y - c * xp - dz), (1 - pp * c * c / s) * pp, 0.5 * (ln(s) + pow(y - c * xp - dz, 2) / s)
  FROM (SELECT *, c * c * pp + exp(-1) AS s FROM (SELECT m.gameid, m.rn, m.event_id, m.dt, m.y, m.dz, exp(-0.5) AS c, pow({P.decay!r}, m.dt) * k.x + m.bu AS xp, pow({P.decay!r}, 2 * m.dt) * k.p + exp(-2) AS pp FROM kf k JOIN mm m ON m.gameid = k.gameid AND m.rn = k.rn + 1)))"""
 SMOOTH = FILTER + f""", fl AS (SELECT *, max(rn) OVER (PARTITION BY gameid) AS n FROM kf WHERE rn > 0),
 sm AS (SELECT gameid, rn, event_id, x, x AS xs, p AS ps, xp, pp, dt FROM fl WHERE rn = n
@@ -51,30 +48,39 @@ sm AS (SELECT gameid, rn, event_id, x, x AS xs, p AS ps, xp, pp, dt FROM fl WHER
  FROM sm s JOIN fl f ON f.gameid = s.gameid AND f.rn = s.rn - 1)"""
 
 
-@query("momentum_filter_i7", f"WITH RECURSIVE {FILTER} SELECT event_id, round(xp, 6) AS x_pred, round(pp, 6) AS p_pred, round(x, 6) AS x_filt, round(p, 6) AS p_filt FROM kf WHERE rn > 0")
+@query("momentum_filter_i7", f"WITH RECURSIVE {FILTER} SELECT event_id, round(xp, 6) AS x_pred, round(pp, 6) AS p_pred, round(x, 6) AS x_filt, round(p, 6) AS p_filt, round(nll, 6) AS nll FROM kf WHERE rn > 0")
 def _(t):
-    return Z.kalman_filter(master(t), demo_params()).select("event_id", *r6("x_pred", "p_pred", "x_filt", "p_filt"))
+    return Z.kalman_filter(master(t), demo_params(), slice_by=BLOCK).select("event_id", *r6("x_pred", "p_pred", "x_filt", "p_filt", "nll"))
 
 
 @query("momentum_smoother_i8", f"WITH RECURSIVE {SMOOTH} SELECT event_id, round(x, 6) AS x_filt, round(xs, 6) AS x_smooth, round(ps, 6) AS p_smooth FROM sm")
 def _(t):
+    return smoothed(master(t)).select("event_id", *r6("x_filt", "x_smooth", "p_smooth"))
+
+
+def smoothed(rows):
     p = demo_params()
-    return Z.rts_smoother(Z.kalman_filter(master(t), p), p).select("event_id", *r6("x_filt", "x_smooth", "p_smooth"))
+    return Z.rts_smoother(Z.kalman_filter(rows, p, slice_by=BLOCK), p, slice_by=BLOCK)
+
+
+NAMES = ("decay", *Z.INPUTS, "log_loading", *(f"covariate_{c}" for c in Z.COVARIATES), "log_state_noise", "log_noise", "log_start_variance", "start_home", "start_prior")
 
 
 @query("momentum_fit_i9")
 def _(t):
     ready = Z.prepare(master(t))
-    best, path = Z.fit(ready, demo_params().vector(), epochs=8)
+    f = Z.fit(ready, demo_params().vector())
     ready.unpersist()
-    return t.spark.createDataFrame([(i + 1, float(v[0])) for i, v in enumerate(path)], "epoch int, nll double")
+    rows = [(n, float(v), float(f.nll[0]), float(f.slope[0]), int(f.steps[0]), bool(f.converged[0])) for n, v in zip(NAMES, f.theta[0])]
+    return t.spark.createDataFrame(rows, "parameter string, estimate double, nll double, slope double, steps int, converged boolean")
 
 
 @query("momentum_bootstrap_i10")
 def _(t):
-    e = Z.bootstrap_effects(master(t), demo_params().vector(), replicates=4, epochs=3)
-    return t.spark.createDataFrame(
-        [(n, float(np.quantile(e[:, i], 0.025)), float(np.quantile(e[:, i], 0.975))) for i, n in enumerate(Z.INPUTS)], "input string, low double, high double")
+    f = Z.bootstrap_effects(master(t), demo_params().vector(), replicates=500)
+    low, high = np.quantile(Z.effects(f.theta), [0.025, 0.975], axis=0)
+    rows = [(n, float(a), float(b), len(f.theta), int(f.converged.sum())) for n, a, b in zip(Z.INPUTS, low, high)]
+    return t.spark.createDataFrame(rows, "input string, low double, high double, replicates int, converged int")
 
 
 @query("impulse_response_i11", """WITH e AS (SELECT event_type, 0.9 + avg(value) / 10000 AS a, avg(value) AS b FROM events GROUP BY event_type)
@@ -89,16 +95,14 @@ def _(t):
 FROM (SELECT owner, CAST(sum(CASE WHEN type = 'hit' THEN 1 ELSE 0 END) AS DOUBLE) / count(DISTINCT gameid) AS hp FROM plays GROUP BY owner) h
 JOIN (SELECT owner, avg(xs) AS mo FROM sm JOIN plays p ON p.event_id = sm.event_id GROUP BY owner) m ON m.owner = h.owner""")
 def _(t):
-    p = demo_params()
-    s = Z.rts_smoother(Z.kalman_filter(master(t), p), p).join(t.plays.select("event_id", "owner"), "event_id")
+    s = smoothed(master(t)).join(t.plays.select("event_id", "owner"), "event_id")
     return Z.team_summary(s, t.plays, "owner").select("owner", *r6("hits_per_game", "momentum"))
 
 
 @query("goal_model_i13")
 def _(t):
-    p = demo_params()
     m = Q.goal_soon(master(t), "HOM", DAY, WIDTH)
-    s = Z.rts_smoother(Z.kalman_filter(m, p), p).select("event_id", "x_smooth")
+    s = smoothed(m).select("event_id", "x_smooth")
     g = Z.goal_model(m.join(s, "event_id"), ["x_smooth", "delta_pythagorean", "score_state"], "goal_soon")
     return g.select("event_id", "goal_soon", F.round("p_goal", 4).alias("p_goal"))
 
@@ -140,9 +144,35 @@ def _(t):
     return X.vector_search(t.embeddings, q, 10).select("vec_id", *r6("similarity"))
 
 
-@query("hybrid_search_m6", f"WITH {CHUNKS} SELECT doc_id AS document, CAST(k AS INT) AS chunk_index FROM ch WHERE regexp_matches(lower(chunk_text), 'licen') ORDER BY {' + '.join(f'''CAST(contains(lower(chunk_text), '{w}') AS INT)''' for w in X.EXPLANATORY)} DESC, doc_id, k LIMIT 7")
+# every hundredth vector asks, one half of them with a keyword; a chunk has the vector of its document's number
+KEYWORDS = {100: "LICEN", 300: "token"}
+ASKED = f"""q AS (SELECT vec_id AS query_id, embedding AS qe, CASE vec_id % 400 {' '.join(f"WHEN {k} THEN '{w}'" for k, w in KEYWORDS.items())} END AS keyword FROM embeddings WHERE vec_id % 100 = 0)"""
+HYBRID = f"""WITH {CHUNKS}, {ASKED}, kw AS (SELECT query_id, 'keyword' AS branch, row_number() OVER (PARTITION BY query_id ORDER BY {' + '.join(f"CAST(contains(lower(chunk_text), '{w}') AS INT)" for w in X.EXPLANATORY)}
+ + 5 * CAST(contains(lower(chunk_text), 'elo rating') OR contains(lower(chunk_text), 'elo system') AS INT) DESC, doc_id, k) AS rank, doc_id, k, source, chunk_text FROM q JOIN ch ON regexp_matches(lower(chunk_text), lower(keyword)) QUALIFY rank <= 7),
+vc AS (SELECT query_id, 'vector' AS branch, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 9) DESC, doc_id, k) AS rank, doc_id, k, source, chunk_text
+ FROM q JOIN (ch JOIN embeddings ON vec_id = doc_id) ON keyword IS NULL QUALIFY rank <= 7), hits AS (SELECT * FROM kw UNION ALL SELECT * FROM vc)"""
+
+
+def asked(t):
+    word = F.try_element_at(F.create_map(*[F.lit(x) for kv in KEYWORDS.items() for x in kv]), F.pmod(col("vec_id"), F.lit(400)).cast("int"))
+    return t.embeddings.filter(col("vec_id") % 100 == 0).select(col("vec_id").alias("query_id"), col("embedding").alias("query_vector"), word.alias("keyword"))
+
+
+def retrieved(t, top_k):
+    vectors = t.embeddings.select(col("vec_id").alias("document"), "embedding")
+    return X.hybrid_search(chunks(t).join(vectors, "document", "left"), asked(t), top_k)
+
+
+@query("vector_queries_m5", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS s FROM embeddings JOIN q ON true)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INT) AS rank, vec_id, round(s, 6) AS similarity FROM s QUALIFY rank <= 10""")
+def _(t):
+    return X.vector_search_many(t.embeddings, asked(t), 10).select("query_id", "rank", "vec_id", *r6("similarity"))
+
+
+@query("hybrid_search_m6", f"{HYBRID} SELECT query_id, branch, CAST(rank AS INT) AS rank, doc_id AS document, CAST(k AS INT) AS chunk_index FROM hits")
 def _(t):
-    return X.hybrid_search(chunks(t), t.embeddings, keyword="LICEN", query=None, top_k=7).select("document", "chunk_index")
+    return retrieved(t, 7).select("query_id", "branch", "rank", "document", "chunk_index")
 
 
 @query("nearest_by_score_f4", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 12")
@@ -151,11 +181,9 @@ def _(t):
     return top_k(t.documents.select("doc_id", "n_chars"), 12, "n_chars", "doc_id")
 
 
-@query("context_text_m7", """WITH d AS (SELECT doc_id, source, text, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 3)
-SELECT string_agg(concat('[Document ', CAST(r AS VARCHAR), ': ', source, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY r) AS context FROM d""")
+@query("context_text_m7", f"""{HYBRID} SELECT query_id, string_agg(concat('[Document ', CAST(rank AS VARCHAR), ': ', source, ']', chr(10), chunk_text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context FROM hits WHERE rank <= 3 GROUP BY query_id""")
 def _(t):
-    hits = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(3).select("doc_id", "n_chars", col("source").alias("file_name"), col("text").alias("chunk_text"))
-    return X.context_text(hits, [F.desc("n_chars"), col("doc_id")])
+    return X.context_text(retrieved(t, 7), 3)
 
 
 @query("parsed_documents_m1", "SELECT doc_id, md5(replace(text, chr(10), chr(10) || chr(10))) AS body FROM documents WHERE doc_id % 9 <> 0")

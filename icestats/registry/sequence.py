@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from icestats.operators import sequence as Q
+from icestats.operators import teams as T
 from icestats.registry.base import query
 from icestats.registry.teams import r6
 
@@ -227,12 +228,34 @@ def _(t):
     return Q.flow_links(after_block(t), ["posture", "action", "type"]).select("layer", "source", "target", "n", *r6("percent"))
 
 
-@query("momentum_master_i4", f"""WITH {SCORE} SELECT p.event_id, CAST(greatest(-2, least(2, gf - ga)) AS BIGINT) AS score_state, round(zs, 6) AS zone_share, dt, hit_for_O FROM
-(SELECT event_id, sum(CASE WHEN owner = 'HOM' THEN 1.0 ELSE 0.0 END) OVER v / count(*) OVER v AS zs, elapsed - lag(elapsed, 1, 0) OVER w AS dt, {flag('hit', '=', 'O')} AS hit_for_O FROM plays
-WINDOW v AS (PARTITION BY gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW), w AS (PARTITION BY gameid ORDER BY elapsed, event_id)) p JOIN sc ON sc.event_id = p.event_id""")
+# home-side priors of a game, from the games before it (0 for a game without box score)
+PRIORS = """pr AS (SELECT a.*, b.goals AS goals_against, b.shots AS shots_against FROM box a JOIN box b ON a.gameid = b.gameid AND a.side <> b.side),
+pq AS (SELECT gameid, side, coalesce(sum(goals) OVER w, 0) AS gf, coalesce(sum(goals_against) OVER w, 0) AS ga, coalesce(sum(shots) OVER w, 0) AS sf, coalesce(sum(shots_against) OVER w, 0) AS sa
+ FROM pr WINDOW w AS (PARTITION BY season, team ORDER BY game_date, gameid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pri AS (SELECT gameid, 2 * CASE WHEN gf + ga = 0 THEN 0.5 ELSE CAST(gf * gf AS DOUBLE) / CAST(gf * gf + ga * ga AS DOUBLE) END - 1 AS dp,
+ 2 * CASE WHEN sf + sa = 0 THEN 0.5 ELSE CAST(sf AS DOUBLE) / CAST(sf + sa AS DOUBLE) END - 1 AS ds FROM pq WHERE side = 'home')"""
+
+
+def priors(t):
+    return T.local_priors(T.prior_metrics(T.to_team_rows(t.games), "month(game_date)"))
+
+
+def master(t, focal="HOM", home="HOM"):
+    return Q.master_table(t.plays, priors(t), focal, home=home, slice_by=BLOCK, slice_width=WIDTH, window=DAY, max_gap=20000)
+
+
+@query("momentum_master_i4", f"""WITH {SCORE}, {PRIORS}, m AS (SELECT event_id, gameid, owner, sum(CASE WHEN owner = 'HOM' THEN 1.0 ELSE 0.0 END) OVER v / count(*) OVER v AS zh,
+ sum(CASE WHEN owner = 'AWY' THEN 1.0 ELSE 0.0 END) OVER v / count(*) OVER v AS za, elapsed - lag(elapsed, 1, 0) OVER w AS dt, {flag('hit', '=', 'O')} AS hit_for_O, {flag('hit', '<>', 'O')} AS hit_against_O,
+ zone = 'O' AND lag(zone) OVER w IN ('N', 'D') AND elapsed - lag(elapsed) OVER w <= 20000 AS entry FROM plays
+ WINDOW v AS (PARTITION BY gameid ORDER BY elapsed RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW), w AS (PARTITION BY gameid ORDER BY elapsed, event_id))
+SELECT m.event_id, f.focal, CAST(f.s * greatest(-2, least(2, gf - ga)) AS BIGINT) AS score_state, round(CASE WHEN f.focal = 'HOM' THEN zh ELSE za END, 6) AS zone_share, dt,
+ CASE WHEN f.focal = 'HOM' THEN hit_for_O ELSE hit_against_O END AS hit_for_O, CAST(coalesce(entry AND owner = f.focal, false) AS DOUBLE) AS zone_entry,
+ round(f.s * coalesce(pri.dp, 0) + 0.0, 6) AS delta_pythagorean, round(f.s * coalesce(pri.ds, 0) + 0.0, 6) AS delta_shot_share, CASE WHEN f.focal = 'HOM' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_home
+FROM m JOIN sc ON sc.event_id = m.event_id JOIN (VALUES ('HOM', 1), ('AWY', -1)) AS f(focal, s) ON true LEFT JOIN pri ON pri.gameid = m.gameid""")
 def _(t):
-    m = Q.master_table(t.plays, None, "HOM", slice_by=BLOCK, slice_width=WIDTH, window=DAY)
-    return m.select("event_id", "score_state", *r6("zone_share"), "dt", "hit_for_O")
+    sides = [master(t, focal).withColumn("focal", F.lit(focal)) for focal in ("HOM", "AWY")]
+    return sides[0].unionByName(sides[1]).select(
+        "event_id", "focal", "score_state", *r6("zone_share"), "dt", "hit_for_O", "zone_entry", *[F.round(col(c) + 0.0, 6).alias(c) for c in Q.PRIOR_DELTAS], "is_home")
 
 
 @query("posture_counts_b27", f"WITH {POST} SELECT posture, zone, count(*) AS n FROM po GROUP BY posture, zone")

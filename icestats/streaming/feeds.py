@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from icestats.operators.market import latest_lines
+from icestats.operators.market import latest_by_key
 
 
 def file_stream(spark: SparkSession, path: str, schema, *, kind: str = "parquet", pattern: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -35,21 +35,25 @@ def ingest_once(stream: DataFrame, key: Sequence[str], time: str, out: str, chec
     return _run(unique.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint, trigger).start()
 
 
-def keep_latest_lines(stream: DataFrame, log: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest line per key: each micro-batch writes its own reduced part.
+#: How many versions of the state a checkpoint keeps.
+KEPT_VERSIONS = 3
 
-    A repeated batch overwrites its part, so a restart cannot count anything twice.
-    """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        latest_lines(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+def keep_latest_lines(stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the latest line per key as keyed state of the query, beside its checkpoint.
 
-    return _run(stream.writeStream.foreachBatch(step), checkpoint, trigger).start()
+    The state holds one line per key whatever number of batches have come; Spark's
+    maintenance drops versions older than KEPT_VERSIONS batches. A restart goes on from the checkpoint; a repeated batch changes nothing,
+    as the latest line is a maximum. Read it with `read_latest_lines`.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.minBatchesToRetain", KEPT_VERSIONS)
+    return _run(latest_by_key(stream).writeStream.format("noop").outputMode("update"), checkpoint, trigger).start()
 
 
-def read_latest_lines(spark: SparkSession, log: str) -> DataFrame:
-    """Current state: the latest over all parts."""
-    return latest_lines(spark.read.parquet(log).drop("batch"))
+def read_latest_lines(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The current line of every key, read from the state store."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.*", "value.valueWithExtremumOrdering.*")
 
 
 def share_in_windows(stream: DataFrame, time: str, focal: str, *, length: str = "90 seconds", slide: str = "10 seconds", delay: str = "1 minute") -> DataFrame:

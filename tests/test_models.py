@@ -189,16 +189,27 @@ def scalar_filter(pdf, p):
     return nll, out
 
 
-def test_filter_and_smoother(events):
+@pytest.mark.parametrize("slice_by", [None, "0", "floor(elapsed / 70)", "elapsed"])
+def test_filter_and_smoother(events, slice_by):
     p = params()
-    _, want = scalar_filter(events.toPandas(), p)
-    filt = Z.kalman_filter(events, p)
-    got = {(r["gameid"], r["event_id"]): (r["x_pred"], r["p_pred"], r["x_filt"], r["p_filt"]) for r in filt.collect()}
-    sm = {(r["gameid"], r["event_id"]): (r["x_smooth"], r["p_smooth"]) for r in Z.rts_smoother(filt, p).collect()}
-    assert got.keys() == want.keys() == sm.keys()
+    total, want = scalar_filter(events.toPandas(), p)
+    filt = Z.kalman_filter(events, p, slice_by=slice_by)
+    rows = filt.collect()
+    got = {(r["gameid"], r["event_id"]): (r["x_pred"], r["p_pred"], r["x_filt"], r["p_filt"]) for r in rows}
+    assert sum(r["nll"] for r in rows) == pytest.approx(total)
+    sm = {(r["gameid"], r["event_id"]): (r["x_smooth"], r["p_smooth"]) for r in Z.rts_smoother(filt, p, slice_by=slice_by).collect()}
+    assert got.keys() == want.keys() == sm.keys() and len(rows) == len(got)
     assert all(np.allclose(got[k] + sm[k], want[k]) for k in want)
 
 
+def test_pieces_of_a_game_run_apart(events):
+    filt = Z.kalman_filter(events, params(), slice_by="floor(elapsed / 70)")
+    plan = filt._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [gameid" in plan and "_slice" in plan
+    sizes = [r["count"] for r in events.selectExpr("gameid", "floor(elapsed / 70) AS piece").groupBy("gameid", "piece").count().collect()]
+    assert max(sizes) < 40 < 300
+
+
 def test_likelihood_and_gradient(events):
     p = params()
     ready = Z.prepare(events)
@@ -210,11 +221,73 @@ def test_likelihood_and_gradient(events):
     bump = np.array([theta + s * h * np.eye(len(theta))[i] for i in range(len(theta)) for s in (1, -1)])
     v, _ = Z.likelihood(ready, bump)
     assert np.allclose(g[0], (v[0::2] - v[1::2]) / (2 * h), rtol=1e-4, atol=1e-4)
-    best, path = Z.fit(ready, theta, epochs=6, rate=0.02)
-    assert path.min() < path[0, 0]
     ready.unpersist()
 
 
+def season(n_games, seed):
+    """Games drawn from the model itself."""
+    rng, p, rows = np.random.default_rng(seed), params(), []
+    for g in range(n_games):
+        n = int(rng.integers(20, 60))
+        u, z, dt = rng.integers(0, 2, (n, 13)).astype(float), rng.normal(size=(n, 4)), rng.integers(1, 9, n).astype(float)
+        x = p.alpha * z[0, 0] + p.beta * z[0, 1] + rng.normal() * math.exp(p.p0 / 2)
+        for i in range(n):
+            x = p.decay ** dt[i] * x + u[i] @ p.b + rng.normal() * math.exp(p.q / 2)
+            rows.append((g, i, i, math.exp(p.c) * x + z[i] @ p.d + rng.normal() * math.exp(p.r / 2), dt[i], *u[i], *z[i]))
+    return pd.DataFrame(rows, columns=["gameid", "elapsed", "event_id", "y", "dt", *Z.INPUTS, *Z.COVARIATES])
+
+
+def test_fit_ends_where_the_gradient_is_zero(spark):
+    pdf = season(60, 3)
+    ready = Z.prepare(spark.createDataFrame(pdf))
+    f = Z.fit(ready, Z.MomentumParams().vector())
+    ready.unpersist()
+    assert f.converged[0] and f.slope[0] <= 1e-5
+
+    def nll(theta):
+        return scalar_filter(pdf, Z.MomentumParams.of(theta))[0] / len(pdf)
+
+    assert nll(f.theta[0]) < nll(params().vector())  # below the model that made the data
+    for i in (0, 1, 7, 14, 16, 19, 22):
+        step = 1e-4 * np.eye(len(f.theta[0]))[i]
+        assert abs(nll(f.theta[0] + step) - nll(f.theta[0] - step)) / 2e-4 < 1e-4
+
+
+def test_fit_reports_what_has_not_converged(spark):
+    ready = Z.prepare(spark.createDataFrame(season(10, 4)))
+    f = Z.fit(ready, Z.MomentumParams().vector(), steps=2)
+    ready.unpersist()
+    assert not f.converged[0] and f.steps[0] <= 2
+
+
+def test_bootstrap_equals_a_fit_of_the_drawn_games(spark):
+    pdf = season(40, 5)
+    df = spark.createDataFrame(pdf)
+    start = Z.MomentumParams().vector()
+    f = Z.bootstrap_effects(df, start, replicates=6, batch=4)
+    assert f.converged.all() and len(f.theta) == 6
+    weights = Z.bootstrap_weights(df, 6).toPandas().set_index("gameid")["weights"]
+    drawn = [pdf[pdf.gameid == g].assign(gameid=g * 100 + k) for g, w in weights.items() for k in range(w[5])]
+    ready = Z.prepare(spark.createDataFrame(pd.concat(drawn)))
+    assert Z.likelihood(ready, f.theta[5:])[0][0] == pytest.approx(f.nll[5])
+    assert Z.fit(ready, start).nll[0] == pytest.approx(f.nll[5], rel=1e-5)
+    ready.unpersist()
+
+
+def test_priors_turn_with_the_focal_side(spark):
+    from icestats.operators import sequence as Q
+    plays = spark.createDataFrame(
+        [(1, 1, 1, 0, "faceoff", "HOM", "N"), (1, 2, 1, 5, "hit", "AWY", "O"), (2, 3, 1, 9, "goal", "HOM", "O")],
+        "gameid long, event_id long, period int, elapsed long, type string, owner string, zone string",
+    )
+    prior = spark.createDataFrame([(1, "X", 0.25, -0.5)], "gameid long, home string, delta_pythagorean double, delta_shot_share double")
+    for focal, s in (("HOM", 1), ("AWY", -1)):
+        rows = {r["event_id"]: r for r in Q.master_table(plays, prior, focal, home="HOM").collect()}
+        assert [rows[k]["delta_pythagorean"] for k in (1, 2, 3)] == [s * 0.25, s * 0.25, 0.0]
+        assert rows[2]["delta_shot_share"] == s * -0.5 and rows[1]["is_home"] == float(s > 0)
+        assert rows[2]["zone_entry"] == float(focal == "AWY")
+
+
 def test_bootstrap_weights_draw_every_time(events):
     w = Z.bootstrap_weights(events.select("gameid").distinct(), 5).toPandas()
     assert np.allclose(np.stack(w["weights"].to_numpy()).sum(axis=0), len(w))
