@@ -11,6 +11,7 @@ names are compared once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,28 +127,83 @@ def exact_links(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     return left.join(right, list(on), "left")
 
 
+class Links(NamedTuple):
+    """Links in factors: edges between distinct names, and the ids that bear each name.
+
+    `edges` (block, name_l, name_r, score), `left` (block, name_l, id), `right` (block, name_r, id).
+    """
+
+    edges: DataFrame
+    left: DataFrame
+    right: DataFrame
+    block: tuple[str, ...]
+    left_id: str
+    right_id: str
+
+
 def fuzzy_links(
     left: DataFrame, right: DataFrame, block: Sequence[str], *, left_id: str, right_id: str, name: str,
     threshold: int = LINK_THRESHOLD, method: str = "edit",
-) -> DataFrame:
-    """Pairs of ids of the same block whose names score above the threshold; all such pairs."""
+) -> Links:
+    """Links of all rows of one block whose names score above the threshold.
+
+    Rows with equal names share their edges, so the size grows with names and rows, not with
+    pairs of rows; `pairs` writes them out.
+    """
     l, r = (d.select(*block, i, token_sort(F.col(name)).alias("name")) for d, i in ((left, left_id), (right, right_id)))
-    pairs = similar_names(l, r, block, threshold=threshold, method=method)
-    out = pairs.join(l.withColumnRenamed("name", "name_l"), [*block, "name_l"]).join(r.withColumnRenamed("name", "name_r"), [*block, "name_r"])
-    return out.select(*block, left_id, right_id, "score")
+    edges = similar_names(l, r, block, threshold=threshold, method=method)
+    return Links(edges, l.withColumnRenamed("name", "name_l"), r.withColumnRenamed("name", "name_r"), tuple(block), left_id, right_id)
+
+
+def pairs(links: Links) -> DataFrame:
+    """Every linked pair of ids; repeated names multiply."""
+    out = links.edges.join(links.left, [*links.block, "name_l"]).join(links.right, [*links.block, "name_r"])
+    return out.select(*links.block, links.left_id, links.right_id, "score")
 
 
-def best_links(links: DataFrame, left_id: str, right_id: str, threshold: int = BEST_THRESHOLD) -> DataFrame:
-    """Best partner of each left row at or above the threshold; ties go to the lower id."""
-    top = links.filter(F.col("score") >= threshold).groupBy(left_id).agg(F.min_by(F.struct(right_id, "score"), F.struct(-F.col("score"), right_id)).alias("b"))
-    return top.select(left_id, "b.*")
+def _classes(rows: DataFrame, block: Sequence[str], name: str, key: str, least: str, n: str) -> DataFrame:
+    return rows.groupBy(*block, name).agg(F.min(key).alias(least), F.count(F.lit(1)).alias(n))
+
+
+def class_links(links: Links) -> DataFrame:
+    """Edges between classes of equal names: (block, left_rep, right_rep, n_left, n_right, score); a
+    class is named by its least id."""
+    l = _classes(links.left, links.block, "name_l", links.left_id, "left_rep", "n_left")
+    r = _classes(links.right, links.block, "name_r", links.right_id, "right_rep", "n_right")
+    out = links.edges.join(l, [*links.block, "name_l"]).join(r, [*links.block, "name_r"])
+    return out.select(*links.block, "left_rep", "right_rep", "n_left", "n_right", "score")
+
+
+def members(links: Links) -> DataFrame:
+    """(block, left id, left_rep, n_links) of every left row: its class and how many right rows it is linked with."""
+    l = _classes(links.left, links.block, "name_l", links.left_id, "left_rep", "_n").drop("_n")
+    r = _classes(links.right, links.block, "name_r", links.right_id, "_least", "_n").drop("_least")
+    n = links.edges.join(r, [*links.block, "name_r"]).groupBy(*links.block, "name_l").agg(F.sum("_n").alias("n_links"))
+    rows = links.left.join(l, [*links.block, "name_l"]).join(n, [*links.block, "name_l"], "left")
+    return rows.select(*links.block, links.left_id, "left_rep", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def best_links(links: Links, threshold: int = BEST_THRESHOLD) -> DataFrame:
+    """(block, left id, right id, score, n_partners): best partner of each left row at or above the
+    threshold; ties go to the lower id, `n_partners` rows bear its name.
+
+    The best is picked per name, among one row per right name; ids follow for the winner.
+    """
+    block, right_id = list(links.block), links.right_id
+    r = _classes(links.right, block, "name_r", right_id, "_r", "n_partners")
+    top = links.edges.filter(F.col("score") >= threshold).join(r, [*block, "name_r"]).groupBy(*block, "name_l").agg(
+        F.min_by(F.struct(F.col("_r").alias(right_id), "score", "n_partners"), F.struct(-F.col("score"), "_r")).alias("b")
+    )
+    return links.left.join(top, [*block, "name_l"]).select(*block, links.left_id, "b.*")
 
 
 def link_people(left: DataFrame, right: DataFrame, block: Sequence[str], *, left_id: str, right_id: str, name: str, method: str = "edit") -> DataFrame:
-    """Exact matches first, fuzzy ones for the rest, in one table with its `phase`."""
-    r = right.select(*block, name, right_id)
-    first = exact_links(left.select(*block, name, left_id), r, [*block, name])
-    exact = first.filter(F.col(right_id).isNotNull()).select(*block, left_id, right_id, F.lit(100).alias("score"), F.lit("exact").alias("phase"))
-    rest = first.filter(F.col(right_id).isNull()).drop(right_id)
-    fuzzy = fuzzy_links(rest, r, block, left_id=left_id, right_id=right_id, name=name, method=method).withColumn("phase", F.lit("fuzzy"))
-    return exact.unionByName(fuzzy)
+    """One row per linked left row: exact name first, for the rest the best fuzzy partner, with its `phase`."""
+    exact = right.groupBy(*block, name).agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("n_partners"))
+    first = exact_links(left.select(*block, name, left_id), exact, [*block, name])
+    found = first.filter(F.col(right_id).isNotNull()).withColumns({"score": F.lit(100), "phase": F.lit("exact")})
+    rest = first.filter(F.col(right_id).isNull()).select(*block, name, left_id)
+    links = fuzzy_links(rest, right.select(*block, name, right_id), block, left_id=left_id, right_id=right_id, name=name, method=method)
+    fuzzy = best_links(links, LINK_THRESHOLD + 1).withColumn("phase", F.lit("fuzzy"))
+    columns = [*block, left_id, right_id, "score", "n_partners", "phase"]
+    return found.select(*columns).unionByName(fuzzy.select(*columns))

@@ -339,22 +339,39 @@ def people(t):
     return (p.filter(col("p_partkey") % 2 == 1).withColumnRenamed("p_partkey", "left_id"), p.filter(col("p_partkey") % 2 == 0).withColumnRenamed("p_partkey", "right_id"))
 
 
-@query("fuzzy_links_c16", f"WITH {NAMES} SELECT p_brand, left_id, right_id, score FROM pairs WHERE score > 78")
-def _(t):
+def people_links(t, method="edit"):
     l, r = people(t)
-    return L.fuzzy_links(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name")
+    return L.fuzzy_links(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name", method=method)
+
+
+# rows of one name count once: pairs of names with the rows that bear them
+CLASSES = f"""nm AS (SELECT p_partkey, p_brand, array_to_string(list_sort(string_split(lower({ODD}), ' ')), ' ') AS name FROM part),
+cl AS (SELECT p_brand, name, p_partkey % 2 AS side, min(p_partkey) AS rep, count(*) AS n FROM nm GROUP BY ALL),
+ed AS (SELECT * FROM (SELECT a.p_brand, a.name AS name_l, a.rep AS left_rep, b.rep AS right_rep, a.n AS n_left, b.n AS n_right,
+ CAST(round((greatest(length(a.name), length(b.name)) - levenshtein(a.name, b.name)) * 100.0 / greatest(length(a.name), length(b.name))) AS INT) AS score
+ FROM cl a JOIN cl b ON a.p_brand = b.p_brand AND a.side = 1 AND b.side = 0) WHERE score > 78)"""
+
+
+@query("fuzzy_links_c16", f"WITH {CLASSES} SELECT p_brand, left_rep, right_rep, n_left, n_right, score FROM ed")
+def _(t):
+    return L.class_links(people_links(t))
+
+
+@query("fuzzy_members_c16", f"""WITH {CLASSES}, li AS (SELECT p_brand, name_l, CAST(sum(n_right) AS BIGINT) AS n_links FROM ed GROUP BY ALL)
+SELECT nm.p_brand, p_partkey AS left_id, rep AS left_rep, coalesce(n_links, 0) AS n_links FROM nm JOIN cl ON cl.p_brand = nm.p_brand AND cl.name = nm.name AND side = 1
+LEFT JOIN li ON li.p_brand = nm.p_brand AND li.name_l = nm.name WHERE p_partkey % 2 = 1""")
+def _(t):
+    return L.members(people_links(t))
 
 
 @query("fuzzy_links_indel_p1")
 def _(t):
-    l, r = people(t)
-    return L.fuzzy_links(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name", method="indel")
+    return L.class_links(people_links(t, "indel"))
 
 
 @query("best_links_c17", f"WITH {NAMES} SELECT left_id, right_id, score FROM pairs WHERE score >= 85 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1")
 def _(t):
-    l, r = people(t)
-    return L.best_links(L.fuzzy_links(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name"), "left_id", "right_id")
+    return L.best_links(people_links(t)).select("left_id", "right_id", "score")
 
 
 @query("exact_links_c15", "SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND b.p_partkey % 2 = 0 WHERE a.p_partkey % 2 = 1")
@@ -364,8 +381,11 @@ def _(t):
     return L.exact_links(l, r, ["p_brand", "p_name"]).select("left_id", "right_id")
 
 
-@query("link_people_k15", f"""WITH {NAMES}, raw AS (SELECT p_partkey, p_brand, {ODD} AS nm0 FROM part), ex AS (SELECT a.p_brand, a.p_partkey AS left_id, b.p_partkey AS right_id FROM raw a JOIN raw b ON a.p_brand = b.p_brand AND a.nm0 = b.nm0 WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0)
-SELECT p_brand, left_id, right_id, 100 AS score, 'exact' AS phase FROM ex UNION ALL SELECT p_brand, left_id, right_id, score, 'fuzzy' FROM pairs WHERE score > 78 AND left_id NOT IN (SELECT left_id FROM ex)""")
+@query("link_people_k15", f"""WITH {NAMES}, raw AS (SELECT p_partkey, p_brand, {ODD} AS nm0 FROM part),
+ex AS (SELECT a.p_brand, a.p_partkey AS left_id, min(b.p_partkey) AS right_id, count(*) AS n_partners FROM raw a JOIN raw b ON a.p_brand = b.p_brand AND a.nm0 = b.nm0 WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0 GROUP BY ALL),
+fz AS (SELECT p_brand, left_id, right_id, score FROM pairs WHERE score > 78 AND left_id NOT IN (SELECT left_id FROM ex) QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1)
+SELECT p_brand, left_id, right_id, 100 AS score, n_partners, 'exact' AS phase FROM ex
+UNION ALL SELECT fz.p_brand, left_id, right_id, score, count(*), 'fuzzy' FROM fz JOIN nm r ON r.p_partkey = right_id JOIN nm o ON o.p_brand = r.p_brand AND o.name = r.name AND o.p_partkey % 2 = 0 GROUP BY ALL""")
 def _(t):
     l, r = people(t)
     return L.link_people(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name")

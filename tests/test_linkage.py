@@ -63,3 +63,23 @@ def test_exact_first_then_fuzzy(spark):
     r = spark.createDataFrame([(9, 2020, "BUF", "Jack Eichel")], "r int, season int, team string, name string")
     got = {(x["l"], x["r"], x["phase"]) for x in L.link_people(l, r, ["season", "team"], left_id="l", right_id="r", name="name").collect()}
     assert got == {(1, 9, "exact"), (2, 9, "fuzzy")}
+
+
+def test_links_in_factors_equal_all_pairs(spark):
+    rnd = random.Random(9)
+    names = ["anna smith", "ana smith", "jo petersson", "jo peterson", "li lee", "lie lee"]
+    left = [(i, rnd.choice("AB"), rnd.choice(names)) for i in range(60)]
+    right = [(100 + i, rnd.choice("AB"), rnd.choice(names)) for i in range(60)]
+    make = lambda rows, key: spark.createDataFrame(rows, f"{key} int, block string, name string")
+    links = L.fuzzy_links(make(left, "l"), make(right, "r"), ["block"], left_id="l", right_id="r", name="name")
+    tokens = {n: " ".join(sorted(n.split())) for n in names}
+    want = {(b, i, j, score(tokens[x], tokens[y], "edit")) for i, b, x in left for j, c, y in right if b == c and score(tokens[x], tokens[y], "edit") > 78}
+    assert {tuple(r) for r in L.pairs(links).collect()} == want
+    assert sum(r["n_left"] * r["n_right"] for r in L.class_links(links).collect()) == len(want)
+    assert links.edges.count() <= 2 * len(names) ** 2 < len(want)  # names, not rows
+    per = {r["l"]: r["n_links"] for r in L.members(links).collect()}
+    assert per == {i: sum(w[1] == i for w in want) for i, _, _ in left}
+    best = {r["l"]: (r["r"], r["score"]) for r in L.best_links(links).collect()}
+    assert best == {i: min(((w[2], w[3]) for w in want if w[1] == i and w[3] >= 85), key=lambda x: (-x[1], x[0])) for i in {w[1] for w in want if w[3] >= 85}}
+    linked = L.link_people(make(left, "l"), make(right, "r"), ["block"], left_id="l", right_id="r", name="name").collect()
+    assert len(linked) == len({r["l"] for r in linked}) == len({w[1] for w in want})
