@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from icestats.llm.base import query
-from icestats.llm.common import grouped, slices, store, table
+from icestats.llm.common import slices, store, table
 
 LEFT = "/opt/tokenizers/byte_bpe_50k.json"
 RIGHT = "/opt/tokenizers/piece_bpe_32k.model"
@@ -330,27 +330,25 @@ def align_documents(docs: DataFrame, left: str = LEFT, right: str = RIGHT, id_co
         n_right = len(PieceSide(f.read()).table)
     counts = store(pair_counts(postings, n_right), "pairs")
     scores = _pairs(postings).select("chunk", "place", "pair").join(counts, "pair").select("chunk", "place", F.col("n").alias("count"), "best")
-    rows = scores.unionByName(postings.withColumn("place", F.lit(-1)), allowMissingColumns=True)
-
-    def run(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        place = held.column("place").to_numpy()
-        order = np.argsort(place, kind="stable")
-        about = held.slice(int(order[0]), 1).to_batches()[0]
-        own = {c: about.column(c)[0] for c in NAMES[1:]}
-        docs_in = len(own["ids"])
-        n = own["n"].values.to_numpy()
-        count = held.column("count").combine_chunks().take(pa.array(order[1:])).to_numpy(zero_copy_only=False).astype(np.int64)
-        best = held.column("best").combine_chunks().take(pa.array(order[1:])).to_numpy(zero_copy_only=False).astype(np.int64)
+    def run(about: pa.Table, scored: pa.Table) -> pa.Table:
+        row = about.combine_chunks().to_batches()[0]
+        own = {c: row.column(c)[0] for c in NAMES[1:]}
+        docs_in, n = len(own["ids"]), own["n"].values.to_numpy()
+        place = scored.column("place").to_numpy()
+        count, best = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+        count[place] = scored.column("count").to_numpy()
+        best[place] = scored.column("best").to_numpy()
         doc, links = unpack(n, own["listed"].as_py(), own["maps"].as_py(), own["planes"].as_py(), docs_in)
         total, n_best = np.zeros(docs_in, dtype=np.int64), np.zeros(docs_in, dtype=np.int64)
         np.add.at(total, doc, links * np.repeat(count, n))
         np.add.at(n_best, doc, links * np.repeat(best, n))
-        yield pa.RecordBatch.from_arrays(
+        return pa.Table.from_arrays(
             [own["ids"].values, *(own[c].values for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(total), own["sha"].values],
             [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
         )
 
-    return grouped(rows, ["chunk"], run, f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    schema = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return postings.groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(run, schema)
 
 
 @query("op12_pair_bitmaps")

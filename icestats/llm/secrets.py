@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icestats.llm.base import query
@@ -139,15 +139,16 @@ def find_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
-def _joined(spans) -> F.Column:
+def _joined(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 @query("op13_linked_secrets")
 def op13(spark, sf_dir):
     found = find_secrets(table(spark, sf_dir, "documents"))
     strong = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:STRONG]))
-    return found.select(
-        "doc_id", *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:STRONG]),
-        F.sha2(_joined(strong), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
-    )
+    return found.select("doc_id", *map(_count, KINDS[:STRONG]), F.sha2(_joined(strong), 256).alias("base_sha256"), _joined("spans").alias("spans"))

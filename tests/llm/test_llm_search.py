@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from icestats.llm import alignment, lexical, secrets
-from texts import DOCS, clashing, edges, prose
+from texts import DOCS, clashing, edges, prose, table_dir
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -263,6 +263,19 @@ def test_scan_of_a_very_long_text():
     assert len(secrets.scan_texts([text.encode()])[0]) == 6
 
 
+def test_secret_query_columns(spark, tmp_path_factory):
+    from __spark_entry__ import queries
+
+    rows = [(i, t, None, None, None) for i, t in enumerate([*CASES, "", None])]
+    folder = table_dir(tmp_path_factory, documents=spark.createDataFrame(rows, DOCS))
+    for r in queries()["op13_linked_secrets"](spark, folder).collect():
+        spans = plain_scan(rows[r["doc_id"]][1])
+        written = [f"{k}:{a}:{b}" for k, a, b in spans]
+        base = [w for w in written if w.split(":")[0] in secrets.KINDS[:3]]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in spans) for k in secrets.KINDS[:3])
+        assert r["spans"] == ",".join(written) and r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", ["op11_bit_sliced_search"])
 def test_twin(spark, name):
     from __spark_entry__ import oracle_sql, queries
