@@ -10,6 +10,7 @@ expected score comes from the market is a prefix sum and needs no sequence at al
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations_with_replacement, permutations
 
 import numpy as np
 import pandas as pd
@@ -177,6 +178,13 @@ def best_cell(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # Smallest training set, inverse penalty strength
 MIN_HISTORY, PENALTY_C = 50, 1e5
+#: Cutoffs share a point of expansion while their rows grow by at most this share of the
+#: history, and by this much of its square: coefficients move with the root of the growth.
+SPAN_GROWTH, SPAN_SQUARE = 0.05, 2.5e-6
+#: Largest error of a standardised coefficient that an expansion may leave.
+EXPANSION_ERROR = 1e-7
+#: Bound of the fifth derivative of the logistic loss, which an expansion leaves out.
+FIFTH = 0.13
 
 
 def expanding_logit(
@@ -184,84 +192,210 @@ def expanding_logit(
 ) -> DataFrame:
     """Logistic forecast `p_process`, trained strictly on earlier blocks (dates).
 
-    All cutoffs are fitted together. Each Newton step is one Spark job: every task
-    turns its rows into gradient and Hessian sums per cutoff, and only these sums are
-    shuffled. The driver holds a few numbers per cutoff; a calendar bounds their count.
-    A cutoff whose last step is larger than `tolerance` has `converged` false and no forecast.
+    Consecutive cutoffs form spans, so that the history grows little within one. The first
+    cutoff of each span is fitted by Newton steps, all spans in one job a step; a row meets
+    the spans after it only, and as spans grow with the history, that is a bounded number on
+    average. One more job sums the loss' first four derivatives at each span's point, over
+    the history before the span and once per date within; the other cutoffs solve these
+    expansions on the driver. Where the error bound exceeds EXPANSION_ERROR, the rest of the
+    span goes on from a point of its own. The driver holds sums per span and date; a calendar bounds
+    them. A cutoff that has not converged has `converged` false and no forecast.
     """
-    d = len(features) + 1
     data = rows.filter(F.expr(" AND ".join(f"{f} IS NOT NULL" for f in features)) & F.col(target).isNotNull())
     sums = data.groupBy(block).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(features)],
-        *[F.sum(F.col(f) * F.col(f)).alias(f"q{i}") for i, f in enumerate(features)],
+        *[F.sum(F.col(f) * F.col(f)).alias(f"q{i}") for i, f in enumerate(features)], *[F.max(F.abs(f)).alias(f"m{i}") for i, f in enumerate(features)],
     ).orderBy(block).toPandas()
-    nb = len(sums)
-    before = lambda c: np.concatenate([[0.0], np.cumsum(sums[c].to_numpy(float))[:-1]])
-    n = before("n")
-    safe = np.maximum(n, 1.0)[:, None]
-    mu = np.stack([before(f"s{i}") for i in range(d - 1)], 1) / safe
-    var = np.stack([before(f"q{i}") for i in range(d - 1)], 1) / safe - mu**2
-    sd = np.sqrt(np.where(var > 1e-15, var, 1.0))
-    # standardised (1, (x - mu)/sd) = M (1, x)
-    m = np.zeros((nb, d, d))
-    m[:, 0, 0] = 1.0
-    for i in range(d - 1):
-        m[:, i + 1, 0], m[:, i + 1, i + 1] = -mu[:, i] / sd[:, i], 1.0 / sd[:, i]
-    theta = np.zeros((nb, d))
-    penalty = np.diag([0.0] + [1.0 / PENALTY_C] * (d - 1))
-    ready = n >= MIN_HISTORY
-    done = ~ready
-    spark = rows.sparkSession
-    index = spark.createDataFrame(pd.DataFrame({block: sums[block], "_b": np.arange(nb)}))
-    work = data.join(index.withColumn(block, F.col(block).cast(rows.schema[block].dataType)), block).select(
-        "_b", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]
-    ).persist()
-    names = [f"g{i}" for i in range(d)] + [f"h{i}_{j}" for i in range(d) for j in range(i, d)]
-    schema = "j int, " + ", ".join(f"{c} double" for c in names)
-
-    def sums_of(v: np.ndarray):
+    scale = _Scales(sums, len(features))
+    spark, nb = rows.sparkSession, len(sums)
+    index = spark.createDataFrame(pd.DataFrame({block: sums[block], "_b": np.arange(nb)})) if nb else None
+    theta, done = np.zeros((nb, scale.d)), scale.n < MIN_HISTORY
+    if nb and not done.all():
+        work = data.join(index.withColumn(block, F.col(block).cast(rows.schema[block].dataType)), block).select(
+            "_b", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]
+        ).persist()
+        span = _spans(scale.n)
+        rest = np.flatnonzero(span >= 0)
+        while len(rest):
+            # the first open cutoff of each span, by which the span's other open ones are expanded
+            starts = rest[np.unique(span[rest], return_index=True)[1]]
+            seen = work.filter(F.col("_b") < int(rest.max()))
+            fitted, ended = _newton(seen, features, scale, starts, theta[starts], steps, tolerance)
+            own, good = _expanded(seen, features, scale, starts, rest, span, fitted, ended, tolerance)
+            theta[rest], done[rest] = own, good
+            open_spans = span[starts[ended]]  # a span whose first cutoff does not converge ends here
+            rest = rest[~good & np.isin(span[rest], open_spans)]
+        work.unpersist()
+    v = scale.raw(theta, np.arange(nb))
+    ready = done & (scale.n >= MIN_HISTORY)
+    names = [f"_v{i}" for i in range(scale.d)]
+    fields = [rows.schema[block], *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("converged", T.BooleanType())]
+    made = pd.DataFrame({block: sums[block], **{c: np.where(ready, v[:, i], np.nan) for i, c in enumerate(names)}, "converged": done})
+    params = spark.createDataFrame(made, T.StructType(fields))
+    logit = F.col("_v0")
+    for i, f in enumerate(features):
+        logit = logit + F.col(f"_v{i + 1}") * F.col(f)
+    p = F.lit(1.0) / (1 + F.exp(-logit))
+    return rows.join(params, block, "left").withColumn("p_process", F.when(~F.isnan(p), p)).drop(*names)
+
+
+class _Scales:
+    """Per cutoff: rows before it, and the matrix that standardises (1, x) by them."""
+
+    def __init__(self, sums: pd.DataFrame, k: int):
+        self.d, nb = k + 1, len(sums)
+        before = lambda c: np.concatenate([[0.0], np.cumsum(sums[c].to_numpy(float))[:-1]]) if nb else np.zeros(0)
+        self.n, self.own = before("n"), sums["n"].to_numpy(float)
+        safe = np.maximum(self.n, 1.0)[:, None]
+        mu = np.stack([before(f"s{i}") for i in range(k)], 1) / safe
+        var = np.stack([before(f"q{i}") for i in range(k)], 1) / safe - mu**2
+        sd = np.sqrt(np.where(var > 1e-15, var, 1.0))
+        self.m = np.zeros((nb, self.d, self.d))
+        self.m[:, 0, 0] = 1.0
+        for i in range(k):
+            self.m[:, i + 1, 0], self.m[:, i + 1, i + 1] = -mu[:, i] / sd[:, i], 1.0 / sd[:, i]
+        # largest absolute values of (1, x) so far, and of the standardised row
+        self.top = np.concatenate([np.ones((nb, 1)), np.maximum.accumulate(sums[[f"m{i}" for i in range(k)]].to_numpy(float), axis=0)], axis=1)
+        self.reach = np.sqrt(1 + (((self.top[:, 1:] + np.abs(mu)) / sd) ** 2).sum(axis=1))
+        self.penalty = np.diag([0.0] + [1.0 / PENALTY_C] * k)
+
+    def raw(self, theta: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.einsum("bi,bij->bj", theta, self.m[at])
+
+    def standard(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(self.m[at].transpose(0, 2, 1), raw[..., None])[..., 0] if len(at) else raw
+
+    def step(self, theta: np.ndarray, at: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(Newton step, Hessian) on the standardised scale from raw sums."""
+        m = self.m[at]
+        h = m @ hess @ m.transpose(0, 2, 1) + self.penalty + np.eye(self.d) * 1e-9
+        g = np.einsum("bij,bj->bi", m, grad) + theta @ self.penalty
+        return np.linalg.solve(h, g[..., None])[..., 0], h
+
+
+def _spans(n: np.ndarray) -> np.ndarray:
+    """Span of each cutoff by the rows before it; -1 where these are too few."""
+    span, first, k = np.full(len(n), -1), np.inf, -1
+    for t, before in enumerate(n):
+        if before < MIN_HISTORY:
+            continue
+        if k < 0 or before > first + min(SPAN_GROWTH * first, SPAN_SQUARE * first**2):
+            first, k = before, k + 1
+        span[t] = k
+    return span
+
+
+def _terms(d: int, order: int) -> list[tuple[int, ...]]:
+    return list(combinations_with_replacement(range(d), order))
+
+
+def _later(pdf: pd.DataFrame, features: Sequence[str], cuts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (1, x), y and date by the first cutoff after them, in bounded pieces."""
+    first = np.searchsorted(cuts, pdf["_b"].to_numpy(), side="right")
+    order = np.argsort(first, kind="stable")
+    pdf, first = pdf.iloc[order], first[order]
+    x = np.column_stack([np.ones(len(pdf)), pdf[list(features)].to_numpy(float)])
+    y, b = pdf["_y"].to_numpy(), pdf["_b"].to_numpy()
+    edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]])) if len(pdf) else []
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        for a in range(lo, hi, 2000):
+            z = min(a + 2000, hi)
+            yield int(first[lo]), x[a:z], y[a:z], b[a:z]
+
+
+def _newton(work: DataFrame, features: Sequence[str], scale: _Scales, cuts: np.ndarray, theta: np.ndarray, steps: int, tolerance: float):
+    """Fit the given cutoffs, each on all rows before it; one job per Newton step."""
+    d, nc = scale.d, len(cuts)
+    second = _terms(d, 2)
+    left, right = (np.array(x) for x in zip(*second))
+    names = [f"g{i}" for i in range(d + len(second))]
+    later = _later
+
+    def sums_of(v: np.ndarray, on: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            g, h, at = np.zeros((nb, d)), np.zeros((nb, d, d)), np.arange(nb)
+            total = np.zeros((nc, len(names)))
             for pdf in batches:
-                for lo in range(0, len(pdf), 1000):
-                    part = pdf.iloc[lo : lo + 1000]
-                    x = np.column_stack([np.ones(len(part)), part[list(features)].to_numpy(float)])
-                    later = part["_b"].to_numpy()[:, None] < at[None, :]
-                    p = 1.0 / (1.0 + np.exp(-np.clip(x @ v.T, -500, 500)))
-                    e = np.where(later, p - part["_y"].to_numpy()[:, None], 0.0)
-                    w = np.where(later, p * (1 - p), 0.0)
-                    g += e.T @ x
-                    for i in range(d):
-                        for j in range(i, d):
-                            h[:, i, j] += w.T @ (x[:, i] * x[:, j])
-            yield pd.DataFrame(
-                np.column_stack([g] + [h[:, i, j] for i in range(d) for j in range(i, d)]), columns=names
-            ).assign(j=at.astype("int32"))[["j", *names]]
+                for k, x, y, _ in later(pdf, features, cuts):
+                    use = on[on >= k]
+                    if len(use):
+                        p = 1.0 / (1.0 + np.exp(-np.clip(x @ v[use].T, -500, 500)))
+                        total[use, :d] += (p - y[:, None]).T @ x
+                        total[use, d:] += (p * (1 - p)).T @ (x[:, left] * x[:, right])
+            yield pd.DataFrame(total, columns=names).assign(j=np.arange(nc, dtype="int32"))[["j", *names]]
 
         return run
 
+    theta, done = theta.copy(), np.zeros(nc, bool)
     for _ in range(steps):
-        v = np.einsum("bi,bij->bj", theta, m)
-        got = work.mapInPandas(sums_of(v), schema).groupBy("j").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-        got = got.set_index("j").reindex(range(nb), fill_value=0.0)
-        grad = np.einsum("bij,bj->bi", m, got[[f"g{i}" for i in range(d)]].to_numpy())
-        hess = np.zeros((nb, d, d))
-        for i in range(d):
-            for j in range(i, d):
-                hess[:, i, j] = hess[:, j, i] = got[f"h{i}_{j}"].to_numpy()
-        hess = m @ hess @ m.transpose(0, 2, 1) + penalty + np.eye(d) * 1e-9
-        delta = np.linalg.solve(hess, (grad + theta @ penalty)[..., None])[..., 0]
-        delta[~ready] = 0.0
-        theta = theta - np.clip(delta, -5, 5)
-        done = np.abs(delta).max(axis=1, initial=0.0) < tolerance
+        on = np.flatnonzero(~done)
+        got = work.mapInPandas(sums_of(scale.raw(theta, cuts), on), "j int, " + ", ".join(f"{c} double" for c in names))
+        got = got.groupBy("j").agg(*[F.sum(c).alias(c) for c in names]).toPandas().set_index("j").reindex(range(nc), fill_value=0.0).to_numpy()[on]
+        hess = np.zeros((len(on), d, d))
+        hess[:, left, right] = hess[:, right, left] = got[:, d:]
+        delta, _ = scale.step(theta[on], cuts[on], got[:, :d], hess)
+        theta[on] -= np.clip(delta, -5, 5)
+        done[on] = np.abs(delta).max(axis=1, initial=0.0) < tolerance
         if done.all():
             break
-    work.unpersist()
-    v = np.einsum("bi,bij->bj", theta, m)
-    fitted = pd.DataFrame({block: sums[block], **{f"_v{i}": np.where(ready & done, v[:, i], np.nan) for i in range(d)}, "converged": done})
-    params = spark.createDataFrame(fitted).withColumn(block, F.col(block).cast(rows.schema[block].dataType))
-    logit = F.col("_v0")
-    for i, f in enumerate(features):
-        logit = logit + F.col(f"_v{i + 1}") * F.col(f)
-    p = F.lit(1.0) / (1 + F.exp(-logit))
-    return rows.join(params, block, "left").withColumn("p_process", F.when(~F.isnan(p), p)).drop(*[f"_v{i}" for i in range(d)])
+    return theta, done
+
+
+def _expanded(work: DataFrame, features: Sequence[str], scale: _Scales, starts: np.ndarray, rest: np.ndarray, span: np.ndarray, fitted: np.ndarray, ended: np.ndarray, tolerance: float):
+    """(theta, done) of the cutoffs `rest` from the expansion of the loss at each span's point."""
+    d, ns, nb = scale.d, len(starts), len(span)
+    terms = [_terms(d, k) for k in (1, 2, 3, 4)]
+    names = [f"t{i}" for i in range(sum(map(len, terms)))]
+    point = scale.raw(fitted, starts)
+    later = _later
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        history, dates = np.zeros((ns, len(names))), np.zeros((nb, len(names)))
+        for pdf in batches:
+            for k, x, y, b in later(pdf, features, starts):
+                first = max(k - 1, 0)  # the rows' own span, then those after it
+                if k == 0 and first >= ns:
+                    continue
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ point[first:].T, -500, 500)))
+                s = p * (1 - p)
+                at = 0
+                for level, weight in zip(terms, (p - y[:, None], s, s * (1 - 2 * p), s * (1 - 6 * s))):
+                    product = np.stack([np.prod(x[:, list(t)], axis=1) for t in level], axis=1)
+                    history[k:, at : at + len(level)] += weight[:, k - first :].T @ product
+                    if k:
+                        np.add.at(dates[:, at : at + len(level)], b, weight[:, :1] * product)
+                    at += len(level)
+        for kind, table in (("history", history), ("date", dates)):
+            some = np.flatnonzero(np.abs(table).sum(axis=1))
+            yield pd.DataFrame(table[some], columns=names).assign(kind=kind, j=some.astype("int32"))[["kind", "j", *names]]
+
+    got = work.mapInPandas(run, "kind string, j int, " + ", ".join(f"{c} double" for c in names)).groupBy("kind", "j").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
+    history, dates = (got[got["kind"] == kind].set_index("j")[names].reindex(range(size), fill_value=0.0).to_numpy() for kind, size in (("history", ns), ("date", nb)))
+    theta, done = np.zeros((len(rest), d)), np.zeros(len(rest), bool)
+    places = []
+    for level in terms:
+        full = np.zeros((d,) * len(level[0]), dtype=np.int64)
+        for i, t in enumerate(level):
+            for q in set(permutations(t)):
+                full[q] = i
+        places.append(full)
+    for b in range(ns):
+        here = np.flatnonzero(span[rest] == span[starts[b]])
+        at = rest[here]
+        within = np.concatenate([np.zeros((1, len(names))), np.cumsum(dates[at[0] : at[-1]], axis=0)])
+        total = history[b] + within[at - at[0]]
+        g, h, t3, t4 = (total[:, sum(map(len, terms[:k])) + places[k]] for k in range(4))
+        own = scale.standard(np.repeat(point[b : b + 1], len(at), axis=0), at)
+        size = np.full(len(at), np.inf)
+        for _ in range(30):
+            move = scale.raw(own, at) - point[b]
+            first = np.einsum("tijkl,tj,tk,tl->ti", t4, move, move, move) / 6 + np.einsum("tijk,tj,tk->ti", t3, move, move) / 2 + np.einsum("tij,tj->ti", h, move) + g
+            second = h + np.einsum("tijk,tk->tij", t3, move) + np.einsum("tijkl,tk,tl->tij", t4, move, move) / 2
+            delta, curve = scale.step(own, at, first, second)
+            own, size = own - np.clip(delta, -1, 1), np.abs(delta).max(axis=1)
+            if (size < tolerance).all():
+                break
+        far = (np.abs(scale.raw(own, at) - point[b]) * scale.top[at]).sum(axis=1)
+        left_out = FIFTH / 24 * far**4 * scale.n[at] * scale.reach[at] * np.linalg.norm(np.linalg.inv(curve), axis=(1, 2))
+        theta[here] = np.where(np.isfinite(own), own, fitted[b])
+        done[here] = (size < tolerance) & (left_out <= EXPANSION_ERROR) & ended[b]
+    return theta, done

@@ -60,25 +60,47 @@ def test_grid_equals_single_runs(league):
     assert grid[(12, 25)] == pytest.approx(np.mean([(x.outcome - p[x.gameid]) ** 2 for x in tail.itertuples()]))
 
 
+def refit(past, row):
+    x = past[["f1", "f2"]].to_numpy()
+    mu, sd = x.mean(0), x.std(0)
+    x1 = np.column_stack([np.ones(len(x)), (x - mu) / sd])
+    th = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x1 @ th))
+        pen = np.diag([0, 1e-5, 1e-5])
+        th -= np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + pen, x1.T @ (p - past.outcome) + pen @ th)
+    return 1 / (1 + math.exp(-(th[0] + (row[["f1", "f2"]].to_numpy(float) - mu) / sd @ th[1:])))
+
+
 def test_expanding_logit_equals_refit(league):
-    got = R.expanding_logit(league, ["f1", "f2"], "outcome", block="game_date", steps=25).toPandas().set_index("gameid")["p_process"]
+    found = R.expanding_logit(league, ["f1", "f2"], "outcome", block="game_date", steps=25).toPandas().set_index("gameid")
     pdf = league.toPandas()
-    for g in (60, 200, 299):
+    assert found["converged"].all()
+    for g in range(0, 300, 3):  # every date
         row = pdf[pdf.gameid == g].iloc[0]
         past = pdf[pdf.game_date < row.game_date]
         if len(past) < 50:
-            assert math.isnan(got[g]) or got[g] is None
-            continue
-        x = past[["f1", "f2"]].to_numpy()
-        mu, sd = x.mean(0), x.std(0)
-        x1 = np.column_stack([np.ones(len(x)), (x - mu) / sd])
-        th = np.zeros(3)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-x1 @ th))
-            pen = np.diag([0, 1e-5, 1e-5])
-            th -= np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + pen, x1.T @ (p - past.outcome) + pen @ th)
-        z = (row[["f1", "f2"]].to_numpy(float) - mu) / sd
-        assert got[g] == pytest.approx(1 / (1 + math.exp(-(th[0] + z @ th[1:]))), abs=1e-6)
+            assert math.isnan(found["p_process"][g]) or found["p_process"][g] is None
+        else:
+            assert found["p_process"][g] == pytest.approx(refit(past, row), abs=1e-6)
+
+
+def test_expanding_logit_shares_points_among_dates(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 30_000
+    x = rng.normal(size=(n, 2))
+    pdf = pd.DataFrame({"gameid": np.arange(n), "day": np.arange(n) // 25, "f1": x[:, 0], "f2": x[:, 1], "outcome": (rng.random(n) < 1 / (1 + np.exp(-x @ [0.8, -0.5]))).astype(float)})
+    solved = []
+    plain = R._newton
+    monkeypatch.setattr(R, "_newton", lambda work, features, scale, cuts, *rest: (solved.append(np.asarray(cuts)), plain(work, features, scale, cuts, *rest))[1])
+    got = R.expanding_logit(spark.createDataFrame(pdf), ["f1", "f2"], "outcome", block="day").toPandas().set_index("gameid")
+    assert got["converged"].all()
+    own = np.concatenate(solved)
+    assert len(own) < 700 < 1198  # cutoffs with a fit of their own, of all
+    assert len(own[own >= 600]) < 100  # few once the history is long
+    for day in [*range(3, 40, 3), *range(40, 1200, 97), 1199]:
+        row = pdf[pdf.day == day].iloc[0]
+        assert got["p_process"][row.gameid] == pytest.approx(refit(pdf[pdf.day < day], row), abs=1e-6)
 
 
 def test_ols_and_gmm(league):
