@@ -3,9 +3,11 @@
 Under a random hash of its tokens (shingles of five words), all subsequences of a text that
 have the same least token form a compact window: the Cartesian tree over the hashes gives
 the window of each token. Windows wide enough for a passage are grouped by their least
-token; members of a group may hold the same passage around it. Their token intervals are
-joined and verified: a passage counts as repeated if an earlier document holds one of at
-least that length with Jaccard similarity 0.8 or more.
+token; members of a group may hold the same passage around it. Members with equal tokens
+around it are told by a hash of these: the first stands for all, the others repeat it.
+Only the different surroundings of a group are fetched; their token intervals are joined
+and verified: a passage counts as repeated if an earlier document holds one of at least
+that length with Jaccard similarity 0.8 or more.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +29,20 @@ SIMILAR = 0.8
 HASHES = 4
 #: Members of a group compared at once; larger groups go in pairs of blocks.
 LEAF = 32_768
-PLACE_BITS = 24
 
 
 def wide_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Places that are least (leftmost at a tie) in some `width` consecutive values."""
-    n = len(values)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    step = (values & ~low) | np.arange(n, dtype=np.uint64)
-    size = 1
+    at, size = np.arange(len(values)), 1
+
+    def lesser(shift: int) -> np.ndarray:
+        a, b = at[: len(at) - shift], at[shift:]
+        return np.where(values[a] <= values[b], a, b)
+
     while size * 2 <= width:
-        step = np.minimum(step[: len(step) - size], step[size:])
-        size *= 2
-    rest = width - size
-    least = np.minimum(step[: len(step) - rest], step[rest:]) if rest else step
-    at = (least & low).astype(np.int64)
+        at, size = lesser(size), size * 2
+    if width > size:
+        at = lesser(width - size)
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
 
 
@@ -53,12 +55,8 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     n = len(values)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    if n >= 1 << PLACE_BITS:
-        raise ValueError("a text of 16 million words or more needs more place bits")
     at = wide_minima(values, width)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    key = ((values[at] & ~low) | at.astype(np.uint64)).tolist()
-    places = at.tolist()
+    key, places = values[at].tolist(), at.tolist()
     left, right, stack = [0] * len(places), [n - 1] * len(places), []
     for k, value in enumerate(key):
         while stack and key[stack[-1]] > value:
@@ -68,6 +66,26 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return np.array(left), at, np.array(right)
 
 
+_BASE = 0x9FB21C651E98DF25
+_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
+class _Stretches:
+    """Hashes of any stretch of a text's tokens, from sums of tokens times powers of an odd base."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))
+            self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK)]))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * up[:n])])
+
+    def hash(self, first: np.ndarray, end: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Of the tokens [first, end), with the numbers `shape`."""
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[end] - self.sums[first]) * self.back[first] + mix64(shape.astype(np.uint64), 90), 91)
+
+
 def _pack(place: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
     """Place and the window's reach to both sides, as far as a passage can."""
     return (place << 20) | (np.minimum(place - left, reach) << 10) | np.minimum(right - place, reach)
@@ -77,30 +95,115 @@ def _unpack(packed: int) -> tuple[int, int, int]:
     return packed >> 20, packed >> 10 & 1023, packed & 1023
 
 
+MET = ("h", "around", "id", "key", "place", "exact", "source", "source_key")
+
+
+def _first_of_class(ids: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, place in it of each row's class' first): rows by class, then id rank."""
+    order = np.lexsort((ids, *reversed(parts)))
+    change = np.zeros(len(order), dtype=bool)
+    change[:1] = True
+    for p in parts:
+        change[1:] |= p[order][1:] != p[order][:-1]
+    return order, np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))
+
+
 def windows(docs: DataFrame, words: int = WORDS, width: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """(h, key, place) of all compact windows of docs (key, text) that can hold a passage."""
+    """All compact windows of docs (id, key, text) that can hold a passage.
+
+    `h` is the least token, `around` a hash of the tokens around it, `exact` marks the first hash
+    function, which finds every exact passage. Within a slice of texts the first document
+    stands for all with equal surroundings; the others leave with it as their `source`.
+    """
     tokens = words - width + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys = part.column(0).to_numpy()
-                h, key, place = [], [], []
-                for k, own in enumerate(shingles([words_of(t) for t in part.column(1).to_pylist()], width)):
+                keys = part.column(1).to_numpy()
+                h, around, who, place, exact = [], [], [], [], []
+                for k, own in enumerate(shingles([words_of(t) for t in part.column(2).to_pylist()], width)):
                     if len(own) < tokens:
                         continue
+                    stretch = _Stretches(own)
                     for f in range(hashes):
                         values = mix64(own, 50 + f)
                         left, at, right = compact_windows(values, tokens)
+                        packed = _pack(at, left, right, tokens - 1)
+                        a, b = packed >> 10 & 1023, packed & 1023
                         h.append(values[at])
-                        place.append(_pack(at, left, right, tokens - 1))
-                        key.append(np.full(len(at), keys[k]))
-                if h:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(place))], ["h", "key", "place"]
-                    )
-
-    return docs.select("key", "text").mapInArrow(run, "h long, key long, place long")
+                        around.append(stretch.hash(at - a, at + b + 1, packed & 0xFFFFF))
+                        place.append(packed)
+                        who.append(np.full(len(at), k))
+                        exact.append(np.full(len(at), f == 0))
+                if not h:
+                    continue
+                h, around, who, place, exact = (np.concatenate(x) for x in (h, around, who, place, exact))
+                order, first = _first_of_class(_rank(part.column(0))[who], h, around)
+                h, around, who, place, exact = (x[order] for x in (h, around, who, place, exact))
+                key = keys[who]
+                copy = key != key[first]
+                keep = ~copy | exact
+                # a decided row goes anywhere: its group is its own
+                spread = np.where(copy, mix64(key.astype(np.uint64) ^ place.astype(np.uint64), 93), h)
+                source = np.where(copy, who[first], -1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(spread[keep].view(np.int64)), pa.array(around[keep].view(np.int64)), part.column(0).take(pa.array(who[keep])), pa.array(key[keep]),
+                    pa.array(place[keep]), pa.array(exact[keep]), part.column(0).take(pa.array(source[keep], mask=source[keep] < 0)), pa.array(key[first][keep], mask=~copy[keep]),
+                ], list(MET))
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "key", "text").mapInArrow(run, f"h long, around long, id {kind}, key long, place long, exact boolean, source {kind}, source_key long")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by (h, around, id): copies of a surrounding repeat its first document; the
+    first ones of a group that two documents share go on. A window that no other document
+    has ends here. What is held between batches is one document's rows, or one row.
+    """
+    carry, written, shared = None, False, False
+    for batch in batches:
+        decided = batch.column("source_key").is_valid()
+        if decided.true_count:
+            yield batch.filter(decided)
+            batch = batch.filter(pa.compute.invert(decided))
+        if not batch.num_rows:
+            continue
+        if carry is not None:
+            batch = pa.concat_batches([carry, batch])
+        h, around, key, place = (batch.column(c).to_numpy() for c in ("h", "around", "key", "place"))
+        exact = batch.column("exact").to_numpy(zero_copy_only=False)
+        n = len(h)
+        rows = np.arange(n)
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new_class = new_h | np.concatenate([[True], around[1:] != around[:-1]])
+        starts = np.flatnonzero(new_h)
+        group = np.cumsum(new_h) - 1
+        other = key != key[starts][group]
+        two = np.logical_or.reduceat(other, starts)
+        classes = np.add.reduceat(new_class.astype(np.int64), starts)
+        two[0] |= carry is not None and shared
+        classes[-1] = 2  # more may come
+        if carry is not None and shared:
+            classes[0] = 2
+        first = np.maximum.accumulate(np.where(new_class, rows, 0))
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (place[1:] == place[:-1]) & ~new_class[1:]])
+        same = key == key[first]
+        go_on = two[group] & same & ~again & (classes[group] > 1)
+        copies = two[group] & ~same & exact & ~again
+        if written:
+            go_on[0] = False
+        for take, source in ((go_on, None), (copies, first)):
+            at = np.flatnonzero(take)
+            if len(at):
+                out = batch.take(pa.array(at))
+                if source is not None:
+                    whose = pa.array(source[at])
+                    out = pa.RecordBatch.from_arrays([*out.columns[:6], batch.column("id").take(whose), batch.column("key").take(whose)], list(MET))
+                yield out
+        shared = bool(two[-1])
+        written = shared
+        carry = batch.slice(int(first[-1]), 1) if shared else batch.slice(int(starts[-1]))
 
 
 def _regions(width: int, tokens: int):
@@ -117,6 +220,8 @@ def _regions(width: int, tokens: int):
                     short = np.maximum((own >> np.uint64(32)).astype(np.uint32), 1)
                     for w in wanted[k]:
                         at, a, b = _unpack(w["place"])
+                        if at + b >= len(own):
+                            continue  # a place of another document whose key is equal
                         region = np.zeros(full, dtype=np.uint32)
                         region[tokens - 1 - a : tokens + b] = short[at - a : at + b + 1]
                         rows.append((w["h"], w["n"], k, at, region.tobytes()))
@@ -191,7 +296,7 @@ def _verify(tokens: int, width: int, similar: float):
 
         def found(k: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
             first = place[k] + a - mid
-            out.append((key[k], first, first + b - a + width, of))
+            out.append((k, first, first + b - a + width, of))
 
         # equal surroundings in a group: the first stands for all
         code = pd.factorize(np.array(raw, dtype=object)[order])[0].astype(np.int64)
@@ -219,8 +324,9 @@ def _verify(tokens: int, width: int, similar: float):
                     found(all_of, np.full(len(all_of), first_at), np.full(len(all_of), last_at), np.full(len(all_of), lead))
         k, a, b, of = (np.concatenate(x) for x in zip(*out))
         if len(k):
-            of = of.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b), ids.take(pa.array(of)), pa.array(key[of])], ["key", "first", "end", "source", "source_key"])
+            k, of = k.astype(np.int64), of.astype(np.int64)
+            owner, k = ids.take(pa.array(k)), key[k]
+            yield pa.RecordBatch.from_arrays([pa.array(k), owner, pa.array(a), pa.array(b), ids.take(pa.array(of)), pa.array(key[of])], ["key", "id", "first", "end", "source", "source_key"])
 
     def _leaders(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Each different surrounding in turn leads, held against later ones that want one of its tokens.
@@ -291,17 +397,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, width: int = SHINGLE, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """(key, spans) of documents that hold repeated passages; spans (first, end, source) in words.
+    """(key, id, spans) of documents that hold repeated passages; spans (first, end, source) in words.
 
     Spans do not overlap and are in order; `source` is an earlier document (by id, null ids
     last) that holds the passage.
     """
     tokens = words - width + 1
     rows = keyed(docs, id_col, text_col)
-    found = store(windows(rows, words, width, hashes), "windows")
-    sizes = found.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
-    wanted = found.join(sizes.select("h", "n"), "h").groupBy("key").agg(F.collect_list(F.struct("h", "n", "place")).alias("wanted"))
-    texts = rows.join(wanted, "key")
+    order = [F.col("h"), F.col("around"), F.col("id").asc_nulls_last(), F.col("key"), F.col("place")]
+    found = windows(rows, words, width, hashes)
+    met = store(found.repartition("h").sortWithinPartitions(*order).mapInArrow(_meet, found.schema), "met")
+    open_ = met.where("source_key is null").select("h", "id", "key", "place")
+    sizes = open_.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most")
+    wanted = open_.join(sizes.select("h", "n"), "h").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("h", "n", "place")).alias("wanted"))
+    texts = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     kind = rows.schema["id"].dataType.simpleString()
     regions = texts.select("id", "key", "text", "wanted").mapInArrow(_regions(width, tokens), f"h long, n long, id {kind}, key long, place long, region binary")
     blocks = F.ceil(F.col("n") / F.lit(max(1, leaf // 2))).cast("int")
@@ -310,26 +419,29 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR
     other = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
     spread = regions.withColumn("part", part).withColumn("o", F.explode(other))
     spread = spread.select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "id", "key", "place", "region")
-    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, first long, end long, source {kind}, source_key long", rows=20_000)
-    per = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "end", "source"))).alias("s"))
+    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, id {kind}, first long, end long, source {kind}, source_key long", rows=20_000)
+    at, left, right = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
+    copied = met.where("source_key is not null").select("key", "id", (at - left).alias("first"), (at + right + width).alias("end"), "source", "source_key")
+    spans = spans.unionByName(copied)
+    per = spans.groupBy("key", "id").agg(F.sort_array(F.collect_set(F.struct("first", "end", "source"))).alias("s"))
     grow = (
         "aggregate(s, cast(array() as array<struct<first:bigint,end:bigint,source:{k}>>), (acc, x) -> "
         "if(size(acc) > 0 and x.first <= element_at(acc, -1).end, "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(element_at(acc, -1).end, x.end), 'source', element_at(acc, -1).source))), "
         "concat(acc, array(x))))"
     ).format(k=kind)
-    return per.select("key", F.expr(grow).alias("spans"))
+    return per.select("key", "id", F.expr(grow).alias("spans"))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, spans, n_repeated) of every document: word ranges that repeat an earlier document.
 
     The first document (least id) that holds a passage keeps it. Rows with equal id and text
-    count as one document; null and short texts have no spans; an empty table gives an empty
-    result. Other columns are not read.
+    count as one document; null and short texts have no spans; texts of any length are
+    taken whole; an empty table gives an empty result. Other columns are not read.
     """
-    spans = store(repeated_spans(docs, id_col=id_col, text_col=text_col, **options), "spans")
-    out = keyed(docs, id_col, text_col).select("id", "key").join(spans, "key", "left")
+    spans = store(repeated_spans(docs, id_col=id_col, text_col=text_col, **options), "spans").select(F.col("key").alias("_key"), F.col("id").alias("_id"), "spans")
+    out = keyed(docs, id_col, text_col).select("id", "key").join(spans, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     kind = docs.schema[id_col].dataType.simpleString()
     none = F.expr(f"cast(array() as array<struct<first:bigint,end:bigint,source:{kind}>>)")
     out = out.select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
@@ -353,10 +465,10 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All columns stay; `size_col`, if there, gets the new number of code points of a cut text.
     """
-    spans = store(repeated_spans(docs, id_col=id_col, text_col=text_col, **options).withColumnRenamed("key", "_key"), "spans")
+    spans = store(repeated_spans(docs, id_col=id_col, text_col=text_col, **options), "spans").select(F.col("key").alias("_key"), F.col("id").alias("_id"), "spans")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), row)
-    met = rows.join(spans, F.col("key") == F.col("_key"), "left")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"), row)
+    met = rows.join(spans, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     untouched = met.where("spans is null").select("row.*")
     kind, names = docs.schema, docs.columns
     last = "_" + max(names, key=len)  # a name that no column has
