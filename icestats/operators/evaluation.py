@@ -7,12 +7,10 @@ systems of two to five unknowns.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -286,16 +284,100 @@ def classification_report(df: DataFrame, y: str, predicted: str, keys: Sequence[
     return counts.select(*keys, F.inline(F.array(row("win", "tp", "fp", "fn"), row("loss", "tn", "fn", "fp"))))
 
 
-def win_predictors(df: DataFrame, y: str, feature_sets: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Logit without intercept per feature set (gaps count as 0) with its classification report."""
-    names = sorted({f for fs in feature_sets.values() for f in fs})
-    data = df.select(F.col(y).cast("double").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]).persist()
-    out = None
-    for name, fs in feature_sets.items():
-        rows = VectorAssembler(inputCols=list(fs), outputCol="features").transform(data).select("label", "features")
-        fit = LogisticRegression(fitIntercept=False, regParam=0.0, standardization=False, maxIter=100, tol=1e-9).fit(rows)
-        hit = fit.transform(rows).withColumn("pred", (vector_to_array("probability")[1] >= 0.5).cast("int"))
-        rep = classification_report(hit, "label", "pred").withColumn("features", F.lit(name))
-        out = rep if out is None else out.unionByName(rep)
-    data.unpersist()  # the reports read it once more
-    return out
+def _both(c: str) -> tuple[str, str]:
+    return c, f"{c}_against"
+
+
+# The predictors' feature sets, over the season first, over the games so far below
+KPI_SETS: dict[str, tuple[str, ...]] = {
+    "win_rate": _both("kpi_wp"), "win_rate_difference": ("kpi_wp_diff",), "expectation": _both("kpi_pe"), "corsi": _both("corsi"), "corsi_level": ("corsi_lvl",),
+    "fenwick": _both("fenwick"), "fenwick_level": ("fenwick_lvl",), "rpi": _both("rpi"), "pairwise": _both("pairwise_win"), "opponent": ("opponent_good", "opponent_better"),
+    "opponent_and_rates": ("opponent_good", "opponent_better", *_both("kpi_wp"), *_both("kpi_pe")),
+    "running_expectation": (*_both("rpe"), "rgame"), "last_ten_expectation": (*_both("rpe_10"), "rgame"), "running_win_rate": (*_both("rwp"), "rgame"),
+    "running_fenwick": (*_both("rff_pct"), "rgame"), "running_corsi": (*_both("rcf_pct"), "rgame"),
+}
+
+
+@dataclass
+class Logit:
+    """One fitted set: coefficients, mean loss, largest entry of the mean gradient, and whether it ended there."""
+
+    features: tuple[str, ...]
+    theta: np.ndarray
+    loss: float = np.inf
+    slope: float = np.inf
+    converged: bool = False
+
+
+#: A mean loss below this has no finite optimum: a feature tells the classes apart.
+SEPARATED = 1e-6
+
+
+def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *, steps: int = 60, tolerance: float = 1e-9) -> dict[str, Logit]:
+    """Logistic models without intercept for several feature sets, all in one job per Newton step.
+
+    Each task returns loss, gradient and Hessian sums keyed by set. A step that does not
+    lower the loss is halved. A set has converged when its Newton decrement per row is
+    below `tolerance`; one whose classes a feature separates never does.
+    """
+    names = sorted({f for fs in sets.values() for f in fs})
+    rows = data.select(F.col(label).cast("double").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
+    places = [np.array([names.index(f) for f in fs]) for fs in sets.values()]
+
+    def sums(thetas: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {k: np.zeros(2 + len(t) + len(t) ** 2) for k, t in thetas.items()}
+            for pdf in batches:
+                x, y = pdf[names].to_numpy(float), pdf["label"].to_numpy()
+                for k, t in thetas.items():
+                    own = x[:, places[k]]
+                    z = own @ t
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    hess = own.T @ (own * (p * (1 - p))[:, None])
+                    total[k] += np.concatenate([[len(y), np.sum(np.logaddexp(0, z) - y * z)], own.T @ (p - y), hess.ravel()])
+            yield pd.DataFrame([(k, i, v) for k, t in total.items() for i, v in enumerate(t)], columns=["k", "i", "v"])
+
+        got = rows.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+        return {k: part.sort_values("i")["v"].to_numpy() for k, part in got.groupby("k")}
+
+    fits = [Logit(tuple(fs), np.zeros(len(fs))) for fs in sets.values()]
+    move = {k: np.zeros(len(f.theta)) for k, f in enumerate(fits)}
+    for _ in range(steps):
+        got = sums({k: fits[k].theta + m for k, m in move.items()})
+        for k, v in got.items():
+            f, d = fits[k], len(fits[k].theta)
+            n, loss, grad, hess = v[0], v[1], v[2 : 2 + d], v[2 + d :].reshape(d, d)
+            if not loss <= f.loss * n + 1e-12 * abs(loss):
+                move[k] = move[k] / 2
+                continue
+            newton = -np.linalg.lstsq(hess + 1e-12 * np.trace(hess) * np.eye(d), grad, rcond=None)[0]
+            f.theta, f.loss, f.slope = f.theta + move[k], float(loss / n), float(np.abs(grad).max() / n)
+            f.converged = bool(-(newton @ grad) / n <= tolerance and f.loss > SEPARATED)
+            move[k] = newton
+        move = {k: m for k, m in move.items() if k in got and not fits[k].converged}
+        if not move:
+            break
+    return dict(zip(sets, fits))
+
+
+def win_predictors(df: DataFrame, y: str, sets: Mapping[str, Sequence[str]] = KPI_SETS, **options) -> DataFrame:
+    """Logit without intercept per feature set (gaps count as 0) with its classification report.
+
+    (features, class, precision, recall, f1, support, loss, slope, converged); all sets share
+    each pass over the rows, the reports one more.
+    """
+    names = sorted({f for fs in sets.values() for f in fs})
+    data = df.select(F.col(y).cast("int").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]).persist()
+    fits = fit_logits(data, "label", sets, **options)
+    calls = []
+    for name, f in fits.items():
+        score = F.lit(0.0)
+        for c, t in zip(f.features, f.theta):
+            score = score + F.col(c) * float(t)
+        calls.append(F.struct(F.lit(name).alias("features"), (score >= 0).cast("int").alias("pred")))
+    hit = data.select("label", F.inline(F.array(*calls)))
+    report = classification_report(hit, "label", "pred", ["features"]).persist()
+    report.count()
+    data.unpersist()
+    about = df.sparkSession.createDataFrame([(n, f.loss, f.slope, f.converged) for n, f in fits.items()], "features string, loss double, slope double, converged boolean")
+    return report.join(about, "features")

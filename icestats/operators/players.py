@@ -136,14 +136,17 @@ def season_rollup(df: DataFrame) -> DataFrame:
 
 
 def summary_with_mode(df: DataFrame) -> DataFrame:
-    """Player season: sums and means of all skater measures, ice time, modal name, last team in date order."""
+    """Player season: sums and means of all skater measures, ice time, modal name, last team in date order.
+
+    The mean share is taken over decimals, so that it does not depend on the order of rows.
+    """
     keys = ["player_id", "season"]
     rows = df.withColumn("season", F.year("game_date"))
     last = F.struct("game_date", "gameid", "team")
     s = rows.groupBy(*keys).agg(
         F.max_by("team", last).alias("team"), F.count(F.lit(1)).alias("games"), *[F.sum(m).alias(m) for m in SKATER_SUMS],
         *[F.avg(m).alias(f"mean_{m}") for m in SKATER_SUMS], F.sum(F.coalesce(clock_seconds(F.col("toi")), F.lit(0))).alias("toi_seconds"),
-        F.avg("faceoff_pct").alias("faceoff_pct"),
+        F.avg(F.col("faceoff_pct").cast("decimal(20,10)")).alias("faceoff_pct"),
     )
     return s.join(mode_by(rows, keys, "name", "name"), keys)
 

@@ -291,14 +291,22 @@ def streak_summary(flags: DataFrame) -> DataFrame:
     )
 
 
-def team_season(games: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
-    """The whole team-season table: levels, expectation, RPI, pairwise, normalised, streaks.
+def game_metrics(games: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
+    """Levels and running records of both sides of every game, two rows per game, written once.
 
-    The game-level metrics feed six branches, so they are written once to the shared
-    folder and read back; so is the small per-team table that three branches use.
+    The team rows are written too, as slicing reads them twice and they come from joins.
     """
     rows = materialise(shot_levels(to_team_rows(games)), "rows")
-    metrics = materialise(attach_opponent_running(running_metrics(rows, slice_by)), "metrics")
+    return materialise(attach_opponent_running(running_metrics(rows, slice_by)), "metrics")
+
+
+def team_season(games: DataFrame, slice_by: Column | str | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """The whole team-season table: levels, expectation, RPI, pairwise, normalised, streaks.
+
+    `metrics` (by default `game_metrics`) feed all branches; whoever needs them as well
+    passes them in.
+    """
+    metrics = game_metrics(games, slice_by) if metrics is None else metrics
     totals = season_totals(metrics)
     edges = materialise(head_to_head(metrics), "edges")
     common = common_opponents(edges)
@@ -320,6 +328,34 @@ def team_season(games: DataFrame, slice_by: Column | str | None = None) -> DataF
     return table.join(streaks, ["season", "team"])
 
 
+SEASON_INDICATORS = ("kpi_wp", "kpi_pe", "rpi", "pairwise_win")
+RUNNING_INDICATORS = ("rpe", "rpe_10", "rwp", "rff_pct", "rcf_pct")
+
+
+def game_indicators(metrics: DataFrame, table: DataFrame) -> DataFrame:
+    """One row per game from the home side: its result, the season's indicators of both sides
+    (`*_against` the visitor's), the game's attempts, and both sides' running indicators.
+    """
+    pct = lambda a, b: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
+    rows = trailing_expectation(metrics).withColumns({
+        "rwp": F.try_divide(F.col("rwin").cast("double"), F.col("rgame").cast("double")), "rff_pct": pct("rsf", "rsa"),
+        "_cf": F.col("rsf") + F.col("rbf"), "_ca": F.col("rsa") + F.col("rba"),
+        "corsi": F.col("shots") + F.col("blocked"), "corsi_against": F.col("shots_against") + F.col("blocked_against"),
+    }).withColumn("rcf_pct", pct("_cf", "_ca"))
+    w = W.partitionBy("gameid").orderBy("side")
+    other = F.struct(*RUNNING_INDICATORS)
+    rows = rows.withColumn("_o", F.coalesce(F.lead(other).over(w), F.lag(other).over(w))).filter(F.col("side") == "home")
+    season = lambda team, end: table.select("season", F.col("team").alias(team), *[F.col(c).alias(f"{c}{end}") for c in SEASON_INDICATORS])
+    out = rows.join(season("team", ""), ["season", "team"]).join(season("opponent", "_against"), ["season", "opponent"])
+    cut = table.groupBy("season").agg(F.percentile("rpi", 0.75).alias("_q75"))
+    return out.join(cut, "season").select(
+        "gameid", "season", "game_date", "team", "opponent", "win", "rgame", F.col("shots").alias("fenwick"), F.col("shots_against").alias("fenwick_against"), "fenwick_lvl",
+        "corsi", "corsi_against", "corsi_lvl", *SEASON_INDICATORS, *[f"{c}_against" for c in SEASON_INDICATORS], (F.col("kpi_wp") - F.col("kpi_wp_against")).alias("kpi_wp_diff"),
+        (F.col("rpi_against") > F.col("_q75")).cast("int").alias("opponent_good"), (F.col("rpi_against") > F.col("rpi")).cast("int").alias("opponent_better"),
+        *RUNNING_INDICATORS, *[F.col(f"_o.{c}").alias(f"{c}_against") for c in RUNNING_INDICATORS],
+    )
+
+
 def standings(games: DataFrame) -> DataFrame:
     """League standings: wins, regulation and overtime losses, points."""
     rows = to_team_rows(games)

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from icestats.operators import evaluation as E
+from icestats.operators import playoffs as Y
 from icestats.operators import stats as S
 from icestats.operators import teams as T
 from icestats.registry.base import query
-from icestats.registry.teams import RUN, r6
+from icestats.registry.teams import RUN, STREAK, r6
 
 col = F.col
 MODELS = ["p_market", "p_elo", "p_process"]
@@ -90,11 +91,24 @@ def _(t):
     return E.frontier(m, t.forecasts, "rpe", "p_market").select("season", "team", *r6("rpe", "mean_market"))
 
 
-@query("better_measure_won_j26", """SELECT n_g_home, count(*) AS n, 'elo' AS measure, round(avg(CAST((p_elo >= 0.5) = (y = 1) AS INT)) * 100, 6) AS ratio,
-round(sqrt(avg(CAST((p_elo >= 0.5) = (y = 1) AS INT)) * (1 - avg(CAST((p_elo >= 0.5) = (y = 1) AS INT))) / count(*)) * 100, 6) AS se FROM forecasts GROUP BY n_g_home""")
+# a season's measures against its results, by game number in the series of two teams
+MEASURES = {"corsi": "corsi_lvl", "expectation": "rpe", "rpi": "rpi", "win_rate": "wp"}
+SERIES = STREAK + """, po AS (SELECT season, gameid, team, opponent, win, row_number() OVER (PARTITION BY season, least(team, opponent), greatest(team, opponent) ORDER BY game_date, gameid) AS game
+ FROM paired WHERE side = 'home'),
+ms AS (SELECT t.season, t.team, corsi_lvl, rpe, rpi, t.wp FROM tot t JOIN rpi r ON r.season = t.season AND r.team = t.team)"""
+
+
+@query("better_measure_won_j26", f"WITH {SERIES}, ck AS (" + " UNION ALL ".join(
+    f"SELECT CAST(game AS INT) AS series_game, '{m}' AS measure, CAST((h.{c} >= a.{c}) = (win = 1) AS INT) AS hit FROM po JOIN ms h ON h.season = po.season AND h.team = po.team JOIN ms a ON a.season = po.season AND a.team = po.opponent"
+    for m, c in MEASURES.items()) + """) SELECT series_game, measure, count(*) AS n, round(avg(hit) * 100, 6) AS ratio, round(sqrt(avg(hit) * (1 - avg(hit)) / count(*)) * 100, 6) AS se FROM ck GROUP BY series_game, measure""")
 def _(t):
-    b = E.better_measure_won(t.forecasts, {"elo": (col("p_elo"), F.lit(0.5))}, col("y") == 1, ["n_g_home"])
-    return b.select("n_g_home", "n", "measure", *r6("ratio", "se"))
+    metrics = T.game_metrics(t.games, "month(game_date)")
+    table = T.team_season(t.games, metrics=metrics).select("season", "team", *MEASURES.values())
+    side = lambda key, end: table.select("season", F.col("team").alias(key), *[F.col(c).alias(f"{c}{end}") for c in MEASURES.values()])
+    rows = Y.series_games(Y.with_series(metrics), "month(game_date)").filter(col("side") == "home")
+    rows = rows.join(side("team", "_home"), ["season", "team"]).join(side("opponent", "_away"), ["season", "opponent"])
+    b = E.better_measure_won(rows, {m: (col(f"{c}_home"), col(f"{c}_away")) for m, c in MEASURES.items()}, col("win") == 1, ["series_game"])
+    return b.select("series_game", "measure", "n", *r6("ratio", "se"))
 
 
 @query("classification_report_l7", """WITH c AS (SELECT season, sum(CAST(y = 1 AND p_elo >= 0.5 AS INT)) AS tp, sum(CAST(y = 0 AND p_elo >= 0.5 AS INT)) AS fp, sum(CAST(y = 1 AND p_elo < 0.5 AS INT)) AS fn, sum(CAST(y = 0 AND p_elo < 0.5 AS INT)) AS tn FROM forecasts GROUP BY season)
@@ -106,8 +120,8 @@ def _(t):
 
 @query("win_predictors_j25")
 def _(t):
-    f = t.forecasts.withColumns({"d_market": col("p_market") - 0.5, "d_elo": col("p_elo") - 0.5, "d_process": col("p_process") - 0.5})
-    return E.win_predictors(f, "y", {"market": ["d_market"], "elo": ["d_elo"], "all": ["d_market", "d_elo", "d_process"]})
+    metrics = T.game_metrics(t.games, "month(game_date)")
+    return E.win_predictors(T.game_indicators(metrics, T.team_season(t.games, metrics=metrics)), "win")
 
 
 KS = """vc AS (SELECT event_type AS g, value AS v, count(*) AS c FROM events GROUP BY 1, 2),

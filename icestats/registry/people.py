@@ -115,11 +115,11 @@ MEANS = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in P.SKATER_SUMS)
 @query("summary_with_mode_d15", f"""WITH c AS (SELECT player_id, CAST(year(game_date) AS INT) AS season, name, count(*) AS n FROM player_game GROUP BY 1, 2, 3),
 m AS (SELECT player_id, season, min(struct_pack(n := -n, o := name)).o AS name FROM c GROUP BY 1, 2),
 g AS (SELECT player_id, CAST(year(game_date) AS INT) AS season, count(*) AS games, {SUMS}, {MEANS}, CAST(sum({SEC}) AS BIGINT) AS toi_seconds,
- round(avg(faceoff_pct), 6) AS faceoff_pct, max(struct_pack(d := game_date, g := gameid, t := team)).t AS team FROM player_game GROUP BY 1, 2)
+ CAST((2 * sum(CAST(round(faceoff_pct * 100) AS BIGINT)) * 10000 + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000 AS faceoff_pct, max(struct_pack(d := game_date, g := gameid, t := team)).t AS team FROM player_game GROUP BY 1, 2)
 SELECT g.*, m.name FROM g JOIN m USING (player_id, season)""")
 def _(t):
-    s = P.summary_with_mode(t.player_game)
-    return s.withColumns({c: F.round(c, 6) for c in ("faceoff_pct", *(f"mean_{m}" for m in P.SKATER_SUMS))})
+    s = P.summary_with_mode(t.player_game).withColumn("faceoff_pct", F.round("faceoff_pct", 6).cast("double"))
+    return s.withColumns({f"mean_{m}": F.round(f"mean_{m}", 6) for m in P.SKATER_SUMS})
 
 
 @query("within_team_d16", " UNION ALL ".join(f"""SELECT season, team, '{m}' AS measure, CAST(sum({m}) AS DOUBLE) AS total, round(stddev_samp({m}), 6) AS std, round(avg({m}), 6) AS mean, CAST(min({m}) AS DOUBLE) AS low,

@@ -313,3 +313,27 @@ def test_priors_turn_with_the_focal_side(spark):
 def test_bootstrap_weights_draw_every_time(events):
     w = Z.bootstrap_weights(events.select("gameid").distinct(), 5).toPandas()
     assert np.allclose(np.stack(w["weights"].to_numpy()).sum(axis=0), len(w))
+
+
+def test_logits_of_many_sets_end_at_a_zero_gradient(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = rng.normal(size=(n, 4)) * [1, 100, 0.01, 1]
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    pdf["win"] = (rng.random(n) < 1 / (1 + np.exp(-(x @ [0.5, 0.01, 30, 0])))).astype(int)
+    pdf["apart"] = np.where(pdf.win == 1, 1.0, -1.0) * rng.uniform(1, 2, n)
+    pdf.loc[::50, "d"] = np.nan
+    sets = {"one": ("a",), "scales": ("a", "b", "c"), "gaps": ("d", "a"), "apart": ("apart",)}
+    fits = E.fit_logits(spark.createDataFrame(pdf).repartition(3), "win", sets)
+    assert [f.converged for f in fits.values()] == [True, True, True, False]
+    for name in ("one", "scales", "gaps"):
+        own = pdf[list(sets[name])].fillna(0).to_numpy()
+        p = 1 / (1 + np.exp(-own @ fits[name].theta))
+        scale = np.abs(own).max(axis=0)
+        assert np.abs(own.T @ (p - pdf.win) / n / scale).max() < 1e-6
+        assert fits[name].loss == pytest.approx(-np.mean(np.where(pdf.win == 1, np.log(p), np.log(1 - p))), abs=1e-8)
+    report = E.win_predictors(spark.createDataFrame(pdf), "win", {k: sets[k] for k in ("one", "scales")}).toPandas()
+    p = pdf[list("abc")].to_numpy() @ fits["scales"].theta >= 0
+    row = report[(report.features == "scales") & (report["class"] == "win")].iloc[0]
+    assert row.precision == pytest.approx(round((p & (pdf.win == 1)).sum() / p.sum(), 3)) and row.support == pdf.win.sum() and row.converged
+    assert len(E.KPI_SETS) >= 10
