@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +25,30 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 8) -> Column:
-    """Vincenty inverse distance in metres, a fixed number of steps, all in columns."""
+#: Steps after which an ellipsoidal distance is given up, and the change of angle that ends it before.
+STEPS, ANGLE = 200, 1e-12
+
+
+def ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = STEPS) -> Column:
+    """Vincenty inverse distance in metres, all in columns.
+
+    The iteration ends when the angle changes by less than ANGLE. Nearly antipodal points,
+    for which it never settles, give null, as missing coordinates do; see `ellipsoidal_settles`.
+    """
+    return _ellipsoidal(lon1, lat1, lon2, lat2, steps)["metres"]
+
+
+def ellipsoidal_settles(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = STEPS) -> Column:
+    """Whether the ellipsoidal distance of two points is found; null where a coordinate is missing."""
+    return _ellipsoidal(lon1, lat1, lon2, lat2, steps)["settled"]
+
+
+def _ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int) -> Column:
     f, a = FLATTENING, AXIS_A
     b = a * (1 - f)
     u1, u2 = (F.atan(F.lit(1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    ell = F.radians(lon2 - lon1)
+    turn = F.radians(lon2 - lon1)
+    ell = turn - F.lit(2 * math.pi) * F.round(turn / F.lit(2 * math.pi))  # the shorter way round
 
     def at(lam: Column, s: Column) -> dict[str, Column]:
         su1, cu1, su2, cu2 = s["su1"], s["cu1"], s["su2"], s["cu2"]
@@ -49,19 +69,19 @@ def ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: i
         lam = s["ell"] + (1 - c) * F.lit(f) * v["sin_al"] * (
             sig + c * v["sin_sig"] * (v["cos_2m"] + c * v["cos_sig"] * (2 * v["cos_2m"] * v["cos_2m"] - 1))
         )
-        return F.struct(*[s[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "ell")], lam.alias("lam"), s["v"].alias("v"))
+        done = (F.abs(lam - s["lam"]) < ANGLE) & (F.abs(lam) <= math.pi)
+        return F.struct(*[s[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "ell")], lam.alias("lam"), s["v"].alias("v"), done.alias("done"))
 
     def settle(s: Column, _: Column) -> Column:
         v = F.struct(*[x.alias(k) for k, x in at(s["lam"], s).items()])
-        return F.struct(*[s[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "ell", "lam")], v.alias("v"))
+        return F.struct(*[s[k].alias(k) for k in ("su1", "cu1", "su2", "cu2", "ell", "lam")], v.alias("v"), s["done"].alias("done"))
 
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("sin_sig", "cos_sig", "sin_al", "cos2_al", "cos_2m")])
-    start = F.struct(*base, ell.alias("lam"), zero.alias("v"))
-    one = F.array(F.lit(1))
+    start = F.struct(*base, ell.alias("lam"), zero.alias("v"), F.when(ell.isNotNull(), False).alias("done"))
     state = F.aggregate(
         F.sequence(F.lit(1), F.lit(2 * steps + 1)),
         start,
-        lambda s, i: F.when(i % 2 == 1, settle(s, i)).otherwise(step(s, i)),
+        lambda s, i: F.when(s["done"], s).when(i % 2 == 1, settle(s, i)).otherwise(step(s, i)),
     )
 
     def length(v: Column) -> Column:
@@ -77,7 +97,8 @@ def ellipsoidal(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: i
         )
         return F.lit(b) * big_a * (F.atan2(v["sin_sig"], v["cos_sig"]) - d_sig)
 
-    return F.transform(one, lambda _: length(state["v"]))[0]
+    known = F.transform(F.array(state), lambda s: F.struct(F.when(s["done"], length(s["v"])).alias("metres"), s["done"].alias("settled")))
+    return known[0]
 
 
 def travel_hours(metres: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,17 @@ def scoreboard_lines(odds: DataFrame) -> DataFrame:
     return latest.join(newest, ["gameid", "updated"]).groupBy("gameid").agg(pick.alias("b")).select("gameid", "b.*")
 
 
+def natural_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], slice_by: Column | str | None = None) -> DataFrame:
+    """Left rows with the right row of the same natural key, one to one, where the key repeats.
+
+    The repeats of a key are numbered on both sides in the given orders and paired by number; left
+    rows beyond the right side's repeats keep nulls. `slice_by` cuts a key with very many repeats.
+    """
+    one = lambda df, order: running_total(df, keys, order, {"_repeat": F.lit(1)}, slice_by=slice_by)
+    r = one(right, right_order).select("_repeat", *keys, *[c for c in right.columns if c not in keys])
+    return one(left, left_order).join(r, [*keys, "_repeat"], "left").drop("_repeat")
+
+
 def odds_with_outcomes(odds: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Lines joined to outcomes on game, season and both teams; one row per (game, description)."""
     one = latest_lines(odds, ("gameid", "season", "home", "away", "description"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icestats.functions.geo import ellipsoidal, great_circle, point_lon_lat, travel_hours
-from icestats.plans.slicing import carry_last, exact_quantiles, running_total
+from icestats.plans.slicing import exact_quantiles, since_marker
 
 
 def arena_points(arenas: DataFrame) -> DataFrame:
@@ -37,21 +37,22 @@ def mean_distance(distances: DataFrame) -> DataFrame:
     return distances.groupBy("home").agg(F.avg("haversine").alias("mean_distance")).orderBy(F.desc("mean_distance"))
 
 
+def flown(games: DataFrame, arenas: DataFrame) -> DataFrame:
+    """`games` with the haversine `distance` between both teams' arenas; null where one is unknown."""
+    at = lambda end: arenas.select(F.col("team").alias(end), F.col("lon").alias(f"_lon_{end}"), F.col("lat").alias(f"_lat_{end}"))
+    out = games.join(at("home"), "home", "left").join(at("away"), "away", "left")
+    metres = great_circle(*(F.col(f"_{c}_{end}") for end in ("home", "away") for c in ("lon", "lat")))
+    return out.withColumn("distance", metres).drop(*[f"_{c}_{end}" for end in ("home", "away") for c in ("lon", "lat")])
+
+
 def road_trips(rows: DataFrame, distance: str = "distance", slice_by=None) -> DataFrame:
     """Position within the current run of away games and the distance so far in it.
 
-    Both are running totals less their value at the last home game, so neither a long
-    trip nor a team with very many games ends in one task. A home game has 0 of both.
+    Both are sums since the last home game, so neither a long trip nor a team with very
+    many games ends in one task. A home game has 0 of both.
     """
-    keys, order = ("season", "team"), ("game_date", "gameid")
-    away = F.col("side") == "away"
-    sums = {"_n": F.when(away, 1).otherwise(0), "_d": F.when(away, F.coalesce(F.col(distance), F.lit(0.0))).otherwise(0.0)}
-    out = running_total(rows, keys, order, sums, slice_by=slice_by)
-    at_home = {f"{c}_home": F.when(~away, F.col(c)) for c in sums}
-    out = carry_last(out, keys, order, at_home, slice_by=slice_by)
-    return out.withColumns(
-        {"trip_game": F.col("_n") - F.coalesce("_n_home", F.lit(0)), "trip_distance": F.col("_d") - F.coalesce("_d_home", F.lit(0.0))}
-    ).drop("_n", "_d", "_n_home", "_d_home")
+    sums = {"trip_game": F.lit(1), "trip_distance": F.col(distance)}
+    return since_marker(rows, ("season", "team"), ("game_date", "gameid"), F.col("side") != "away", sums, slice_by=slice_by)
 
 
 def equal_count_bucket(df: DataFrame, value: str, n: int, out: str, keys: Sequence[str] = ()) -> DataFrame:

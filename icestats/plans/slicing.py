@@ -118,6 +118,44 @@ def carry_last(
     return context(df, keys, order, slice_by=slice_by, **{"carry" if include_current else "carry_before": columns})
 
 
+def since_marker(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    marker: Column,
+    measures: Mapping[str, Column | str],
+    *,
+    slice_by: Column | str | None = None,
+) -> DataFrame:
+    """Add running sums `{out: measure}` since the last row of the key where `marker` holds (0 there).
+
+    A sum is the total so far less the total at the marker. With slices both are taken
+    within a piece first; one row per piece then tells what the piece goes on from, so the
+    input is read twice, for the pieces and for the rows.
+    """
+    cols = _as_columns(measures)
+    inputs = {f"_sm_{o}": F.when(marker, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))) for o, c in cols.items()}
+    rows = df.withColumns(inputs).withColumn("_slice", F.lit(0) if slice_by is None else as_column(slice_by))
+    w = W.partitionBy(*keys, "_slice").orderBy(*_order(order)).rowsBetween(BEFORE, 0)
+    rows = rows.withColumns({f"_st_{o}": F.sum(f"_sm_{o}").over(w) for o in cols})
+    rows = rows.withColumns({f"_sl_{o}": F.last(F.when(marker, F.col(f"_st_{o}")), ignorenulls=True).over(w) for o in cols})
+    drop = ["_slice", *inputs, *[f"_{k}_{o}" for o in cols for k in ("st", "sl", "sc")]]
+    if slice_by is None:
+        return rows.withColumns({o: F.col(f"_st_{o}") - F.coalesce(f"_sl_{o}", F.lit(0)) for o in cols}).drop(*drop)
+    rank = F.struct(*[F.col(c) for c in order])
+    pieces = rows.groupBy(*keys, "_slice").agg(
+        *[F.sum(f"_sm_{o}").alias(f"_p_{o}") for o in cols], *[F.max_by(f"_st_{o}", F.when(marker, rank)).alias(f"_m_{o}") for o in cols]
+    )
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(BEFORE, -1)
+    pieces = pieces.withColumns({f"_b_{o}": F.coalesce(F.sum(f"_p_{o}").over(before), F.lit(0)) for o in cols})
+    # what has come since the last marker before the piece
+    carry = {f"_sc_{o}": F.col(f"_b_{o}") - F.coalesce(F.last(F.col(f"_b_{o}") + F.col(f"_m_{o}"), ignorenulls=True).over(before), F.lit(0)) for o in cols}
+    heads = pieces.withColumns(carry).select(*[F.col(k).alias(f"_h_{k}") for k in (*keys, "_slice")], *carry)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in (*keys, "_slice")])
+    out = rows.join(heads, on).drop(*[f"_h_{k}" for k in (*keys, "_slice")])
+    return out.withColumns({o: F.col(f"_st_{o}") - F.coalesce(f"_sl_{o}", -F.col(f"_sc_{o}")) for o in cols}).drop(*drop)
+
+
 def neighbour_row(
     df: DataFrame,
     keys: Sequence[str],

@@ -205,10 +205,17 @@ def _(t):
     return p.select("season", col("pair").alias("key"), "team_away", "team_home", "goals_away", "goals_home")
 
 
-@query("natural_key_join_c8", """SELECT a.gameid, b.gameid AS other FROM games a JOIN games b ON a.game_date = b.game_date AND a.home = b.home AND a.away = b.away AND a.home_goals = b.home_goals AND a.away_goals = b.away_goals""")
+# archive lines know their game by date and teams only, which repeat; the n-th line of a key belongs to its n-th game
+@query("natural_key_join_c8", """WITH li AS (SELECT CAST(start_time AS DATE) AS game_date, home, away, home_line, away_line, row_number() OVER (PARTITION BY CAST(start_time AS DATE), home, away ORDER BY start_time, home_line, away_line) AS n
+ FROM odds WHERE partner = 'P1' AND updated = start_time - INTERVAL '1' HOUR),
+ga AS (SELECT gameid, game_date, home, away, row_number() OVER (PARTITION BY game_date, home, away ORDER BY start_time, gameid) AS n FROM games)
+SELECT li.game_date, li.home, li.away, home_line, away_line, gameid FROM li LEFT JOIN ga ON ga.game_date = li.game_date AND ga.home = li.home AND ga.away = li.away AND ga.n = li.n""")
 def _(t):
-    g = t.games.select("gameid", "game_date", "home", "away", "home_goals", "away_goals")
-    return g.join(g.withColumnRenamed("gameid", "other"), ["game_date", "home", "away", "home_goals", "away_goals"]).select("gameid", "other")
+    last = (col("partner") == "P1") & (col("updated") == col("start_time") - F.expr("INTERVAL 1 HOUR"))
+    lines = t.odds.filter(last).select(col("start_time").cast("date").alias("game_date"), "home", "away", "start_time", "home_line", "away_line")
+    games = t.games.select("gameid", "game_date", "home", "away", col("start_time").alias("game_start"))
+    out = M.natural_key_join(lines, games, ["game_date", "home", "away"], ["start_time", "home_line", "away_line"], ["game_start", "gameid"])
+    return out.select("game_date", "home", "away", "home_line", "away_line", "gameid")
 
 
 @query("panel_join_c7", "WITH " + PRIOR + """ SELECT g.gameid, h.p_games AS n_home, round(h.pythagorean, 10) AS home_pythagorean, round(a.pythagorean, 10) AS away_pythagorean

@@ -427,8 +427,10 @@ tr AS (SELECT gameid, team, season, win, sum(CASE WHEN side = 'away' THEN 1 ELSE
 
 
 def trips(t):
-    d = V.with_distance(t.games, V.distance_table(t.games, t.arena)).select("gameid", col("haversine").alias("distance"))
-    return V.road_trips(t.box.join(d, "gameid"), slice_by=F.month("game_date"))
+    h, a = col("home_goals"), col("away_goals")
+    side = lambda name, win: F.struct(F.lit(name).alias("side"), col(name).alias("team"), win.cast("bigint").alias("win"))
+    rows = V.flown(t.games, t.arena).select("gameid", "season", "game_date", "distance", F.inline(F.array(side("home", h >= a), side("away", a > h))))
+    return V.road_trips(rows, slice_by=F.month("game_date"))
 
 
 @query("road_trips_e26", f"WITH {TRIP} SELECT gameid, team, CAST(trip_game AS BIGINT) AS trip_game, round(trip_distance, 2) AS trip_distance FROM tr")

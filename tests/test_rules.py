@@ -82,6 +82,23 @@ def test_geodesic(spark):
     flat = one(spark, geo.ellipsoidal(*args), a=dms(144, 25, 29.52440), b=dms(-37, 57, 3.72030), c=dms(143, 55, 35.38390), d=dms(-37, 39, 10.15610))
     assert flat == pytest.approx(54972.27, abs=0.7)
     assert one(spark, geo.ellipsoidal(*args), a=5.0, b=5.0, c=5.0, d=5.0) == pytest.approx(0.0, abs=1e-6)
+    # far apart: slow to settle, pole to pole, across the date line; nearly antipodal points never do
+    for (a, b, c, d), metres in {
+        (0.0, 0.0, 179.5, 0.5): 19936288.579, (0.0, 90.0, 0.0, -90.0): 20003931.459, (179.5, 0.0, -179.5, 0.0): 111319.4908,
+        (0.0, 0.0, 179.7, 0.5): None, (0.0, 0.0, 180.0, 0.0): None, (0.0, 30.0, 179.9, -29.9): None,
+    }.items():
+        found, settled = (one(spark, f(*args), a=a, b=b, c=c, d=d) for f in (geo.ellipsoidal, geo.ellipsoidal_settles))
+        assert settled == (metres is not None) and (found is None if metres is None else found == pytest.approx(metres, abs=0.01))
+    nothing = spark.createDataFrame([(None, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
+    assert nothing.select(geo.ellipsoidal(*args), geo.ellipsoidal_settles(*args)).first() == (None, None)
+
+
+def test_natural_keys_pair_one_to_one(spark):
+    from icestats.operators.market import natural_key_join
+    left = spark.createDataFrame([("d", "X", 3), ("d", "X", 1), ("d", "X", 2), ("d", "Y", 1), (None, "X", 1)], "day string, team string, line int")
+    right = spark.createDataFrame([("d", "X", 20), ("d", "X", 10), ("d", "Y", 30), ("d", "Y", 40)], "day string, team string, game int")
+    got = {(r["day"], r["team"], r["line"]): r["game"] for r in natural_key_join(left, right, ["day", "team"], ["line"], ["game"]).collect()}
+    assert got == {("d", "X", 1): 10, ("d", "X", 2): 20, ("d", "X", 3): None, ("d", "Y", 1): 30, (None, "X", 1): None}
 
 
 def test_buckets_right_closed(spark):

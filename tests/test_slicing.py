@@ -35,6 +35,30 @@ def test_carry_last(rows, current):
     same(S.carry_last(rows, *args, include_current=current, slice_by=SLICE), S.carry_last(rows, *args, include_current=current))
 
 
+@pytest.mark.parametrize("slice_by", [None, SLICE, "floor(t / 40)"])
+def test_since_marker(rows, slice_by):
+    got = S.since_marker(rows, ["key"], ["t", "id"], F.col("id") % 7 == 0, {"s": "v", "n": F.lit(1)}, slice_by=slice_by)
+    assert got.columns == [*rows.columns, "s", "n"]
+    pdf = rows.toPandas().astype({"key": object}).sort_values(["t", "id"])
+    want = {}
+    for _, g in pdf.groupby("key", dropna=False):
+        s = n = 0
+        for i, v in zip(g["id"], g["v"]):
+            s, n = (0, 0) if i % 7 == 0 else (s + (0 if v is None or np.isnan(v) else int(v)), n + 1)
+            want[i] = (s, n)
+    assert {r["id"]: (r["s"], r["n"]) for r in got.collect()} == want
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+
+
+def test_since_marker_reads_its_input_twice(spark, tmp_path):
+    spark.range(50).selectExpr("id % 3 AS key", "id AS t", "id AS v").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    assert scans(S.since_marker(df, ["key"], ["t"], F.col("v") % 5 == 0, {"s": "v"}, slice_by="floor(t / 10)")) == 2
+
+
 @pytest.mark.parametrize("ahead", [True, False])
 def test_neighbour(rows, ahead):
     args = (["key"], ["t", "id"], {"nv": "v", "nid": "id"})
