@@ -236,35 +236,39 @@ def _regions(width: int, tokens: int):
     return run
 
 
-def best_segment(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: float) -> tuple[int, int] | None:
-    """The longest stretch around the middle whose share of hits allows the similarity, hits at both ends."""
+def middle_runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) hit of the stretch without a gap around each row's middle; last < first if there is none."""
+    mid = hit.shape[1] // 2
+
+    def reach(side: np.ndarray) -> np.ndarray:
+        return np.where(side.all(axis=1), side.shape[1], side.argmin(axis=1))
+
+    return mid - reach(hit[:, mid::-1]) + 1, mid + reach(hit[:, mid:]) - 1
+
+
+def best_segments(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of each row's longest stretch around the middle whose share of hits allows the
+    similarity, hits at both ends; last < first if there is none."""
     share = 2 * similar / (1 + similar)  # of equal tokens in two texts of one length
-    score = np.where(hit, 1.0 - share, -share)
-    score[~inside] = -1e9
+    score = np.where(inside, np.where(hit, 1.0 - share, -share), -1e9)
     mid = tokens - 1
-    if not hit[mid] and not (hit[:mid].any() and hit[mid + 1 :].any()):
-        return None
-    left = np.concatenate([[0.0], np.cumsum(score[mid - 1 :: -1])]) if mid else np.zeros(1)
-    right = np.cumsum(score[mid:])
-    ends_l = np.concatenate([[True], hit[mid - 1 :: -1]]) if mid else np.ones(1, bool)
-    total = left[:, None] + right[None, :]
-    length = np.arange(len(left))[:, None] + np.arange(1, len(right) + 1)[None, :]
-    good = (total >= -1e-9) & ends_l[:, None] & hit[mid:][None, :] & (length >= tokens)
-    if not good.any():
-        return None
-    u, v = np.unravel_index(np.argmax(np.where(good, length, -1)), length.shape)
-    return mid - int(u), mid + int(v)
-
-
-def middle_run(hit: np.ndarray, tokens: int) -> tuple[int, int] | None:
-    """The stretch of hits without a gap around the middle, if it is a passage by itself."""
-    marks, mid = hit.tobytes(), tokens - 1
-    if not marks[mid]:
-        return None
-    a = marks.rfind(b"\0", 0, mid) + 1
-    b = marks.find(b"\0", mid)
-    b = (b if b >= 0 else len(marks)) - 1
-    return (a, b) if b - a + 1 >= tokens else None
+    n, none = len(hit), np.zeros((len(hit), 1))
+    left = np.concatenate([none, np.cumsum(score[:, mid - 1 :: -1], axis=1)], axis=1) if mid else none
+    right = np.cumsum(score[:, mid:], axis=1)
+    ends = np.concatenate([none == 0, hit[:, mid - 1 :: -1]], axis=1) if mid else none == 0
+    length = np.arange(left.shape[1])[:, None] + np.arange(1, right.shape[1] + 1)[None, :]
+    good = (left[:, :, None] + right[:, None, :] >= -1e-9) & ends[:, :, None] & hit[:, None, mid:] & (length >= tokens)
+    size = np.where(good, length, -1).reshape(n, -1)
+    at = size.argmax(axis=1)
+    u, v = np.unravel_index(at, length.shape)
+    none = size[np.arange(n), at] < 0
+    return np.where(none, 0, mid - u), np.where(none, -1, mid + v)
+
+
+def distinct(codes: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Different codes of each row where `use` holds."""
+    held = np.sort(np.where(use, codes, -1), axis=1)
+    return (held[:, :1] >= 0).sum(axis=1) + ((held[:, 1:] != held[:, :-1]) & (held[:, 1:] >= 0)).sum(axis=1)
 
 
 def _rank(ids: pa.Array) -> np.ndarray:
@@ -315,77 +319,81 @@ def _verify(tokens: int, width: int, similar: float):
         n = np.bincount(codes.ravel())
         enough = ((n[codes] > 1) & inside[alone]).sum(axis=1) >= need
         alone, codes = alone[enough], codes[enough]
-        edge = np.flatnonzero(np.concatenate([[True], group[alone][1:] != group[alone][:-1], [True]])) if len(alone) else []
-        own = np.zeros(len(n), dtype=bool)
-        for a, b in zip(edge[:-1], edge[1:]):
-            if b - a > 1 and (key[alone[a:b]] != key[alone[a]]).any():
-                for k, first_at, last_at, lead in _leaders(alone[a:b], codes[a:b], inside[alone[a:b]], key, own, n):
-                    all_of = np.array([k, *again.get(k, ())])
-                    found(all_of, np.full(len(all_of), first_at), np.full(len(all_of), last_at), np.full(len(all_of), lead))
+        if len(alone):
+            for who, a, b, lead in _compare(alone, codes, inside[alone], group[alone], key, np.zeros(len(n), dtype=bool)):
+                found(who, a, b, lead)
+                more = [(j, x, y, z) for k, x, y, z in zip(who.tolist(), a.tolist(), b.tolist(), lead.tolist()) for j in again.get(k, ())]
+                if more:
+                    found(*(np.array(c, dtype=np.int64) for c in zip(*more)))
         k, a, b, of = (np.concatenate(x) for x in zip(*out))
         if len(k):
             k, of = k.astype(np.int64), of.astype(np.int64)
             owner, k = ids.take(pa.array(k)), key[k]
             yield pa.RecordBatch.from_arrays([pa.array(k), owner, pa.array(a), pa.array(b), ids.take(pa.array(of)), pa.array(key[of])], ["key", "id", "first", "end", "source", "source_key"])
 
-    def _leaders(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Each different surrounding in turn leads, held against later ones that want one of its tokens.
+    def _compare(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, group: np.ndarray, keys: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Passages (row, first, last, lead) of all groups: each different surrounding in turn leads, all groups side by side.
 
-        A surrounding wants its shared tokens as long as no passage found in it covers them.
+        A surrounding wants those of its tokens that others have and no passage found in it
+        covers. A lead is held against the later rows that want one of its tokens; a group ends
+        when no two of its rows are left that could share a passage.
         """
-        free = inside & (n[codes] > 1)
-        flat, at = codes[free], np.nonzero(free)[0]
-        order = np.argsort(flat, kind="stable")
-        names, first = np.unique(flat[order], return_index=True)
-        at, border = at[order], np.append(first, len(flat))
-        wanted = np.diff(border)
-        place_of = np.searchsorted(names, codes)
-        place_of[place_of == len(names)] = 0
-        known = names[place_of] == codes if len(names) else np.zeros(codes.shape, dtype=bool)
-
-        def cover(k: int, a: int, b: int) -> None:
-            span = np.flatnonzero(free[k, a : b + 1]) + a
-            np.subtract.at(wanted, place_of[k, span], 1)
-            free[k, span] = False
-
-        for lead in range(len(who) - 1):
-            cover(lead, 0, codes.shape[1] - 1)  # it is no later one any more
-            mine = np.unique(place_of[lead][inside[lead] & known[lead]])
-            mine = mine[wanted[mine] > 0]
-            if not len(mine):
-                continue
-            rest = np.unique(np.concatenate([at[border[t] : border[t + 1]] for t in mine.tolist()]))
-            rest = rest[rest > lead]
-            rest = rest[free[rest].any(axis=1)]
-            if not len(rest):
-                continue
-            tokens_of = codes[lead][inside[lead]]
-            own[tokens_of] = True
-            hits = own[codes[rest]] & inside[rest]
-            own[tokens_of] = False
-            fresh = (hits.sum(axis=1) >= need) & (hits & free[rest]).any(axis=1) & (keys[who[rest]] != keys[who[lead]])
-            for row in np.flatnonzero(fresh).tolist():
-                k, hit = int(rest[row]), hits[row]
-                run_of = middle_run(hit, tokens)
-                if run_of and free[k, run_of[0] : run_of[1] + 1].any():
-                    yield int(who[k]), *run_of, int(who[lead])
-                    cover(k, *run_of)
-                    if not (hit & free[k]).any():
-                        continue
-                got = _near(hit, k, lead, codes, inside)
-                if got and free[k, got[0] : got[1] + 1].any():
-                    yield int(who[k]), *got, int(who[lead])
-                    cover(k, *got)
-
-    def _near(hit: np.ndarray, k: int, lead: int, codes: np.ndarray, inside: np.ndarray) -> tuple[int, int] | None:
-        got = best_segment(hit, inside[k], tokens, similar)
-        if got is None:
-            return None
-        a, b = got
-        mine = np.unique(codes[k][a : b + 1][hit[a : b + 1]])
-        there = np.flatnonzero(np.isin(codes[lead], mine) & inside[lead])
-        both, sizes = len(mine), len(np.unique(codes[k][a : b + 1])) + len(np.unique(codes[lead][there[0] : there[-1] + 1]))
-        return got if there[-1] - there[0] + 1 >= tokens * similar and both >= similar * (sizes - both) - 1e-9 else None
+        free = inside.copy()
+        rows = np.arange(len(who))
+        while len(rows):
+            # rows that share enough tokens with others still here, and want one of these or have one that is wanted
+            shared = (np.bincount(codes[rows].ravel(), minlength=len(own)) > 1)[codes[rows]] & inside[rows]
+            rows, shared = (x[shared.sum(axis=1) >= need] for x in (rows, shared))
+            wanted = np.zeros(len(own), dtype=bool)
+            wanted[codes[rows][free[rows] & shared]] = True
+            rows = rows[(wanted[codes[rows]] & inside[rows]).any(axis=1)]
+            edge = np.flatnonzero(np.concatenate([[True], group[rows][1:] != group[rows][:-1]])) if len(rows) else rows
+            if len(edge):  # rows of one document alone hold nothing against each other
+                mine = keys[who[rows]]
+                several = np.maximum.reduceat(mine, edge) != np.minimum.reduceat(mine, edge)
+                rows = rows[np.repeat(several, np.diff(np.append(edge, len(rows))))]
+            if not len(rows):
+                return
+            first = np.concatenate([[True], group[rows][1:] != group[rows][:-1]])
+            lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+            heads = rows[first]
+            marks = codes[heads][inside[heads]]
+            own[marks] = True
+            hits = own[codes[rows]] & inside[rows]
+            own[marks] = False
+            fresh = ~first & (hits.sum(axis=1) >= need) & (hits & free[rows]).any(axis=1) & (keys[who[rows]] != keys[who[lead]])
+            at = np.flatnonzero(fresh)
+            for part in (at[i : i + 2000] for i in range(0, len(at), 2000)):
+                yield from _passages_of(part, rows, lead, hits, who, codes, inside, free)
+            free[heads] = False
+            rows = rows[~first]
+
+    def _passages_of(part: np.ndarray, rows: np.ndarray, lead: np.ndarray, hits: np.ndarray, who: np.ndarray, codes: np.ndarray, inside: np.ndarray, free: np.ndarray):
+        span = np.arange(codes.shape[1])[None, :]
+
+        def new(k: np.ndarray, a: np.ndarray, b: np.ndarray, enough: np.ndarray):
+            """Of the stretches [a, b], those that cover a free token; they cover it from now on."""
+            within = (span >= a[:, None]) & (span <= b[:, None])
+            use = enough & (free[rows[k]] & within).any(axis=1)
+            free[rows[k[use]]] &= ~within[use]
+            return (who[rows[k[use]]], a[use], b[use], who[lead[k[use]]]), use
+
+        a, b = middle_runs(hits[part])
+        out, _ = new(part, a, b, b - a + 1 >= tokens)
+        yield out
+        left = part[(hits[part] & free[rows[part]]).any(axis=1)]
+        for k in (left[i : i + 500] for i in range(0, len(left), 500)):
+            hit, own, other = hits[k], codes[rows[k]], codes[lead[k]]
+            a, b = best_segments(hit, inside[rows[k]], tokens, similar)
+            within = (span >= a[:, None]) & (span <= b[:, None]) & inside[rows[k]]
+            # where the lead has the stretch's equal tokens
+            mine = np.where(hit & within, own, -1)
+            there = (other[:, :, None] == mine[:, None, :]).any(axis=2) & inside[lead[k]]
+            start, end = there.argmax(axis=1), there.shape[1] - 1 - there[:, ::-1].argmax(axis=1)
+            both = distinct(own, hit & within)
+            sizes = distinct(own, within) + distinct(other, (span >= start[:, None]) & (span <= end[:, None]) & inside[lead[k]])
+            good = (b >= a) & there.any(axis=1) & (end - start + 1 >= tokens * similar) & (both >= similar * (sizes - both) - 1e-9)
+            yield new(k, a, b, good)[0]
 
     return run
 
