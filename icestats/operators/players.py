@@ -177,7 +177,7 @@ def median_minutes(df: DataFrame) -> DataFrame:
     keys = ["player_id", "season", "team"]
     rows = df.withColumns({"season": F.year("game_date"), "minutes": clock_seconds(F.col("toi")) / F.lit(60.0)})
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("games"), F.sum("goals").alias("goals"))
-    return base.join(exact_quantiles(rows, keys, "minutes", {"median_minutes": 0.5}, slices=16), keys)
+    return base.join(exact_quantiles(rows, keys, "minutes", {"median_minutes": 0.5}), keys)
 
 
 def origin_table(df: DataFrame, origin: str, top: int = 8) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from icestats.functions.tails import kolmogorov_tail, normal_tail_column
-from icestats.plans.slicing import exact_quantiles, running_total, value_slices
+from icestats.plans.slicing import SLICE_ROWS, exact_quantiles, running_total, slices_needed, value_slices
 
 
 def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -78,7 +78,8 @@ def mann_whitney(df: DataFrame, flag: str, value: str, slice_by: Column | str |
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, *, descending: bool = True) -> DataFrame:
     """Rank with ties sharing their mean position, from counts of distinct values."""
     counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", -F.col("_v") if descending else F.col("_v"))
-    run = running_total(value_slices(counts, keys, "_o", 256), keys, ["_o"], {"_before": "_c"}, include_current=False, slice_by=F.col("_share_slice"))
+    cut = value_slices(counts, keys, "_o", slices_needed(counts, keys, SLICE_ROWS))
+    run = running_total(cut, keys, ["_o"], {"_before": "_c"}, include_current=False, slice_by=F.col("_share_slice"))
     ranks = run.select(*keys, F.col("_v").alias(value), (F.col("_before") + (F.col("_c") + 1) / 2).alias("rank"))
     return df.join(ranks, [*keys, value])
 
@@ -136,6 +137,6 @@ def bootstrap_shares(
             yield pd.concat(parts) if parts else pd.DataFrame({"cell": [], "p": []})
 
     drawn = spark.range(replicates).mapInPandas(draw, "cell int, p double").filter(~F.isnan("p"))
-    q = exact_quantiles(drawn, ["cell"], "p", {"low": alpha / 2, "median": 0.5, "high": 1 - alpha / 2}, slices=16)
+    q = exact_quantiles(drawn, ["cell"], "p", {"low": alpha / 2, "median": 0.5, "high": 1 - alpha / 2})
     names = spark.createDataFrame(cells.assign(cell=np.arange(len(cells), dtype="int32")))
     return names.join(q, "cell").drop("cell")

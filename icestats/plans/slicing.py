@@ -243,24 +243,53 @@ def global_index(df: DataFrame, coarse: str, order: Sequence[str], out: str, fin
     )
 
 
+#: Rows that a slice of values is meant to hold; a key with fewer is not cut.
+SLICE_ROWS = 1_000_000
+
+
+def slices_needed(df: DataFrame, keys: Sequence[str], slice_rows: int) -> int:
+    """Slices into which the largest key has to be cut; counted in one aggregation."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    return max(1, -(-most // slice_rows))
+
+
 def value_slices(df: DataFrame, keys: Sequence[str], value: str, slices: int) -> DataFrame:
     """Add `_share_slice`: the block of a key's values a row falls into, of about equal size.
 
-    The borders are approximate quantiles, so outliers do not gather the rest in one block.
+    The borders are approximate quantiles, so outliers do not gather the rest in one block. They
+    are finer than the slices asked for; a value that fills a block alone cannot be cut.
     """
-    shares = [i / slices for i in range(1, slices)]
-    spans = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("_edges"))
+    if slices == 1:
+        return df.withColumn("_share_slice", F.lit(0))
+    shares = [i / (2 * slices) for i in range(1, 2 * slices)]
+    spans = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), shares, max(1000, 20 * slices)).alias("_edges"))
     on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
     wide = df.alias("h").join(spans.alias("s"), on).select("h.*", "_edges")
     below = F.size(F.filter("_edges", lambda e: e <= F.col(value).cast("double")))
     return wide.withColumn("_share_slice", F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_edges")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, *, descending: bool = True, slices: int = 64) -> DataFrame:
-    """Row number within the key by value (then `tie`), a key's rows spread over value blocks."""
-    rows = value_slices(df.withColumn("_by", -F.col(value) if descending else F.col(value)), keys, "_by", slices)
-    run = running_total(rows, keys, ["_by", tie], {out: F.lit(1)}, slice_by=F.col("_share_slice"))
-    return run.withColumn(out, F.col(out).cast("int")).drop("_by", "_share_slice")
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, *, descending: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Row number within the key by value (then `tie`, a number); no task sorts many more than `slice_rows` rows.
+
+    A larger key counts its distinct values first: a row's number is the count of the values
+    before plus its number among equal values, which are cut by `tie` where they are many.
+    """
+    by = -F.col(value) if descending else F.col(value)
+    rows = df.withColumn("_by", by)
+    if slices_needed(rows, keys, slice_rows) == 1:
+        w = W.partitionBy(*keys).orderBy("_by", tie)
+        return rows.withColumn(out, F.row_number().over(w)).drop("_by")
+    hist = rows.groupBy(*keys, "_by").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = value_slices(hist, keys, "_by", slices_needed(hist, keys, slice_rows))
+    offset = running_total(blocks, keys, ["_by"], {"_off": "_n"}, include_current=False, slice_by=F.col("_share_slice")).drop("_n", "_share_slice")
+    on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "_by")])
+    wide = rows.alias("h").join(offset.alias("s"), on).select("h.*", "_off")
+    equal = [*keys, "_by"]
+    cut = value_slices(wide, equal, tie, slices_needed(rows, equal, slice_rows))
+    run = running_total(cut, equal, [tie], {out: F.lit(1)}, slice_by=F.col("_share_slice"))
+    return run.withColumn(out, (F.col(out) + F.col("_off")).cast("int")).drop("_by", "_off", "_share_slice")
 
 
 def exact_quantiles(
@@ -269,24 +298,29 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
-    slices: int = 64,
+    slice_rows: int = SLICE_ROWS,
     weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles `{out: p}` per key, exact and without big groups.
 
-    Values are counted first; the cumulative counts run over value blocks, so no
-    task sees all values of a key and nothing is held in an aggregation buffer. `weight`
-    names a column of repeat counts.
+    Values are counted first; the cumulative counts run over blocks of about `slice_rows`
+    distinct values, so no task sees all values of a large key and nothing is held in an
+    aggregation buffer. `weight` names a column of repeat counts.
     """
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     by = list(keys) or ["_all"]
     hist = keyed.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
     )
-    total = hist.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by])
-    wide = value_slices(hist, by, "_v", slices).alias("h").join(total.alias("s"), on).select("h.*", "_total")
-    cum = running_total(wide, by, ["_v"], {"_cum": "_n"}, slice_by=F.col("_share_slice"))
+    slices = slices_needed(hist, by, slice_rows)
+    if slices == 1:
+        w = W.partitionBy(*by)
+        cum = hist.withColumns({"_cum": F.sum("_n").over(w.orderBy("_v")), "_total": F.sum("_n").over(w)})
+    else:
+        total = hist.groupBy(*by).agg(F.sum("_n").alias("_total"))
+        on = reduce(lambda a, b: a & b, [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by])
+        wide = value_slices(hist, by, "_v", slices).alias("h").join(total.alias("s"), on).select("h.*", "_total")
+        cum = running_total(wide, by, ["_v"], {"_cum": "_n"}, slice_by=F.col("_share_slice"))
     aggs = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

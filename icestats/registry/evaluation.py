@@ -11,6 +11,53 @@ from icestats.registry.teams import RUN, STREAK, r6
 
 col = F.col
 MODELS = ["p_market", "p_elo", "p_process"]
+
+
+def inverse(source: str, out: str, name: str, n: int) -> str:
+    """CTEs that turn the columns name_i_j of `source` into those of the inverse matrix, row by row (Gauss-Jordan)."""
+    steps, at = [], source
+    for k in range(n):
+        m = lambda i, j: f"{name}_{i}_{j}"
+        new = [
+            f"1 / {m(k, k)} AS {m(i, j)}" if i == j == k else f"{m(k, j)} / {m(k, k)} AS {m(i, j)}" if i == k
+            else f"-{m(i, k)} / {m(k, k)} AS {m(i, j)}" if j == k else f"{m(i, j)} - {m(i, k)} * {m(k, j)} / {m(k, k)} AS {m(i, j)}"
+            for i in range(n) for j in range(n)
+        ]
+        to = out if k == n - 1 else f"{out}_{k}"
+        steps.append(f"{to} AS (SELECT * REPLACE ({', '.join(new)}) FROM {at})")
+        at = to
+    return ",\n".join(steps)
+
+
+def _sum(terms):
+    return " + ".join(terms)
+
+
+# two-sided normal tail by its series; beyond 9 it is 0 to all digits shown
+NORMAL_P = "CASE WHEN abs({z}) >= 9 THEN 0 WHEN {z} = 0 THEN 1 ELSE 1 - 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))) END"
+
+
+def robust_sql(table: str, y: str, xs: list[str]) -> str:
+    """CTE `hc` (b_i, v_i_j, n, r2): least squares with HC1 covariance, from sums and a Gauss-Jordan inverse."""
+    n, x = len(xs) + 1, ["1.0::DOUBLE", *[f"{c}::DOUBLE" for c in xs]]
+    pairs = [(i, j) for i in range(n) for j in range(n)]
+    return f"""ro AS (SELECT {', '.join(f'{v} AS x_{i}' for i, v in enumerate(x))}, {y}::DOUBLE AS y FROM {table}),
+mo AS (SELECT {', '.join(f'sum(x_{i} * x_{j}) AS w_{i}_{j}' for i, j in pairs)}, {', '.join(f'sum(x_{i} * y) AS q_{i}' for i in range(n))}, sum(y * y) AS yy, sum(y) AS sy, count(*) AS n FROM ro WHERE {' AND '.join(f'x_{i} IS NOT NULL' for i in range(n))} AND y IS NOT NULL),
+{inverse('mo', 'iv', 'w', n)},
+be AS (SELECT *, {', '.join(_sum(f'w_{i}_{j} * q_{j}' for j in range(n)) + f' AS b_{i}' for i in range(n))} FROM iv),
+me AS (SELECT {', '.join(f'sum(pow(y - ({_sum(f"b_{k} * x_{k}" for k in range(n))}), 2) * x_{i} * x_{j}) AS e_{i}_{j}' for i, j in pairs)} FROM ro, be WHERE {' AND '.join(f'x_{i} IS NOT NULL' for i in range(n))} AND y IS NOT NULL),
+hc AS (SELECT be.*, {', '.join('(' + _sum(f'w_{i}_{k} * e_{k}_{l} * w_{l}_{j}' for k in range(n) for l in range(n)) + f') * n / (n - {n}) AS v_{i}_{j}' for i, j in pairs)},
+ 1 - (yy - ({_sum(f'b_{i} * q_{i}' for i in range(n))})) / (yy - sy * sy / n) AS r2 FROM be, me)"""
+
+
+def robust_terms(xs: list[str], more: str = "") -> str:
+    """One row per coefficient of `hc`."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS term, round(b_{i}, 6) AS coef, round(sqrt(v_{i}_{i}), 6) AS se, round({NORMAL_P.format(z=f'(b_{i} / sqrt(v_{i}_{i}))')}, 6) AS p, n, round(r2, 6) AS r2{more} FROM hc"
+        for i, name in enumerate(["const", *xs])
+    )
+
+
 PAIRS = [("p_market", "p_process"), ("p_market", "p_elo"), ("p_elo", "p_process")]
 
 
@@ -20,29 +67,51 @@ def _(t):
     return E.scoring_table(t.forecasts, "y", MODELS, ["season"]).select("season", "model", *r6("brier", "log_loss"))
 
 
-@query("mincer_zarnowitz_j14", """WITH b AS (SELECT regr_slope(y, p_market) AS s, regr_intercept(y, p_market) AS a, count(*) AS n, sum(p_market) AS sx, sum(p_market * p_market) AS sxx FROM forecasts),
-m AS (SELECT sum(e * e) AS m0, sum(e * e * x) AS m1, sum(e * e * x * x) AS m2 FROM (SELECT y - a - s * p_market AS e, p_market AS x FROM forecasts, b)),
-i AS (SELECT *, sxx / (n * sxx - sx * sx) AS i00, -sx / (n * sxx - sx * sx) AS i01, n / (n * sxx - sx * sx) AS i11 FROM b, m)
-SELECT 'const' AS term, round(a, 6) AS coef, round(sqrt((i00 * (i00 * m0 + i01 * m1) + i01 * (i00 * m1 + i01 * m2)) * n / (n - 2)), 6) AS se FROM i
-UNION ALL SELECT 'p_market', round(s, 6), round(sqrt((i01 * (i01 * m0 + i11 * m1) + i11 * (i01 * m1 + i11 * m2)) * n / (n - 2)), 6) FROM i""")
+WALD = "((b_0 * b_0 * v_1_1 - 2 * b_0 * (b_1 - 1) * v_0_1 + (b_1 - 1) * (b_1 - 1) * v_0_0) / (v_0_0 * v_1_1 - v_0_1 * v_1_0))"
+
+
+@query("mincer_zarnowitz_j14", f"WITH {robust_sql('forecasts', 'y', ['p_market'])} {robust_terms(['p_market'], f', round({WALD}, 4) AS wald, round(exp(-{WALD} / 2), 6) AS wald_p')}")
 def _(t):
-    return E.mincer_zarnowitz(t.forecasts, "y", "p_market").select("term", *r6("coef", "se"))
+    m = E.mincer_zarnowitz(t.forecasts, "y", "p_market")
+    return m.select("term", *r6("coef", "se", "p"), "n", *r6("r2"), F.round("wald", 4).alias("wald"), *r6("wald_p"))
+
 
+# two-step GMM with the instruments 1, p, p squared and two more
+Z5 = ["1.0::DOUBLE", "p_market", "p_market * p_market", "p_elo", "n_g_home::DOUBLE"]
+I5, P5 = range(5), [(i, j) for i in range(5) for j in range(5)]
 
-@query("gmm_efficiency_j15")
+
+def gmm_step(source: str, name: str, weight: str) -> str:
+    """CTE `name`: a, b and the covariance c_i_j of the moments in `source` under the weights weight_i_j."""
+    xwx = lambda i, j: _sum(f"z_{k}_{i} * {weight}_{k}_{l} * z_{l}_{j}" for k, l in P5)
+    xwy = lambda i: _sum(f"z_{k}_{i} * {weight}_{k}_{l} * q_{l}" for k, l in P5)
+    return f"""{name}_s AS (SELECT *, {xwx(0, 0)} AS s00, {xwx(0, 1)} AS s01, {xwx(1, 1)} AS s11, {xwy(0)} AS t0, {xwy(1)} AS t1 FROM {source}),
+{name} AS (SELECT *, (s11 * t0 - s01 * t1) / (s00 * s11 - s01 * s01) AS a, (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) AS b, s00 / (s00 * s11 - s01 * s01) AS c11 FROM {name}_s)"""
+
+
+@query("gmm_efficiency_j15", f"""WITH ro AS (SELECT {', '.join(f'{z} AS i_{k}' for k, z in enumerate(Z5))}, y::DOUBLE AS y FROM forecasts),
+mo AS (SELECT {', '.join(f'sum(i_{i} * i_{j}) AS z_{i}_{j}, sum(i_{i} * i_{j}) AS w_{i}_{j}' for i, j in P5)}, {', '.join(f'sum(i_{i} * y) AS q_{i}' for i in I5)}, count(*) AS n FROM ro),
+{inverse('mo', 'iv', 'w', 5)}, {gmm_step('iv', 'g1', 'w')},
+me AS (SELECT {', '.join(f'sum(pow(y - a - b * i_1, 2) * i_{i} * i_{j}) AS u_{i}_{j}' for i, j in P5)} FROM ro, g1),
+mu AS (SELECT mo.*, me.* FROM mo, me), {inverse('mu', 'iu', 'u', 5)}, {gmm_step('iu', 'g2', 'u')},
+gj AS (SELECT *, {_sum(f'(q_{i} - a * z_{i}_0 - b * z_{i}_1) * u_{i}_{j} * (q_{j} - a * z_{j}_0 - b * z_{j}_1)' for i, j in P5)} AS j FROM g2)
+SELECT round(a, 5) AS alpha, round(b, 5) AS beta, round(sqrt(c11), 6) AS beta_se, round(j, 3) AS j, round({NORMAL_P.format(z='sqrt(j)')} + sqrt(2 * j / pi()) * exp(-j / 2), 6) AS j_p, 3 AS df, n FROM gj""")
 def _(t):
-    return E.gmm_efficiency(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"])
+    g = E.gmm_efficiency(t.forecasts, "y", "p_market", ["p_elo", "n_g_home"])
+    return g.select(F.round("alpha", 5).alias("alpha"), F.round("beta", 5).alias("beta"), *r6("beta_se"), F.round("j", 3).alias("j"), *r6("j_p"), "df", "n")
 
 
-@query("diebold_mariano_j16", " UNION ALL ".join(f"""SELECT '{a}' AS model_a, '{b}' AS model_b, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) AS n
-FROM (SELECT pow(y - {a}, 2) - pow(y - {b}, 2) AS d FROM forecasts)""" for a, b in PAIRS))
+# the t tail from the normal one, to the first order in 1 / n
+@query("diebold_mariano_j16", "WITH dm AS (" + " UNION ALL ".join(f"""SELECT '{a}' AS model_a, '{b}' AS model_b, avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) AS n
+FROM (SELECT pow(y - {a}, 2) - pow(y - {b}, 2) AS d FROM forecasts)""" for a, b in PAIRS) + f""") SELECT model_a, model_b, round(m, 6) AS mean_diff, round(t, 6) AS t, n,
+round({NORMAL_P.format(z='t')} + exp(-t * t / 2) / sqrt(2 * pi()) * (pow(abs(t), 3) + abs(t)) / (2 * (n - 1)), 4) AS p FROM dm""")
 def _(t):
-    return E.diebold_mariano(t.forecasts, "y", PAIRS).select("model_a", "model_b", *r6("mean_diff", "t"), "n")
+    return E.diebold_mariano(t.forecasts, "y", PAIRS).select("model_a", "model_b", *r6("mean_diff", "t"), "n", F.round("p", 4).alias("p"))
 
 
-@query("forecast_encompassing_j17")
+@query("forecast_encompassing_j17", f"WITH {robust_sql('forecasts', 'y', MODELS)} {robust_terms(MODELS)}")
 def _(t):
-    return E.forecast_encompassing(t.forecasts, "y", MODELS)
+    return E.forecast_encompassing(t.forecasts, "y", MODELS).select("term", *r6("coef", "se", "p"), "n", *r6("r2"))
 
 
 @query("rolling_gmm_j18")
@@ -169,7 +238,10 @@ def _(t):
     return S.bootstrap_shares(t.plays, ["zone"], "type")
 
 
-@query("tenure_regression_k17")
+TENURE = """tn AS (SELECT games_played, season - draft_year AS tenure, draft_round FROM career JOIN draft ON draft.id = career.id)"""
+
+
+@query("tenure_regression_k17", f"WITH {TENURE}, {robust_sql('tn', 'games_played', ['tenure', 'draft_round'])} {robust_terms(['tenure', 'draft_round'])}")
 def _(t):
     d = t.career.join(t.draft, "id").withColumn("tenure", (col("season") - col("draft_year")).cast("double"))
-    return E.robust_ols(d, "games_played", ["tenure", "draft_round"])[0]
+    return E.robust_ols(d, "games_played", ["tenure", "draft_round"])[0].select("term", *r6("coef", "se", "p"), "n", *r6("r2"))

@@ -582,7 +582,7 @@ def _(t):
 SELECT no, round(avg(a), 6) AS mean, round(quantile_cont(a, 0.9), 6) AS p90 FROM s GROUP BY no""")
 def _(t):
     m = T.running_metrics(T.to_team_rows(t.games), F.month("game_date")).groupBy("season", col("rgame").alias("no")).agg(F.avg("win").alias("a"))
-    return m.groupBy("no").agg(F.round(F.avg("a"), 6).alias("mean")).join(exact_quantiles(m, ["no"], "a", {"p90": 0.9}, slices=4), "no").select("no", "mean", *r6("p90"))
+    return m.groupBy("no").agg(F.round(F.avg("a"), 6).alias("mean")).join(exact_quantiles(m, ["no"], "a", {"p90": 0.9}), "no").select("no", "mean", *r6("p90"))
 
 
 @query("team_joined_twice_c9", "WITH " + RUN + " SELECT p.gameid, p.team, round(a.wp, 6) AS wp_own, round(b.wp, 6) AS wp_opp FROM paired p JOIN tot a ON a.season = p.season AND a.team = p.team JOIN tot b ON b.season = p.season AND b.team = p.opponent")

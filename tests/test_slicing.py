@@ -72,7 +72,7 @@ def test_range_frame(rows, low, high):
 
 
 def test_exact_quantiles(rows):
-    got = {r["key"]: r for r in S.exact_quantiles(rows, ["key"], "v", {"a": 0.0, "b": 0.4, "c": 0.95, "d": 1.0}, slices=3).collect()}
+    got = {r["key"]: r for r in S.exact_quantiles(rows, ["key"], "v", {"a": 0.0, "b": 0.4, "c": 0.95, "d": 1.0}, slice_rows=3).collect()}
     pdf = rows.toPandas()
     for key, r in got.items():
         v = pdf[pdf["key"].isna() if key is None else pdf["key"] == key]["v"].dropna()
@@ -97,8 +97,26 @@ def test_global_index(rows, fine):
     assert [r["i"] for r in got] == list(range(600))
 
 
-def test_ranked(rows):
+@pytest.mark.parametrize("slice_rows", [10**6, 40])
+def test_ranked(rows, slice_rows):
     d = rows.filter("v is not null and key is not null")
-    got = S.ranked(d, ["key"], "v", "id", "r", slices=4).toPandas()
+    got = S.ranked(d, ["key"], "v", "id", "r", slice_rows=slice_rows).toPandas()
+    assert len(got) == d.count()
     for _, g in got.groupby("key"):
         assert list(g.sort_values(["v", "id"], ascending=[False, True])["r"]) == list(range(1, len(g) + 1))
+
+
+def test_slices_of_skewed_values_are_bounded(spark):
+    """A third of the rows has one value, another third lies within a thousandth of the range."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([np.full(3000, 7.0), 1 + rng.random(3000) / 1000, rng.random(3000) * 1000])
+    d = spark.createDataFrame([("k", int(i), float(x)) for i, x in enumerate(v)], "key string, id long, v double")
+    hist = d.groupBy("key", "v").count()
+    need = S.slices_needed(hist, ["key"], 300)
+    sizes = [r["count"] for r in S.value_slices(hist, ["key"], "v", need).groupBy("_share_slice").count().collect()]
+    assert need == 21 and max(sizes) <= 300
+    ties = d.filter("v = 7")
+    sizes = [r["count"] for r in S.value_slices(ties, ["key", "v"], "id", S.slices_needed(ties, ["key", "v"], 300)).groupBy("_share_slice").count().collect()]
+    assert max(sizes) <= 300
+    got = S.ranked(d, ["key"], "v", "id", "r", descending=False, slice_rows=300).toPandas().sort_values(["v", "id"])
+    assert list(got["r"]) == list(range(1, 9001))
