@@ -30,6 +30,37 @@ def test_shards_by_rows(spark):
     assert shards.ring_shards(docs.limit(0), 8).count() == 0
 
 
+@pytest.mark.parametrize("shards_, slack", [(8, 0.0), (5, 0.1)])
+def test_shards_equal_a_plain_ring(spark, shards_, slack):
+    """Row by row around the ring: into the owner of the row's cell, else on to the next shard with room."""
+    import struct
+
+    import xxhash
+
+    def spark_hash(first: bytes, seed: int) -> int:
+        return xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(first, seed=42).intdigest()).intdigest()
+
+    texts = [f"text {i % 1500}" if i % 3 else "one text of a third" for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    owner, seed = shards.ring(shards_), 17
+    subs = max(1, shards.COUNTED // len(owner))
+    order = []
+    for i, t in enumerate(texts):
+        number = spark_hash(struct.pack("<q", i), seed + 1)
+        sub = (number - (number >> 63 << 64)) % subs
+        order.append((spark_hash(t.encode(), seed) * len(owner) >> 64, sub, i))
+    left, held, want = shards.room(len(texts), shards_, slack), Counter(), {}
+    for cell, _, i in sorted(order):
+        while not left[owner[cell % len(owner)]]:
+            cell += 1
+        s = owner[cell % len(owner)]
+        want[i] = (s, held[s])
+        left[s] -= 1
+        held[s] += 1
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in shards.ring_shards(docs, shards_, slack=slack, seed=seed).collect()}
+    assert got == want
+
+
 def test_walk_goes_on_clockwise():
     owner = [0, 1, 2, 1]
     pieces_ = shards.walk({(0, 0): 7, (1, 0): 1, (3, 0): 1}, owner, 3, 0.0)
