@@ -252,17 +252,18 @@ def best_segments(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: flo
     share = 2 * similar / (1 + similar)  # of equal tokens in two texts of one length
     score = np.where(inside, np.where(hit, 1.0 - share, -share), -1e9)
     mid = tokens - 1
-    n, none = len(hit), np.zeros((len(hit), 1))
+    none = np.zeros((len(hit), 1))
     left = np.concatenate([none, np.cumsum(score[:, mid - 1 :: -1], axis=1)], axis=1) if mid else none
     right = np.cumsum(score[:, mid:], axis=1)
     ends = np.concatenate([none == 0, hit[:, mid - 1 :: -1]], axis=1) if mid else none == 0
-    length = np.arange(left.shape[1])[:, None] + np.arange(1, right.shape[1] + 1)[None, :]
-    good = (left[:, :, None] + right[:, None, :] >= -1e-9) & ends[:, :, None] & hit[:, None, mid:] & (length >= tokens)
-    size = np.where(good, length, -1).reshape(n, -1)
-    at = size.argmax(axis=1)
-    u, v = np.unravel_index(at, length.shape)
-    none = size[np.arange(n), at] < 0
-    return np.where(none, 0, mid - u), np.where(none, -1, mid + v)
+    # how far left each right end can go: the last place from which the score still suffices
+    reach = np.maximum.accumulate(np.where(ends, left, -np.inf)[:, ::-1], axis=1)[:, ::-1]
+    u = (reach[:, None, :] >= -1e-9 - right[:, :, None]).sum(axis=2) - 1
+    length = np.where(hit[:, mid:] & (u >= 0), u + np.arange(1, right.shape[1] + 1), -1)
+    v = length.shape[1] - 1 - length[:, ::-1].argmax(axis=1)  # the rightmost of equal lengths
+    rows = np.arange(len(hit))
+    none = length[rows, v] < tokens
+    return np.where(none, 0, mid - u[rows, v]), np.where(none, -1, mid + v)
 
 
 def distinct(codes: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -320,7 +321,7 @@ def _verify(tokens: int, width: int, similar: float):
         enough = ((n[codes] > 1) & inside[alone]).sum(axis=1) >= need
         alone, codes = alone[enough], codes[enough]
         if len(alone):
-            for who, a, b, lead in _compare(alone, codes, inside[alone], group[alone], key, np.zeros(len(n), dtype=bool)):
+            for who, a, b, lead in _compare(alone, codes, inside[alone], group[alone], key):
                 found(who, a, b, lead)
                 more = [(j, x, y, z) for k, x, y, z in zip(who.tolist(), a.tolist(), b.tolist(), lead.tolist()) for j in again.get(k, ())]
                 if more:
@@ -331,69 +332,71 @@ def _verify(tokens: int, width: int, similar: float):
             owner, k = ids.take(pa.array(k)), key[k]
             yield pa.RecordBatch.from_arrays([pa.array(k), owner, pa.array(a), pa.array(b), ids.take(pa.array(of)), pa.array(key[of])], ["key", "id", "first", "end", "source", "source_key"])
 
-    def _compare(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, group: np.ndarray, keys: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def _compare(who: np.ndarray, codes: np.ndarray, inside: np.ndarray, group: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Passages (row, first, last, lead) of all groups: each different surrounding in turn leads, all groups side by side.
 
         A surrounding wants those of its tokens that others have and no passage found in it
         covers. A lead is held against the later rows that want one of its tokens; a group ends
         when no two of its rows are left that could share a passage.
         """
-        free = inside.copy()
-        rows = np.arange(len(who))
-        while len(rows):
+        free, key, numbered = inside.copy(), keys[who], len(who)
+        while len(who):
+            if 2 * len(who) < numbered:  # small numbers for the codes that are left
+                codes, numbered = np.unique(codes, return_inverse=True)[1].reshape(codes.shape), len(who)
             # rows that share enough tokens with others still here, and want one of these or have one that is wanted
-            shared = (np.bincount(codes[rows].ravel(), minlength=len(own)) > 1)[codes[rows]] & inside[rows]
-            rows, shared = (x[shared.sum(axis=1) >= need] for x in (rows, shared))
-            wanted = np.zeros(len(own), dtype=bool)
-            wanted[codes[rows][free[rows] & shared]] = True
-            rows = rows[(wanted[codes[rows]] & inside[rows]).any(axis=1)]
-            edge = np.flatnonzero(np.concatenate([[True], group[rows][1:] != group[rows][:-1]])) if len(rows) else rows
-            if len(edge):  # rows of one document alone hold nothing against each other
-                mine = keys[who[rows]]
-                several = np.maximum.reduceat(mine, edge) != np.minimum.reduceat(mine, edge)
-                rows = rows[np.repeat(several, np.diff(np.append(edge, len(rows))))]
-            if not len(rows):
+            n = int(codes.max()) + 1
+            shared = (np.bincount(codes.ravel(), minlength=n) > 1)[codes] & inside
+            keep = shared.sum(axis=1) >= need
+            wanted = np.zeros(n, dtype=bool)
+            wanted[codes[free & shared & keep[:, None]]] = True
+            at = np.flatnonzero(keep & (wanted[codes] & inside).any(axis=1))
+            if len(at):  # rows of one document alone hold nothing against each other
+                edge = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1]]))
+                several = np.maximum.reduceat(key[at], edge) != np.minimum.reduceat(key[at], edge)
+                at = at[np.repeat(several, np.diff(np.append(edge, len(at))))]
+            if not len(at):
                 return
-            first = np.concatenate([[True], group[rows][1:] != group[rows][:-1]])
-            lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-            heads = rows[first]
-            marks = codes[heads][inside[heads]]
-            own[marks] = True
-            hits = own[codes[rows]] & inside[rows]
-            own[marks] = False
-            fresh = ~first & (hits.sum(axis=1) >= need) & (hits & free[rows]).any(axis=1) & (keys[who[rows]] != keys[who[lead]])
+            who, codes, inside, free, group, key = (x[at] for x in (who, codes, inside, free, group, key))
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
+            own = np.zeros(n, dtype=bool)
+            own[codes[first][inside[first]]] = True
+            hits = own[codes] & inside
+            fresh = ~first & (key != key[lead]) & (hits.sum(axis=1) >= need)
             at = np.flatnonzero(fresh)
+            at = at[(hits[at] & free[at]).any(axis=1)]
             for part in (at[i : i + 2000] for i in range(0, len(at), 2000)):
-                yield from _passages_of(part, rows, lead, hits, who, codes, inside, free)
-            free[heads] = False
-            rows = rows[~first]
+                for k, a, b in _passages_of(part, lead, hits, codes, inside, free):
+                    yield who[k], a, b, who[lead[k]]
+            who, codes, inside, free, group, key = (x[~first] for x in (who, codes, inside, free, group, key))
 
-    def _passages_of(part: np.ndarray, rows: np.ndarray, lead: np.ndarray, hits: np.ndarray, who: np.ndarray, codes: np.ndarray, inside: np.ndarray, free: np.ndarray):
+    def _passages_of(part: np.ndarray, lead: np.ndarray, hits: np.ndarray, codes: np.ndarray, inside: np.ndarray, free: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         span = np.arange(codes.shape[1])[None, :]
 
-        def new(k: np.ndarray, a: np.ndarray, b: np.ndarray, enough: np.ndarray):
+        def new(k: np.ndarray, a: np.ndarray, b: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, ...]:
             """Of the stretches [a, b], those that cover a free token; they cover it from now on."""
+            k, a, b = k[enough], a[enough], b[enough]
             within = (span >= a[:, None]) & (span <= b[:, None])
-            use = enough & (free[rows[k]] & within).any(axis=1)
-            free[rows[k[use]]] &= ~within[use]
-            return (who[rows[k[use]]], a[use], b[use], who[lead[k[use]]]), use
+            use = (free[k] & within).any(axis=1)
+            free[k[use]] &= ~within[use]
+            return k[use], a[use], b[use]
 
         a, b = middle_runs(hits[part])
-        out, _ = new(part, a, b, b - a + 1 >= tokens)
-        yield out
-        left = part[(hits[part] & free[rows[part]]).any(axis=1)]
+        yield new(part, a, b, b - a + 1 >= tokens)
+        left = part[(hits[part] & free[part]).any(axis=1)]
         for k in (left[i : i + 500] for i in range(0, len(left), 500)):
-            hit, own, other = hits[k], codes[rows[k]], codes[lead[k]]
-            a, b = best_segments(hit, inside[rows[k]], tokens, similar)
-            within = (span >= a[:, None]) & (span <= b[:, None]) & inside[rows[k]]
+            a, b = best_segments(hits[k], inside[k], tokens, similar)
+            k, a, b = (x[b >= a] for x in (k, a, b))
+            hit, own, other, there_in = hits[k], codes[k], codes[lead[k]], inside[lead[k]]
+            within = (span >= a[:, None]) & (span <= b[:, None]) & inside[k]
             # where the lead has the stretch's equal tokens
             mine = np.where(hit & within, own, -1)
-            there = (other[:, :, None] == mine[:, None, :]).any(axis=2) & inside[lead[k]]
+            there = (other[:, :, None] == mine[:, None, :]).any(axis=2) & there_in
             start, end = there.argmax(axis=1), there.shape[1] - 1 - there[:, ::-1].argmax(axis=1)
             both = distinct(own, hit & within)
-            sizes = distinct(own, within) + distinct(other, (span >= start[:, None]) & (span <= end[:, None]) & inside[lead[k]])
-            good = (b >= a) & there.any(axis=1) & (end - start + 1 >= tokens * similar) & (both >= similar * (sizes - both) - 1e-9)
-            yield new(k, a, b, good)[0]
+            sizes = distinct(own, within) + distinct(other, (span >= start[:, None]) & (span <= end[:, None]) & there_in)
+            good = there.any(axis=1) & (end - start + 1 >= tokens * similar) & (both >= similar * (sizes - both) - 1e-9)
+            yield new(k, a, b, good)
 
     return run
 

@@ -428,6 +428,28 @@ def test_compact_windows_equal_plain_scan():
             assert set(zip(*(x.tolist() for x in passages.compact_windows(values, 46)))) == plain_windows(values.tolist(), 46)
 
 
+def test_best_segments_equal_all_stretches():
+    r = np.random.default_rng(8)
+    tokens, similar = 10, 0.8
+    share = 2 * similar / (1 + similar)
+    width, mid = 2 * tokens - 1, tokens - 1
+    hit = r.random((300, width)) < np.repeat([0.8, 0.9, 0.97], 100)[:, None]
+    inside = np.arange(width)[None, :] >= r.integers(0, 6, 300)[:, None]
+    first, last = passages.best_segments(hit & inside, inside, tokens, similar)
+    a, b = passages.middle_runs(hit & inside)
+    for k in range(300):
+        own = (hit & inside)[k]
+        want = max((
+            j - i + 1 for i in range(mid + 1) for j in range(mid, width)
+            if j - i + 1 >= tokens and inside[k, i : j + 1].all() and (own[i] or i == mid) and own[j] and own[i : j + 1].sum() >= share * (j - i + 1) - 1e-9
+        ), default=0)
+        assert last[k] - first[k] + 1 == want
+        if own[mid]:
+            assert own[a[k] : b[k] + 1].all() and (a[k] == 0 or not own[a[k] - 1]) and (b[k] == width - 1 or not own[b[k] + 1])
+        else:
+            assert b[k] < a[k]
+
+
 def repeated_words(texts, ids, size=50):
     """Words inside an exact window of `size` words that an earlier document holds."""
     seen, out = {}, {}
