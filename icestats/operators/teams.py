@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from icestats.plans.lineage import materialise
-from icestats.plans.slicing import neighbour_row, running_total
+from icestats.plans.slicing import context, running_total
 
 TEAM_KEYS = ("season", "team")
 TEAM_ORDER = ("game_date", "gameid")
@@ -67,8 +67,7 @@ def opponent_join(box: DataFrame) -> DataFrame:
 
 def rest_days(paired: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """Previous and next game of the team and the days between."""
-    out = neighbour_row(paired, TEAM_KEYS, TEAM_ORDER, {"prev_gameid": "gameid", "prev_date": "game_date"}, slice_by=slice_by)
-    out = neighbour_row(out, TEAM_KEYS, TEAM_ORDER, {"next_gameid": "gameid"}, ahead=True, slice_by=slice_by)
+    out = context(paired, TEAM_KEYS, TEAM_ORDER, previous={"prev_gameid": "gameid", "prev_date": "game_date"}, following={"next_gameid": "gameid"}, slice_by=slice_by)
     return out.withColumn("rest_days", F.date_diff("game_date", "prev_date")).drop("prev_date")
 
 

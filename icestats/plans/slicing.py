@@ -48,35 +48,41 @@ def context(
     carry: Mapping[str, Column | str] | None = None,
     carry_before: Mapping[str, Column | str] | None = None,
     previous: Mapping[str, Column | str] | None = None,
+    following: Mapping[str, Column | str] | None = None,
     slice_by: Column | str | None = None,
 ) -> DataFrame:
-    """All backward-looking values of a row in one pass: one shuffle and one sort.
+    """All values that a row takes from its neighbours in one pass: one shuffle and one sort.
 
     `totals` are running sums (0 where nothing came yet), `carry` the last non-null
-    values, `previous` the columns of the row before; `*_before` leave the current row
-    out. Ask for everything at once: each call reads its input once for the rows and,
+    values, `previous` and `following` the columns of the row before and after; `*_before`
+    leave the current row out. Ask for everything at once: each call reads its input once for the rows and,
     when sliced, once for the per-piece aggregates.
     """
     groups = [(_as_columns(totals or {}), "t", 0), (_as_columns(totals_before or {}), "t", -1),
               (_as_columns(carry or {}), "c", 0), (_as_columns(carry_before or {}), "c", -1)]
-    prev = _as_columns(previous or {})
+    prev, after = _as_columns(previous or {}), _as_columns(following or {})
     inputs = {f"_ctx_{kind}_{o}": c for cols, kind, _ in groups for o, c in cols.items()}
     if prev:
         inputs["_ctx_p"] = F.struct(*[c.alias(o) for o, c in prev.items()])
+    if after:
+        inputs["_ctx_f"] = F.struct(*[c.alias(o) for o, c in after.items()])
     rows = df.withColumns(inputs)
     part, by = list(keys), _order(order)
     if slice_by is not None:
         rows = rows.withColumn("_slice", as_column(slice_by))
         rank = F.struct(*[F.col(c) for c in order])
-        reduce_one = lambda n: F.sum(n) if n.startswith("_ctx_t_") else F.max_by(n, rank if n == "_ctx_p" else F.when(F.col(n).isNotNull(), rank))
+        reduce_one = lambda n: F.sum(n) if n.startswith("_ctx_t_") else F.min_by(n, rank) if n == "_ctx_f" else F.max_by(n, rank if n == "_ctx_p" else F.when(F.col(n).isNotNull(), rank))
         pieces = W.partitionBy(*keys).orderBy("_slice")
         earlier = pieces.rowsBetween(BEFORE, -1)
-        pass_on = lambda n: F.sum(n).over(earlier) if n.startswith("_ctx_t_") else F.lag(n).over(pieces) if n == "_ctx_p" else F.last(n, ignorenulls=True).over(earlier)
+        pass_on = lambda n: F.sum(n).over(earlier) if n.startswith("_ctx_t_") else F.lag(n).over(pieces) if n == "_ctx_p" else F.lead(n).over(pieces) if n == "_ctx_f" else F.last(n, ignorenulls=True).over(earlier)
         headers = (
             rows.groupBy(*keys, "_slice").agg(*[reduce_one(n).alias(n) for n in inputs])
             .select(*keys, "_slice", *[pass_on(n).alias(n) for n in inputs])
         )
-        rows, part, by = _with_headers(rows, headers), [*keys, "_slice"], [F.col("_h"), *by]
+        # the same header stands before a piece's rows and, where the next row is asked for, behind them
+        headers = headers.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in ((0, 2) if after else (0,))])))
+        rows = rows.withColumn("_h", F.lit(1)).unionByName(headers, allowMissingColumns=True)
+        part, by = [*keys, "_slice"], [F.col("_h"), *by]
     w = W.partitionBy(*part).orderBy(*by)
     made = {}
     for cols, kind, end in groups:
@@ -86,10 +92,12 @@ def context(
             made[o] = F.coalesce(F.sum(n).over(frame), F.lit(0)) if kind == "t" else F.last(n, ignorenulls=True).over(frame)
     if prev:
         made["_ctx_n"] = F.lag("_ctx_p").over(w)
+    if after:
+        made["_ctx_x"] = F.lead("_ctx_f").over(w)
     out = rows.withColumns(made)
     if slice_by is not None:
         out = out.filter(F.col("_h") == 1).drop("_h", "_slice")
-    return out.withColumns({o: F.col(f"_ctx_n.{o}") for o in prev}).drop("_ctx_n", *inputs)
+    return out.withColumns({**{o: F.col(f"_ctx_n.{o}") for o in prev}, **{o: F.col(f"_ctx_x.{o}") for o in after}}).drop("_ctx_n", "_ctx_x", *inputs)
 
 
 def running_total(
@@ -169,24 +177,7 @@ def neighbour_row(
 
     All columns come from one struct, so the window is evaluated once.
     """
-    if not ahead:
-        return context(df, keys, order, previous=columns, slice_by=slice_by)
-    cols = _as_columns(columns)
-    packed = F.struct(*[c.alias(o) for o, c in cols.items()])
-    if slice_by is None:
-        w = W.partitionBy(*keys).orderBy(*_order(order))
-        out = df.withColumn("_m", packed).withColumn("_n", F.lead("_m").over(w))
-        return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_m", "_n")
-    rows = df.withColumn("_slice", as_column(slice_by)).withColumn("_m", packed)
-    rank = F.struct(*[F.col(c) for c in order])
-    headers = (
-        rows.groupBy(*keys, "_slice")
-        .agg(F.min_by("_m", rank).alias("_e"))
-        .select(*keys, "_slice", F.lead("_e").over(W.partitionBy(*keys).orderBy("_slice")).alias("_m"))
-    )
-    w = W.partitionBy(*keys, "_slice").orderBy("_h", *_order(order))
-    out = _with_headers(rows, headers, last=True).withColumn("_n", F.lead("_m").over(w)).filter(F.col("_h") == 1)
-    return out.withColumns({o: F.col(f"_n.{o}") for o in cols}).drop("_h", "_slice", "_m", "_n")
+    return context(df, keys, order, slice_by=slice_by, **{"following" if ahead else "previous": columns})
 
 
 def range_frame(

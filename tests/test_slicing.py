@@ -65,6 +65,13 @@ def test_neighbour(rows, ahead):
     same(S.neighbour_row(rows, *args, ahead=ahead, slice_by=SLICE), S.neighbour_row(rows, *args, ahead=ahead))
 
 
+def test_everything_in_one_pass(rows, spark, tmp_path):
+    ask = dict(totals={"s": "v"}, totals_before={"b": "v"}, carry={"c": "v"}, previous={"p": "id"}, following={"f": "id", "fv": "v"})
+    same(S.context(rows, ["key"], ["t", "id"], slice_by=SLICE, **ask), S.context(rows, ["key"], ["t", "id"], **ask))
+    rows.write.parquet(str(tmp_path / "in"))
+    assert scans(S.context(spark.read.parquet(str(tmp_path / "in")), ["key"], ["t", "id"], slice_by=SLICE, **ask)) == 2
+
+
 @pytest.mark.parametrize("low,high", [(-90, 0), (1, 60), (-40, 40), (-700, -1)])
 def test_range_frame(rows, low, high):
     args = (["key"], "t", low, high, {"s": F.sum("v"), "n": F.count(F.lit(1))})
