@@ -121,23 +121,29 @@ def windows(docs: DataFrame, words: int = WORDS, width: int = SHINGLE, hashes: i
         for batch in batches:
             for part in slices(batch):
                 keys = part.column(1).to_numpy()
-                h, around, who, place, exact = [], [], [], [], []
-                for k, own in enumerate(shingles([words_of(t) for t in part.column(2).to_pylist()], width)):
-                    if len(own) < tokens:
-                        continue
-                    stretch = _Stretches(own)
-                    for f in range(hashes):
-                        values = mix64(own, 50 + f)
-                        left, at, right = compact_windows(values, tokens)
-                        packed = _pack(at, left, right, tokens - 1)
-                        a, b = packed >> 10 & 1023, packed & 1023
-                        h.append(values[at])
-                        around.append(stretch.hash(at - a, at + b + 1, packed & 0xFFFFF))
-                        place.append(packed)
-                        who.append(np.full(len(at), k))
-                        exact.append(np.full(len(at), f == 0))
-                if not h:
+                lists = shingles([words_of(t) for t in part.column(2).to_pylist()], width)
+                long = [k for k, own in enumerate(lists) if len(own) >= tokens]
+                if not long:
                     continue
+                # all texts in a row, each behind a mark below every token, which no window crosses
+                mark = np.zeros(1, np.uint64)
+                whole = np.concatenate([x for k in long for x in (mark, lists[k])] + [mark])
+                starts = np.cumsum([0, *(len(lists[k]) + 1 for k in long)])
+                stretch = _Stretches(whole)
+                h, around, who, place, exact = [], [], [], [], []
+                for f in range(hashes):
+                    values = np.maximum(mix64(whole, 50 + f), np.uint64(1))
+                    values[starts] = 0
+                    left, at, right = compact_windows(values, tokens)
+                    left, at, right = (x[values[at] > 0] for x in (left, at, right))
+                    text = np.searchsorted(starts, at, side="right") - 1
+                    packed = _pack(at - starts[text] - 1, left - starts[text] - 1, right - starts[text] - 1, tokens - 1)
+                    a, b = packed >> 10 & 1023, packed & 1023
+                    h.append(values[at])
+                    around.append(stretch.hash(at - a, at + b + 1, packed & 0xFFFFF))
+                    place.append(packed)
+                    who.append(np.array(long)[text])
+                    exact.append(np.full(len(at), f == 0))
                 h, around, who, place, exact = (np.concatenate(x) for x in (h, around, who, place, exact))
                 order, first = _first_of_class(_rank(part.column(0))[who], h, around)
                 h, around, who, place, exact = (x[order] for x in (h, around, who, place, exact))
@@ -430,7 +436,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR
     other = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
     spread = regions.withColumn("part", part).withColumn("o", F.explode(other))
     spread = spread.select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "id", "key", "place", "region")
-    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, id {kind}, first long, end long, source {kind}, source_key long", rows=20_000)
+    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, id {kind}, first long, end long, source {kind}, source_key long", rows=40_000)
     at, left, right = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
     copied = met.where("source_key is not null").select("key", "id", (at - left).alias("first"), (at + right + width).alias("end"), "source", "source_key")
     spans = spans.unionByName(copied)

@@ -450,6 +450,21 @@ def test_best_segments_equal_all_stretches():
             assert b[k] < a[k]
 
 
+def test_windows_stay_within_their_text(spark):
+    texts = [prose(k, n) for k, n in enumerate((10, 49, 50, 51, 400, 3, 90, 700))] + ["again " * 200]
+    rows = passages.keyed(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).coalesce(1), "doc_id", "text")
+    got = {}
+    for r in passages.windows(rows).where("source_key is null").collect():
+        got.setdefault(r["id"], []).append((r["h"] % 2**64, *passages._unpack(r["place"])))
+    for i, t in enumerate(texts):
+        own = shingles([words_of(t)], 5)[0]
+        want = []
+        for f in range(passages.HASHES):
+            values = np.maximum(passages.mix64(own, 50 + f), 1)
+            want += [(int(values[c]), c, min(c - a, 45), min(b - c, 45)) for a, c, b in plain_windows(values.tolist(), 46)]
+        assert sorted(got.get(i, [])) == sorted(want)
+
+
 def repeated_words(texts, ids, size=50):
     """Words inside an exact window of `size` words that an earlier document holds."""
     seen, out = {}, {}
