@@ -17,13 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from icestats.operators.evaluation import fit_logits
 from icestats.plans.slicing import _with_headers, as_column, global_index
 
 # The thirteen inputs and the four observation covariates, in model order
@@ -627,9 +625,14 @@ def team_summary(smoothed: DataFrame, plays: DataFrame, team: str) -> DataFrame:
 
 
 def goal_model(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Probability of a goal soon from momentum and game state."""
-    data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows.withColumn("label", F.col(label).cast("double")))
-    kept = data.select("features", "label").persist()
-    model = LogisticRegression(regParam=0.0, maxIter=50).fit(kept)
-    kept.unpersist()
-    return model.transform(data).withColumn("p_goal", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "label")
+    """`p_goal`: probability of a goal soon from momentum and game state, and whether the fit `converged`.
+
+    A row with a missing feature takes no part in the fit and has no probability.
+    """
+    kept = rows.dropna(subset=[*features, label]).withColumn("_one", F.lit(1.0))
+    names = ["_one", *features]
+    fit_ = fit_logits(kept.select(F.col(label), *names), label, {"goal": names})["goal"]
+    score = F.lit(float(fit_.theta[0]))
+    for f, t in zip(features, fit_.theta[1:]):
+        score = score + F.col(f) * float(t)
+    return rows.withColumns({"p_goal": F.lit(1.0) / (1 + F.exp(-score)), "converged": F.lit(fit_.converged)})

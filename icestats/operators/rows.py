@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from icestats.plans.slicing import neighbour_row
+from icestats.plans.slicing import lagged
 
 
 def top_k(df: DataFrame, k: int, by: str, key: str) -> DataFrame:
@@ -28,11 +28,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def lag_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], depth: int = 2, slice_by=None) -> DataFrame:
-    """`c_lag1` … `c_lagN`: each depth is the previous row's last one."""
-    out = df
-    for d in range(1, depth + 1):
-        out = neighbour_row(out, keys, order, {f"{c}_lag{d}": c if d == 1 else f"{c}_lag{d - 1}" for c in columns}, slice_by=slice_by)
-    return out
+    """`c_lag1` … `c_lagN` of the rows before."""
+    return lagged(df, keys, order, columns, depth, slice_by=slice_by)
 
 
 def dense_rank_of(df: DataFrame, keys: Sequence[str], by: str, out: str) -> DataFrame:

@@ -299,32 +299,58 @@ def game_metrics(games: DataFrame, slice_by: Column | str | None = None) -> Data
     return materialise(attach_opponent_running(running_metrics(rows, slice_by)), "metrics")
 
 
-def team_season(games: DataFrame, slice_by: Column | str | None = None, metrics: DataFrame | None = None) -> DataFrame:
-    """The whole team-season table: levels, expectation, RPI, pairwise, normalised, streaks.
+def season_edges(rows: DataFrame) -> DataFrame:
+    """One row per season, team and opponent with all sums that season tables need; where `rows` carry
+    the opponents' running record, also that of the last meeting."""
+    sums = ("win", "goals", "goals_against", "shots", "fenwick_lvl", "corsi_lvl")
+    met = [F.max_by(F.struct("rwin_oppo", "rgame_oppo"), F.struct(*TEAM_ORDER)).alias("met")] if "rwin_oppo" in rows.columns else []
+    return rows.groupBy("season", "team", "opponent").agg(
+        F.count("win").alias("games"), *[F.sum(c).alias("wins" if c == "win" else c) for c in sums], *met
+    )
 
-    `metrics` (by default `game_metrics`) feed all branches; whoever needs them as well
-    passes them in.
-    """
-    metrics = game_metrics(games, slice_by) if metrics is None else metrics
-    totals = season_totals(metrics)
-    edges = materialise(head_to_head(metrics), "edges")
+
+def totals_of(edges: DataFrame) -> DataFrame:
+    """Team-season totals from `season_edges`: the last running values are the season's sums."""
+    out = edges.groupBy("season", "team").agg(
+        *[F.sum(c).alias(c) for c in ("fenwick_lvl", "corsi_lvl", "goals", "goals_against")], F.sum("wins").alias("rwin"), F.sum("games").alias("rgame")
+    )
+    out = out.withColumns({"rpe": pythagorean(F.col("goals"), F.col("goals_against")), "wp": F.try_divide(F.col("rwin"), F.col("rgame"))})
+    return out.select("season", "team", "fenwick_lvl", "corsi_lvl", "rpe", "rwin", "rgame", "wp")
+
+
+def rated(edges: DataFrame) -> DataFrame:
+    """Totals, RPI and pairwise wins of every team from `season_edges` with records."""
     common = common_opponents(edges)
-    rpi = rating_percentage_index(totals, opponent_record(metrics), common)
+    totals = totals_of(edges)
+    record = edges.groupBy("season", "team").agg(F.try_divide(F.sum("met.rwin_oppo"), F.sum("met.rgame_oppo")).alias("wp_ow"))
+    rpi = rating_percentage_index(totals, record, common)
+    return totals.join(rpi, ["season", "team"]).join(pairwise_wins(common, edges), ["season", "team"])
+
+
+KPI = {"kpi_corsi": "corsi_lvl", "kpi_fenwick": "fenwick_lvl", "kpi_pe": "rpe", "kpi_pairwise": "pairwise_win", "kpi_rpi": "rpi", "kpi_wp": "wp"}
+
+
+def with_indicators(table: DataFrame) -> DataFrame:
+    """Fitted wins, final position and the normalised form of those indicators that `table` has."""
     w = W.partitionBy("season").orderBy("rwin", "fenwick_lvl", "corsi_lvl", "team")
     n = F.count(F.lit(1)).over(W.partitionBy("season"))
-    table = materialise(
-        totals.join(rpi, ["season", "team"]).join(pairwise_wins(common, edges), ["season", "team"]), "teams"
-    )
-    streaks = streak_summary(streak_flags(metrics, table)).drop("hot_share", "hot_label")
-    table = table.withColumn("fitted_wins", fitted_wins(F.col("rpe"))).withColumn(
+    out = table.withColumn("fitted_wins", fitted_wins(F.col("rpe"))).withColumn(
         "final_position", F.try_divide((F.row_number().over(w) - 1).cast("double"), (n - 1).cast("double"))
     )
-    table = normalise(
-        table,
-        {"kpi_corsi": "corsi_lvl", "kpi_fenwick": "fenwick_lvl", "kpi_pe": "rpe",
-         "kpi_pairwise": "pairwise_win", "kpi_rpi": "rpi", "kpi_wp": "wp"},
-    )
-    return table.join(streaks, ["season", "team"])
+    return normalise(out, {k: c for k, c in KPI.items() if c in table.columns})
+
+
+def team_season(games: DataFrame, slice_by: Column | str | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """The whole team-season table: levels, expectation, RPI, pairwise, normalised, streaks.
+
+    `metrics` (by default `game_metrics`) are read twice: for one small table of team pairs, from
+    which everything but the streaks follows, and for the streaks. Whoever needs them as
+    well passes them in. The small tables are written, as many branches read them.
+    """
+    metrics = game_metrics(games, slice_by) if metrics is None else metrics
+    table = materialise(rated(materialise(season_edges(metrics), "edges")), "teams")
+    streaks = streak_summary(streak_flags(metrics, table)).drop("hot_share", "hot_label")
+    return with_indicators(table).join(streaks, ["season", "team"])
 
 
 SEASON_INDICATORS = ("kpi_wp", "kpi_pe", "rpi", "pairwise_win")

@@ -164,6 +164,33 @@ def since_marker(
     return out.withColumns({o: F.col(f"_st_{o}") - F.coalesce(f"_sl_{o}", -F.col(f"_sc_{o}")) for o in cols}).drop(*drop)
 
 
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], depth: int, *, slice_by: Column | str | None = None) -> DataFrame:
+    """Add `c_lag1` … `c_lagN`: the columns of the N rows before, null where there are fewer.
+
+    With slices the rows before are looked up within a piece first; the last N rows of the pieces
+    before come with one row per piece, so the input is read twice whatever N is.
+    """
+    rows = df.withColumn("_slice", F.lit(0) if slice_by is None else as_column(slice_by)).withColumn("_lg_0", F.struct(*columns))
+    w = W.partitionBy(*keys, "_slice").orderBy(*_order(order))
+    rows = rows.withColumns({**{f"_lg_{k}": F.lag("_lg_0", k).over(w) for k in range(1, depth + 1)}, "_lg_n": F.row_number().over(w)})
+    found = {k: F.col(f"_lg_{k}") for k in range(1, depth + 1)}
+    drop = ["_slice", "_lg_n", *[f"_lg_{k}" for k in range(depth + 1)]]
+    if slice_by is not None:
+        rank = F.struct(*[F.col(c) for c in order])
+        last = F.array_compact(F.array(*[F.col(f"_lg_{k}") for k in range(depth)]))  # the newest first
+        pieces = rows.groupBy(*keys, "_slice").agg(F.max_by(last, rank).alias("_last"))
+        by_piece = W.partitionBy(*keys).orderBy("_slice")
+        none = F.slice(F.col("_last"), 1, 0)
+        before = F.slice(F.concat(*[F.coalesce(F.lag("_last", k).over(by_piece), none) for k in range(1, depth + 1)]), 1, depth)
+        heads = pieces.select(*[F.col(k).alias(f"_h_{k}") for k in (*keys, "_slice")], before.alias("_lg_b"))
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in (*keys, "_slice")])
+        rows = rows.join(heads, on).drop(*[f"_h_{k}" for k in (*keys, "_slice")])
+        found = {k: F.when(F.col("_lg_n") > k, c).otherwise(F.try_element_at("_lg_b", k - F.col("_lg_n") + 1)) for k, c in found.items()}
+        drop.append("_lg_b")
+    out = rows.withColumns({f"_lg_f{k}": c for k, c in found.items()})
+    return out.withColumns({f"{c}_lag{k}": F.col(f"_lg_f{k}.{c}") for k in found for c in columns}).drop(*drop, *[f"_lg_f{k}" for k in found])
+
+
 def neighbour_row(
     df: DataFrame,
     keys: Sequence[str],

@@ -104,7 +104,7 @@ def _(t):
     m = Q.goal_soon(master(t), "HOM", DAY, WIDTH)
     s = smoothed(m).select("event_id", "x_smooth")
     g = Z.goal_model(m.join(s, "event_id"), ["x_smooth", "delta_pythagorean", "score_state"], "goal_soon")
-    return g.select("event_id", "goal_soon", F.round("p_goal", 4).alias("p_goal"))
+    return g.select("event_id", "goal_soon", F.round("p_goal", 4).alias("p_goal"), "converged")
 
 
 CHUNKS = """ch AS (SELECT doc_id, source, i - 1 AS k, substr(text, CAST(1 + (i - 1) * 650 AS BIGINT), 800) AS chunk_text FROM documents, LATERAL (SELECT unnest(range(1, 2 + (greatest(1, length(text) - 150) - 1) // 650)) AS i) WHERE length(trim(text)) > 0)"""

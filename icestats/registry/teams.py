@@ -220,16 +220,14 @@ round((wp - min(wp) OVER s) / (max(wp) OVER s - min(wp) OVER s), 6) AS kpi_wp,
 round(CAST(row_number() OVER (PARTITION BY season ORDER BY rwin, fenwick_lvl, corsi_lvl, team) - 1 AS DOUBLE) / (count(*) OVER s - 1), 6) AS final_position
 FROM tot WINDOW s AS (PARTITION BY season)""")
 def _(t):
-    return T.team_season(t.games, MONTH).select("season", "team", *r6("kpi_corsi", "kpi_wp", "final_position"))
+    totals = T.totals_of(T.season_edges(T.shot_levels(T.to_team_rows(t.games))))
+    return T.with_indicators(totals).select("season", "team", *r6("kpi_corsi", "kpi_wp", "final_position"))
 
 
 def _rated(t):
     """Game-level metrics and the per-team index, both from written tables."""
-    rows = materialise(T.shot_levels(T.to_team_rows(t.games)), "rows")
-    m = materialise(T.attach_opponent_running(T.running_metrics(rows, MONTH)), "metrics")
-    e = T.head_to_head(m)
-    r = T.rating_percentage_index(T.season_totals(m), T.opponent_record(m), T.common_opponents(e))
-    return m, materialise(r, "rpi")
+    m = T.game_metrics(t.games, MONTH)
+    return m, materialise(T.rated(materialise(T.season_edges(m), "edges")), "teams")
 
 
 @query("streak_flags_e7", "WITH " + STREAK + """

@@ -65,6 +65,20 @@ def test_neighbour(rows, ahead):
     same(S.neighbour_row(rows, *args, ahead=ahead, slice_by=SLICE), S.neighbour_row(rows, *args, ahead=ahead))
 
 
+@pytest.mark.parametrize("slice_by", [None, SLICE, "floor(t / 40)"])
+def test_lagged(rows, spark, tmp_path, slice_by):
+    got = S.lagged(rows, ["key"], ["t", "id"], ["id", "v"], 3, slice_by=slice_by)
+    assert got.columns == [*rows.columns, *[f"{c}_lag{k}" for k in (1, 2, 3) for c in ("id", "v")]]
+    per, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r["t"], r["id"])):
+        past = per.setdefault(r["key"], [])
+        want[r["id"]] = [x for k in (1, 2, 3) for x in (past[-k] if len(past) >= k else (None, None))]
+        past.append((r["id"], r["v"]))
+    assert {r["id"]: list(r[4:]) for r in got.collect()} == want
+    rows.write.parquet(str(tmp_path / "in"))
+    assert scans(S.lagged(spark.read.parquet(str(tmp_path / "in")), ["key"], ["t", "id"], ["v"], 3, slice_by=SLICE)) == 2
+
+
 def test_everything_in_one_pass(rows, spark, tmp_path):
     ask = dict(totals={"s": "v"}, totals_before={"b": "v"}, carry={"c": "v"}, previous={"p": "id"}, following={"f": "id", "fv": "v"})
     same(S.context(rows, ["key"], ["t", "id"], slice_by=SLICE, **ask), S.context(rows, ["key"], ["t", "id"], **ask))
