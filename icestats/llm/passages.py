@@ -29,6 +29,8 @@ SIMILAR = 0.8
 HASHES = 4
 #: Members of a group compared at once; larger groups go in pairs of blocks.
 LEAF = 32_768
+#: Text whose windows are made at once.
+WINDOW_BYTES = 1_000_000
 
 
 def wide_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,7 +121,7 @@ def windows(docs: DataFrame, words: int = WORDS, width: int = SHINGLE, hashes: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=WINDOW_BYTES):
                 keys = part.column(1).to_numpy()
                 lists = shingles([words_of(t) for t in part.column(2).to_pylist()], width)
                 long = [k for k, own in enumerate(lists) if len(own) >= tokens]
@@ -436,7 +438,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR
     other = F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
     spread = regions.withColumn("part", part).withColumn("o", F.explode(other))
     spread = spread.select("h", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "id", "key", "place", "region")
-    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, id {kind}, first long, end long, source {kind}, source_key long", rows=40_000)
+    spans = grouped(spread, ["h", "i", "j"], _verify(tokens, width, similar), f"key long, id {kind}, first long, end long, source {kind}, source_key long", rows=20_000)
     at, left, right = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
     copied = met.where("source_key is not null").select("key", "id", (at - left).alias("first"), (at + right + width).alias("end"), "source", "source_key")
     spans = spans.unionByName(copied)
