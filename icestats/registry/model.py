@@ -77,7 +77,7 @@ def _(t):
 
 @query("momentum_bootstrap_i10")
 def _(t):
-    f = Z.bootstrap_effects(master(t), demo_params().vector(), replicates=500)
+    f = Z.bootstrap_effects(master(t), demo_params().vector(), replicates=500, batch=500, tolerance=1e-4, steps=60)
     low, high = np.quantile(Z.effects(f.theta), [0.025, 0.975], axis=0)
     rows = [(n, float(a), float(b), len(f.theta), int(f.converged.sum())) for n, a, b in zip(Z.INPUTS, low, high)]
     return t.spark.createDataFrame(rows, "input string, low double, high double, replicates int, converged int")
