@@ -352,7 +352,12 @@ ed AS (SELECT * FROM (SELECT a.p_brand, a.name AS name_l, a.rep AS left_rep, b.r
  FROM cl a JOIN cl b ON a.p_brand = b.p_brand AND a.side = 1 AND b.side = 0) WHERE score > 78)"""
 
 
-@query("fuzzy_links_c16", f"WITH {CLASSES} SELECT p_brand, left_rep, right_rep, n_left, n_right, score FROM ed")
+@query("fuzzy_links_c16", f"WITH {NAMES} SELECT p_brand, left_id, right_id, score FROM pairs WHERE score > 78")
+def _(t):
+    return L.pairs(people_links(t))
+
+
+@query("fuzzy_class_links_c16", f"WITH {CLASSES} SELECT p_brand, left_rep, right_rep, n_left, n_right, score FROM ed")
 def _(t):
     return L.class_links(people_links(t))
 

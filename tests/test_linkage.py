@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from icestats.operators import linkage as L
 
 
@@ -83,3 +84,11 @@ def test_links_in_factors_equal_all_pairs(spark):
     assert best == {i: min(((w[2], w[3]) for w in want if w[1] == i and w[3] >= 85), key=lambda x: (-x[1], x[0])) for i in {w[1] for w in want if w[3] >= 85}}
     linked = L.link_people(make(left, "l"), make(right, "r"), ["block"], left_id="l", right_id="r", name="name").collect()
     assert len(linked) == len({r["l"] for r in linked}) == len({w[1] for w in want})
+
+
+def test_fuzzy_links_query_writes_out_every_pair_of_ids(spark, tmp_path):
+    # three right rows of one name: a link each, with its own id
+    rows = [(1, "B", "ab cd", "X Y"), (3, "B", "ab cd", "X Y"), (2, "B", "ab cd", "X Y"), (4, "B", "ab cd", "X Y"), (6, "B", "ab cd", "X Y"), (8, "C", "ab cd", "X Y")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["left_id"], r["right_id"]) for r in queries()["fuzzy_links_c16"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in (1, 3) for j in (2, 4, 6)}
