@@ -197,13 +197,25 @@ def best_links(links: Links, threshold: int = BEST_THRESHOLD) -> DataFrame:
     return links.left.join(top, [*block, "name_l"]).select(*block, links.left_id, "b.*")
 
 
-def link_people(left: DataFrame, right: DataFrame, block: Sequence[str], *, left_id: str, right_id: str, name: str, method: str = "edit") -> DataFrame:
-    """One row per linked left row: exact name first, for the rest the best fuzzy partner, with its `phase`."""
-    exact = right.groupBy(*block, name).agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("n_partners"))
+def _two_phases(left: DataFrame, right: DataFrame, exact: DataFrame, block: Sequence[str], left_id: str, right_id: str, name: str, method: str) -> tuple[DataFrame, Links]:
+    """Left rows with their partners in `exact` (of the same name), and the fuzzy links of those without."""
     first = exact_links(left.select(*block, name, left_id), exact, [*block, name])
     found = first.filter(F.col(right_id).isNotNull()).withColumns({"score": F.lit(100), "phase": F.lit("exact")})
     rest = first.filter(F.col(right_id).isNull()).select(*block, name, left_id)
-    links = fuzzy_links(rest, right.select(*block, name, right_id), block, left_id=left_id, right_id=right_id, name=name, method=method)
+    return found, fuzzy_links(rest, right.select(*block, name, right_id), block, left_id=left_id, right_id=right_id, name=name, method=method)
+
+
+def linked_people(left: DataFrame, right: DataFrame, block: Sequence[str], *, left_id: str, right_id: str, name: str, method: str = "edit") -> DataFrame:
+    """Every link: all exact matches first, all fuzzy ones for the rest, in one table with its `phase`."""
+    found, links = _two_phases(left, right, right.select(*block, name, right_id), block, left_id, right_id, name, method)
+    columns = [*block, left_id, right_id, "score", "phase"]
+    return found.select(*columns).unionByName(pairs(links).withColumn("phase", F.lit("fuzzy")).select(*columns))
+
+
+def link_people(left: DataFrame, right: DataFrame, block: Sequence[str], *, left_id: str, right_id: str, name: str, method: str = "edit") -> DataFrame:
+    """One row per linked left row: exact name first, for the rest the best fuzzy partner, with its `phase`."""
+    exact = right.groupBy(*block, name).agg(F.min(right_id).alias(right_id), F.count(F.lit(1)).alias("n_partners"))
+    found, links = _two_phases(left, right, exact, block, left_id, right_id, name, method)
     fuzzy = best_links(links, LINK_THRESHOLD + 1).withColumn("phase", F.lit("fuzzy"))
     columns = [*block, left_id, right_id, "score", "n_partners", "phase"]
     return found.select(*columns).unionByName(fuzzy.select(*columns))

@@ -386,7 +386,14 @@ def _(t):
     return L.exact_links(l, r, ["p_brand", "p_name"]).select("left_id", "right_id")
 
 
-@query("link_people_k15", f"""WITH {NAMES}, raw AS (SELECT p_partkey, p_brand, {ODD} AS nm0 FROM part),
+@query("link_people_k15", f"""WITH {NAMES}, raw AS (SELECT p_partkey, p_brand, {ODD} AS nm0 FROM part), ex AS (SELECT a.p_brand, a.p_partkey AS left_id, b.p_partkey AS right_id FROM raw a JOIN raw b ON a.p_brand = b.p_brand AND a.nm0 = b.nm0 WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0)
+SELECT p_brand, left_id, right_id, 100 AS score, 'exact' AS phase FROM ex UNION ALL SELECT p_brand, left_id, right_id, score, 'fuzzy' FROM pairs WHERE score > 78 AND left_id NOT IN (SELECT left_id FROM ex)""")
+def _(t):
+    l, r = people(t)
+    return L.linked_people(l, r, ["p_brand"], left_id="left_id", right_id="right_id", name="name")
+
+
+@query("link_people_best_k15", f"""WITH {NAMES}, raw AS (SELECT p_partkey, p_brand, {ODD} AS nm0 FROM part),
 ex AS (SELECT a.p_brand, a.p_partkey AS left_id, min(b.p_partkey) AS right_id, count(*) AS n_partners FROM raw a JOIN raw b ON a.p_brand = b.p_brand AND a.nm0 = b.nm0 WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0 GROUP BY ALL),
 fz AS (SELECT p_brand, left_id, right_id, score FROM pairs WHERE score > 78 AND left_id NOT IN (SELECT left_id FROM ex) QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) = 1)
 SELECT p_brand, left_id, right_id, 100 AS score, n_partners, 'exact' AS phase FROM ex

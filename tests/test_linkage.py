@@ -92,3 +92,10 @@ def test_fuzzy_links_query_writes_out_every_pair_of_ids(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r["left_id"], r["right_id"]) for r in queries()["fuzzy_links_c16"](spark, str(tmp_path)).collect()}
     assert got == {(i, j) for i in (1, 3) for j in (2, 4, 6)}
+
+
+def test_linked_people_keeps_every_partner(spark):
+    l = spark.createDataFrame([(1, "A", "jo petersson"), (3, "A", "li lee"), (5, "A", "nobody here")], "l int, block string, name string")
+    r = spark.createDataFrame([(2, "A", "jo petersson"), (4, "A", "jo petersson"), (6, "A", "jo peterson"), (8, "A", "lie lee"), (10, "A", "lii lee")], "r int, block string, name string")
+    got = {tuple(x) for x in L.linked_people(l, r, ["block"], left_id="l", right_id="r", name="name").collect()}
+    assert got == {("A", 1, 2, 100, "exact"), ("A", 1, 4, 100, "exact"), ("A", 3, 8, 86, "fuzzy"), ("A", 3, 10, 86, "fuzzy")}
