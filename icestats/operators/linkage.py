@@ -122,9 +122,35 @@ def similar_names(
     return pairs.withColumn("score", score(F.col("name_l"), F.col("name_r"))).filter(F.col("score") > threshold)
 
 
+#: Joined rows that one piece of a key makes, and that one task makes.
+PIECE_ROWS, TASK_ROWS = 1_000_000, 4_000_000
+
+
+def _multiplied(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """An equi-join whose output grows with the square of a repeated key, spread by its output.
+
+    Its input is small, so Spark would leave it to few tasks. The joined rows are counted first;
+    the left rows of a key that makes many are dealt over pieces, and its right rows meet each.
+    """
+    keys = list(on)
+    count = lambda d, n: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    sizes = count(left, "_a").join(count(right, "_b"), keys).select(*keys, (F.col("_a") * F.col("_b")).alias("_rows"))
+    total = int(sizes.agg(F.sum(F.col("_rows").cast("decimal(38,0)"))).first()[0] or 0)
+    if total <= PIECE_ROWS:
+        return left.join(right, keys, how)
+    # a key never needs more pieces than it has left rows
+    pieces = sizes.filter(F.col("_rows") > PIECE_ROWS).select(*keys, F.ceil(F.col("_rows") / PIECE_ROWS).cast("int").alias("_n"))
+    n, tasks = F.coalesce("_n", F.lit(1)), -(-total // TASK_ROWS)
+    tasks = max(tasks, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    l = left.join(pieces, keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("_n")
+    r = right.join(pieces, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    keys.append("_piece")
+    return l.repartition(tasks, *keys).join(r.repartition(tasks, *keys), keys, how).drop("_piece")
+
+
 def exact_links(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left rows with their exact partner, or a null partner."""
-    return left.join(right, list(on), "left")
+    """Left rows with their exact partner, or a null partner; repeated names multiply."""
+    return _multiplied(left, right, on, "left")
 
 
 class Links(NamedTuple):
@@ -157,7 +183,7 @@ def fuzzy_links(
 
 def pairs(links: Links) -> DataFrame:
     """Every linked pair of ids; repeated names multiply."""
-    out = links.edges.join(links.left, [*links.block, "name_l"]).join(links.right, [*links.block, "name_r"])
+    out = _multiplied(links.edges.join(links.left, [*links.block, "name_l"]), links.right, [*links.block, "name_r"], "inner")
     return out.select(*links.block, links.left_id, links.right_id, "score")
 
 

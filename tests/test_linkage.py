@@ -99,3 +99,15 @@ def test_linked_people_keeps_every_partner(spark):
     r = spark.createDataFrame([(2, "A", "jo petersson"), (4, "A", "jo petersson"), (6, "A", "jo peterson"), (8, "A", "lie lee"), (10, "A", "lii lee")], "r int, block string, name string")
     got = {tuple(x) for x in L.linked_people(l, r, ["block"], left_id="l", right_id="r", name="name").collect()}
     assert got == {("A", 1, 2, 100, "exact"), ("A", 1, 4, 100, "exact"), ("A", 3, 8, 86, "fuzzy"), ("A", 3, 10, 86, "fuzzy")}
+
+
+def test_repeated_names_are_joined_in_pieces(spark, monkeypatch):
+    left = spark.createDataFrame([(i, ["A", "B", None][i % 3], "hot" if i % 3 == 0 else str(i)) for i in range(300)], "l int, block string, name string")
+    right = spark.createDataFrame([(i, ["A", "B", None][i % 3], "hot" if i % 3 == 0 else str(i)) for i in range(300)], "r int, block string, name string")
+    plain = sorted(map(tuple, left.join(right, ["block", "name"], "left").collect()), key=repr)
+    monkeypatch.setattr(L, "PIECE_ROWS", 500)
+    monkeypatch.setattr(L, "TASK_ROWS", 1000)
+    got = L.exact_links(left, right, ["block", "name"])
+    assert sorted(map(tuple, got.collect()), key=repr) == plain
+    # the hundred rows of one name make 10,000 joined rows, which no task makes alone
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 5000
