@@ -183,6 +183,8 @@ MIN_HISTORY, PENALTY_C = 50, 1e5
 SPAN_GROWTH, SPAN_SQUARE = 0.05, 2.5e-6
 #: Largest error of a standardised coefficient that an expansion may leave.
 EXPANSION_ERROR = 1e-7
+#: Error of an expansion up to which the next fit starts from it.
+NEAR = 1e-2
 #: Bound of the fifth derivative of the logistic loss, which an expansion leaves out.
 FIFTH = 0.13
 
@@ -198,7 +200,8 @@ def expanding_logit(
     average. One more job sums the loss' first four derivatives at each span's point, over
     the history before the span and once per date within; the other cutoffs solve these
     expansions on the driver. Where the error bound exceeds EXPANSION_ERROR, the rest of the
-    span goes on from a point of its own. The driver holds sums per span and date; a calendar bounds
+    span goes on from points of its own, as many as the cutoffs that the last one settled
+    call for, at most twice as many each round. The driver holds sums per span and date; a calendar bounds
     them. A cutoff that has not converged has `converged` false and no forecast.
     """
     data = rows.filter(F.expr(" AND ".join(f"{f} IS NOT NULL" for f in features)) & F.col(target).isNotNull())
@@ -215,7 +218,7 @@ def expanding_logit(
             "_b", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]
         ).persist()
         span = _spans(scale.n)
-        rest = np.flatnonzero(span >= 0)
+        rest, parts = np.flatnonzero(span >= 0), 1
         while len(rest):
             # the first open cutoff of each span, by which the span's other open ones are expanded
             starts = rest[np.unique(span[rest], return_index=True)[1]]
@@ -224,7 +227,10 @@ def expanding_logit(
             own, good = _expanded(seen, features, scale, starts, rest, span, fitted, ended, tolerance)
             theta[rest], done[rest] = own, good
             open_spans = span[starts[ended]]  # a span whose first cutoff does not converge ends here
+            covered = np.bincount(span[rest], good)
             rest = rest[~good & np.isin(span[rest], open_spans)]
+            parts *= 2
+            span = _split(span, rest, covered, parts)
         work.unpersist()
     v = scale.raw(theta, np.arange(nb))
     ready = done & (scale.n >= MIN_HISTORY)
@@ -285,6 +291,16 @@ def _spans(n: np.ndarray) -> np.ndarray:
     return span
 
 
+def _split(span: np.ndarray, rest: np.ndarray, covered: np.ndarray, most: int) -> np.ndarray:
+    """New spans: the open cutoffs `rest` of each span in consecutive groups of about the size that
+    its point has `covered`, `most` at most; -1 elsewhere."""
+    out, k = np.full(len(span), -1), 0
+    for own in np.split(rest, np.flatnonzero(np.diff(span[rest])) + 1) if len(rest) else []:
+        for group in np.array_split(own, min(most, int(np.ceil(len(own) / max(1, covered[span[own[0]]]))))):
+            out[group], k = k, k + 1
+    return out
+
+
 def _terms(d: int, order: int) -> list[tuple[int, ...]]:
     return list(combinations_with_replacement(range(d), order))
 
@@ -396,6 +412,8 @@ def _expanded(work: DataFrame, features: Sequence[str], scale: _Scales, starts:
                 break
         far = (np.abs(scale.raw(own, at) - point[b]) * scale.top[at]).sum(axis=1)
         left_out = FIFTH / 24 * far**4 * scale.n[at] * scale.reach[at] * np.linalg.norm(np.linalg.inv(curve), axis=(1, 2))
-        theta[here] = np.where(np.isfinite(own), own, fitted[b])
+        # beyond the bound the expansion may lead anywhere: the next fit starts from the point
+        near = (np.isfinite(own).all(axis=1) & (left_out <= NEAR))[:, None]
+        theta[here] = np.where(near, own, scale.standard(np.repeat(point[b : b + 1], len(at), axis=0), at))
         done[here] = (size < tolerance) & (left_out <= EXPANSION_ERROR) & ended[b]
     return theta, done

@@ -337,3 +337,17 @@ def test_logits_of_many_sets_end_at_a_zero_gradient(spark):
     row = report[(report.features == "scales") & (report["class"] == "win")].iloc[0]
     assert row.precision == pytest.approx(round((p & (pdf.win == 1)).sum() / p.sum(), 3)) and row.support == pdf.win.sum() and row.converged
     assert len(E.KPI_SETS) >= 10
+
+
+def test_rounds_of_expanding_logit_do_not_follow_the_points(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    n = 1500
+    f1 = rnd.normal(size=n)
+    pdf = pd.DataFrame({"day": np.arange(n) // 3, "f1": f1, "outcome": (rnd.random(n) < 1 / (1 + np.exp(-f1))).astype(int)})
+    rounds, newton = [], R._newton
+    monkeypatch.setattr(R, "_newton", lambda *a: rounds.append(len(a[3])) or newton(*a))
+    monkeypatch.setattr(R, "SPAN_GROWTH", 2.0)
+    monkeypatch.setattr(R, "SPAN_SQUARE", 1.0)
+    got = R.expanding_logit(spark.createDataFrame(pdf), ["f1"], "outcome", block="day").toPandas()
+    # one point a span and round before: as many rounds as the points of the longest span
+    assert len(rounds) <= 9 < sum(rounds) and got[got["day"] > 20]["converged"].all()
