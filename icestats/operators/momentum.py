@@ -631,7 +631,10 @@ def goal_model(rows: DataFrame, features: Sequence[str], label: str) -> DataFram
     """
     kept = rows.dropna(subset=[*features, label]).withColumn("_one", F.lit(1.0))
     names = ["_one", *features]
-    fit_ = fit_logits(kept.select(F.col(label), *names), label, {"goal": names})["goal"]
+    # each Newton step reads these few columns, not the rows' whole lineage
+    data = kept.select(F.col(label), *names).persist()
+    fit_ = fit_logits(data, label, {"goal": names})["goal"]
+    data.unpersist()
     score = F.lit(float(fit_.theta[0]))
     for f, t in zip(features, fit_.theta[1:]):
         score = score + F.col(f) * float(t)
