@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from icestats.functions.scalars import clip, focal_value
-from icestats.plans.slicing import context, neighbour_row, range_frame, running_total
+from icestats.plans.slicing import context, neighbour_row, range_frame, running_total, slices_needed, tasks_for
 
 GAME = ("gameid",)
 ORDER = ("elapsed", "event_id")
@@ -105,9 +105,12 @@ def posture(kind: Column, owner: Column, zone: Column, blocker: Column, previous
 def enrich(plays: DataFrame, roster: DataFrame, slice_by: Column | str | None = None) -> DataFrame:
     """The enriched event table: roles, scorer, penalty state, previous event, attribution, tags."""
     roles = {"shooter_team": "shooter_id", "blocker_team": "blocker_id", "committed_team": "committed_id", "drawn_team": "drawn_id"}
+    tasks, size = tasks_for(plays)
+    if tasks is not None and slices_needed(plays, GAME, size) == 1:
+        plays = plays.repartition(tasks, *GAME)  # larger games are left to the skew join
     out = attach_roles(plays, roster, roles).withColumn("minutes", F.col("elapsed") / F.lit(60.0))
     lagged = ["owner", "zone", "type", "blocker_team", "blocker_id", "shooter_team", "shooter_id"]
-    out = context(out, GAME, ORDER, carry_before=_scorer(), carry=_penalty(), previous=_lagged(lagged), slice_by=slice_by)
+    out = context(out, GAME, ORDER, carry_before=_scorer(), carry=_penalty(), previous=_lagged(lagged), slice_by=slice_by, tasks=tasks)
     out = _same_period(_close_penalty(out), lagged)
     return out.withColumn("action", attribution(F.col("owner"), F.col("owner_lag1"), F.col("blocker_team_lag1")))
 

@@ -25,6 +25,17 @@ def as_column(piece: Column | str) -> Column:
     return F.expr(piece) if isinstance(piece, str) else piece
 
 
+#: Rows that a task is meant to sort. Spark deals out small shuffles by their compressed bytes,
+#: of which wide rows take twenty times as much once they are sorted.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: DataFrame, factor: int = 1) -> tuple[int | None, int]:
+    """Tasks that share the sort of `factor` times as many rows as these (none where one task does), and the rows of a task."""
+    n = -(-rows.count() * factor // TASK_ROWS)
+    return n if n > 1 else None, TASK_ROWS
+
+
 def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in order]
 
@@ -50,13 +61,14 @@ def context(
     previous: Mapping[str, Column | str] | None = None,
     following: Mapping[str, Column | str] | None = None,
     slice_by: Column | str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """All values that a row takes from its neighbours in one pass: one shuffle and one sort.
 
     `totals` are running sums (0 where nothing came yet), `carry` the last non-null
     values, `previous` and `following` the columns of the row before and after; `*_before`
     leave the current row out. Ask for everything at once: each call reads its input once for the rows and,
-    when sliced, once for the per-piece aggregates.
+    when sliced, once for the per-piece aggregates. `tasks` (see `tasks_for`) shares out the sort.
     """
     groups = [(_as_columns(totals or {}), "t", 0), (_as_columns(totals_before or {}), "t", -1),
               (_as_columns(carry or {}), "c", 0), (_as_columns(carry_before or {}), "c", -1)]
@@ -83,6 +95,8 @@ def context(
         headers = headers.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in ((0, 2) if after else (0,))])))
         rows = rows.withColumn("_h", F.lit(1)).unionByName(headers, allowMissingColumns=True)
         part, by = [*keys, "_slice"], [F.col("_h"), *by]
+    if tasks is not None:
+        rows = rows.repartition(tasks, *part)
     w = W.partitionBy(*part).orderBy(*by)
     made = {}
     for cols, kind, end in groups:

@@ -141,3 +141,18 @@ def test_slices_of_skewed_values_are_bounded(spark):
     assert max(sizes) <= 300
     got = S.ranked(d, ["key"], "v", "id", "r", descending=False, slice_rows=300).toPandas().sort_values(["v", "id"])
     assert list(got["r"]) == list(range(1, 9001))
+
+
+def test_sort_of_enriched_events_is_shared_out_by_rows(spark, monkeypatch):
+    from icestats.operators import sequence as Q
+
+    plays = spark.range(400).selectExpr(
+        "id % 40 AS gameid", "id AS event_id", "1L AS period", "id AS elapsed", "'goal' AS type", "'HOM' AS owner", "'O' AS zone", "id AS shooter_id",
+        "id AS blocker_id", "id AS committed_id", "id AS drawn_id", "1L AS duration")
+    roster = spark.createDataFrame([(1, 1, "HOM")], "gameid long, player_id long, team string")
+    whole = Q.enrich(plays, roster, "floor(elapsed / 100)")
+    want = sorted(map(repr, whole.collect()))
+    monkeypatch.setattr(S, "TASK_ROWS", 20)
+    shared = Q.enrich(plays, roster, "floor(elapsed / 100)")
+    assert whole.rdd.getNumPartitions() < 20 == shared.rdd.getNumPartitions()
+    assert sorted(map(repr, shared.collect())) == want
