@@ -38,9 +38,12 @@ def latest_by_key(odds: DataFrame, keys: tuple[str, ...] = LINE_KEYS) -> DataFra
     return odds.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("updated", "home_line", "away_line")).alias("b"))
 
 
-def latest_lines(odds: DataFrame, keys: tuple[str, ...] = LINE_KEYS) -> DataFrame:
-    """Latest update per key; a map-side aggregate, so repeated pulls never pile up in one task."""
-    return latest_by_key(odds, keys).select(*keys, "b.*")
+def latest_lines(odds: DataFrame, keys: tuple[str, ...] = LINE_KEYS, tasks: int | None = None) -> DataFrame:
+    """Latest update per key; a map-side aggregate, so repeated pulls never pile up in one task.
+
+    The aggregate sorts its rows; where pulls seldom repeat, `tasks` deals them out first.
+    """
+    return latest_by_key(odds if tasks is None else odds.repartition(tasks, *keys), keys).select(*keys, "b.*")
 
 
 def closing_lines(odds: DataFrame, keys: tuple[str, ...] = ("gameid", "description")) -> DataFrame:
@@ -68,10 +71,14 @@ def natural_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lef
     return one(left, left_order).join(r, [*keys, "_repeat"], "left").drop("_repeat")
 
 
-def odds_with_outcomes(odds: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Lines joined to outcomes on game, season and both teams; one row per (game, description)."""
-    one = latest_lines(odds, ("gameid", "season", "home", "away", "description"))
-    return one.join(outcomes.drop("game_date"), ["gameid", "season", "home", "away"])
+def odds_with_outcomes(odds: DataFrame, outcomes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Lines joined to outcomes on game, season and both teams; one row per (game, description).
+
+    `tasks` deals out the lines by game before they are sorted, as in `latest_lines`.
+    """
+    game = ["gameid", "season", "home", "away"]
+    lines = odds if tasks is None else odds.repartition(tasks, *game)
+    return latest_lines(lines, (*game, "description")).join(outcomes.drop("game_date"), game)
 
 
 def analytical_matrix(outcomes: DataFrame, priors: DataFrame) -> DataFrame:

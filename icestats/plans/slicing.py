@@ -28,11 +28,13 @@ def as_column(piece: Column | str) -> Column:
 #: Rows that a task is meant to sort. Spark deals out small shuffles by their compressed bytes,
 #: of which wide rows take twenty times as much once they are sorted.
 TASK_ROWS = 100_000
+#: Most tasks: to more partitions than this a shuffle is sorted by its writer, which holds its rows.
+MOST_TASKS = 200
 
 
 def tasks_for(rows: DataFrame, factor: int = 1) -> tuple[int | None, int]:
     """Tasks that share the sort of `factor` times as many rows as these (none where one task does), and the rows of a task."""
-    n = -(-rows.count() * factor // TASK_ROWS)
+    n = min(-(-rows.count() * factor // TASK_ROWS), MOST_TASKS)
     return n if n > 1 else None, TASK_ROWS
 
 
