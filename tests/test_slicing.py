@@ -161,7 +161,7 @@ def test_sort_of_enriched_events_is_shared_out_by_rows(spark, monkeypatch):
 def test_latest_lines_are_sorted_in_as_many_tasks_as_asked(spark):
     from icestats.operators import market as M
 
-    odds = spark.range(300).selectExpr("id % 60 AS gameid", "'d' AS description", "'p' AS partner", "id AS updated", "id AS home_line", "-id AS away_line",
+    odds = spark.range(300).selectExpr("id % 60 AS gameid", "concat('d', id % 60 % 2) AS description", "concat('p', id % 60 % 3) AS partner", "id AS updated", "id AS home_line", "-id AS away_line",
                                        "2020 AS season", "'A' AS home", "'B' AS away")
     games = spark.range(60).selectExpr("id AS gameid", "2020 AS season", "'A' AS home", "'B' AS away", "DATE'2020-01-01' AS game_date", "1 AS home_goals")
     for ask in (lambda n: M.latest_lines(odds, tasks=n), lambda n: M.odds_with_outcomes(odds, games, n)):
