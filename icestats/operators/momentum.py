@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from icestats.operators.evaluation import fit_logits
-from icestats.plans.slicing import _with_headers, as_column, global_index
+from icestats.plans.slicing import _with_headers, as_column, global_index, tasks_for
 
 # The thirteen inputs and the four observation covariates, in model order
 INPUTS = (
@@ -356,68 +356,112 @@ def _exits(src: DataFrame, a: float, keys: Sequence[str], game: str, by: Sequenc
     return _folded(rows.mapInPandas(run, schema), keys, game, step, ("n_x", "n_p", "n_xp", "n_pp", "n_dt"), backward=True)
 
 
-def _sums(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, starts: np.ndarray, lens: np.ndarray, w: np.ndarray, held):
+def _ends(lens: np.ndarray):
+    """(first row, end, games) of each step of a packed batch, whose games run from the longest to the shortest."""
+    first = 0
+    for t in range(int(lens[0])):
+        m = int(np.searchsorted(-lens, -t, side="left"))
+        yield first, first + m, m
+        first += m
+
+
+def _run_forward(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, x: np.ndarray, p: np.ndarray) -> dict:
+    """Filter a packed batch for several parameter vectors; per vector and row what the gradient needs."""
+    nb, nd = len(INPUTS), len(COVARIATES)
+    a = 1 / (1 + np.exp(-thetas[:, :1]))
+    c, q, r = (np.exp(thetas[:, i : i + 1]) for i in (1 + nb, 2 + nb + nd, 3 + nb + nd))
+    at = np.exp(dt * np.log(a))
+    at2, bu, rest = at * at, thetas[:, 1 : 1 + nb] @ u.T, y - thetas[:, 2 + nb : 2 + nb + nd] @ z.T
+    x0, p0, xp, pp, left, e = (np.empty(at.shape) for _ in range(6))
+    cc, x, p = c * c, x.copy(), p.copy()
+    for i, j, m in steps:
+        xm, pm = x[:, :m], p[:, :m]
+        x0[:, i:j], p0[:, i:j] = xm, pm
+        xpt, ppt = at[:, i:j] * xm + bu[:, i:j], at2[:, i:j] * pm + q
+        et = rest[:, i:j] - c * xpt
+        lt = r / (cc * ppt + r)  # 1 - k c
+        pl = ppt * lt
+        xp[:, i:j], pp[:, i:j], left[:, i:j], e[:, i:j] = xpt, ppt, lt, et
+        x[:, :m], p[:, :m] = xpt + pl * (c / r) * et, pl
+    return {"a": a, "c": c, "q": q, "r": r, "at": at, "x0": x0, "p0": p0, "xp": xp, "pp": pp, "left": left, "e": e, "x": x, "p": p}
+
+
+def _run_back(f: dict, u: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, w: np.ndarray | None, lx: np.ndarray, lp: np.ndarray):
+    """Step a filtered batch backwards: the derivatives of the weighted NLL plus lx · x + lp · p at the ends.
+
+    The mean and variance at a step pass their derivatives to the step before; the sums over
+    rows follow once all are known, so the cost hardly depends on the number of parameters.
+    Returns the gradient (the entries of the start are zero) and the derivatives at the games' starts.
+    """
+    nb, nd = len(INPUTS), len(COVARIATES)
+    c, q, r, at, left = f["c"], f["q"], f["r"], f["at"], f["left"]
+    s_inv = left / r
+    ces = c * f["e"] * s_inv
+    shed = 0.5 * (c * c * s_inv - ces * ces)
+    after_x, after_p, from_x, from_p = (np.empty(at.shape) for _ in range(4))
+    lx, lp = lx.copy(), lp.copy()
+    for i, j, m in reversed(steps):
+        xm, pm, lt, g = lx[:, :m], lp[:, :m], left[:, i:j], ces[:, i:j]
+        after_x[:, i:j], after_p[:, i:j] = xm, pm
+        dx, dp = xm * lt, (pm * lt + xm * g) * lt
+        if w is not None:
+            dx, dp = dx - w[:, :m] * g, dp + w[:, :m] * shed[:, i:j]
+        from_x[:, i:j], from_p[:, i:j] = dx, dp
+        lx[:, :m], lp[:, :m] = at[:, i:j] * dx, at[:, i:j] ** 2 * dp
+    gain = f["pp"] * c * s_inv
+    own = np.concatenate([w[:, :m] for *_, m in steps], axis=1) if w is not None else 0.0
+    by_e = own * ces / c + after_x * gain  # of the gap e
+    by_s = own * shed / (c * c) - (after_p * r + after_x * f["e"] * c) * f["pp"] * s_inv * s_inv
+    grad = np.zeros((len(at), 2 + nb + nd + 5))
+    total = lambda v: v.sum(axis=1)
+    grad[:, 0] = total((from_x * f["x0"] + 2 * at * from_p * f["p0"]) * at * dt) * (1 - f["a"][:, 0])
+    grad[:, 1 : 1 + nb] = from_x @ u
+    grad[:, 1 + nb] = total(c * (-by_e * f["xp"] + after_x * f["e"] * f["pp"] * s_inv + by_s * 2 * c * f["pp"]))
+    grad[:, 2 + nb : 2 + nb + nd] = -by_e @ z
+    grad[:, 2 + nb + nd] = total(from_p) * q[:, 0]
+    grad[:, 3 + nb + nd] = total((after_p * f["pp"] * s_inv + by_s) * r)
+    return grad, lx, lp
+
+
+def _sums(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, lens: np.ndarray, w: np.ndarray, first: int, last: int, held):
     """Weighted sums of the NLL and its gradient for several parameter vectors at once.
 
-    Arrays run over (vector, game[, parameter]). The variance depends on five parameters
-    only; the mean is linear in the other ones. `held` is the state of the first game where
-    it goes on, else None. Returns (nll, gradient, state of the last game).
+    Rows are packed step by step, games from the longest to the shortest; arrays run over
+    (vector, row). `first` is the place of the game that goes on from the state `held`, `last`
+    that of the game whose state the next batch goes on from (-1: none). Returns (nll,
+    gradient, state of that game and its derivatives).
     """
-    nb, nd, n_par = len(INPUTS), len(COVARIATES), thetas.shape[1]
-    ib, ic, jd, iq = slice(1, 1 + nb), 1 + nb, slice(2 + nb, 2 + nb + nd), 2 + nb + nd
-    own = [0, ic, iq, iq + 1, iq + 2]
-    a = 1 / (1 + np.exp(-thetas[:, :1]))
-    c, q, r, p0 = (np.exp(thetas[:, i : i + 1]) for i in (ic, iq, iq + 1, iq + 2))
-    order = np.argsort(-lens, kind="stable")
-    starts, lens, w = starts[order], lens[order], w[:, order]
-    n_vec, n = len(thetas), len(starts)
-    z0, z1 = z[starts, 0], z[starts, 1]
-    x = thetas[:, iq + 3 : iq + 4] * z0 + thetas[:, iq + 4 : iq + 5] * z1
-    p = np.repeat(p0, n, axis=1)
-    dx, dp = np.zeros((n_vec, n, n_par)), np.zeros((n_vec, n, 5))
-    dx[:, :, iq + 3], dx[:, :, iq + 4], dp[:, :, 4] = z0, z1, p
+    at_p0, at_alpha = thetas.shape[1] - 3, thetas.shape[1] - 2
+    steps = list(_ends(lens))
+    z0, z1, p0 = z[: len(lens), 0], z[: len(lens), 1], np.exp(thetas[:, at_p0 : at_p0 + 1])
+    x = thetas[:, at_alpha : at_alpha + 1] * z0 + thetas[:, at_alpha + 1 : at_alpha + 2] * z1
+    p = np.repeat(p0, len(lens), axis=1)
     if held is not None:
-        at = int(np.flatnonzero(order == 0)[0])
-        x[:, at], p[:, at], dx[:, at], dp[:, at] = held
-    nll, grad = np.zeros(n_vec), np.zeros((n_vec, n_par))
-    for t in range(int(lens.max(initial=0))):
-        m = int(np.searchsorted(-lens, -t, side="left"))
-        i = starts[:m] + t
-        xm, pm, dxm, dpm, wm = x[:, :m], p[:, :m], dx[:, :m], dp[:, :m], w[:, :m]
-        at = a ** dt[i]
-        dat = at * dt[i] * (1 - a)
-        xp = at * xm + thetas[:, ib] @ u[i].T
-        pp = at * at * pm + q
-        s = c * c * pp + r
-        e = y[i] - c * xp - thetas[:, jd] @ z[i].T
-        k, es = pp * c / s, e / s
-        left = r / s  # 1 - k c
-        nll += 0.5 * np.einsum("ra,ra->r", wm, np.log(s) + e * es)
-        dpp = (at * at)[:, :, None] * dpm
-        dpp[:, :, 0] += 2 * at * dat * pm
-        dpp[:, :, 2] += q
-        ds = (c * c)[:, :, None] * dpp
-        ds[:, :, 1] += 2 * c * c * pp
-        ds[:, :, 3] += r
-        dk = (c / s)[:, :, None] * dpp - (k / s)[:, :, None] * ds
-        dk[:, :, 1] += k
-        dxm *= at[:, :, None]
-        dxm[:, :, 0] += dat * xm
-        dxm[:, :, ib] += u[i]
-        grad -= np.einsum("ra,rak->rk", wm * es * c, dxm)
-        grad[:, jd] -= np.einsum("ra,ak->rk", wm * es, z[i])
-        grad[:, ic] -= np.einsum("ra,ra->r", wm * es * c, xp)
-        grad[:, own] += 0.5 * np.einsum("ra,rak->rk", wm * (1 / s - es * es), ds)
-        dxm *= left[:, :, None]
-        dxm[:, :, jd] -= k[:, :, None] * z[i]
-        dxm[:, :, ic] -= k * c * xp
-        for j, at_par in enumerate(own):
-            dxm[:, :, at_par] += dk[:, :, j] * e
-        dpm[:] = left[:, :, None] * dpp - (c * pp)[:, :, None] * dk
-        dpm[:, :, 1] -= k * c * pp
-        x[:, :m], p[:, :m] = xp + k * e, left * pp
-    at = int(np.flatnonzero(order == n - 1)[0])
-    return nll, grad, (x[:, at].copy(), p[:, at].copy(), dx[:, at].copy(), dp[:, at].copy())
+        x[:, first], p[:, first] = held[0], held[1]
+
+    def settle(grad: np.ndarray, lx: np.ndarray, lp: np.ndarray, games: np.ndarray) -> np.ndarray:
+        """Take the derivatives at the games' starts on to the parameters that these come from."""
+        if held is not None and first in games:
+            k = list(games).index(first)
+            grad += lx[:, k : k + 1] * held[2] + lp[:, k : k + 1] * held[3]
+            lx[:, k] = lp[:, k] = 0.0
+        grad[:, at_alpha] += lx @ z0[games]
+        grad[:, at_alpha + 1] += lx @ z1[games]
+        grad[:, at_p0] += lp.sum(axis=1) * p0[:, 0]
+        return grad
+
+    f = _run_forward(thetas, u, y, z, dt, steps, x, p)
+    s = f["r"] / f["left"]
+    nll = 0.5 * ((np.log(s) + f["e"] ** 2 / s) * np.concatenate([w[:, :m] for *_, m in steps], axis=1)).sum(axis=1)
+    none = np.zeros(x.shape)
+    grad = settle(*_run_back(f, u, z, dt, steps, w, none, none), np.arange(len(lens)))
+    if last < 0:
+        return nll, grad, None
+    rows = np.array([i + last for i, _, m in steps if last < m])
+    one = {n: v[:, rows] if v.shape[1] == len(y) else v for n, v in f.items()}
+    single, on, off = [(t, t + 1, 1) for t in range(len(rows))], np.ones((len(x), 1)), np.zeros((len(x), 1))
+    dx, dp = (settle(*_run_back(one, u[rows], z[rows], dt[rows], single, None, *seed), np.array([last])) for seed in ((on, off), (off, on)))
+    return nll, grad, (f["x"][:, last], f["p"][:, last], dx, dp)
 
 
 #: Parameter vectors that a task steps through together.
@@ -440,13 +484,12 @@ def likelihood(prepared: DataFrame, thetas: np.ndarray, which: np.ndarray | None
         held: list = [None] * len(blocks)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                data = np.frombuffer(row.data).reshape(row.n, -1)
-                starts, lens = np.frombuffer(row.starts, "i8"), np.frombuffer(row.lens, "i8")
+                data, lens = np.frombuffer(row.data).reshape(row.n, -1), np.frombuffer(row.lens, "i8")
                 y, dt, u, z = data[:, 0], data[:, 1], data[:, 2 : 2 + nu], data[:, 2 + nu : 2 + nu + nz]
-                w = np.frombuffer(row.weights, "u2").reshape(len(starts), -1).T.astype(float) if row.weights else None
+                w = np.frombuffer(row.weights, "u2").reshape(len(lens), -1).T if row.weights else None
                 for k, block in enumerate(blocks):
-                    own = w[which[block]] if w is not None else np.ones((block.stop - block.start, len(starts)))
-                    nll, g, held[k] = sums(thetas[block], u, y, z, dt, starts, lens, own, held[k] if row.goes_on else None)
+                    own = w[which[block]].astype(float) if w is not None else np.ones((block.stop - block.start, len(lens)))
+                    nll, g, held[k] = sums(thetas[block], u, y, z, dt, lens, own, row.first, row.last, held[k] if row.first >= 0 else None)
                     total[block, 0] += nll
                     total[block, 1:] += g
         yield pd.DataFrame({"k": np.arange(n_vec, dtype="int32"), "v": list(total)})
@@ -459,41 +502,69 @@ def likelihood(prepared: DataFrame, thetas: np.ndarray, which: np.ndarray | None
     return arr[:, 0], arr[:, 1:]
 
 
-def prepare(df: DataFrame, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), weights: DataFrame | None = None) -> DataFrame:
-    """Shuffle and sort once and keep every Arrow batch as packed numbers.
+#: Rows of a game up to which it is packed whole; a longer one runs over several batches.
+PACK_ROWS = 20_000
 
-    A batch has a bounded number of rows; a long game runs over several. Each epoch then
-    reads plain buffers instead of converting columns. `weights` (game, weights) has one
-    count per parameter vector; it travels as one header row per game.
+
+def prepare(df: DataFrame, *, game: str = "gameid", order: Sequence[str] = ("elapsed", "event_id"), weights: DataFrame | None = None, pack_rows: int = PACK_ROWS) -> DataFrame:
+    """Shuffle and sort once and keep the rows as batches of packed numbers.
+
+    A batch has a bounded number of rows and ends with a game; only a game above `pack_rows`
+    runs over several. Each epoch then reads plain buffers, step by step of all games, instead
+    of converting columns. The rows are counted, and every core gets a share of the games.
+    `weights` (game, weights) has one count per parameter vector; it travels as one header row per game.
     """
     src, by = _columns(df, [game, *order]), [F.col(c) for c in order]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, tasks_for(src)[0] or 1)
     if weights is not None:
         src, by = _with_headers(src, weights.select(game, "weights")), [F.col("_h"), *by]
-    src = _by_piece(src, [game], by)
+    src = src.repartition(tasks, game).sortWithinPartitions(game, *by)
     segments, columns = _segments, ["y", "dt", *INPUTS, *COVARIATES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, known = None, {}
+        known: dict = {}
+        rest, open_game = None, None  # rows that wait for the end of their game, the game that is packed in part
+
+        def packed(pdf: pd.DataFrame, more: bool) -> pd.DataFrame:
+            nonlocal open_game
+            starts, lens = segments(pdf, [game])
+            games = pdf[game].to_numpy()[starts]
+            place = np.argsort(-lens, kind="stable")
+            step = np.arange(len(pdf)) - np.repeat(starts, lens)
+            rank = np.empty(len(lens), "i8")
+            rank[place] = np.arange(len(lens))
+            rows = np.lexsort((np.repeat(rank, lens), step))
+            out = pd.DataFrame({
+                "n": [len(pdf)], "first": [int(rank[0]) if open_game is not None and games[0] == open_game else -1], "last": [int(rank[-1]) if more else -1],
+                "lens": [lens[place].astype("i8").tobytes()], "data": [np.ascontiguousarray(pdf[columns].to_numpy(float)[rows]).tobytes()],
+                "weights": [np.stack([known[g] for g in games[place]]).tobytes() if known else None],
+            })
+            open_game = games[-1] if more else None
+            for g in games[: len(games) - more]:
+                known.pop(g, None)
+            return out
+
         for pdf in batches:
             if "_h" in pdf:
                 head = pdf[pdf["_h"] == 0]
-                known = {**({last: known[last]} if last in known else {}), **{g: np.asarray(v, "u2") for g, v in zip(head[game], head["weights"])}}
+                known.update({g: np.asarray(v, "u2") for g, v in zip(head[game], head["weights"])})
                 pdf = pdf[pdf["_h"] == 1]
+            pdf = pdf[[game, *columns]]
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            if not len(pdf):
+                continue
             starts, lens = segments(pdf, [game])
-            if not len(starts):
-                last = next(reversed(known), last)
+            if lens[-1] > pack_rows:
+                rest = None
+                yield packed(pdf, True)
                 continue
-            games = pdf[game].to_numpy()[starts]
-            yield pd.DataFrame({
-                "n": [len(pdf)], "goes_on": [bool(last == games[0])], "starts": [starts.astype("i8").tobytes()], "lens": [lens.astype("i8").tobytes()],
-                "data": [np.ascontiguousarray(pdf[columns].to_numpy(float)).tobytes()],
-                "weights": [np.stack([known[g] for g in games]).tobytes() if known else None],
-            })
-            last = games[-1]
-            if known and next(reversed(known)) not in games:
-                last = next(reversed(known))
+            if starts[-1]:
+                yield packed(pdf.iloc[: starts[-1]], False)
+            rest = pdf.iloc[starts[-1] :]
+        if rest is not None and len(rest):
+            yield packed(rest, False)
 
-    return src.mapInPandas(run, "n int, goes_on boolean, starts binary, lens binary, data binary, weights binary").persist()
+    return src.mapInPandas(run, "n int, first int, last int, lens binary, data binary, weights binary").persist()
 
 
 @dataclass
