@@ -1,14 +1,16 @@
 """Sequential ratings and forecasts.
 
 The plain Elo update depends on the two current ratings, so a league is read in
-game order. It is streamed through a task in sorted Arrow batches: the state is one
-number per team and parameter cell, never the games. Leagues (and seasons, when
-ratings start anew each season) are separate and run in parallel. The variant whose
+game order. Pieces of it are sorted side by side and packed to a few bytes a game, and one
+task streams through these: the state is one number per team and parameter cell, never the
+games. Leagues (and seasons, when ratings start anew each season) are separate and run in parallel. The variant whose
 expected score comes from the market is a prefix sum and needs no sequence at all.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement, permutations
 
@@ -18,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from icestats.plans.slicing import global_index, running_total
+from icestats.operators.momentum import _segments
+from icestats.plans.lineage import materialise
+from icestats.plans.slicing import _with_headers, global_index, running_total
 
 START = 1500.0
 # Grid of update factors and home advantages, share of games not scored
@@ -36,8 +40,88 @@ def advantage_bump(hfa: Column) -> Column:
     return win_chance(hfa) - F.lit(0.5)
 
 
-def _sorted_leagues(games: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return games.repartition(*keys).sortWithinPartitions(*keys, *order)
+#: Games that a piece of a league is meant to hold, and the most pieces.
+PIECE_GAMES, MOST_PIECES = 20_000, 200
+#: Columns of packed games.
+PACKED = ("teams", "sides", "scores", "outcomes", "seasons", "runs")
+
+
+def _pieces(games: DataFrame, first: str) -> tuple[DataFrame, int]:
+    """Add `_piece`: consecutive ranges of the order's first column of about equal size; and their number.
+
+    The borders are collected, a number per piece, so that every pass cuts alike. Null comes first.
+    """
+    kind = games.schema[first].dataType
+    at = F.unix_micros(F.col(first).cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType)) else F.col(first)
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.NumericType)):
+        return games.withColumn("_piece", F.lit(0)), 1
+    shares = [i / MOST_PIECES for i in range(1, MOST_PIECES)]
+    n, edges = games.agg(F.count(F.lit(1)), F.percentile_approx(at.cast("double"), shares, 100 * MOST_PIECES)).first()
+    pieces = min(MOST_PIECES, -(-n // PIECE_GAMES))
+    kept = sorted({edges[i * MOST_PIECES // pieces - 1] for i in range(1, pieces)}) if edges else []
+    if not kept:
+        return games.withColumn("_piece", F.lit(0)), 1
+
+    def place(low: int, high: int) -> Column:
+        """The number of borders that are not above the value, which is `low` to `high`."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(at.cast("double") >= kept[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    return games.withColumn("_piece", place(0, len(kept))), pieces
+
+
+def _coded(values: np.ndarray) -> tuple[list, np.ndarray]:
+    """Distinct values (missing ones as None) and the place of each value among them, in as few bytes as do."""
+    places, distinct = pd.factorize(values, use_na_sentinel=False)
+    return [None if pd.isna(v) else v for v in distinct], places.astype(np.min_scalar_type(max(len(distinct) - 1, 0)))
+
+
+def _packed(games: DataFrame, keys: Sequence[str], order: Sequence[str], home: str, away: str, outcome: str, season: str | None, pieces: int) -> DataFrame:
+    """Games in order as rows of packed numbers, a few bytes a game; pieces are sorted side by side.
+
+    (keys, _piece, _chunk, teams, sides, scores, outcomes, seasons, runs): `sides` holds the places of
+    the home and away teams, `outcomes` those of the scores, `runs` the games of each season in a row.
+    """
+    years = [season] if season else []
+    rows = games.select(*keys, "_piece", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(home).alias("_home"), F.col(away).alias("_away"), F.col(outcome).cast("double").alias("_y"), *[F.col(c).alias("_s") for c in years])
+    by = [*keys, "_piece"]
+    rows = rows.repartition(pieces, *by).sortWithinPartitions(*by, *[f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))])
+    number = bool(season) and isinstance(games.schema[season].dataType, T.NumericType)
+    schema = T.StructType([rows.schema[k] for k in by] + [T.StructField(n, t) for n, t in (
+        ("_chunk", T.LongType()), ("teams", T.ArrayType(games.schema[home].dataType)), ("sides", T.BinaryType()), ("scores", T.ArrayType(T.DoubleType())),
+        ("outcomes", T.BinaryType()), ("seasons", T.ArrayType(T.DoubleType() if number or not season else games.schema[season].dataType)), ("runs", T.BinaryType()))])
+    coded, segments = _coded, _segments
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = 0
+        for pdf in batches:
+            made = []
+            for i, m in zip(*segments(pdf, by)):
+                one = pdf.iloc[i : i + m]
+                teams, sides = coded(np.concatenate([one["_home"].to_numpy(object), one["_away"].to_numpy(object)]))
+                scores, outcomes = coded(one["_y"].to_numpy(float))
+                at, runs = segments(one, ["_s"]) if season else (np.zeros(1, int), np.array([m]))
+                seasons = [None if pd.isna(v) else v for v in one["_s"].to_numpy()[at]] if season else [0.0]
+                made.append((*(one[k].iloc[0] for k in by), chunk, teams, sides.tobytes(), scores, outcomes.tobytes(), [float(v) if number and v is not None else v for v in seasons], runs.astype("i4").tobytes()))
+                chunk += 1
+            if made:
+                yield pd.DataFrame(made, columns=schema.names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _unpacked(row, number: bool = True):
+    """Teams, places of home and away, outcomes and (season, games) runs of a packed row."""
+    sides = np.frombuffer(row.sides, np.min_scalar_type(max(len(row.teams) - 1, 0))).reshape(2, -1).tolist()
+    y = np.array([np.nan if v is None else v for v in row.scores], float)[np.frombuffer(row.outcomes, np.min_scalar_type(max(len(row.scores) - 1, 0)))].tolist()
+    seasons = [math.nan if v is None and number else v for v in row.seasons]
+    return list(row.teams), *sides, y, list(zip(seasons, np.frombuffer(row.runs, "i4").tolist()))
+
+
+def _in_order(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return packed.repartition(*keys).sortWithinPartitions(*keys, "_piece", "_chunk")
 
 
 def elo(
@@ -57,22 +141,61 @@ def elo(
 
     `carry` is the part of the distance to 1500 kept at a season change; 0 makes the
     seasons independent and lets them run in parallel. `outcome` may be 0.5.
+
+    One task a league steps through packed games and leaves the ratings with which each piece
+    starts; the pieces then run side by side. The games are written once as a stage.
     """
     keys = list(league) + ([season] if carry == 0 else [])
     schema = T.StructType(
         games.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("r_home", "r_away", "p_elo")]
     )
+    rows, pieces = _pieces(materialise(games, "elo"), order[0])
+    number = isinstance(games.schema[season].dataType, T.NumericType)
+    unpacked = _unpacked
+    packed = _in_order(_packed(rows, keys, order, home, away, outcome, season, pieces), keys)
+    start_schema = T.StructType([packed.schema[c] for c in (*keys, "_piece")] + [T.StructField("_state", T.BinaryType())])
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, year, ratings, at = None, None, {}, None
+        for pdf in batches:
+            made = []
+            for key, piece, row in zip(zip(*[pdf[c].tolist() for c in keys]), pdf["_piece"].tolist(), pdf[list(PACKED)].itertuples(index=False)):
+                teams, hs, zs, ys, seasons = unpacked(row, number)
+                if key != current:
+                    current, year, ratings, at = key, seasons[0][0], {}, piece
+                elif piece != at:
+                    at = piece
+                    made.append((*key, at, pickle.dumps((year, ratings))))
+                i = 0
+                for yr, m in seasons:
+                    if yr != year:
+                        year = yr
+                        if carry != 1.0:
+                            ratings = {t: START + carry * (v - START) for t, v in ratings.items()}
+                    for h, a, y in zip(hs[i : i + m], zs[i : i + m], ys[i : i + m]):
+                        h, a = teams[h], teams[a]
+                        x, z = ratings.get(h, START), ratings.get(a, START)
+                        p = 1.0 / (1.0 + 10.0 ** (-(x - z + hfa) / 400.0))
+                        if y == y:
+                            ratings[h], ratings[a] = x + k * (y - p), z - k * (y - p)
+                    i += m
+            if made:
+                yield pd.DataFrame(made, columns=start_schema.names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, year, ratings = None, None, {}
+        current, year, ratings, brought = None, None, {}, None
         for pdf in batches:
             rh, ra, pr = [], [], []
-            for key, yr, h, a, y in zip(
-                zip(*[pdf[c].tolist() for c in keys]), pdf[season].tolist(), pdf[home].tolist(), pdf[away].tolist(), pdf[outcome].tolist()
-            ):
+            by = zip(*[pdf[c].tolist() for c in (*keys, "_piece")])
+            for key, state, yr, h, a, y in zip(by, pdf["_state"].tolist(), pdf[season].tolist(), pdf[home].tolist(), pdf[away].tolist(), pdf[outcome].tolist()):
+                if state is not None:
+                    brought = key, pickle.loads(state)
+                    continue
                 if key != current:
-                    current, year, ratings = key, yr, {}
-                elif yr != year:
+                    current = key
+                    year, ratings = brought[1] if brought and brought[0] == key else (yr, {})
+                    brought = None
+                if yr != year:
                     year = yr
                     if carry != 1.0:
                         ratings = {t: START + carry * (v - START) for t, v in ratings.items()}
@@ -81,9 +204,16 @@ def elo(
                 rh.append(x), ra.append(z), pr.append(p)
                 if y is not None and y == y:
                     ratings[h], ratings[a] = x + k * (y - p), z - k * (y - p)
-            yield pdf.assign(r_home=rh, r_away=ra, p_elo=pr)
+            if rh:
+                yield pdf.loc[pdf["_h"] == 1, schema.names[:-3]].assign(r_home=rh, r_away=ra, p_elo=pr)
 
-    return _sorted_leagues(games, keys, order).mapInPandas(run, schema)
+    if pieces > 1:
+        whole = {f.name: F.lit(0).cast(f.dataType) for f in games.schema if isinstance(f.dataType, (T.IntegralType, T.BooleanType)) and f.name not in keys}
+        rows = _with_headers(rows, packed.mapInPandas(starts, start_schema).withColumns(whole))
+    else:
+        rows = rows.withColumns({"_h": F.lit(1), "_state": F.lit(None).cast("binary")})
+    by = [*keys, "_piece"]
+    return rows.repartition(pieces, *by).sortWithinPartitions(*by, "_h", *order).mapInPandas(run, schema)
 
 
 def market_elo_sums(
@@ -117,8 +247,11 @@ def elo_grid(games: DataFrame, *, league: Sequence[str], order: Sequence[str] =
 
     All cells of a league are carried as one vector per team, so games are read once.
     """
-    sizes = games.groupBy(*league).agg(F.floor(F.count(F.lit(1)) * burn_in).alias("_skip"))
-    rows = games.join(sizes, list(league)).select(*league, *order, "home", "away", "outcome", "_skip")
+    games = materialise(games.select(*league, *order, "home", "away", "outcome"), "elo-grid")
+    sizes = games.groupBy(*league).agg(F.floor(F.count(F.lit(1)) * burn_in).alias("skip"))
+    cut, pieces = _pieces(games, order[0])
+    rows = _packed(cut, list(league), order, "home", "away", "outcome", None, pieces).join(sizes, list(league))
+    unpacked = _unpacked
     fields = [f for f in games.schema.fields if f.name in league]
     schema = T.StructType(
         fields
@@ -136,25 +269,26 @@ def elo_grid(games: DataFrame, *, league: Sequence[str], order: Sequence[str] =
         current, ratings, sq, seen = None, {}, np.zeros(len(ks)), 0
         scored, base = 0, np.full(len(ks), START)
         for pdf in batches:
-            for key, h, a, y, skip in zip(
-                zip(*[pdf[c].tolist() for c in league]), pdf["home"].tolist(), pdf["away"].tolist(), pdf["outcome"].tolist(), pdf["_skip"].tolist()
-            ):
+            for key, row in zip(zip(*[pdf[c].tolist() for c in league]), pdf[[*PACKED, "skip"]].itertuples(index=False)):
                 if key != current:
                     if current is not None:
                         yield done(current, sq, scored)
                     current, ratings, sq, seen, scored = key, {}, np.zeros(len(ks)), 0, 0
-                x, z = ratings.get(h, base), ratings.get(a, base)
-                p = 1.0 / (1.0 + 10.0 ** (-(x - z + hs) / 400.0))
-                if seen >= skip:
-                    sq = sq + (y - p) ** 2
-                    scored += 1
-                seen += 1
-                step = ks * (y - p)
-                ratings[h], ratings[a] = x + step, z - step
+                teams, hs_, as_, ys, _ = unpacked(row)
+                for h, a, y in zip(hs_, as_, ys):
+                    h, a = teams[h], teams[a]
+                    x, z = ratings.get(h, base), ratings.get(a, base)
+                    p = 1.0 / (1.0 + 10.0 ** (-(x - z + hs) / 400.0))
+                    if seen >= row.skip:
+                        sq = sq + (y - p) ** 2
+                        scored += 1
+                    seen += 1
+                    step = ks * (y - p)
+                    ratings[h], ratings[a] = x + step, z - step
         if current is not None:
             yield done(current, sq, scored)
 
-    out = _sorted_leagues(rows, list(league), order).mapInPandas(run, schema)
+    out = _in_order(rows, list(league)).mapInPandas(run, schema)
     return out.select(*league, "k", "hfa", (F.col("sq") / F.col("n")).alias("brier"))
 
 
