@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from icestats.functions.clock import clock_seconds, seconds_text
 from icestats.functions.scalars import ratio, split_saves
-from icestats.plans.slicing import exact_quantiles, ranked
+from icestats.plans.slicing import exact_quantiles, ranked, tasks_for
 
 # Skater positions and the measures of the two indices
 SKATERS = ("C", "L", "R", "D")
@@ -70,7 +70,15 @@ def performance_index(df: DataFrame, measures: Sequence[str], *, season: str = "
 
 
 def team_codes(rows: DataFrame) -> DataFrame:
-    """Own and opponent code on every row of a game, from the one row per side that has it."""
+    """Own and opponent code on every row of a game, from the one row per side that has it.
+
+    The rows are counted first, so that they set the number of tasks that sort them.
+    """
+    tasks, _ = tasks_for(rows)
+    if tasks:
+        # where rows come from a join by game, Spark would drop a shuffle into as many partitions as its own have, which it deals out by bytes
+        own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(tasks - (tasks == own), "gameid")
     w = W.partitionBy("gameid")
     code = lambda s: F.max(F.when(F.col("side") == s, F.col("code"))).over(w)
     out = rows.withColumns({"_h": code("home"), "_a": code("away")})
