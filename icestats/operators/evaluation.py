@@ -324,20 +324,28 @@ def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *
     rows = data.select(F.col(label).cast("double").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
     places = [np.array([names.index(f) for f in fs]) for fs in sets.values()]
 
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)], "data": [np.ascontiguousarray(pdf[["label", *names]].to_numpy(float).T).tobytes()]})
+
+    # every step reads plain numbers instead of converting the columns again
+    packed = rows.mapInPandas(pack, "n int, data binary").persist()
+
     def sums(thetas: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = {k: np.zeros(2 + len(t) + len(t) ** 2) for k, t in thetas.items()}
             for pdf in batches:
-                x, y = pdf[names].to_numpy(float), pdf["label"].to_numpy()
-                for k, t in thetas.items():
-                    own = x[:, places[k]]
-                    z = own @ t
-                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                    hess = own.T @ (own * (p * (1 - p))[:, None])
-                    total[k] += np.concatenate([[len(y), np.sum(np.logaddexp(0, z) - y * z)], own.T @ (p - y), hess.ravel()])
+                for data in pdf["data"]:
+                    y, *x = np.frombuffer(data).reshape(len(names) + 1, -1)
+                    for k, t in thetas.items():
+                        own = np.stack([x[i] for i in places[k]])
+                        z = t @ own
+                        p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                        hess = (own * (p * (1 - p))) @ own.T
+                        total[k] += np.concatenate([[len(y), np.sum(np.logaddexp(0, z) - y * z)], own @ (p - y), hess.ravel()])
             yield pd.DataFrame([(k, i, v) for k, t in total.items() for i, v in enumerate(t)], columns=["k", "i", "v"])
 
-        got = rows.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+        got = packed.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
         return {k: part.sort_values("i")["v"].to_numpy() for k, part in got.groupby("k")}
 
     fits = [Logit(tuple(fs), np.zeros(len(fs))) for fs in sets.values()]
@@ -357,6 +365,7 @@ def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *
         move = {k: m for k, m in move.items() if k in got and not fits[k].converged}
         if not move:
             break
+    packed.unpersist()
     return dict(zip(sets, fits))
 
 
