@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -365,103 +367,177 @@ def _ends(lens: np.ndarray):
         first += m
 
 
-def _run_forward(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, x: np.ndarray, p: np.ndarray) -> dict:
-    """Filter a packed batch for several parameter vectors; per vector and row what the gradient needs."""
+class _Room:
+    """Arrays by name that one batch leaves to the next, so large ones need not be found anew."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size)
+        return self.held[name][:size].reshape(shape)
+
+
+def _run_forward(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, x: np.ndarray, p: np.ndarray, room: _Room) -> dict:
+    """Filter a packed batch for several parameter vectors; per row and vector what the gradient needs.
+
+    A step's rows lie together, and so do the numbers of the games that have it; constants are
+    repeated for each game, so a step works on plain stretches of memory.
+    """
     nb, nd = len(INPUTS), len(COVARIATES)
-    a = 1 / (1 + np.exp(-thetas[:, :1]))
-    c, q, r = (np.exp(thetas[:, i : i + 1]) for i in (1 + nb, 2 + nb + nd, 3 + nb + nd))
-    at = np.exp(dt * np.log(a))
-    at2, bu, rest = at * at, thetas[:, 1 : 1 + nb] @ u.T, y - thetas[:, 2 + nb : 2 + nb + nd] @ z.T
-    x0, p0, xp, pp, left, e = (np.empty(at.shape) for _ in range(6))
-    cc, x, p = c * c, x.copy(), p.copy()
+    c, q, r = (np.exp(thetas[:, i]) for i in (1 + nb, 2 + nb + nd, 3 + nb + nd))
+    a = 1 / (1 + np.exp(-thetas[:, 0]))
+    x0, p0, xp, left, e, at = (room(n, (len(y), len(thetas))) for n in ("x0", "p0", "xp", "left", "e", "at"))
+    np.exp(np.outer(dt, np.log(a), out=at), out=at)
+    np.matmul(u, thetas[:, 1 : 1 + nb].T, out=xp)  # what the inputs add, then the prediction
+    np.matmul(z, -thetas[:, 2 + nb : 2 + nb + nd].T, out=e)  # the observation without covariates, then the gap
+    e += y[:, None]
+    x, p = x.copy(), p.copy()
+    by_c, by_cc, by_q, by_r, gain = (np.repeat(v[None], len(x), axis=0) for v in (c, c * c, q, r, c / r))
+    logs, squares = np.zeros(x.shape), np.zeros(x.shape)
     for i, j, m in steps:
-        xm, pm = x[:, :m], p[:, :m]
-        x0[:, i:j], p0[:, i:j] = xm, pm
-        xpt, ppt = at[:, i:j] * xm + bu[:, i:j], at2[:, i:j] * pm + q
-        et = rest[:, i:j] - c * xpt
-        lt = r / (cc * ppt + r)  # 1 - k c
-        pl = ppt * lt
-        xp[:, i:j], pp[:, i:j], left[:, i:j], e[:, i:j] = xpt, ppt, lt, et
-        x[:, :m], p[:, :m] = xpt + pl * (c / r) * et, pl
-    return {"a": a, "c": c, "q": q, "r": r, "at": at, "x0": x0, "p0": p0, "xp": xp, "pp": pp, "left": left, "e": e, "x": x, "p": p}
-
-
-def _run_back(f: dict, u: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, w: np.ndarray | None, lx: np.ndarray, lp: np.ndarray):
+        xm, pm, back, xpt, et, lt = x[:m], p[:m], at[i:j], xp[i:j], e[i:j], left[i:j]
+        x0[i:j], p0[i:j] = xm, pm
+        xm *= back
+        xpt += xm
+        pm *= back
+        pm *= back
+        pm += by_q[:m]
+        et -= by_c[:m] * xpt
+        np.multiply(by_cc[:m], pm, out=lt)
+        lt += by_r[:m]
+        np.divide(by_r[:m], lt, out=lt)  # 1 - k c
+        pm *= lt
+        np.multiply(pm, gain[:m], out=xm)
+        xm *= et
+        xm += xpt
+        square = et * et
+        square *= lt
+        squares[:m] += square
+        logs[:m] += np.log(lt, out=square)
+    return {"a": a, "c": c, "q": q, "r": r, "at": at, "x0": x0, "p0": p0, "left": left, "e": e, "x": x, "p": p, "logs": logs, "squares": squares}
+
+
+def _run_back(f: dict, u: np.ndarray, z: np.ndarray, dt: np.ndarray, steps: list, w: np.ndarray | None, lx: np.ndarray, lp: np.ndarray, room: _Room, apart: bool = False):
     """Step a filtered batch backwards: the derivatives of the weighted NLL plus lx · x + lp · p at the ends.
 
     The mean and variance at a step pass their derivatives to the step before; the sums over
     rows follow once all are known, so the cost hardly depends on the number of parameters.
-    Returns the gradient (the entries of the start are zero) and the derivatives at the games' starts.
+    Returns the gradient and the derivatives at the games' starts; the entries of the start,
+    the loading and the noise are zero (see `_completed`). `apart`: one vector, the gradient
+    of each game.
     """
     nb, nd = len(INPUTS), len(COVARIATES)
-    c, q, r, at, left = f["c"], f["q"], f["r"], f["at"], f["left"]
-    s_inv = left / r
-    ces = c * f["e"] * s_inv
-    shed = 0.5 * (c * c * s_inv - ces * ces)
-    after_x, after_p, from_x, from_p = (np.empty(at.shape) for _ in range(4))
+    c, r, at, left, e, x0, p0 = (f[n] for n in ("c", "r", "at", "left", "e", "x0", "p0"))
+    from_x, by_gap, by_decay = (room(n, at.shape) for n in ("from_x", "by_gap", "by_decay"))
     lx, lp = lx.copy(), lp.copy()
+    spread, gain, by_cc = np.zeros(lx.shape), *(np.repeat(v[None], len(lx), axis=0) for v in (c / r, c * c / r))
     for i, j, m in reversed(steps):
-        xm, pm, lt, g = lx[:, :m], lp[:, :m], left[:, i:j], ces[:, i:j]
-        after_x[:, i:j], after_p[:, i:j] = xm, pm
-        dx, dp = xm * lt, (pm * lt + xm * g) * lt
+        xm, pm, lt, back, dx = lx[:m], lp[:m], left[i:j], at[i:j], from_x[i:j]
+        g = e[i:j] * lt
+        g *= gain[:m]
+        np.multiply(xm, lt, out=dx)
+        pm *= lt
+        pm += xm * g
+        pm *= lt
         if w is not None:
-            dx, dp = dx - w[:, :m] * g, dp + w[:, :m] * shed[:, i:j]
-        from_x[:, i:j], from_p[:, i:j] = dx, dp
-        lx[:, :m], lp[:, :m] = at[:, i:j] * dx, at[:, i:j] ** 2 * dp
-    gain = f["pp"] * c * s_inv
-    own = np.concatenate([w[:, :m] for *_, m in steps], axis=1) if w is not None else 0.0
-    by_e = own * ces / c + after_x * gain  # of the gap e
-    by_s = own * shed / (c * c) - (after_p * r + after_x * f["e"] * c) * f["pp"] * s_inv * s_inv
-    grad = np.zeros((len(at), 2 + nb + nd + 5))
-    total = lambda v: v.sum(axis=1)
-    grad[:, 0] = total((from_x * f["x0"] + 2 * at * from_p * f["p0"]) * at * dt) * (1 - f["a"][:, 0])
-    grad[:, 1 : 1 + nb] = from_x @ u
-    grad[:, 1 + nb] = total(c * (-by_e * f["xp"] + after_x * f["e"] * f["pp"] * s_inv + by_s * 2 * c * f["pp"]))
-    grad[:, 2 + nb : 2 + nb + nd] = -by_e @ z
-    grad[:, 2 + nb + nd] = total(from_p) * q[:, 0]
-    grad[:, 3 + nb + nd] = total((after_p * f["pp"] * s_inv + by_s) * r)
+            shed = lt * by_cc[:m]
+            shed -= g * g
+            shed *= w[:m]
+            shed *= 0.5
+            pm += shed
+            g *= w[:m]
+            dx -= g
+        np.subtract(xm, dx, out=by_gap[i:j])  # of the gap, times the loading
+        spread[:m] += pm
+        np.multiply(dx, back, out=xm)
+        pm *= back
+        pm *= back
+        both = by_decay[i:j]
+        np.multiply(pm, p0[i:j], out=both)
+        both *= 2.0
+        both += xm * x0[i:j]
+    inputs, covariates, noise = slice(1, 1 + nb), slice(2 + nb, 2 + nb + nd), 2 + nb + nd
+    spread *= f["q"]
+    if apart:
+        grad = np.zeros((len(lx), 2 + nb + nd + 5))
+        each = np.concatenate([by_decay * (dt[:, None] * (1 - f["a"])), from_x * u, by_gap * z / -c], axis=1)
+        for i, j, m in steps:
+            grad[:m, 0] += each[i:j, 0]
+            grad[:m, inputs] += each[i:j, 1 : 1 + nb]
+            grad[:m, covariates] += each[i:j, 1 + nb :]
+        grad[:, noise] = spread[:, 0]
+    else:
+        grad = np.zeros((len(c), 2 + nb + nd + 5))
+        grad[:, 0] = (dt @ by_decay) * (1 - f["a"])
+        grad[:, inputs] = from_x.T @ u
+        grad[:, covariates] = by_gap.T @ z / -c[:, None]
+        grad[:, noise] = spread.sum(axis=0)
     return grad, lx, lp
 
 
-def _sums(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, lens: np.ndarray, w: np.ndarray, first: int, last: int, held):
-    """Weighted sums of the NLL and its gradient for several parameter vectors at once.
+def _completed(thetas: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """Whole gradients (one row a vector) from those whose entry of the observation noise holds Σ w (1 - e² / s) / 2.
+
+    All variances scaled together scale s alone, and the NLL stays when the state is measured
+    in another unit; each gives one entry from the others.
+    """
+    nb, nd = len(INPUTS), len(COVARIATES)
+    loading, state, noise, start = 1 + nb, 2 + nb + nd, 3 + nb + nd, 4 + nb + nd
+    grad = grad.copy()
+    grad[:, noise] -= grad[:, state] + grad[:, start]
+    units = thetas.copy()
+    units[:, [0, loading, noise]], units[:, 2 + nb : 2 + nb + nd], units[:, [state, start]] = 0.0, 0.0, 2.0
+    grad[:, loading] = (units * grad).sum(axis=1)
+    return grad
+
+
+def _sums(thetas: np.ndarray, u: np.ndarray, y: np.ndarray, z: np.ndarray, dt: np.ndarray, lens: np.ndarray, w: np.ndarray | None, first: int, last: int, held, room: _Room):
+    """Weighted sums of the NLL and its gradient (as `_completed` takes it) for several parameter vectors at once.
 
     Rows are packed step by step, games from the longest to the shortest; arrays run over
-    (vector, row). `first` is the place of the game that goes on from the state `held`, `last`
-    that of the game whose state the next batch goes on from (-1: none). Returns (nll,
-    gradient, state of that game and its derivatives).
+    (row, vector), weights `w` over (game, vector). `first` is the place of the game that goes
+    on from the state `held`, `last` that of the game whose state the next batch goes on from
+    (-1: none). Returns (nll, gradient, state of that game and its derivatives); without
+    weights, for one vector, the NLL and the gradient of each game.
     """
-    at_p0, at_alpha = thetas.shape[1] - 3, thetas.shape[1] - 2
-    steps = list(_ends(lens))
-    z0, z1, p0 = z[: len(lens), 0], z[: len(lens), 1], np.exp(thetas[:, at_p0 : at_p0 + 1])
-    x = thetas[:, at_alpha : at_alpha + 1] * z0 + thetas[:, at_alpha + 1 : at_alpha + 2] * z1
-    p = np.repeat(p0, len(lens), axis=1)
+    at_noise, at_p0, at_alpha = (thetas.shape[1] - k for k in (4, 3, 2))
+    apart, steps = w is None, list(_ends(lens))
+    z0, z1, p0 = z[: len(lens), :1], z[: len(lens), 1:2], np.exp(thetas[:, at_p0])
+    x = thetas[:, at_alpha] * z0 + thetas[:, at_alpha + 1] * z1
+    p = np.repeat(p0[None], len(lens), axis=0)
     if held is not None:
-        x[:, first], p[:, first] = held[0], held[1]
+        x[first], p[first] = held[0], held[1]
+    w = np.ones(x.shape) if apart else w
 
-    def settle(grad: np.ndarray, lx: np.ndarray, lp: np.ndarray, games: np.ndarray) -> np.ndarray:
+    def settle(grad: np.ndarray, lx: np.ndarray, lp: np.ndarray, games: np.ndarray, each: bool = False) -> np.ndarray:
         """Take the derivatives at the games' starts on to the parameters that these come from."""
         if held is not None and first in games:
             k = list(games).index(first)
-            grad += lx[:, k : k + 1] * held[2] + lp[:, k : k + 1] * held[3]
-            lx[:, k] = lp[:, k] = 0.0
-        grad[:, at_alpha] += lx @ z0[games]
-        grad[:, at_alpha + 1] += lx @ z1[games]
-        grad[:, at_p0] += lp.sum(axis=1) * p0[:, 0]
+            grad[k if each else slice(None)] += (lx[k][:, None] * held[2] + lp[k][:, None] * held[3])[0 if each else slice(None)]
+            lx[k] = lp[k] = 0.0
+        total = (lambda v: v[:, 0]) if each else (lambda v: v.sum(axis=0))
+        grad[:, at_alpha] += total(lx * z0[games])
+        grad[:, at_alpha + 1] += total(lx * z1[games])
+        grad[:, at_p0] += total(lp * p0)
         return grad
 
-    f = _run_forward(thetas, u, y, z, dt, steps, x, p)
-    s = f["r"] / f["left"]
-    nll = 0.5 * ((np.log(s) + f["e"] ** 2 / s) * np.concatenate([w[:, :m] for *_, m in steps], axis=1)).sum(axis=1)
+    f = _run_forward(thetas, u, y, z, dt, steps, x, p, room)
+    squares = f["squares"] / f["r"]
+    nll, noise = (0.5 * w * v for v in (lens[:, None] * np.log(f["r"]) - f["logs"] + squares, lens[:, None] - squares))
+    nll, noise = (v[:, 0] if apart else v.sum(axis=0) for v in (nll, noise))
     none = np.zeros(x.shape)
-    grad = settle(*_run_back(f, u, z, dt, steps, w, none, none), np.arange(len(lens)))
+    grad = settle(*_run_back(f, u, z, dt, steps, w, none, none, room, apart), np.arange(len(lens)), apart)
+    grad[:, at_noise] += noise
     if last < 0:
         return nll, grad, None
     rows = np.array([i + last for i, _, m in steps if last < m])
-    one = {n: v[:, rows] if v.shape[1] == len(y) else v for n, v in f.items()}
-    single, on, off = [(t, t + 1, 1) for t in range(len(rows))], np.ones((len(x), 1)), np.zeros((len(x), 1))
-    dx, dp = (settle(*_run_back(one, u[rows], z[rows], dt[rows], single, None, *seed), np.array([last])) for seed in ((on, off), (off, on)))
-    return nll, grad, (f["x"][:, last], f["p"][:, last], dx, dp)
+    one = {n: v[rows] if len(v) == len(y) and v.ndim == 2 else v for n, v in f.items()}
+    single, on, off = [(t, t + 1, 1) for t in range(len(rows))], np.ones((1, len(thetas))), np.zeros((1, len(thetas)))
+    dx, dp = (settle(*_run_back(one, u[rows], z[rows], dt[rows], single, None, *seed, room), np.array([last])) for seed in ((on, off), (off, on)))
+    return nll, grad, (f["x"][last], f["p"][last], dx, dp)
 
 
 #: Parameter vectors that a task steps through together.
@@ -472,26 +548,33 @@ def likelihood(prepared: DataFrame, thetas: np.ndarray, which: np.ndarray | None
     """Σ NLL and Σ gradient for several parameter vectors in one job.
 
     `prepared` comes from `prepare`; `which` names the weight of each vector where games
-    are weighted. A task adds up its packed batches and returns one short row per vector;
-    these are summed on the cluster.
+    are weighted (none: all games count once). A task adds up its packed batches and returns
+    one short row per vector; these are summed on the cluster. Where weights differ but the
+    vectors do not, games are filtered once and their values weighted.
     """
     sums, n_vec, n_par = _sums, *thetas.shape
     nu, nz = len(INPUTS), len(COVARIATES)
-    blocks = [slice(k, min(k + VECTORS, n_vec)) for k in range(0, n_vec, VECTORS)]
+    equal = which is not None and n_vec > 1 and bool((thetas == thetas[0]).all())
+    blocks = [slice(0, 1)] if equal else [slice(k, min(k + VECTORS, n_vec)) for k in range(0, n_vec, VECTORS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_vec, 1 + n_par))
+        total, room = np.zeros((n_vec, 1 + n_par)), _Room()
         held: list = [None] * len(blocks)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 data, lens = np.frombuffer(row.data).reshape(row.n, -1), np.frombuffer(row.lens, "i8")
-                y, dt, u, z = data[:, 0], data[:, 1], data[:, 2 : 2 + nu], data[:, 2 + nu : 2 + nu + nz]
-                w = np.frombuffer(row.weights, "u2").reshape(len(lens), -1).T if row.weights else None
+                y, dt, u, z = (np.ascontiguousarray(v) for v in (data[:, 0], data[:, 1], data[:, 2 : 2 + nu], data[:, 2 + nu : 2 + nu + nz]))
+                weights = np.frombuffer(row.weights, "u2").reshape(len(lens), -1) if row.weights and which is not None else None
+                each = equal and weights is not None
                 for k, block in enumerate(blocks):
-                    own = w[which[block]].astype(float) if w is not None else np.ones((block.stop - block.start, len(lens)))
-                    nll, g, held[k] = sums(thetas[block], u, y, z, dt, lens, own, row.first, row.last, held[k] if row.first >= 0 else None)
-                    total[block, 0] += nll
-                    total[block, 1:] += g
+                    own = None
+                    if not each:
+                        own = weights[:, which[block]].astype(float) if weights is not None else np.ones((len(lens), block.stop - block.start))
+                    nll, g, held[k] = sums(thetas[block], u, y, z, dt, lens, own, row.first, row.last, held[k] if row.first >= 0 else None, room)
+                    if each:
+                        total += weights[:, which].astype(float).T @ np.column_stack([nll, g])
+                    else:
+                        total[slice(None) if equal else block] += np.column_stack([nll, g])
         yield pd.DataFrame({"k": np.arange(n_vec, dtype="int32"), "v": list(total)})
 
     # summed on the cluster: the driver gets one number per parameter vector and entry
@@ -499,7 +582,7 @@ def likelihood(prepared: DataFrame, thetas: np.ndarray, which: np.ndarray | None
     got = parts.groupBy("k", "i").agg(F.sum("x").alias("x")).toPandas()
     arr = np.zeros((n_vec, 1 + n_par))
     arr[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
-    return arr[:, 0], arr[:, 1:]
+    return arr[:, 0], _completed(thetas, arr[:, 1:])
 
 
 #: Rows of a game up to which it is packed whole; a longer one runs over several batches.
@@ -597,12 +680,13 @@ def fit(prepared: DataFrame, start: np.ndarray, *, which: np.ndarray | None = No
     """Minimise the summed NLL of each starting vector: BFGS with a halving line search.
 
     All vectors that go on share each Spark job, which evaluates one trial point of each.
+    Without `which` all games count once.
     A vector has converged when no entry of its gradient per event exceeds `tolerance`;
     after `steps` jobs the rest is returned as it is, `converged` false.
     """
     theta = np.atleast_2d(np.asarray(start, float)).copy()
     n_vec, n_par = theta.shape
-    which = np.arange(n_vec) if which is None else np.asarray(which)
+    which = None if which is None else np.asarray(which)
     events = prepared.agg(F.sum("n")).first()[0] or 1
     inv = np.repeat((_inverse(curvature(prepared, theta[0])) if inverse is None else inverse)[None], n_vec, axis=0)
     low, grad = likelihood(prepared, theta, which)
@@ -617,7 +701,7 @@ def fit(prepared: DataFrame, start: np.ndarray, *, which: np.ndarray | None = No
         move[up] = -grad[on][up] / np.abs(grad[on][up]).max(axis=1, keepdims=True)  # no way down: along the gradient
         move *= np.minimum(1.0, 2.0 / np.abs(move).max(axis=1, keepdims=True))
         move *= size[on][:, None]
-        nll, g = likelihood(prepared, theta[on] + move, which[on])
+        nll, g = likelihood(prepared, theta[on] + move, None if which is None else which[on])
         good = np.isfinite(nll) & (nll <= low[on] + 1e-4 * np.einsum("ri,ri->r", move, grad[on]) + 1e-12 * np.abs(low[on]))
         for k, s, better, value, gradient in zip(on, move, good, nll, g):
             if not better:
@@ -646,27 +730,34 @@ def bootstrap_weights(df: DataFrame, replicates: int, *, game: str = "gameid", s
     draws = df.sparkSession.range(n * replicates).select(
         (F.col("id") % replicates).cast("int").alias("r"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("_i")
     )
-    counts = draws.groupBy("_i", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("r", "n"))).alias("c"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("c", r), F.lit(0)).cast("int"))
-    return numbered.join(counts, "_i", "left").select(game, F.coalesce(every, F.array_repeat(F.lit(0), replicates)).alias("weights"))
+    drawn = numbered.join(draws.groupBy("_i").agg(F.collect_list("r").alias("drawn")), "_i", "left").select(game, "drawn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                lists = part.column(1)
+                rows = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+                counts = np.bincount(rows * replicates + lists.flatten().to_numpy(), minlength=len(lists) * replicates)
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * replicates, pa.int32()), pa.array(counts, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), each], [game, "weights"])
+
+    return drawn.mapInArrow(run, T.StructType([drawn.schema[game], T.StructField("weights", T.ArrayType(T.IntegerType()))]))
 
 
 def bootstrap_effects(df: DataFrame, start: np.ndarray, *, replicates: int = 500, game: str = "gameid", batch: int = 250, **options) -> Fit:
     """The fit of every bootstrap replicate, warm-started from the fit of all games.
 
     `batch` replicates share each Spark job; their first step uses the curvature of the
-    whole fit.
+    whole fit. Games are sorted and packed once, with their weights, for both.
     """
-    plain = prepare(df, game=game)
-    base = fit(plain, start, **options)
-    inverse = _inverse(curvature(plain, base.theta[0]))
-    plain.unpersist()
-    weighted = prepare(df, game=game, weights=bootstrap_weights(df, replicates, game=game))
+    ready = prepare(df, game=game, weights=bootstrap_weights(df, replicates, game=game))
+    base = fit(ready, start, **options)
+    inverse = _inverse(curvature(ready, base.theta[0]))
     found = []
     for k in range(0, replicates, batch):
         n = min(batch, replicates - k)
-        found.append(fit(weighted, np.repeat(base.theta, n, axis=0), which=np.arange(k, k + n), inverse=inverse, **options))
-    weighted.unpersist()
+        found.append(fit(ready, np.repeat(base.theta, n, axis=0), which=np.arange(k, k + n), inverse=inverse, **options))
+    ready.unpersist()
     return Fit(*(np.concatenate([getattr(f, name) for f in found]) for name in ("theta", "nll", "slope", "steps", "converged")))
 
 
