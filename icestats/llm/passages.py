@@ -93,7 +93,7 @@ def _pack(place: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) ->
     return (place << 20) | (np.minimum(place - left, reach) << 10) | np.minimum(right - place, reach)
 
 
-def _unpack(packed: int) -> tuple[int, int, int]:
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 20, packed >> 10 & 1023, packed & 1023
 
 
@@ -218,26 +218,28 @@ def _regions(width: int, tokens: int):
     """Tokens around each wanted place of a document, aligned at the place (0: beyond its window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = 2 * tokens - 1
+        around = np.arange(1 - tokens, tokens)
         for batch in batches:
             for part in slices(batch):
                 lists = shingles([words_of(t) for t in part.column("text").to_pylist()], width)
-                wanted = part.column("wanted").to_pylist()
-                rows = []
-                for k, own in enumerate(lists):
-                    short = np.maximum((own >> np.uint64(32)).astype(np.uint32), 1)
-                    for w in wanted[k]:
-                        at, a, b = _unpack(w["place"])
-                        if at + b >= len(own):
-                            continue  # a place of another document whose key is equal
-                        region = np.zeros(full, dtype=np.uint32)
-                        region[tokens - 1 - a : tokens + b] = short[at - a : at + b + 1]
-                        rows.append((w["h"], w["n"], k, at, region.tobytes()))
-                for start in range(0, len(rows), 20000):
-                    h, n, k, at, region = zip(*rows[start : start + 20000])
-                    who = pa.array(k)
+                sizes = np.array([len(own) for own in lists])
+                starts = np.cumsum(sizes) - sizes
+                short = np.maximum((np.concatenate(lists) >> np.uint64(32)).astype(np.uint32), 1)
+                wanted = part.column("wanted")
+                h, n, place = (wanted.flatten().field(c).to_numpy() for c in ("h", "n", "place"))
+                k = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(wanted).to_numpy())
+                fits = (place >> 20) + (place & 1023) < sizes[k]  # others are places of another document whose key is equal
+                h, n, k, place = h[fits], n[fits], k[fits], place[fits]
+                for rows in (slice(start, start + 20000) for start in range(0, len(k), 20000)):
+                    at, a, b = (x[:, None] for x in _unpack(place[rows]))
+                    within = (around >= -a) & (around <= b)
+                    region = short[np.where(within, starts[k[rows]][:, None] + at + around, 0)]
+                    region[~within] = 0
+                    ends = np.arange(len(region) + 1, dtype=np.int32) * region[:1].nbytes
+                    raw = pa.Array.from_buffers(pa.binary(), len(region), [None, pa.py_buffer(ends), pa.py_buffer(region)])
+                    who = pa.array(k[rows])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h, pa.int64()), pa.array(n, pa.int64()), part.column("id").take(who), part.column("key").take(who), pa.array(at, pa.int64()), pa.array(region, pa.binary())],
+                        [pa.array(h[rows]), pa.array(n[rows]), part.column("id").take(who), part.column("key").take(who), pa.array(at[:, 0]), raw],
                         ["h", "n", "id", "key", "place", "region"],
                     )
 
@@ -266,12 +268,14 @@ def best_segments(hit: np.ndarray, inside: np.ndarray, tokens: int, similar: flo
     ends = np.concatenate([none == 0, hit[:, mid - 1 :: -1]], axis=1) if mid else none == 0
     # how far left each right end can go: the last place from which the score still suffices
     reach = np.maximum.accumulate(np.where(ends, left, -np.inf)[:, ::-1], axis=1)[:, ::-1]
-    u = (reach[:, None, :] >= -1e-9 - right[:, :, None]).sum(axis=2) - 1
-    length = np.where(hit[:, mid:] & (u >= 0), u + np.arange(1, right.shape[1] + 1), -1)
+    first, last = np.zeros(len(hit), np.int64), np.full(len(hit), -1)
+    # the few rows in which some right end can go far enough left for the least length
+    rows = np.flatnonzero((hit[:, mid:] & (reach[:, ::-1] >= -1e-9 - right)).any(axis=1))
+    u = (reach[rows][:, None, :] >= -1e-9 - right[rows][:, :, None]).sum(axis=2) - 1
+    length = np.where(hit[rows, mid:] & (u >= 0), u + np.arange(1, right.shape[1] + 1), -1)
     v = length.shape[1] - 1 - length[:, ::-1].argmax(axis=1)  # the rightmost of equal lengths
-    rows = np.arange(len(hit))
-    none = length[rows, v] < tokens
-    return np.where(none, 0, mid - u[rows, v]), np.where(none, -1, mid + v)
+    first[rows], last[rows] = mid - u[np.arange(len(rows)), v], mid + v
+    return first, last
 
 
 def distinct(codes: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -347,36 +351,93 @@ def _verify(tokens: int, width: int, similar: float):
         covers. A lead is held against the later rows that want one of its tokens; a group ends
         when no two of its rows are left that could share a passage.
         """
-        free, key, numbered = inside.copy(), keys[who], len(who)
-        while len(who):
-            if 2 * len(who) < numbered:  # small numbers for the codes that are left
-                codes, numbered = np.unique(codes, return_inverse=True)[1].reshape(codes.shape), len(who)
+        free, key, n, span = inside.copy(), keys[who], int(codes.max()) + 1, codes.shape[1]
+        codes = np.where(inside, codes, n)  # a code of its own, which is never marked
+
+        def per_row(hit: np.ndarray) -> np.ndarray:
+            return np.bincount(np.flatnonzero(hit) // span, minlength=len(hit))
+
+        def had(rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+            """Places of marked codes in these rows, and their numbers: eight at once."""
+            some = codes[rows]
+            wide = np.zeros((len(some), -(-span // 8) * 8), dtype=bool)
+            wide[:, :span] = mark.take(some)
+            return wide[:, :span], np.bitwise_count(wide.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+        mark, alive, live, hits = np.zeros(n + 1, dtype=bool), np.ones(len(who), dtype=bool), None, np.zeros(codes.shape, dtype=bool)
+        count = np.bincount(codes[inside], minlength=n + 1)
+        shared = (count > 1)[codes]
+        n_shared = per_row(shared)
+
+        def left_over(held: np.ndarray, gone: np.ndarray, rest: int) -> np.ndarray:
+            """Codes of which `gone` leaves so many in `held`."""
+            np.subtract.at(held, gone, 1)
+            mark[gone] = True
+            some = np.flatnonzero(mark) if len(gone) > n // 8 else np.unique(gone)
+            mark[gone] = False
+            return some[held[some] == rest]
+
+        def unwant(places: np.ndarray) -> None:
+            lost = left_over(wants, codes[places], 0)
+            if len(lost):
+                mark[lost] = True
+                n_wanted[:] -= had(slice(None))[1]
+                mark[lost] = False
+
+        # only what a turn takes away is counted anew
+        while True:
             # rows that share enough tokens with others still here, and want one of these or have one that is wanted
-            n = int(codes.max()) + 1
-            shared = (np.bincount(codes.ravel(), minlength=n) > 1)[codes] & inside
-            keep = shared.sum(axis=1) >= need
-            wanted = np.zeros(n, dtype=bool)
-            wanted[codes[free & shared & keep[:, None]]] = True
-            at = np.flatnonzero(keep & (wanted[codes] & inside).any(axis=1))
+            keep = alive & (n_shared >= need)
+            now = shared & free
+            now[~keep] = False
+            if live is None:
+                wants = np.bincount(codes[now], minlength=n + 1)
+                n_wanted = per_row((wants > 0)[codes])
+            else:
+                unwant(live & ~now)
+            live = now
+            at = np.flatnonzero(keep & (n_wanted > 0))
             if len(at):  # rows of one document alone hold nothing against each other
                 edge = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1]]))
                 several = np.maximum.reduceat(key[at], edge) != np.minimum.reduceat(key[at], edge)
                 at = at[np.repeat(several, np.diff(np.append(edge, len(at))))]
             if not len(at):
                 return
-            who, codes, inside, free, group, key = (x[at] for x in (who, codes, inside, free, group, key))
-            first = np.concatenate([[True], group[1:] != group[:-1]])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
-            own = np.zeros(n, dtype=bool)
-            own[codes[first][inside[first]]] = True
-            hits = own[codes] & inside
-            fresh = ~first & (key != key[lead]) & (hits.sum(axis=1) >= need)
-            at = np.flatnonzero(fresh)
-            at = at[(hits[at] & free[at]).any(axis=1)]
-            for part in (at[i : i + 2000] for i in range(0, len(at), 2000)):
+            first = np.concatenate([[True], group[at][1:] != group[at][:-1]])
+            lead = np.zeros(len(who), dtype=np.int64)
+            lead[at] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+            leads = at[first]
+            own = codes[leads][inside[leads]]
+            mark[own] = True
+            fresh = at[~first & (key[at] != key[lead[at]])]
+            fresh = fresh[live[fresh].any(axis=1)]  # a hit is shared, so a free one is live
+            hit, n_hit = had(fresh)
+            mark[own] = False
+            enough = n_hit >= need
+            fresh, hit = fresh[enough], hit[enough]
+            enough = (hit & free[fresh]).any(axis=1)
+            fresh = fresh[enough]
+            hits[fresh] = hit[enough]
+            for part in (fresh[i : i + 2000] for i in range(0, len(fresh), 2000)):
                 for k, a, b in _passages_of(part, lead, hits, codes, inside, free):
                     yield who[k], a, b, who[lead[k]]
-            who, codes, inside, free, group, key = (x[~first] for x in (who, codes, inside, free, group, key))
+            stay = np.zeros(len(who), dtype=bool)
+            stay[at[~first]] = True
+            gone = np.flatnonzero(alive & ~stay)
+            alive = stay
+            single = left_over(count, codes[gone][inside[gone]], 1)
+            if len(single):
+                mark[single] = True
+                lost, n_lost = had(slice(None))
+                mark[single] = False
+                shared &= ~lost
+                n_shared -= n_lost
+            if 4 * alive.sum() < 3 * len(alive):
+                unwant(live & ~alive[:, None])
+                who, codes, inside, free, group, key, shared, n_shared, n_wanted, live, hits = (
+                    x[alive] for x in (who, codes, inside, free, group, key, shared, n_shared, n_wanted, live, hits)
+                )
+                alive = np.ones(len(who), dtype=bool)
 
     def _passages_of(part: np.ndarray, lead: np.ndarray, hits: np.ndarray, codes: np.ndarray, inside: np.ndarray, free: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         span = np.arange(codes.shape[1])[None, :]

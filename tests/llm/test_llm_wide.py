@@ -583,3 +583,45 @@ def test_pipeline_against_plain_python(spark, tmp_path_factory):
     model = pieces.Model(pieces.read_model())
     for r in final:
         assert r["decoded"] == texts[r["doc_id"]] and model.decode(r["ids"]) == r["decoded"]
+
+
+def test_rows_without_a_long_stretch_cost_no_square():
+    """op3 check: every right end was held against every left end, also in rows that have no stretch long enough."""
+    import tracemalloc
+
+    tokens, rng = 400, np.random.default_rng(4)
+    hit = rng.random((500, 2 * tokens - 1)) < 0.5
+    hit[:, tokens - 1] = True
+    inside = np.ones(hit.shape, dtype=bool)
+    tracemalloc.start()
+    first, last = passages.best_segments(hit, inside, tokens, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (last < first).all() and peak < 50_000_000  # 500 rows of 400 x 400 places are 80 MB
+    hit[3, tokens - 20 : 2 * tokens - 10] = True
+    first, last = passages.best_segments(hit, inside, tokens, 0.8)
+    assert last[3] - first[3] + 1 >= tokens and (np.delete(last < first, 3)).all()
+
+
+def test_groups_of_many_unlike_surroundings():
+    """op3 check: what a turn takes away is counted anew, not the whole group; passages equal those of all pairs."""
+    import pyarrow as pa
+
+    tokens, rng = 6, np.random.default_rng(9)
+    base = rng.integers(1, 2**31, 2 * tokens - 1).astype(np.uint32)
+    rows = []
+    for k in range(120):
+        own = rng.integers(1, 2**31, 2 * tokens - 1).astype(np.uint32)
+        a, b = rng.integers(0, tokens, 2)
+        own[tokens - 1 - a : tokens + b] = base[tokens - 1 - a : tokens + b]
+        rows.append((k, int(a), int(b), own))
+    table = pa.table({
+        "h": pa.array([1] * len(rows), pa.int64()), "i": pa.array([0] * len(rows), pa.int32()), "j": pa.array([0] * len(rows), pa.int32()),
+        "id": [r[0] for r in rows], "key": [r[0] + 1000 for r in rows], "place": pa.array([50] * len(rows), pa.int64()), "region": pa.array([r[3].tobytes() for r in rows], pa.binary()),
+    })
+    found = {r["id"] for b in passages._verify(tokens, 5, 1.0)(table) for r in b.to_pylist()}
+
+    def repeats(k, j):
+        return min(rows[k][1], rows[j][1]) + 1 + min(rows[k][2], rows[j][2]) >= tokens
+
+    assert found == {k for k in range(120) if any(repeats(k, j) for j in range(k))} and 0 < len(found) < 119
