@@ -26,8 +26,10 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
-#: Words, and twice as many neighbour pairs, that a task remembers.
-CACHED = 900_000
+#: Words, and twice as many neighbour pairs, that a task remembers between slices (some 100 MB).
+CACHED = 150_000
+#: Bytes of text that a task encodes at once.
+PIECE_BYTES = 1_000_000
 UNKNOWN_SURFACE = " ⁇ "
 
 
@@ -268,7 +270,7 @@ def encode_decode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(raw)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, PIECE_BYTES):
                 texts = part.column(1).to_pylist()
                 ids, border = model.encode(texts)
                 listed = ids.tolist()

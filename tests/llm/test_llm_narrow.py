@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -227,6 +228,30 @@ def test_encode_decode_table(spark):
     assert pieces.encode_decode(docs.limit(0)).count() == 0
 
 
+def test_remembered_words_stay_few(model, library):
+    """pipeline check: an executor's tasks may remember few words, so that two of them fit beside its heap."""
+    own = pieces.Model(pieces.read_model())
+    for start in range(0, 300_000, 20_000):
+        ids, border = own.encode([" ".join(f"q{i}z" for i in range(start, start + 20_000))])
+        assert len(own.index) <= 180_000
+    assert ids.tolist() == library.encode(" ".join(f"q{i}z" for i in range(280_000, 300_000)))
+
+
+def test_pieces_take_small_slices(spark, monkeypatch):
+    """pipeline check: texts are encoded in slices of a megabyte."""
+    monkeypatch.setattr(pieces, "_model", lambda raw: held)
+    held, sizes = pieces.Model(pieces.read_model()), []
+    encode = held.encode
+    monkeypatch.setattr(held, "encode", lambda texts: (sizes.append(sum(map(len, texts))), encode(texts))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["word " * 20_000] * 40)], ["doc_id", "text"])
+    runs = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    pieces.encode_decode(docs)
+    out = list(runs[0](iter([batch])))
+    assert sum(b.num_rows for b in out) == 40 and sum(sizes) == 4_000_000 and max(sizes) <= 1_100_000
+
+
 def test_shingles_mean_word_windows():
     a, b = shingles([words_of("a b c d e f"), words_of("x b c d e f")])
     assert len(a) == len(b) == 2 and a[1] == b[1] and a[0] != b[0]
