@@ -35,16 +35,16 @@ WINDOW_BYTES = 1_000_000
 
 def wide_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Places that are least (leftmost at a tie) in some `width` consecutive values."""
-    at, size = np.arange(len(values)), 1
+    at, least, size = np.arange(len(values)), values, 1
 
-    def lesser(shift: int) -> np.ndarray:
-        a, b = at[: len(at) - shift], at[shift:]
-        return np.where(values[a] <= values[b], a, b)
+    def lesser(shift: int) -> tuple[np.ndarray, np.ndarray]:
+        end = len(at) - shift
+        return np.where(least[:end] <= least[shift:], at[:end], at[shift:]), np.minimum(least[:end], least[shift:])
 
     while size * 2 <= width:
-        at, size = lesser(size), size * 2
+        (at, least), size = lesser(size), size * 2
     if width > size:
-        at = lesser(width - size)
+        at, least = lesser(width - size)
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
 
 
@@ -328,7 +328,7 @@ def _verify(tokens: int, width: int, similar: float):
         # tokens that stand at one place only are part of no repeated passage
         alone = np.flatnonzero(~copy)
         token = (group[alone].astype(np.uint64)[:, None] << np.uint64(32)) | region[alone]
-        codes = pd.factorize(token.ravel())[0].reshape(token.shape)
+        codes = pd.factorize(token.ravel())[0].astype(np.int32).reshape(token.shape)
         n = np.bincount(codes.ravel())
         enough = ((n[codes] > 1) & inside[alone]).sum(axis=1) >= need
         alone, codes = alone[enough], codes[enough]
@@ -352,50 +352,65 @@ def _verify(tokens: int, width: int, similar: float):
         when no two of its rows are left that could share a passage.
         """
         free, key, n, span = inside.copy(), keys[who], int(codes.max()) + 1, codes.shape[1]
-        codes = np.where(inside, codes, n)  # a code of its own, which is never marked
-
-        def per_row(hit: np.ndarray) -> np.ndarray:
-            return np.bincount(np.flatnonzero(hit) // span, minlength=len(hit))
-
-        def had(rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-            """Places of marked codes in these rows, and their numbers: eight at once."""
-            some = codes[rows]
-            wide = np.zeros((len(some), -(-span // 8) * 8), dtype=bool)
-            wide[:, :span] = mark.take(some)
-            return wide[:, :span], np.bitwise_count(wide.view(np.uint64)).sum(axis=1, dtype=np.int64)
-
-        mark, alive, live, hits = np.zeros(n + 1, dtype=bool), np.ones(len(who), dtype=bool), None, np.zeros(codes.shape, dtype=bool)
+        codes = np.where(inside, codes, np.int32(n))  # a code of its own, which is never marked
+        mark, alive, hits = np.zeros(n + 1, dtype=bool), np.ones(len(who), dtype=bool), np.zeros(codes.shape, dtype=bool)
         count = np.bincount(codes[inside], minlength=n + 1)
         shared = (count > 1)[codes]
-        n_shared = per_row(shared)
+        shared[~inside] = False
+        # (code, row, its places there) of each code that more than one place has, by code
+        places = np.flatnonzero(shared)
+        code = codes.ravel()[places]
+        order = np.argsort(code, kind="stable")
+        code, row_of = code[order], places[order] // span
+        start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row_of[1:] != row_of[:-1])])) if len(code) else np.zeros(0, np.int64)
+        code, row_of, times = code[start], row_of[start], np.diff(np.append(start, len(code)))
+        ends = np.cumsum(np.bincount(code, minlength=n + 1))
+
+        def once(some: np.ndarray) -> np.ndarray:
+            """The different ones of some codes."""
+            if len(some) <= n // 8:
+                return np.unique(some)
+            mark[some] = True
+            some = np.flatnonzero(mark)
+            mark[some] = False
+            return some
+
+        def rows_of(some: np.ndarray) -> np.ndarray:
+            """Where the rows of these different codes are in `row_of`."""
+            end = ends[some]
+            size = end - np.where(some > 0, ends[some - 1], 0)
+            return np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())
+
+        def per_row(index: np.ndarray | slice) -> np.ndarray:
+            """Places of each row in these entries of `row_of`."""
+            return np.bincount(row_of[index], times[index], len(who)).astype(np.int64)
 
         def left_over(held: np.ndarray, gone: np.ndarray, rest: int) -> np.ndarray:
             """Codes of which `gone` leaves so many in `held`."""
             np.subtract.at(held, gone, 1)
-            mark[gone] = True
-            some = np.flatnonzero(mark) if len(gone) > n // 8 else np.unique(gone)
-            mark[gone] = False
+            some = once(gone)
             return some[held[some] == rest]
 
         def unwant(places: np.ndarray) -> None:
-            lost = left_over(wants, codes[places], 0)
+            """These places are wanted no more."""
+            live.ravel()[places] = False
+            lost = left_over(wants, codes.ravel()[places], 0)
             if len(lost):
-                mark[lost] = True
-                n_wanted[:] -= had(slice(None))[1]
-                mark[lost] = False
-
-        # only what a turn takes away is counted anew
+                n_wanted[:] -= per_row(rows_of(lost))
+
+        def within(rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+            """Places marked by `which` in these rows."""
+            k, at = np.nonzero(which)
+            return rows[k] * span + at
+
+        n_shared = per_row(slice(None))
+        # rows that share enough tokens with others still here, and want one of these or have one that is wanted
+        keep = n_shared >= need
+        live = shared & keep[:, None]
+        wants = np.bincount(codes[live], minlength=n + 1)
+        n_wanted = per_row(wants[code] > 0)
+        # a turn goes to the places of the codes it is about, and counts only what it takes away
         while True:
-            # rows that share enough tokens with others still here, and want one of these or have one that is wanted
-            keep = alive & (n_shared >= need)
-            now = shared & free
-            now[~keep] = False
-            if live is None:
-                wants = np.bincount(codes[now], minlength=n + 1)
-                n_wanted = per_row((wants > 0)[codes])
-            else:
-                unwant(live & ~now)
-            live = now
             at = np.flatnonzero(keep & (n_wanted > 0))
             if len(at):  # rows of one document alone hold nothing against each other
                 edge = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1]]))
@@ -407,35 +422,39 @@ def _verify(tokens: int, width: int, similar: float):
             lead = np.zeros(len(who), dtype=np.int64)
             lead[at] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
             leads = at[first]
-            own = codes[leads][inside[leads]]
+            own = once(codes[leads][shared[leads]])
+            fresh = at[~first & (per_row(rows_of(own))[at] >= need) & (key[at] != key[lead[at]])]
             mark[own] = True
-            fresh = at[~first & (key[at] != key[lead[at]])]
-            fresh = fresh[live[fresh].any(axis=1)]  # a hit is shared, so a free one is live
-            hit, n_hit = had(fresh)
+            hit = mark[codes[fresh]]
             mark[own] = False
-            enough = n_hit >= need
-            fresh, hit = fresh[enough], hit[enough]
             enough = (hit & free[fresh]).any(axis=1)
             fresh = fresh[enough]
             hits[fresh] = hit[enough]
             for part in (fresh[i : i + 2000] for i in range(0, len(fresh), 2000)):
                 for k, a, b in _passages_of(part, lead, hits, codes, inside, free):
                     yield who[k], a, b, who[lead[k]]
+            unwant(within(fresh, live[fresh] & ~free[fresh]))
             stay = np.zeros(len(who), dtype=bool)
             stay[at[~first]] = True
             gone = np.flatnonzero(alive & ~stay)
             alive = stay
-            single = left_over(count, codes[gone][inside[gone]], 1)
+            single = left_over(count, codes[gone][shared[gone]], 1)
             if len(single):
-                mark[single] = True
-                lost, n_lost = had(slice(None))
-                mark[single] = False
-                shared &= ~lost
-                n_shared -= n_lost
+                lost = rows_of(single)
+                n_shared -= per_row(lost)
+                lost = lost[alive[row_of[lost]]]
+                lost = within(row_of[lost], shared[row_of[lost]] & (codes[row_of[lost]] == code[lost][:, None]))
+                shared.ravel()[lost] = False
+                unwant(lost[live.ravel()[lost]])
+            out = np.flatnonzero(keep & ~(alive & (n_shared >= need)))
+            keep[out] = False
+            unwant(within(out, live[out]))
             if 4 * alive.sum() < 3 * len(alive):
-                unwant(live & ~alive[:, None])
-                who, codes, inside, free, group, key, shared, n_shared, n_wanted, live, hits = (
-                    x[alive] for x in (who, codes, inside, free, group, key, shared, n_shared, n_wanted, live, hits)
+                stay = alive[row_of]
+                code, row_of, times = code[stay], (np.cumsum(alive) - 1)[row_of[stay]], times[stay]
+                ends = np.cumsum(np.bincount(code, minlength=n + 1))
+                who, codes, inside, free, group, key, keep, shared, n_shared, n_wanted, live, hits = (
+                    x[alive] for x in (who, codes, inside, free, group, key, keep, shared, n_shared, n_wanted, live, hits)
                 )
                 alive = np.ones(len(who), dtype=bool)
 

@@ -625,3 +625,27 @@ def test_groups_of_many_unlike_surroundings():
         return min(rows[k][1], rows[j][1]) + 1 + min(rows[k][2], rows[j][2]) >= tokens
 
     assert found == {k for k in range(120) if any(repeats(k, j) for j in range(k))} and 0 < len(found) < 119
+
+
+def test_a_turn_costs_its_own_rows():
+    """op3 check: each turn read all tokens of its group again and again; rows in pairs meet their partners alone."""
+    import time
+
+    import pyarrow as pa
+
+    tokens, n, rng = 46, 4000, np.random.default_rng(3)
+    region = np.repeat(rng.integers(1, 2**31, (n // 2, 2 * tokens - 1)).astype(np.uint32), 2, axis=0)
+    region[:, tokens - 1] = 7
+    region[1::2, 0] ^= 1
+    table = pa.table({
+        "h": pa.array([1] * n, pa.int64()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([0] * n, pa.int32()),
+        "id": pa.array(range(n)), "key": pa.array(range(n)), "place": pa.array([50 << 20] * n, pa.int64()), "region": pa.array([r.tobytes() for r in region], pa.binary()),
+    })
+    mark, began = np.zeros(n * region.shape[1], dtype=bool), time.process_time()
+    for _ in range(n // 4):  # one pass over all tokens for each turn, were half of the rows still there
+        mark[np.arange(mark.size).reshape(region.shape)]
+    passes, began = time.process_time() - began, time.process_time()
+    found = [(r["id"], r["source"]) for b in passages._verify(tokens, 5, 0.8)(table) for r in b.to_pylist()]
+    took = time.process_time() - began
+    assert sorted(found) == [(k, k - 1) for k in range(1, n, 2)]
+    assert took < 3.5 * passes
