@@ -7,10 +7,12 @@ systems of two to five unknowns.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -313,23 +315,51 @@ class Logit:
 SEPARATED = 1e-6
 
 
-def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *, steps: int = 60, tolerance: float = 1e-9) -> dict[str, Logit]:
-    """Logistic models without intercept for several feature sets, all in one job per Newton step.
+#: Rows in a packed row, and bytes of packed rows that go to a Python worker at once.
+PACK_ROWS, BATCH_BYTES = 10_000, "4m"
 
-    Each task returns loss, gradient and Hessian sums keyed by set. A step that does not
-    lower the loss is halved. A set has converged when its Newton decrement per row is
-    below `tolerance`; one whose classes a feature separates never does.
-    """
-    names = sorted({f for fs in sets.values() for f in fs})
+
+@contextmanager
+def _small_batches(df: DataFrame) -> Iterator[None]:
+    """Spark fills an Arrow batch up to 64 MB; a task holds each several times, in the JVM's buffers and in Python."""
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(size, None)
+    conf.set(size, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        conf.unset(size) if before is None else conf.set(size, before)
+
+
+def _packed(data: DataFrame, label: str, names: Sequence[str]) -> DataFrame:
+    """Label and features as rows of packed numbers, gaps in features as 0; kept on disk, as the executors' memory is the tasks'."""
     rows = data.select(F.col(label).cast("double").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
-    places = [np.array([names.index(f) for f in fs]) for fs in sets.values()]
+    size = PACK_ROWS
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"n": [len(pdf)], "data": [np.ascontiguousarray(pdf[["label", *names]].to_numpy(float).T).tobytes()]})
+            for low in range(0, len(pdf), size):
+                part = pdf[["label", *names]].iloc[low : low + size].to_numpy(float)
+                yield pd.DataFrame({"n": [len(part)], "data": [np.ascontiguousarray(part.T).tobytes()]})
 
     # every step reads plain numbers instead of converting the columns again
-    packed = rows.mapInPandas(pack, "n int, data binary").persist()
+    return rows.mapInPandas(pack, "n int, data binary").persist(StorageLevel.DISK_ONLY)
+
+
+def fit_logits(
+    data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *, steps: int = 60, tolerance: float = 1e-9, packed: DataFrame | None = None
+) -> dict[str, Logit]:
+    """Logistic models without intercept for several feature sets, all in one job per Newton step.
+
+    Each task returns loss, gradient and Hessian sums keyed by set. A step that does not
+    lower the loss is halved. A set has converged when its Newton decrement per row is
+    below `tolerance`; one whose classes a feature separates never does. Who reads the rows again
+    passes them in as `packed`.
+    """
+    names = sorted({f for fs in sets.values() for f in fs})
+    places = [np.array([names.index(f) for f in fs]) for fs in sets.values()]
+    own = packed is None
+    packed = _packed(data, label, names) if own else packed
 
     def sums(thetas: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,7 +375,8 @@ def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *
                         total[k] += np.concatenate([[len(y), np.sum(np.logaddexp(0, z) - y * z)], own @ (p - y), hess.ravel()])
             yield pd.DataFrame([(k, i, v) for k, t in total.items() for i, v in enumerate(t)], columns=["k", "i", "v"])
 
-        got = packed.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
+        with _small_batches(packed):
+            got = packed.mapInPandas(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toPandas()
         return {k: part.sort_values("i")["v"].to_numpy() for k, part in got.groupby("k")}
 
     fits = [Logit(tuple(fs), np.zeros(len(fs))) for fs in sets.values()]
@@ -365,7 +396,8 @@ def fit_logits(data: DataFrame, label: str, sets: Mapping[str, Sequence[str]], *
         move = {k: m for k, m in move.items() if k in got and not fits[k].converged}
         if not move:
             break
-    packed.unpersist()
+    if own:
+        packed.unpersist()
     return dict(zip(sets, fits))
 
 
@@ -376,17 +408,29 @@ def win_predictors(df: DataFrame, y: str, sets: Mapping[str, Sequence[str]] = KP
     each pass over the rows, the reports one more.
     """
     names = sorted({f for fs in sets.values() for f in fs})
-    data = df.select(F.col(y).cast("int").alias("label"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names]).persist()
-    fits = fit_logits(data, "label", sets, **options)
-    calls = []
-    for name, f in fits.items():
-        score = F.lit(0.0)
-        for c, t in zip(f.features, f.theta):
-            score = score + F.col(c) * float(t)
-        calls.append(F.struct(F.lit(name).alias("features"), (score >= 0).cast("int").alias("pred")))
-    hit = data.select("label", F.inline(F.array(*calls)))
+    data = df.select(F.col(y).cast("int").alias("label"), *names)
+    packed = _packed(data, "label", names)
+    fits = fit_logits(data, "label", sets, packed=packed, **options)
+    weights = [[(names.index(c), float(t)) for c, t in zip(f.features, f.theta)] for f in fits.values()]
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["data"]:
+                label, *x = np.frombuffer(data).reshape(len(names) + 1, -1)
+                out = {"label": label}
+                for k, terms in enumerate(weights):
+                    score = np.zeros(len(label))
+                    for i, t in terms:
+                        score = score + x[i] * t
+                    out[f"p{k}"] = (~(score < 0)).astype("i1")  # Spark orders NaN last
+                yield pd.DataFrame(out)
+
+    called = packed.mapInPandas(call, ", ".join(["label double", *[f"p{k} tinyint" for k in range(len(fits))]]))
+    calls = [F.struct(F.lit(name).alias("features"), F.col(f"p{k}").cast("int").alias("pred")) for k, name in enumerate(fits)]
+    hit = called.select(F.col("label").cast("int").alias("label"), F.inline(F.array(*calls)))
     report = classification_report(hit, "label", "pred", ["features"]).persist()
-    report.count()
-    data.unpersist()
+    with _small_batches(packed):
+        report.count()
+    packed.unpersist()
     about = df.sparkSession.createDataFrame([(n, f.loss, f.slope, f.converged) for n, f in fits.items()], "features string, loss double, slope double, converged boolean")
     return report.join(about, "features")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from icestats.plans.lineage import materialise
+from icestats.plans.lineage import materialise, small_stage
 from icestats.plans.slicing import context, running_total
 
 TEAM_KEYS = ("season", "team")
@@ -245,6 +245,10 @@ def rpi_schedule(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Game numbers of a team's season that meet in one group of rows.
+STREAK_RUN = 1_000
+
+
 def streak_flags(paired: DataFrame, table: DataFrame) -> DataFrame:
     """Three wins in a row; of these, expected (two or more against teams of lower RPI)
     and hot (one or more against the top quarter of opponents met).
@@ -253,23 +257,27 @@ def streak_flags(paired: DataFrame, table: DataFrame) -> DataFrame:
     weights are counted per opponent before the quantile. Rows carry the game number `rgame`.
     """
     rpi = table.select("season", "team", "rpi")
+    run = lambda n: F.floor(F.coalesce(n, F.lit(0)) / F.lit(STREAK_RUN))
     against = rpi.select("season", F.col("team").alias("opponent"), F.col("rpi").alias("rpi_against"))
     met = paired.groupBy("season", "opponent").agg(F.count(F.lit(1)).alias("n")).join(against, ["season", "opponent"])
     # one row per team by now, so the built-in percentile with counts holds a league at most
     cut = met.groupBy("season").agg(F.percentile("rpi_against", 0.75, F.col("n")).alias("q75"))
+    bars = small_stage(rpi.join(cut, "season"), "bars")
     rows = (
         paired.select("season", "team", "opponent", "game_date", "gameid", "rgame", "win")
-        .join(rpi.join(cut, "season"), ["season", "team"]).join(against, ["season", "opponent"])
+        .join(bars, ["season", "team"]).join(against, ["season", "opponent"])
     )
     marks = rows.select(
         "season", "team", "gameid", "game_date", "rgame", "win",
         (F.col("win") * (F.col("rpi_against") > F.col("q75")).cast("bigint")).alias("hot"),
         (F.col("win") * (F.col("rpi_against") < F.col("rpi")).cast("bigint")).alias("expected"),
     )
-    # each game counts for itself and the next two: one aggregation by game number, no window
-    spread = marks.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    # each game counts for itself and the next two: one aggregation by game number, no window. A team's
+    # season is dealt out in runs of game numbers; the last two games of a run go to the next one as well
+    dealt = marks.withColumn("_run", F.explode(F.sequence(run(F.col("rgame")), run(F.col("rgame") + 2)))).repartition("season", "team", "_run")
+    spread = dealt.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(2)))).filter(run(F.col("rgame") + F.col("_to")) == F.col("_run"))
     own = F.col("_to") == 0
-    g = spread.groupBy("season", "team", (F.col("rgame") + F.col("_to")).alias("_g")).agg(
+    g = spread.groupBy("season", "team", "_run", (F.col("rgame") + F.col("_to")).alias("_g")).agg(
         F.max(F.when(own, F.col("gameid"))).alias("gameid"), F.max(F.when(own, F.col("game_date"))).alias("game_date"),
         *[F.sum(c).alias(c) for c in ("win", "hot", "expected")],
     )
@@ -362,6 +370,7 @@ def game_indicators(metrics: DataFrame, table: DataFrame) -> DataFrame:
     (`*_against` the visitor's), the game's attempts, and both sides' running indicators.
     """
     pct = lambda a, b: F.try_divide(F.col(a).cast("double"), (F.col(a) + F.col(b)).cast("double"))
+    table = small_stage(table.select("season", "team", *SEASON_INDICATORS), "season")
     rows = trailing_expectation(metrics).withColumns({
         "rwp": F.try_divide(F.col("rwin").cast("double"), F.col("rgame").cast("double")), "rff_pct": pct("rsf", "rsa"),
         "_cf": F.col("rsf") + F.col("rbf"), "_ca": F.col("rsa") + F.col("rba"),

@@ -35,3 +35,9 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def small_stage(df: DataFrame, name: str = "small") -> DataFrame:
+    """`materialise` for a few rows that come from many: written as few files, so that Spark knows
+    them to be small before it plans a join and leaves the other side where it is."""
+    return materialise(df.hint("rebalance"), name)
